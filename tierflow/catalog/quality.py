@@ -235,7 +235,7 @@ def dq_relationships(spark, sf_dir):
 @query(
     """
     WITH o AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS c, o_totalprice FROM orders)
-    SELECT 'age_seconds' AS metric, CAST(date_diff('second', max(ts), TIMESTAMP '2024-02-01') AS DOUBLE) AS "value"
+    SELECT 'age_seconds' AS metric, CAST(date_sub('second', max(ts), TIMESTAMP '2024-02-01') AS DOUBLE) AS "value"
       FROM events
     UNION ALL SELECT 'complete_o_custkey', count(c) / count(*) FROM o
     UNION ALL SELECT 'complete_o_totalprice', count(o_totalprice) / count(*) FROM o

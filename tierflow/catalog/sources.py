@@ -153,20 +153,6 @@ def fetch_requests(spark, sf_dir):
     )
 
 
-def _page_grid(rows):
-    """Pages 1 to one beyond the last for every request, with their item counts."""
-    items = rows.groupBy("request_id", "page").agg(F.count("*").alias("n"))
-    last = rows.agg(F.max("page")).scalar()
-    sources = rows.select("request_id").distinct()
-    grid = sources.select("request_id", F.explode(F.sequence(F.lit(1).cast("long"), last + 1)).alias("page"))
-    return grid.join(items, ["request_id", "page"], "left").select(
-        "request_id",
-        "page",
-        F.coalesce("n", F.lit(0)).alias("n_items"),
-        F.lit(None).cast("string").alias("error"),
-    )
-
-
 _UNTIL_GAP = """
     c AS (SELECT DISTINCT request_id, page FROM r),
     g AS (SELECT s.request_id, p.page FROM (SELECT DISTINCT request_id FROM r) s,
@@ -187,7 +173,7 @@ def paginate_until_empty(spark, sf_dir):
         F.col("event_type").alias("request_id"),
         (F.floor(F.col("event_id") / 20) + 1).alias("page"),
     )
-    return fetch.until_first_gap(rows, _page_grid(rows)).select("event_id", "request_id", "page")
+    return fetch.until_gap(rows, fetch.first_missing(rows)).select("event_id", "request_id", "page")
 
 
 @query(
@@ -205,7 +191,7 @@ def paginate_template(spark, sf_dir):
         F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("request_id"),
         (F.floor(F.col("page_id") / 8) + 1).alias("page"),
     )
-    kept = fetch.until_first_gap(rows, _page_grid(rows))
+    kept = fetch.until_gap(rows, fetch.first_missing(rows))
     template = F.concat(F.lit("https://example.com/"), "request_id", F.lit("?page={page}"))
     return kept.select("page_id", "request_id", fetch.page_url(template, F.col("page")).alias("url"))
 
@@ -243,11 +229,21 @@ _PAGE_FIELDS = {
     "ad": "div.ad",
     "heading": "article h1",
 }
-_PAGE_SQL = """
-    trim(replace(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '&amp;', '&')) AS title,
-    trim(replace(regexp_extract(html, '<li><a [^>]*>(.*?)</a>', 1, 's'), '&amp;', '&')) AS first_link,
-    trim(replace(regexp_extract(html, '<div class="ad">(.*?)</div>', 1, 's'), '&amp;', '&')) AS ad,
-    trim(replace(regexp_extract(html, '<article>.*?<h1>(.*?)</h1>', 1, 's'), '&amp;', '&')) AS heading
+
+
+def _text_sql(pattern: str) -> str:
+    """First match of a pattern in the page, its entities decoded, trimmed."""
+    text = f"regexp_extract(html, '{pattern}', 1, 's')"
+    for entity, mark in (("&quot;", '"'), ("&#x27;", "''"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        text = f"replace({text}, '{entity}', '{mark}')"
+    return f"trim({text}, ' ' || chr(10))"
+
+
+_PAGE_SQL = f"""
+    {_text_sql('<title>(.*?)</title>')} AS title,
+    {_text_sql('<li><a [^>]*>(.*?)</a>')} AS first_link,
+    {_text_sql('<div class="ad">(.*?)</div>')} AS ad,
+    {_text_sql('<article>.*?<h1>(.*?)</h1>')} AS heading
 """
 
 

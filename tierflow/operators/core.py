@@ -11,7 +11,8 @@ from tierflow.operators.joins import left_join_spread, with_group_stats
 
 def normalized_text(text: Column) -> Column:
     """Lower case, trimmed, runs of white space as one blank."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    # Lone blanks, the usual case, do not match and need no replacing.
+    return F.trim(F.regexp_replace(F.lower(text), r"\s{2,}|[^\S ]", " "))
 
 
 def semantic_dedup(df: DataFrame, attributes: Sequence[str], earliest: str) -> DataFrame:

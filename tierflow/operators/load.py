@@ -13,15 +13,18 @@ from tierflow.workspace import durable
 BUCKET = "_bucket"
 
 
-def high_water_mark(target: DataFrame, control: str) -> Column:
-    """Latest control value already loaded, as a scalar subquery."""
-    return target.agg(F.max(control).alias("mark")).scalar()
+def high_water_mark(target: DataFrame, control: str) -> Column | None:
+    """Latest control value already loaded, as a literal; ``None`` for an empty target."""
+    latest = F.max(control).cast("string").alias("mark")
+    mark = target.agg(latest).first()["mark"]
+    return None if mark is None else F.lit(mark).cast(target.schema[control].dataType)
 
 
 def incremental(source: DataFrame, target: DataFrame, control: str) -> DataFrame:
-    """Source rows beyond the target's high-water mark; all rows for an empty target."""
+    """Source rows beyond the target's high-water mark; all rows for an empty target. The mark
+    is a constant of the plan, so that the filter reaches the scan."""
     mark = high_water_mark(target, control)
-    return source.where(mark.isNull() | (F.col(control) > mark))
+    return source if mark is None else source.where(F.col(control) > mark)
 
 
 def merge_upsert(

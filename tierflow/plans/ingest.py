@@ -30,8 +30,10 @@ def land_records(
     """Typed records validated and landed. Returns the checks.
 
     Records are checked as the JSON they are landed as, with null fields
-    present, like the fields of an extracted record.
+    present, like the fields of an extracted record. They are computed once: the
+    checks and the landing both read the durable copy.
     """
+    records = durable(records)
     payload = records.select(
         F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("payload")
     )
@@ -117,10 +119,7 @@ def land_scraped_entity(
     failed = responses.where(F.col("error").isNotNull()).first()
     if failed is not None:
         raise RuntimeError(f"{entity}: {failed['error']}")
-    # Parsed once; the checks and the landing both read the records.
-    records = durable(
-        scraped_records(responses.select(F.col("body").alias("html")), spec).drop("position")
-    )
+    records = scraped_records(responses.select(F.col("body").alias("html")), spec).drop("position")
     target = bucket_path(bucket, raw_key(prefix, "scraping", entity, domain, date, fmt))
     land_records(records, target, fmt, allow_overwrite=allow_overwrite)
     return target

@@ -12,6 +12,7 @@ from urllib.parse import urlencode, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from tierflow.operators.joins import sized
 from tierflow.sources.payload import count_records
 from tierflow.specs import EndpointSpec
 from tierflow.workspace import runs_on_executors, staging_path
@@ -139,11 +140,18 @@ def first_gaps(pages: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> Dat
     return pages.where(gap).groupBy(*keys).agg(F.min("page").alias("gap"))
 
 
-def until_first_gap(
-    rows: DataFrame, pages: DataFrame, keys: tuple[str, ...] = ("request_id",)
-) -> DataFrame:
-    """``rows`` on pages before their key's first gap; all rows of keys without a gap."""
-    kept = rows.join(first_gaps(pages, keys), list(keys), "left")
+def first_missing(pages: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
+    """First page per key, counted from 1, that ``pages`` has no row for."""
+    held = pages.select(*keys, F.col("page").cast("long").alias("page")).distinct()
+    due = held.withColumn("page", F.col("page") + 1).unionByName(
+        held.select(*keys).distinct().withColumn("page", F.lit(1).cast("long"))
+    )
+    return due.join(held, [*keys, "page"], "left_anti").groupBy(*keys).agg(F.min("page").alias("gap"))
+
+
+def until_gap(rows: DataFrame, gaps: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
+    """``rows`` on pages before their key's gap; all rows of keys without a gap."""
+    kept = rows.join(sized(gaps), list(keys), "left")
     return kept.where(F.col("gap").isNull() | (F.col("page") < F.col("gap"))).drop("gap")
 
 
@@ -196,4 +204,4 @@ def fetch_pages(
             break
         start, width, wave = stop + 1, width * 2, wave + 1
     responses = reduce(DataFrame.unionByName, waves)
-    return until_first_gap(responses, responses), responses.where(F.col("error").isNotNull())
+    return until_gap(responses, first_gaps(responses)), responses.where(F.col("error").isNotNull())

@@ -8,21 +8,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 WRAPPER_KEYS = ("data", "results", "items")
 
 
-def _list_under(body: Column, key: str) -> Column:
-    """The list below ``key``; null where there is none or the value is no list."""
-    value = F.try_variant_get(body, f"$.{key}", "variant")
-    return F.when(
-        F.schema_of_variant(value).startswith("ARRAY"), value.try_cast("array<variant>")
-    )
-
-
 def record_array(body: Column) -> Column:
-    """The records of a parsed body: the first wrapped list, a bare array's elements, or the
-    body itself as the only record. Null for an unparsed body."""
-    bare = F.when(F.schema_of_variant(body).startswith("ARRAY"), body.try_cast("array<variant>"))
-    is_object = F.schema_of_variant(body).startswith("OBJECT")
-    wrapped = F.coalesce(*(F.when(is_object, _list_under(body, k)) for k in WRAPPER_KEYS))
-    return F.coalesce(bare, wrapped, F.when(body.isNotNull(), F.array(body)))
+    """The records of a parsed body: a bare array's elements, the first list below a wrapper
+    key, or the body itself as the only record. Null for an unparsed body.
+
+    Reading a value as an array gives null for anything that is none, so text
+    such as ``"[1]"`` is no list.
+    """
+    paths = ("$", *(f"$.{key}" for key in WRAPPER_KEYS))
+    lists = [F.try_variant_get(body, path, "array<variant>") for path in paths]
+    return F.coalesce(*lists, F.when(body.isNotNull(), F.array(body)))
 
 
 def unwrap_payload(responses: DataFrame, body: str = "body", record: str = "record") -> DataFrame:
