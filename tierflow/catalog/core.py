@@ -212,12 +212,12 @@ def impute_group_mean(spark, sf_dir):
     SELECT a.block, a.name AS name_a, a.n AS n_a, b.name AS name_b, b.n AS n_b,
            CAST(levenshtein(a.name, b.name) AS INTEGER) AS distance,
            round(1 - CAST(levenshtein(a.name, b.name) AS DOUBLE) / greatest(length(a.name), length(b.name)), 6) AS similarity
-    FROM n a JOIN n b ON a.block = b.block AND a.name < b.name AND levenshtein(a.name, b.name) <= 3"""
+    FROM n a JOIN n b ON a.block = b.block AND a.name < b.name AND levenshtein(a.name, b.name) <= 2"""
 )
 def fuzzy_match(spark, sf_dir):
-    """Product names of a brand that are up to three edits apart."""
+    """Product names of a brand that are up to two edits apart."""
     part = table(spark, sf_dir, "part")
-    return core.fuzzy_match(part, part, "p_brand", "p_name", max_edits=3, self_match=True)
+    return core.fuzzy_match(part, part, "p_brand", "p_name", max_edits=2, self_match=True)
 
 
 @query(

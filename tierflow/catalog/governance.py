@@ -12,7 +12,7 @@ from tierflow.workspace import staging_path
 
 @query(
     """
-    SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'X', 'g'), '[a-wyz]', 'x', 'g'),
+    SELECT c_custkey, regexp_replace(regexp_replace(regexp_replace(c_name, '[A-Z]', 'X', 'g'), '[a-z]', 'x', 'g'),
              '[0-9]', 'n', 'g') AS name_masked,
            sha256('salt' || c_name) AS name_hash
     FROM customer"""

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tierflow.functions.names import bucket_path, raw_key
 from tierflow.operators.quality import validate_records
-from tierflow.operators.sinks import write_landing, write_raw_csv, write_raw_json
+from tierflow.operators.sinks import EmptyInput, write_landing, write_raw_csv, write_raw_json
 from tierflow.sources.fetch import RetryPolicy, Transport, endpoint_requests, fetch
-from tierflow.sources.files import scan_files
+from tierflow.sources.files import empty_files, scan_files
 from tierflow.sources.html import page_links, scrape
 from tierflow.sources.landing import landing_rows
 from tierflow.sources.payload import unparseable, unwrap_payload
@@ -128,6 +128,10 @@ def land_scraped_entity(
 def land_files(
     spark: SparkSession, source_path: str, target: str, name_glob: str | None = None, allow_overwrite: bool = False
 ) -> str:
-    """Files of a drop folder landed byte for byte, without parsing or validation."""
+    """Files of a drop folder landed byte for byte, without parsing or validation. An empty
+    file is an error."""
+    empty = empty_files(spark, source_path, name_glob or "*")
+    if empty:
+        raise EmptyInput(f"refusing to land empty files: {empty}")
     write_landing(landing_rows(scan_files(spark, source_path, name_glob)), target, allow_overwrite)
     return target

@@ -81,6 +81,17 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, df.where(F.col(CORRUPT).isNotNull())
 
 
+def empty_files(spark: SparkSession, folder: str, name_glob: str = "*") -> list[str]:
+    """Paths of zero-length files directly in a folder. File scans pass over them."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name_glob}")
+    listed = pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern) or []
+    return [
+        status.getPath().toString()
+        for status in listed
+        if status.isFile() and status.getLen() == 0 and status.getPath().getName()[0] not in "._"
+    ]
+
+
 def scan_files(spark: SparkSession, path: str, name_glob: str | None = None) -> DataFrame:
     """Whole files as bytes: ``path, modificationTime, length, content``."""
     reader = spark.read.format("binaryFile")
