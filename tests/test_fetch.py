@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +9,9 @@ from pyspark.sql import functions as F
 from tierflow.operators.sinks import EmptyInput
 from tierflow.plans import ingest
 from tierflow.sources import fetch
-from tierflow.specs import ENDPOINTS, endpoint_spec
+from tierflow.specs import ENDPOINTS, SCRAPES, endpoint_spec
 
-QUICK = fetch.RetryPolicy(retries=3, backoff=0.0)
+QUICK = fetch.RetryPolicy(retries=3, backoff=0.0, pause=0.0)
 REQUEST = "request_id string, page int, method string, url string, params map<string,string>"
 
 
@@ -145,6 +146,50 @@ def test_land_scraped_entity(spark, tmp_path):
     assert spark.read.option("header", True).csv(csv).columns == ["author", "comment", "date", "rating"]
 
 
+def test_headers_and_pause(spark):
+    def echo(method, url, headers, body, timeout):
+        return 200, json.dumps([headers, time.monotonic()])
+
+    df = requests(spark, *((str(i), 1, "GET", "http://h", {}) for i in range(3)))
+    policy = fetch.RetryPolicy(pause=0.05)
+    got = [json.loads(r["body"]) for r in fetch.fetch(df, echo, "k", policy, 1, headers={"X": "y"}).collect()]
+    assert got[0][0] == {"X": "y", "Authorization": "Bearer k"}
+    assert got[2][1] - got[0][1] >= 0.1
+
+
+def test_ingest_routes_by_source(spark, tmp_path):
+    data = b"\x1f\x8b bytes"
+    options = landing_options(tmp_path)
+    target = ingest.ingest(spark, "api", "reviews", transport=lambda *_: (200, data), **options)
+    assert target.endswith("p/api/reviews/dom_api_reviews_20240131.csv.gz")
+    row = spark.read.parquet(target).first()
+    assert bytes(row["content"]) == data and row["content_type"] == "application/gzip"
+    with pytest.raises(RuntimeError, match="HTTP 404"):
+        ingest.ingest(spark, "api", "calendar", transport=lambda *_: (404, b""), **options)
+    posts = ingest.ingest(spark, "api", "posts", transport=lambda *_: (200, '[{"id": 1}]'), **options)
+    assert spark.read.json(posts).count() == 1
+    folder = tmp_path / "data" / "items"
+    folder.mkdir(parents=True)
+    (folder / "b.csv").write_text("id\n2\n")
+    (folder / "a.csv").write_text("id\n1\n")
+    options.pop("policy")
+    landed = ingest.ingest(spark, "csv", "items", folder=str(tmp_path / "data"), **options)
+    assert [bytes(r["content"]) for r in spark.read.parquet(landed).collect()] == [b"id\n1\n"]
+    with pytest.raises(ValueError, match="ftp"):
+        ingest.ingest(spark, "ftp", "x", **options)
+
+
+def test_scrape_pages(spark):
+    def serve(method, url, headers, body, timeout):
+        page = int(url.rsplit("/", 1)[1])
+        card = '<div class="review-card"><span class="rating">{}</span></div>'
+        return 200, card.format(page) * 2 if page != 4 else "<p>nothing</p>"
+
+    df = requests(spark, ("r", 1, "GET", "http://h/{page}", {})).drop("page")
+    got = ingest.scrape_pages(df, SCRAPES["reviews"], serve, max_pages=9, policy=QUICK)
+    assert sorted((r["page"], r["rating"]) for r in got.collect()) == [(p, str(p)) for p in (1, 2, 3) for _ in (1, 2)]
+
+
 def test_land_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "calendar.csv.gz").write_bytes(b"\x1f\x8b rest")

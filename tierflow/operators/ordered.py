@@ -18,8 +18,16 @@ from tierflow.workspace import durable
 SLICE = "_slice"
 
 
-def _slices(df: DataFrame, slices: int | None) -> int:
-    return slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+SLICE_BYTES = 256 * 1024 * 1024
+MAX_SLICES = 20_000
+
+
+def slice_count(df: DataFrame) -> int:
+    """At least the shuffle partitions, and as many as keep a slice near ``SLICE_BYTES`` by
+    Spark's size estimate. The bound keeps the sample for the range borders small."""
+    estimated = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(configured, min(MAX_SLICES, -(-estimated // SLICE_BYTES)))
 
 
 def slice_rows(
@@ -28,7 +36,7 @@ def slice_rows(
     """``df`` with a stable ``_slice``. Keys must not be null; ``order`` should tell the rows
     of a key apart, since equal rows stay together. The result is durable because slice
     borders come from a sample and must be the same for every reader."""
-    ranged = df.repartitionByRange(_slices(df, slices), *keys, *order)
+    ranged = df.repartitionByRange(slices or slice_count(df), *keys, *order)
     return durable(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
@@ -135,7 +143,7 @@ def numbered(
     Rows are numbered inside sorted range partitions; the offsets of the
     partitions are one row each and broadcast.
     """
-    n = _slices(df, slices)
+    n = slices or slice_count(df)
     placed = durable(
         df.repartitionByRange(n, *order)
         .sortWithinPartitions(*order)

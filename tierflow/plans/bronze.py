@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -57,15 +58,20 @@ def to_bronze(
     return audited(df, date, run_timestamp)
 
 
-@dataclass(frozen=True)
+@dataclass
 class BronzeRun:
-    """Outcome of a bronze job. ``rows`` is read from the files written."""
+    """Outcome of a bronze job. ``rows`` comes from the footers of the files written; the raw
+    rows are only counted, in a scan of their own, when asked for."""
 
     path: str
     rows: int
-    raw_rows: int
+    raw: DataFrame
     profile: DataFrame | None = None
 
+    @cached_property
+    def raw_rows(self) -> int:
+        return self.raw.count()
+
     @property
     def dropped(self) -> int:
         return self.raw_rows - self.rows
@@ -81,18 +87,18 @@ def run_bronze(
 ) -> BronzeRun:
     """Scan, transform and overwrite one entity and day. An empty input writes nothing.
 
-    The plan with its shuffle runs once, for the write; counts and profile come
-    from the raw scan and the written files.
+    The plan with its shuffle runs once, for the write; the row count and the profile
+    are read from the written files.
     """
     raw = scan(spark, raw_path, spec.fmt, spec.schema, spec.multi_line)
     if raw.isEmpty():
-        return BronzeRun(bronze_path, 0, 0)
+        return BronzeRun(bronze_path, 0, raw)
     stamp = F.lit(datetime.now(timezone.utc)).cast("timestamp")
     to_bronze(raw, spec, date, dedup_first, stamp).write.mode("overwrite").parquet(bronze_path)
     written = spark.read.parquet(bronze_path)
     unpacked = explode_records(raw, spec.explode_path) if spec.explode_path else raw
     stats = profile(written, spec.profile) if spec.profile else None
-    return BronzeRun(bronze_path, written.count(), unpacked.count(), stats)
+    return BronzeRun(bronze_path, written.count(), unpacked, stats)
 
 
 def run_bronze_from_lake(

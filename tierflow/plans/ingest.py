@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tierflow.functions.names import bucket_path, raw_key
 from tierflow.operators.quality import validate_records
 from tierflow.operators.sinks import EmptyInput, write_landing, write_raw_csv, write_raw_json
-from tierflow.sources.fetch import RetryPolicy, Transport, endpoint_requests, fetch
-from tierflow.sources.files import empty_files, scan_files
+from tierflow.sources.fetch import RetryPolicy, Transport, endpoint_requests, fetch, fetch_pages
+from tierflow.sources.files import csv_members, empty_files, scan_files
 from tierflow.sources.html import page_links, scrape
 from tierflow.sources.landing import landing_rows
 from tierflow.sources.payload import unparseable, unwrap_payload
@@ -125,6 +127,85 @@ def land_scraped_entity(
     return target
 
 
+def land_download(
+    spark: SparkSession,
+    entity: str,
+    transport: Transport,
+    bucket: str,
+    prefix: str,
+    domain: str,
+    date: str,
+    base_url: str | None = None,
+    api_key: str | None = None,
+    headers: Mapping[str, str] | None = None,
+    policy: RetryPolicy = RetryPolicy(),
+    allow_overwrite: bool = False,
+) -> str:
+    """A file entity downloaded and landed byte for byte. Returns its path."""
+    spec = endpoint_spec(entity)
+    requests = endpoint_requests(spark, [spec], base_url).withColumn("page", F.lit(1))
+    path = staging_path(spark, "downloads")
+    fetch(requests, transport, api_key, policy, headers=headers, as_bytes=True).write.parquet(path)
+    responses = spark.read.parquet(path)
+    failed = responses.where(F.col("error").isNotNull()).first()
+    if failed is not None:
+        raise RuntimeError(f"{entity}: {failed['error']}")
+    name = spec.path.rsplit("/", 1)[-1]
+    target = bucket_path(bucket, raw_key(prefix, "api", entity, domain, date, name.split(".", 1)[-1]))
+    files = responses.select(F.lit(name).alias("path"), F.col("body").alias("content"))
+    write_landing(landing_rows(files), target, allow_overwrite)
+    return target
+
+
+def scrape_pages(
+    requests: DataFrame,
+    spec: ScrapeSpec,
+    transport: Transport,
+    max_pages: int,
+    **fetch_options,
+) -> DataFrame:
+    """Records of numbered pages, up to each request's first page that fails or holds none.
+    Request URLs contain ``{page}``."""
+
+    def count_records(responses: DataFrame) -> DataFrame:
+        html = responses.select("request_id", "page", F.col("body").alias("html"))
+        found = scraped_records(html, spec).groupBy("request_id", "page").agg(F.count("*").alias("n_items"))
+        return responses.join(found, ["request_id", "page"], "left").fillna(0, subset=["n_items"])
+
+    kept, _ = fetch_pages(requests, transport, max_pages=max_pages, count_items=count_records, **fetch_options)
+    return scraped_records(kept.select("request_id", "page", F.col("body").alias("html")), spec)
+
+
+def ingest(
+    spark: SparkSession,
+    source: str,
+    entity: str,
+    bucket: str,
+    prefix: str,
+    domain: str,
+    date: str,
+    transport: Transport | None = None,
+    folder: str | None = None,
+    base_url: str | None = None,
+    allow_overwrite: bool = False,
+    **options,
+) -> str:
+    """One entity of a source into the raw tier; returns the path. Records are validated,
+    files are not. ``folder`` holds a folder of CSV files per entity."""
+    place = dict(bucket=bucket, prefix=prefix, domain=domain, date=date, allow_overwrite=allow_overwrite)
+    if source == "csv":
+        members = csv_members(spark, f"{folder.rstrip('/')}/{entity}")
+        first = members.agg(F.min("path").alias("path")).first()["path"]
+        target = bucket_path(bucket, raw_key(prefix, source, entity, domain, date, "csv"))
+        return land_files(spark, first, target, allow_overwrite=allow_overwrite)
+    if source == "scraping":
+        return land_scraped_entity(spark, entity, transport, base_url=base_url, **place, **options)
+    if source == "api":
+        land = land_download if endpoint_spec(entity).file else land_api_entity
+        return land(spark, entity, transport, base_url=base_url, **place, **options)
+    raise ValueError(f"unknown source: {source}")
+
+
 def land_files(
     spark: SparkSession, source_path: str, target: str, name_glob: str | None = None, allow_overwrite: bool = False
 ) -> str:

@@ -23,15 +23,17 @@ runs_on_executors(__name__)
 RETRY_STATUSES = frozenset({429, 500, 502, 503, 504})
 METHODS = ("GET", "POST")
 
-RESPONSE_SCHEMA = (
-    "request_id string, page int, status int, body string, attempts int, error string"
-)
-# Transport: (method, url, headers, JSON body or None, timeout in seconds) -> (status, text).
-Transport = Callable[[str, str, Mapping[str, str], "str | None", float], "tuple[int, str]"]
+RESPONSE_SCHEMA = "request_id string, page int, status int, body {body}, attempts int, error string"
+# Transport: (method, url, headers, JSON body or None, timeout in seconds) -> (status, body),
+# the body as text or, for downloads, as bytes.
+Transport = Callable[[str, str, Mapping[str, str], "str | None", float], "tuple[int, str | bytes]"]
 
 
 @dataclass(frozen=True)
 class RetryPolicy:
+    """``retries`` after the first attempt, with delays of ``backoff``, twice that, and so on;
+    ``pause`` between two requests of one task."""
+
     retries: int = 3
     backoff: float = 1.0
     timeout: float = 30.0
@@ -102,24 +104,32 @@ def fetch(
     api_key: str | None = None,
     policy: RetryPolicy = RetryPolicy(),
     parallelism: int | None = None,
+    headers: Mapping[str, str] | None = None,
+    as_bytes: bool = False,
 ) -> DataFrame:
-    """Responses for ``requests`` (request_id, page, method, url, params).
+    """Responses for ``requests`` (request_id, page, method, url, params), with a text body or
+    a binary one.
 
-    Requests are spread over the executors; each task sends its own one by one.
-    Failures become rows with an ``error``. The result re-sends when it is
-    recomputed, so land it before using it twice (see :func:`fetch_pages`).
+    Requests are spread over the executors; each task sends its own one by one, so
+    ``parallelism`` and the policy's pause bound the request rate. Failures become
+    rows with an ``error``. The result re-sends when it is recomputed, so land it
+    before using it twice (see :func:`fetch_pages`).
     """
-    headers = {"Authorization": f"Bearer {api_key}"} if api_key else {}
+    all_headers = dict(headers or {})
+    if api_key:
+        all_headers["Authorization"] = f"Bearer {api_key}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sent_before = False
         for batch in batches:
-            sent = [
-                (r.request_id, r.page, *_send(r, transport, headers, policy))
-                for r in batch.itertuples(index=False)
-            ]
+            sent = []
+            for r in batch.itertuples(index=False):
+                if sent_before and policy.pause:
+                    time.sleep(policy.pause)
+                sent.append((r.request_id, r.page, *_send(r, transport, all_headers, policy)))
+                sent_before = True
             yield pd.DataFrame(
-                [(i, p, s, b, a, e) for i, p, s, b, a, e in sent],
-                columns=["request_id", "page", "status", "body", "attempts", "error"],
+                sent, columns=["request_id", "page", "status", "body", "attempts", "error"]
             ).astype({"status": "Int32", "page": "Int32", "attempts": "Int32"})
 
     shaped = requests.select(
@@ -129,9 +139,10 @@ def fetch(
         "url",
         F.col("params").cast("map<string,string>"),
     )
-    if parallelism:
-        shaped = shaped.repartition(parallelism)
-    return shaped.mapInPandas(run, RESPONSE_SCHEMA)
+    # A fixed number: requests are few bytes, and adaptive execution would join them in one task.
+    tasks = parallelism or requests.sparkSession.sparkContext.defaultParallelism
+    shaped = shaped.repartition(tasks, "request_id", "page")
+    return shaped.mapInPandas(run, RESPONSE_SCHEMA.format(body="binary" if as_bytes else "string"))
 
 
 def first_gaps(pages: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
@@ -161,6 +172,7 @@ def fetch_pages(
     page_param: str = "page",
     max_pages: int | None = None,
     first_wave: int = 8,
+    count_items: Callable[[DataFrame], DataFrame] | None = None,
     **fetch_options,
 ) -> tuple[DataFrame, DataFrame]:
     """Pages 1, 2, … of every request up to its first empty or failed page.
@@ -168,9 +180,11 @@ def fetch_pages(
     Pages are requested in waves of doubling width, all requests at once, so one
     long source spreads over the cluster. Each wave is landed as it arrives and
     only requests without a gap so far enter the next. A URL containing
-    ``{page}`` gets the number there, others as a parameter. Returns the kept
-    responses and the failed ones.
+    ``{page}`` gets the number there, others as a parameter. ``count_items`` adds
+    ``n_items`` to landed responses; by default it counts JSON records. Returns the
+    kept responses and the failed ones.
     """
+    counted = count_items or (lambda df: df.withColumn("n_items", count_records(F.col("body"))))
     spark = requests.sparkSession
     base = staging_path(spark, "responses")
     waves: list[DataFrame] = []
@@ -193,11 +207,9 @@ def fetch_pages(
             )
             .alias("params"),
         )
-        path = f"{base}/wave={wave}"
-        fetch(numbered, transport, **fetch_options).withColumn(
-            "n_items", F.when(F.col("error").isNull(), count_records(F.col("body"))).otherwise(0)
-        ).write.parquet(path)
-        landed = spark.read.parquet(path)
+        path = f"{base}/wave-{wave}"
+        fetch(numbered, transport, **fetch_options).write.parquet(path)
+        landed = counted(spark.read.parquet(path))
         waves.append(landed)
         active = active.join(first_gaps(landed), "request_id", "left_anti")
         if active.isEmpty():

@@ -13,6 +13,8 @@ from tierflow.plans.bronze import prepare
 from tierflow.specs import EntitySpec
 from tierflow.workspace import staging_path
 
+LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
 
 def read_stream(
     spark: SparkSession,
@@ -62,6 +64,9 @@ def sliding(
 def sessions(
     events: DataFrame, timestamp: str, gap: str, keys: Sequence[str], *aggregates: Column
 ) -> DataFrame:
+    """Windows that end after ``gap`` without an event. Sessions are merged inside each input
+    partition first, so that a busy key is shuffled as sessions and not as events."""
+    events.sparkSession.conf.set(LOCAL_SESSIONS, True)
     return _windowed(events, F.session_window(timestamp, gap), keys, aggregates)
 
 
