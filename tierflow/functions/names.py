@@ -8,9 +8,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+_SEPARATORS = str.maketrans(" -", "__")
+
+
 def normalized_name(name: str) -> str:
     """Lower case, with blanks and hyphens as underscores."""
-    return name.lower().replace(" ", "_").replace("-", "_")
+    return name.lower().translate(_SEPARATORS)
 
 
 def normalized_names(names: Sequence[str], on_collision: str = "raise") -> list[str]:

@@ -2,9 +2,9 @@
 
 ``slice_rows`` range-partitions rows on (keys, order) into slices of about equal
 size, however the keys are distributed: a key with a third of all rows covers a
-third of the slices. Windows then run per slice and key, and a summary with one
-row per slice and key carries the result over slice borders. A key has at most
-as many summary rows as there are slices.
+third of the slices. Windows then run per slice and key. What crosses a slice
+border comes from the last or first row of the neighbouring slice, in a table of
+one row per slice that is safe to broadcast.
 """
 
 from __future__ import annotations
@@ -18,16 +18,16 @@ from tierflow.workspace import durable
 SLICE = "_slice"
 
 
-SLICE_BYTES = 256 * 1024 * 1024
-MAX_SLICES = 20_000
+SLICE_BYTES = 64 * 1024 * 1024
+MAX_SLICES = 100_000
 
 
 def slice_count(df: DataFrame) -> int:
-    """At least the shuffle partitions, and as many as keep a slice near ``SLICE_BYTES`` by
-    Spark's size estimate. The bound keeps the sample for the range borders small."""
+    """One slice per task that can run at once, and more where that keeps a slice near
+    ``SLICE_BYTES`` by Spark's size estimate, which for Parquet counts compressed bytes."""
     estimated = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    configured = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(configured, min(MAX_SLICES, -(-estimated // SLICE_BYTES)))
+    wanted = min(MAX_SLICES, -(-estimated // SLICE_BYTES))
+    return max(df.sparkSession.sparkContext.defaultParallelism, wanted)
 
 
 def slice_rows(
@@ -40,99 +40,93 @@ def slice_rows(
     return durable(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
-def _order_struct(order: Sequence[str]) -> Column:
-    return F.struct(*order)
-
-
-def carry(
-    sliced: DataFrame,
-    keys: Sequence[str],
-    summary: dict[str, Column],
-    carried: dict[str, Column],
-    rows: DataFrame | None = None,
-) -> DataFrame:
-    """``rows`` (``sliced`` by default) with columns computed over the slice summaries of their
-    key: ``summary`` aggregates one slice, ``carried`` are expressions over the summaries,
-    usually windows over :func:`over_slices`."""
-    per_slice = sliced.groupBy(SLICE, *keys).agg(*(c.alias(n) for n, c in summary.items()))
-    table = per_slice.select(SLICE, *keys, *(c.alias(n) for n, c in carried.items()))
-    return (sliced if rows is None else rows).join(table, [SLICE, *keys])
-
-
-def over_slices(keys: Sequence[str]):
-    """Window over the slice summaries of a key, in slice order."""
-    return Window.partitionBy(*keys).orderBy(SLICE)
-
-
 def _in_slice(keys: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(SLICE, *keys).orderBy(*order)
 
 
+def _same_key(keys: Sequence[str], edge: str) -> Column:
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & (F.col(k) == F.col(f"{edge}.{k}"))
+    return condition
+
+
 def previous_value(
     sliced: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str
 ) -> DataFrame:
     """``lag(value)`` over the key, in ``name``; null on the key's first row."""
-    w = _in_slice(keys, order)
-    joined = carry(
-        sliced,
-        keys,
-        {"_tail": F.max_by(F.struct(value), _order_struct(order))},
-        {"_before": F.lag("_tail").over(over_slices(keys))},
+    tails = sliced.groupBy(SLICE).agg(
+        F.max_by(F.struct(*keys, value), F.struct(*keys, *order)).alias("_tail")
     )
-    held = F.coalesce(F.lag(F.struct(value)).over(w), F.col("_before"))
-    return joined.withColumn(name, held[value]).drop("_before")
+    before = tails.select(SLICE, F.lag("_tail").over(Window.orderBy(SLICE)).alias("_before"))
+    windowed = sliced.withColumn("_in", F.lag(F.struct(value)).over(_in_slice(keys, order)))
+    border = F.when(_same_key(keys, "_before"), F.struct(F.col("_before")[value].alias(value)))
+    joined = windowed.join(F.broadcast(before), SLICE)
+    return joined.withColumn(name, F.coalesce("_in", border)[value]).drop("_in", "_before")
 
 
 def next_value(
-    sliced: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str
 ) -> DataFrame:
-    """``lead(value)`` over the key, in ``name``; null on the key's last row."""
-    w = _in_slice(keys, order)
-    joined = carry(
-        sliced,
-        keys,
-        {"_head": F.min_by(F.struct(value), _order_struct(order))},
-        {"_after": F.lead("_head").over(over_slices(keys))},
+    """``lead(value)`` over the key, in ``name``; null on the key's last row. ``rows`` may be any
+    part of the sliced rows; what it takes to compute them is done once."""
+    windowed = durable(rows.withColumn("_in", F.lead(F.struct(value)).over(_in_slice(keys, order))))
+    heads = windowed.groupBy(SLICE).agg(
+        F.min_by(F.struct(*keys, value), F.struct(*keys, *order)).alias("_head")
     )
-    held = F.coalesce(F.lead(F.struct(value)).over(w), F.col("_after"))
-    return joined.withColumn(name, held[value]).drop("_after")
+    after = heads.select(SLICE, F.lead("_head").over(Window.orderBy(SLICE)).alias("_after"))
+    border = F.when(_same_key(keys, "_after"), F.struct(F.col("_after")[value].alias(value)))
+    joined = windowed.join(F.broadcast(after), SLICE)
+    return joined.withColumn(name, F.coalesce("_in", border)[value]).drop("_in", "_after")
 
 
 def last_known(
     sliced: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str
 ) -> DataFrame:
     """Latest non-null ``value`` up to and including each row, in ``name``."""
-    w = _in_slice(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = over_slices(keys).rowsBetween(Window.unboundedPreceding, -1)
-    known = F.when(F.col(value).isNotNull(), _order_struct(order))
-    joined = carry(
-        sliced,
-        keys,
-        {"_latest": F.max_by(F.col(value), known)},
-        {"_before": F.last("_latest", ignorenulls=True).over(earlier)},
+    known = F.col(value).isNotNull()
+    # Of the slice's last key: the latest row with a value, else any.
+    tails = sliced.groupBy(SLICE).agg(
+        F.max_by(F.struct(*keys, value), F.struct(*keys, known, *order)).alias("_tail")
+    )
+    by_key = Window.partitionBy(*(F.col("_tail")[k] for k in keys)).orderBy(SLICE)
+    upto = by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = tails.select(
+        SLICE,
+        F.struct(
+            *(F.col("_tail")[k].alias(k) for k in keys),
+            F.last(F.col("_tail")[value], ignorenulls=True).over(upto).alias(value),
+        ).alias("_running"),
     )
-    held = F.coalesce(F.last(value, ignorenulls=True).over(w), F.col("_before"))
-    return joined.withColumn(name, held).drop("_before")
+    before = running.select(SLICE, F.lag("_running").over(Window.orderBy(SLICE)).alias("_before"))
+    w = _in_slice(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    windowed = sliced.withColumn("_in", F.last(value, ignorenulls=True).over(w))
+    border = F.when(_same_key(keys, "_before"), F.col("_before")[value])
+    joined = windowed.join(F.broadcast(before), SLICE)
+    return joined.withColumn(name, F.coalesce("_in", border)).drop("_in", "_before")
 
 
 def running_total(
     sliced: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, total: str
 ) -> DataFrame:
-    """Running sum of ``value`` over the key in ``name``, and the key's sum in ``total``."""
-    w = _in_slice(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slices = over_slices(keys)
-    joined = carry(
-        sliced,
-        keys,
-        {"_part": F.sum(value)},
-        {
-            "_before": F.coalesce(
-                F.sum("_part").over(slices.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-            total: F.sum("_part").over(Window.partitionBy(*keys)),
-        },
+    """Running sum of ``value`` over the key in ``name``, and the key's sum in ``total``.
+
+    The sums per slice and key are at most the slices more than the keys. They are
+    partitioned like the rows, so joining them back moves no row again.
+    """
+    parts = sliced.groupBy(SLICE, *keys).agg(F.sum(value).alias("_part"))
+    slices = Window.partitionBy(*keys).orderBy(SLICE)
+    earlier = F.sum("_part").over(slices.rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.select(
+        SLICE,
+        *keys,
+        F.coalesce(earlier, F.lit(0)).alias("_before"),
+        F.sum("_part").over(Window.partitionBy(*keys)).alias(total),
     )
-    return joined.withColumn(name, F.col("_before") + F.sum(value).over(w)).drop("_before")
+    w = _in_slice(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    windowed = sliced.withColumn("_in", F.sum(value).over(w))
+    joined = windowed.join(offsets, [SLICE, *keys])
+    return joined.withColumn(name, F.col("_before") + F.col("_in")).drop("_in", "_before")
 
 
 def numbered(

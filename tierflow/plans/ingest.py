@@ -162,6 +162,7 @@ def scrape_pages(
     spec: ScrapeSpec,
     transport: Transport,
     max_pages: int,
+    policy: RetryPolicy = RetryPolicy(pause=1.0),
     **fetch_options,
 ) -> DataFrame:
     """Records of numbered pages, up to each request's first page that fails or holds none.
@@ -172,7 +173,9 @@ def scrape_pages(
         found = scraped_records(html, spec).groupBy("request_id", "page").agg(F.count("*").alias("n_items"))
         return responses.join(found, ["request_id", "page"], "left").fillna(0, subset=["n_items"])
 
-    kept, _ = fetch_pages(requests, transport, max_pages=max_pages, count_items=count_records, **fetch_options)
+    kept, _ = fetch_pages(
+        requests, transport, max_pages=max_pages, count_items=count_records, policy=policy, **fetch_options
+    )
     return scraped_records(kept.select("request_id", "page", F.col("body").alias("html")), spec)
 
 

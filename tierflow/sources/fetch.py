@@ -37,7 +37,7 @@ class RetryPolicy:
     retries: int = 3
     backoff: float = 1.0
     timeout: float = 30.0
-    pause: float = 0.5
+    pause: float = 0.0
 
 
 def join_url(base: str | None, endpoint: str) -> str:
@@ -173,6 +173,7 @@ def fetch_pages(
     max_pages: int | None = None,
     first_wave: int = 8,
     count_items: Callable[[DataFrame], DataFrame] | None = None,
+    policy: RetryPolicy = RetryPolicy(pause=0.5),
     **fetch_options,
 ) -> tuple[DataFrame, DataFrame]:
     """Pages 1, 2, … of every request up to its first empty or failed page.
@@ -208,7 +209,7 @@ def fetch_pages(
             .alias("params"),
         )
         path = f"{base}/wave-{wave}"
-        fetch(numbered, transport, **fetch_options).write.parquet(path)
+        fetch(numbered, transport, policy=policy, **fetch_options).write.parquet(path)
         landed = counted(spark.read.parquet(path))
         waves.append(landed)
         active = active.join(first_gaps(landed), "request_id", "left_anti")
