@@ -39,6 +39,9 @@ def test_table_rows_with_unclosed_cells(spark):
         ("<h1>a</h1><h2>b</h2>", "h2, h1", ["a", "b"]),
         ("<div><p>a</p><i>b</i><p>c</p></div>", "div p:nth-of-type(2)", ["c"]),
         ("<p>a &amp; b&nbsp;</p>", "p", ["a & b"]),
+        ("<p>a &amp b &copy; &#65; &lt;i&gt;", "p", ["a &amp b \u00a9 A <i>"]),
+        ("<a title='x&y=1'>a</a>", "a[title='x&y=1']", ["a"]),
+        ("<script>a&b && c&amp;</script>", "script", ["a&b && c&amp;"]),
         ("<p> a <b> b </b>\n c </p>", "p", ["abc"]),
         ("<p>a<script>var x='</p>';</script>b<!-- c --></p>", "p", ["ab"]),
         ("<script>x</script>", "script", ["x"]),

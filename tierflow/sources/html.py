@@ -37,6 +37,10 @@ ENDED_BY = {
     **{block: frozenset({"p"}) for block in BLOCKS},
 }
 
+# A name without its semicolon is text and no entity; its ampersand is set aside while parsing.
+_BARE_AMPERSAND = re.compile(r"&(?=[A-Za-z][A-Za-z0-9]*(?![A-Za-z0-9;]))")
+_KEPT = "\0"
+
 
 @dataclass
 class Node:
@@ -86,7 +90,7 @@ class _TreeBuilder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self._end_implied(tag)
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.open)
+        node = Node(tag, {k: (v or "").replace(_KEPT, "&") for k, v in attrs}, self.open)
         self.open.children.append(node)
         if tag not in VOID:
             self.open = node
@@ -102,6 +106,7 @@ class _TreeBuilder(HTMLParser):
             self.open = node.parent
 
     def handle_data(self, data):
+        data = data.replace(_KEPT, "&")
         siblings = self.open.children
         if siblings and isinstance(siblings[-1], str):
             siblings[-1] += data
@@ -111,7 +116,7 @@ class _TreeBuilder(HTMLParser):
 
 def parse_html(html: str) -> Node:
     builder = _TreeBuilder()
-    builder.feed(html)
+    builder.feed(_BARE_AMPERSAND.sub(_KEPT, html))
     builder.close()
     return builder.root
 
