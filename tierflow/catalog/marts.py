@@ -96,14 +96,13 @@ def rfm_segments(spark, sf_dir):
 
 def _sales(spark, sf_dir):
     """Order lines with product type, region, order date and net amount."""
-    lines = table(spark, sf_dir, "lineitem").join(
-        table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"),
-        F.col("l_orderkey") == F.col("o_orderkey"),
-    )
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    # Orders get their region first: they are shuffled by customer, the lines only by order.
+    placed = orders.join(_districts(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    districts = _districts(spark, sf_dir)
     return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
-        districts, F.col("o_custkey") == F.col("c_custkey")
+        placed, F.col("l_orderkey") == F.col("o_orderkey")
     )
 
 

@@ -81,14 +81,16 @@ def upsert_buckets(
     replaced.
     """
     spark, schema = batch.sparkSession, batch.schema
-    latest = keep_first(batch, keys, order)
+    # The batch is read once; its buckets and the merge come from the stored rows.
+    latest = durable(keep_first(batch, keys, order))
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias(BUCKET)
     if target_exists(spark, path):
         # At most ``buckets`` numbers.
         touched = [r[0] for r in latest.select(bucket).distinct().collect()]
         stored = T.StructType([*schema.fields, T.StructField(BUCKET, T.LongType())])
         current = spark.read.schema(stored).parquet(path).where(F.col(BUCKET).isin(touched))
-        latest = durable(merge_upsert(current.drop(BUCKET), latest, keys, order))
+        change = latest.withColumn("_deleted", F.lit(False))
+        latest = durable(_apply(current.drop(BUCKET), change, keys))
     (
         latest.withColumn(BUCKET, bucket)
         .hint("rebalance", F.col(BUCKET))
