@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from tierflow.operators.sinks import EmptyInput
 from tierflow.plans import ingest
+from tierflow.plans.bronze import run_bronze
 from tierflow.sources import fetch
-from tierflow.specs import ENDPOINTS, SCRAPES, endpoint_spec
+from tierflow.specs import ENDPOINTS, SCRAPES, EntitySpec, endpoint_spec
 
 QUICK = fetch.RetryPolicy(retries=3, backoff=0.0, pause=0.0)
 REQUEST = "request_id string, page int, method string, url string, params map<string,string>"
@@ -127,6 +128,8 @@ def test_land_api_entity(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         ingest.land_api_entity(spark, "posts", serve, **landing_options(tmp_path))
     ingest.land_api_entity(spark, "posts", serve, **landing_options(tmp_path, allow_overwrite=True))
+    run = run_bronze(spark, EntitySpec("posts"), target, str(tmp_path / "bronze"), "20240131")
+    assert run.rows == 2
     # The wrapper of listings is kept: one record holding the products.
     wrapped = spark.read.json(ingest.land_api_entity(spark, "listings", serve, **landing_options(tmp_path)))
     assert wrapped.count() == 1 and wrapped.columns == ["products"]

@@ -38,6 +38,22 @@ def test_json_array_object_and_empty(spark, tmp_path):
     assert sorted(r["id"] for r in df.collect()) == [1, 2, 3]
 
 
+@pytest.mark.parametrize(
+    "text, multi_line",
+    [
+        ('{"id": 1}\n{"id": 2}\n', False),
+        ('[{"id": 1}, {"id": 2}]', False),
+        ('[\n  {\n    "id": 1\n  },\n  {\n    "id": 2\n  }\n]', True),
+        ('\n{"id":\n{"id": 1}\n{"id": 2}', False),
+    ],
+)
+def test_layout_of_json_is_recognised(spark, tmp_path, text, multi_line):
+    (tmp_path / "a.json").write_text(text)
+    assert files.is_multi_line_json(spark, str(tmp_path)) is multi_line
+    df = files.scan(spark, str(tmp_path), "json", T.StructType([T.StructField("id", T.LongType())]))
+    assert sorted(r["id"] for r in df.where("id is not null").collect()) == [1, 2]
+
+
 def test_truncated_json_is_quarantined(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": 1}\n{"id": \n{"id": 3}\n')
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField(files.CORRUPT, T.StringType())])

@@ -55,13 +55,14 @@ def test_sessions(spark, tmp_path, rows):
     assert rows(got) == [("a", "01:45", 2), ("b", "02:15", 1)]
 
 
-def test_bronze_stream(spark, tmp_path):
+@pytest.mark.parametrize("spread", [True, False])
+def test_bronze_stream(spark, tmp_path, spread):
     stream = arrivals(
-        spark, tmp_path, [(1, " a ", at(1), 1.0), (1, "again", at(1, 1), 1.0)], [(1, "later", at(1, 2), 1.0), (2, "b", at(2), -1.0), (None, "c", at(2), 1.0), (3, "d", at(2), 5.0)]
+        spark, tmp_path, [(1, " a ", at(1), 1.0), (1, "again", at(1, 1), 1.0)], [(1, "later", at(1, 2), 1.0), (4, "e", at(2), 1.0), (4, "f", at(2), 1.0), (2, "b", at(2), -1.0), (None, "c", at(2), 1.0), (3, "d", at(2), 5.0)]
     )
     spec = EntitySpec("x", trims=("k",), positives=("value",))
-    got = jobs.run_append(jobs.stream_to_bronze(stream, spec, "20240101", "t", "1 day"), "b").collect()
-    assert sorted((r["id"], r["_processing_date"]) for r in got) == [(1, "20240101"), (3, "20240101")]
+    got = jobs.run_append(jobs.stream_to_bronze(stream, spec, "20240101", "t", "1 day", spread), "b").collect()
+    assert sorted((r["id"], r["_processing_date"]) for r in got) == [(1, "20240101"), (3, "20240101"), (4, "20240101")]
     assert all(r["_source_file"].endswith(".parquet") and r["k"] == r["k"].strip() for r in got)
 
 

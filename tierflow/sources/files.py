@@ -19,11 +19,22 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def is_multi_line_json(spark: SparkSession, path: str, lines: int = 20) -> bool:
+    """Whether JSON documents span lines: none of the first lines is a whole object or array."""
+    text = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''").limit(lines)
+    whole = F.col("line").rlike(r"^[\[{]") & F.try_parse_json("line").isNotNull()
+    counts = text.agg(F.count("*").alias("n"), F.count_if(whole).alias("whole")).first()
+    return counts["n"] > 0 and counts["whole"] == 0
+
+
 def scan_json(
-    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool = False
+    spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool | None = False
 ) -> DataFrame:
     """JSON files. One record per line by default, which lets Spark split large files;
-    ``multi_line`` reads one object or array per file."""
+    ``multi_line`` reads one object or array per file, and ``None`` looks at the first lines
+    to tell which it is."""
+    if multi_line is None:
+        multi_line = is_multi_line_json(spark, path)
     reader = spark.read.option("multiLine", multi_line)
     if schema is not None:
         reader = reader.schema(schema)
@@ -59,13 +70,13 @@ def scan(
     path: str,
     fmt: str,
     schema: T.StructType | None = None,
-    multi_line: bool = False,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """Scan by format name."""
+    """Scan by format name. Unless told, JSON is looked at and CSV may have quoted line breaks."""
     if fmt == "json":
         return scan_json(spark, path, schema, multi_line)
     if fmt == "csv":
-        return scan_csv(spark, path, schema, multi_line)
+        return scan_csv(spark, path, schema, multi_line is not False)
     if fmt == "parquet":
         return scan_parquet(spark, path)
     raise ValueError(f"unsupported format: {fmt}")

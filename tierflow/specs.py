@@ -15,7 +15,8 @@ class EntitySpec:
     Rules naming a column the input lacks are skipped, except ``required``
     columns. ``order`` decides which of several rows with one key survives:
     the first, in the given order, where ``-column`` sorts descending with nulls
-    last.
+    last. ``multi_line=False`` lets Spark split large files; by default CSV may have
+    line breaks in quotes, and JSON is recognised by its first lines.
     """
 
     name: str
@@ -31,7 +32,7 @@ class EntitySpec:
     required: tuple[str, ...] = ()
     profile: tuple[str, ...] = ()
     schema: T.StructType | None = None
-    multi_line: bool = True
+    multi_line: bool | None = None
 
 
 @dataclass(frozen=True)

@@ -39,14 +39,26 @@ def event_time(df: DataFrame, column: str) -> DataFrame:
 
 
 def stream_to_bronze(
-    stream: DataFrame, spec: EntitySpec, date: str, timestamp: str, late_by: str
+    stream: DataFrame,
+    spec: EntitySpec,
+    date: str,
+    timestamp: str,
+    late_by: str,
+    spread_copies: bool = True,
 ) -> DataFrame:
-    """The bronze pass on a stream. Copies of a key within the watermark are dropped."""
+    """The bronze pass on a stream. Copies of a key within the watermark are dropped.
+
+    ``spread_copies`` drops them per source file first, so that the copies of one
+    key, however many, do not all reach one task. It keeps a second state of keys
+    per file; turn it off where keys are known to repeat little.
+    """
     df = prepare(event_time(stream, timestamp), spec)
     for rule in validity_rules(df, spec).values():
         df = df.where(rule)
-    deduplicated = df.withWatermark(timestamp, late_by).dropDuplicatesWithinWatermark(list(spec.keys))
-    return audited(deduplicated, date)
+    df = df.withWatermark(timestamp, late_by)
+    if spread_copies:
+        df = df.dropDuplicatesWithinWatermark([*spec.keys, "_source_file"])
+    return audited(df.dropDuplicatesWithinWatermark(list(spec.keys)), date)
 
 
 def tumbling(
