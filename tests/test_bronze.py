@@ -118,7 +118,7 @@ ROWS = st.lists(st.tuples(st.one_of(st.none(), st.integers(0, 3)), st.integers(0
 
 
 @given(ROWS)
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 def test_dedup_is_idempotent(spark, data):
     df = spark.createDataFrame(data, "id int, v int")
     once = rules.keep_first(df, ["id"], ["-v"])

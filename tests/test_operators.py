@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tierflow.operators import core, history, load, marts, quality, sinks
 from tierflow.workspace import shared_root
 
-QUIET = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+QUIET = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
 # Quality
@@ -277,6 +277,15 @@ def test_compact(spark, tmp_path):
     assert spark.read.parquet(big).count() == 10_000
 
 
+def test_expired_partitions_are_removed(spark, tmp_path):
+    path = str(tmp_path / "t")
+    df = spark.sql("select id, date_add(date'2024-01-01', cast(id as int)) as d from range(5)")
+    sinks.write_partitions(df, path, ["d"])
+    assert sinks.expire_partitions(spark, path, "d", "2024-01-03") == ["2024-01-01", "2024-01-02"]
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == [2, 3, 4]
+    assert sinks.expire_partitions(spark, path, "other", "2024-01-03") == []
+
+
 def test_erase_keeps_rows_without_key(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (1, "d")], "u int, x string").write.parquet(str(tmp_path / "t"))
     target, removed = sinks.erase_table(spark, str(tmp_path / "t"), spark.createDataFrame([(1,), (1,)], "u int"), "u")

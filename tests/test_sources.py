@@ -74,6 +74,13 @@ def test_formats(spark):
         files.scan(spark, "x", "xml")
 
 
+def test_merged_schema(spark, tmp_path):
+    spark.range(1).write.parquet(str(tmp_path / "t"))
+    spark.range(1).selectExpr("id", "'a' as x").write.mode("append").parquet(str(tmp_path / "t"))
+    got = files.scan_parquet(spark, str(tmp_path / "t"), merge_schema=True)
+    assert sorted(got.columns) == ["_source_file", "id", "x"] and got.where("x is null").count() == 1
+
+
 def test_missing_path(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         files.scan_parquet(spark, str(tmp_path / "none"))

@@ -72,6 +72,14 @@ def test_upsert_stream(spark, tmp_path, rows):
     assert rows(got.select("k", "id")) == [("a", 6), ("b", 7)]
 
 
+def test_empty_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    schema = spark.createDataFrame([], SCHEMA).schema
+    stream = jobs.read_stream(spark, str(tmp_path / "in"), schema)
+    assert jobs.run_append(stream, "none").count() == 0
+    assert jobs.run_upsert(stream, ["k"], ["-t"], "none").count() == 0
+
+
 def test_watermark_needs_an_instant(spark, tmp_path):
     stream = arrivals(spark, tmp_path, BATCHES[0])
     with pytest.raises(Exception, match="EVENT_TIME_IS_NOT_ON_TIMESTAMP_TYPE"):

@@ -18,16 +18,10 @@ from tierflow.workspace import durable
 SLICE = "_slice"
 
 
-SLICE_BYTES = 64 * 1024 * 1024
-MAX_SLICES = 100_000
-
-
-def slice_count(df: DataFrame) -> int:
-    """One slice per task that can run at once, and more where that keeps a slice near
-    ``SLICE_BYTES`` by Spark's size estimate, which for Parquet counts compressed bytes."""
-    estimated = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = min(MAX_SLICES, -(-estimated // SLICE_BYTES))
-    return max(df.sparkSession.sparkContext.defaultParallelism, wanted)
+def _ranged(df: DataFrame, slices: int | None, *columns: str | Column) -> DataFrame:
+    """Range partitions: a given number, or at most ``spark.sql.shuffle.partitions`` of which
+    adaptive execution joins small ones."""
+    return df.repartitionByRange(slices, *columns) if slices else df.repartitionByRange(*columns)
 
 
 def slice_rows(
@@ -36,7 +30,7 @@ def slice_rows(
     """``df`` with a stable ``_slice``. Keys must not be null; ``order`` should tell the rows
     of a key apart, since equal rows stay together. The result is durable because slice
     borders come from a sample and must be the same for every reader."""
-    ranged = df.repartitionByRange(slices or slice_count(df), *keys, *order)
+    ranged = _ranged(df, slices, *keys, *order)
     return durable(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 
@@ -137,9 +131,8 @@ def numbered(
     Rows are numbered inside sorted range partitions; the offsets of the
     partitions are one row each and broadcast.
     """
-    n = slices or slice_count(df)
     placed = durable(
-        df.repartitionByRange(n, *order)
+        _ranged(df, slices, *order)
         .sortWithinPartitions(*order)
         .withColumn(SLICE, F.spark_partition_id())
         .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))

@@ -130,6 +130,20 @@ def retained(df: DataFrame, date: str, today: Column, days: int) -> DataFrame:
     return df.where(F.col(date) >= F.date_sub(today, days))
 
 
+def expire_partitions(spark: SparkSession, path: str, partition: str, oldest: str) -> list[str]:
+    """Directories of a partitioned table below ``oldest`` removed; returns their values. Values
+    must sort like what they stand for, as ISO dates do."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    removed = []
+    for status in files.listStatus(root):
+        name, _, value = status.getPath().getName().partition("=")
+        if name == partition and value < oldest:
+            files.delete(status.getPath(), True)
+            removed.append(value)
+    return sorted(removed)
+
+
 def erase(df: DataFrame, subjects: DataFrame, key: str) -> DataFrame:
     """``df`` without the rows of the listed subjects. Rows without a key stay."""
     return df.join(subjects.select(key).distinct(), key, "left_anti")

@@ -61,8 +61,9 @@ def scan_csv(
     return with_source_file(reader.csv(path))
 
 
-def scan_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return with_source_file(spark.read.parquet(path))
+def scan_parquet(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame:
+    """Parquet files; ``merge_schema`` takes the union of the columns of all files."""
+    return with_source_file(spark.read.option("mergeSchema", merge_schema).parquet(path))
 
 
 def scan(

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tierflow.operators.load import read_buckets, upsert_buckets
 from tierflow.operators.rules import audited, validity_rules
+from tierflow.operators.sinks import target_exists
 from tierflow.plans.bronze import prepare
 from tierflow.specs import EntitySpec
 from tierflow.workspace import staging_path
@@ -112,6 +113,8 @@ def run_append(df: DataFrame, name: str) -> DataFrame:
     """:func:`start_append` into a new table, awaited; returns the table."""
     spark, path = df.sparkSession, staging_path(df.sparkSession, name)
     start_append(df, path, name).awaitTermination()
+    if not target_exists(spark, path):  # nothing arrived
+        return spark.createDataFrame([], df.schema)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -23,7 +23,7 @@ def shared_root(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     if context.applicationId not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="tierflow-")
