@@ -19,16 +19,17 @@ def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the keys come from the left."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(renamed, condition, how).drop(*(f"_right_{k}" for k in keys))
+
+
 def with_group_stats(df: DataFrame, keys: Sequence[str], *stats: Column) -> DataFrame:
     """Group aggregates on every row, like ``agg over (partition by keys)`` but with map-side
     partial sums, so that one group may hold most of the rows. Null keys form a group."""
-    table = df.groupBy(*keys).agg(*stats)
-    renamed = table.select(
-        *(F.col(k).alias(f"_group_{k}") for k in keys), *(c for c in table.columns if c not in keys)
-    )
-    condition = [F.col(k).eqNullSafe(F.col(f"_group_{k}")) for k in keys]
-    joined = df.join(sized(renamed), condition, "left")
-    return joined.drop(*(f"_group_{k}" for k in keys))
+    return null_safe_join(df, sized(df.groupBy(*keys).agg(*stats)), keys, "left")
 
 
 def left_join_spread(left: DataFrame, right: DataFrame, key: str, right_key: str, spread_on: str) -> DataFrame:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tierflow.operators.joins import null_safe_join, sized
 from tierflow.workspace import durable
 
 SLICE = "_slice"
@@ -27,9 +28,9 @@ def _ranged(df: DataFrame, slices: int | None, *columns: str | Column) -> DataFr
 def slice_rows(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int | None = None
 ) -> DataFrame:
-    """``df`` with a stable ``_slice``. Keys must not be null; ``order`` should tell the rows
-    of a key apart, since equal rows stay together. The result is durable because slice
-    borders come from a sample and must be the same for every reader."""
+    """``df`` with a stable ``_slice``. ``order`` should tell the rows of a key apart, since equal
+    rows stay together; null keys are one key. The result is durable because slice borders
+    come from a sample and must be the same for every reader."""
     ranged = _ranged(df, slices, *keys, *order)
     return durable(ranged.withColumn(SLICE, F.spark_partition_id()))
 
@@ -41,7 +42,7 @@ def _in_slice(keys: Sequence[str], order: Sequence[str]):
 def _same_key(keys: Sequence[str], edge: str) -> Column:
     condition = F.lit(True)
     for k in keys:
-        condition = condition & (F.col(k) == F.col(f"{edge}.{k}"))
+        condition = condition & F.col(k).eqNullSafe(F.col(f"{edge}.{k}"))
     return condition
 
 
@@ -101,26 +102,19 @@ def last_known(
 
 
 def running_total(
-    sliced: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, total: str
+    sliced: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str
 ) -> DataFrame:
-    """Running sum of ``value`` over the key in ``name``, and the key's sum in ``total``.
-
-    The sums per slice and key are at most the slices more than the keys. They are
-    partitioned like the rows, so joining them back moves no row again.
-    """
+    """Running sum of a non-null ``value`` over the key, in ``name``."""
     parts = sliced.groupBy(SLICE, *keys).agg(F.sum(value).alias("_part"))
-    slices = Window.partitionBy(*keys).orderBy(SLICE)
-    earlier = F.sum("_part").over(slices.rowsBetween(Window.unboundedPreceding, -1))
-    offsets = parts.select(
-        SLICE,
-        *keys,
-        F.coalesce(earlier, F.lit(0)).alias("_before"),
-        F.sum("_part").over(Window.partitionBy(*keys)).alias(total),
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    # Only the first key of a slice can have begun in an earlier one: at most a row per slice.
+    carried = parts.select(SLICE, *keys, F.sum("_part").over(earlier).alias("_before")).where(
+        "_before IS NOT NULL"
     )
     w = _in_slice(keys, order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     windowed = sliced.withColumn("_in", F.sum(value).over(w))
-    joined = windowed.join(offsets, [SLICE, *keys])
-    return joined.withColumn(name, F.col("_before") + F.col("_in")).drop("_in", "_before")
+    joined = null_safe_join(windowed, F.broadcast(carried), [SLICE, *keys], "left")
+    return joined.withColumn(name, F.coalesce("_before", F.lit(0)) + F.col("_in")).drop("_in", "_before")
 
 
 def numbered(
@@ -174,7 +168,9 @@ def exact_percentiles(
         .agg(F.count("*").alias("_n"))
     )
     sliced = slice_rows(counted, keys, [value], slices)
-    ranked = running_total(sliced, keys, [value], "_n", "_upto", "_rows")
+    totals = sliced.groupBy(*keys).agg(F.sum("_n").alias("_rows"))
+    running = running_total(sliced, keys, [value], "_n", "_upto")
+    ranked = null_safe_join(running, sized(totals), keys)
     upto, first = F.col("_upto"), F.col("_upto") - F.col("_n")
 
     def at(index: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tierflow.operators.joins import sized, with_group_stats
+from tierflow.operators.joins import null_safe_join, sized, with_group_stats
 from tierflow.operators.ordered import exact_percentiles
 from tierflow.operators.rules import AUDIT_COLUMNS, not_null
 
@@ -354,10 +354,10 @@ def match_share(
     df: DataFrame, truth: DataFrame, key: str, truth_key: str, value: str, truth_value: str
 ) -> DataFrame:
     """Accuracy and consistency: share of rows whose key joins, and whose value then agrees."""
-    reference = truth.select(F.col(truth_key).alias("_tk"), F.col(truth_value).alias("_tv"))
+    expected = truth.select(F.col(truth_key).alias("_tk"), F.col(truth_value).alias("_tv"))
     # Rows of one key and value are counted first; hot keys reach the join as few rows.
     folded = df.groupBy(key, value).agg(F.count("*").alias("_n"))
-    joined = folded.join(reference, F.col(key) == F.col("_tk"), "left")
+    joined = folded.join(expected, F.col(key) == F.col("_tk"), "left")
     n = F.sum("_n").cast("double")
     found = F.sum(F.when(F.col("_tk").isNotNull(), F.col("_n")).otherwise(0)).cast("double")
     equal = F.sum(F.when(F.col(value) == F.col("_tv"), F.col("_n")).otherwise(0)).cast("double")
@@ -402,7 +402,7 @@ def iqr_outliers(df: DataFrame, keys: Sequence[str], value: str, factor: float =
     """Rows beyond ``factor`` quartile ranges from their group's quartiles. Quartiles are exact."""
     quartiles = exact_percentiles(df, keys, value, {"q1": 0.25, "q3": 0.75})
     fences = with_fences(quartiles, factor)
-    joined = df.join(sized(fences), list(keys))
+    joined = null_safe_join(df, sized(fences), keys)
     return joined.where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
 
 
