@@ -48,6 +48,14 @@ class Node:
     attrs: dict[str, str]
     parent: "Node | None" = None
     children: list = field(default_factory=list)
+    nth: int = 1  # position among the siblings of the same tag
+    tags: dict[str, int] = field(default_factory=dict)
+
+    def add(self, tag: str, attrs: dict[str, str]) -> "Node":
+        self.tags[tag] = self.tags.get(tag, 0) + 1
+        child = Node(tag, attrs, self, nth=self.tags[tag])
+        self.children.append(child)
+        return child
 
     def walk(self) -> Iterator["Node"]:
         """Descendant elements in document order."""
@@ -90,8 +98,7 @@ class _TreeBuilder(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self._end_implied(tag)
-        node = Node(tag, {k: (v or "").replace(_KEPT, "&") for k, v in attrs}, self.open)
-        self.open.children.append(node)
+        node = self.open.add(tag, {k: (v or "").replace(_KEPT, "&") for k, v in attrs})
         if tag not in VOID:
             self.open = node
 
@@ -148,10 +155,8 @@ class Compound:
                 name not in node.attrs or (value is not None and node.attrs[name] != value)
             ):
                 return False
-            if kind == "nth":
-                twins = [c for c in node.parent.children if isinstance(c, Node) and c.tag == node.tag]
-                if int(name) > len(twins) or twins[int(name) - 1] is not node:
-                    return False
+            if kind == "nth" and node.nth != int(name):
+                return False
         return True
 
 
