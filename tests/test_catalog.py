@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from tierflow.catalog import QUERIES, SQL
 from tests.compare import connect, differences
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -20,9 +21,9 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     assert differences(queries()[name](spark, SF_DIR), duck, oracle_sql()[name]) == []
