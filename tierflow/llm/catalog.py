@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierflow.llm import orc_tokens, packing
+from tierflow.llm import orc_tokens, packing, prefix_bpe
 from tierflow.workspace import staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,12 @@ def op2_token_files(spark, sf_dir):
     return orc_tokens.with_checksums(orc_tokens.read_token_files(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query()
+def op7_prefix_bpe(spark, sf_dir):
+    """Ids of all documents and what they decode to, as digests."""
+    return prefix_bpe.digests(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op10_best_fit_packing(spark, sf_dir):
     """All documents packed into sequences of 2048 ids."""
