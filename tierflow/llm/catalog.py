@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tierflow.llm import orc_tokens, packing, prefix_bpe
+from tierflow.llm import chat, orc_tokens, packing, prefix_bpe, quality
 from tierflow.workspace import staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,6 +44,67 @@ def op7_prefix_bpe(spark, sf_dir):
     return prefix_bpe.digests(table(spark, sf_dir, "documents"))
 
 
+def remainder(divisor):
+    """crc32 of the id as text, modulo ``divisor``; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+@query()
+def op8_dictionary_quality(spark, sf_dir):
+    """Quality of all documents; labels of every fifth id, by a hash, are held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels").where(remainder(5) != 0))
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id", (remainder(5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
+CHAT_CONTROL = r"([<\[])(\\*)(\||/?s>|/?INST\])"
+
+
+@query(
+    rf"""
+    WITH rows AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+    ), marked AS (
+        SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before FROM rows
+    ), pieces AS (
+        SELECT *,
+            CASE WHEN before IS NULL THEN '<|' || role || '|>' || chr(10)
+                WHEN before = role THEN '<|+|>' ELSE '</s>' || chr(10) || '<|' || role || '|>' || chr(10) END
+            || regexp_replace(text, '{CHAT_CONTROL}', '\1\\\2\3', 'g') AS piece
+        FROM marked
+    )
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+        CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(length(piece)) + 5 AS BIGINT) AS formatted_chars
+    FROM pieces GROUP BY conv_id"""
+)
+def op9_chat_formatting(spark, sf_dir):
+    """All conversations formatted, and what reading them back gives."""
+    wanted = spark.createDataFrame(
+        [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(wanted)
+    done = chat.format_conversations(rows).select(
+        "conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_learnt(F.col("formatted"), F.col("loss_spans")).alias("learnt")
+    )
+    line = lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))
+    return done.select(
+        "conv_id",
+        F.size("turns").cast("bigint").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
+        F.length("learnt").cast("bigint").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 @query()
 def op10_best_fit_packing(spark, sf_dir):
     """All documents packed into sequences of 2048 ids."""
