@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.llm import chat, orc_tokens, packing, prefix_bpe, quality
+from tierflow.llm import chat, credentials, orc_tokens, packing, prefix_bpe, quality, winnow
 from tierflow.workspace import staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,33 @@ def op2_token_files(spark, sf_dir):
     return orc_tokens.with_checksums(orc_tokens.read_token_files(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query()
+def op4_winnowing(spark, sf_dir):
+    """Fingerprints of all documents and of their edited texts, and how alike they are."""
+    compared = winnow.compare_with_next(table(spark, sf_dir, "documents"))
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        winnow.written("fingerprint").alias("fingerprint"),
+        winnow.written("edited_fingerprint").alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
+@query()
+def op6_linked_credentials(spark, sf_dir):
+    """Secrets of all documents, and weak candidates beside complementary parts."""
+    found = credentials.find_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(credentials.written("spans", "assign", "access", "hex"), 256).alias("base_sha256"),
+        credentials.written("spans").alias("spans"),
+    )
+
+
 @query()
 def op7_prefix_bpe(spark, sf_dir):
     """Ids of all documents and what they decode to, as digests."""
