@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.llm import chat, credentials, jaccard, orc_tokens, packing, prefix_bpe, quality, winnow
+from tierflow.llm import chat, credentials, jaccard, ngram_lm, orc_tokens, packing, prefix_bpe, quality, winnow
 from tierflow.workspace import staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,6 +38,13 @@ def op2_token_files(spark, sf_dir):
     return orc_tokens.with_checksums(orc_tokens.read_token_files(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query()
+def op1_bloom_language_model(spark, sf_dir):
+    """All documents scored by a model of those not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder(7) == 2)
+    return ngram_lm.score(docs, ngram_lm.train(docs.where(~F.col("held_out"))))
+
+
 @query()
 def op3_shingle_join(spark, sf_dir):
     """Groups of documents whose five-word shingles overlap by three quarters."""

@@ -137,7 +137,7 @@ def _entries(buckets, size, share):
         n, m = len(nodes), len(filled)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([node % buckets for node in nodes] + filled, type=pa.int32()),
+                pa.array([i % buckets for i in range(n)] + filled, type=pa.int32()),
                 pa.concat_arrays([ids, pa.nulls(m, ids.type)]),
                 pa.concat_arrays([text_hashes, pa.nulls(m, text_hashes.type)]),
                 pa.array(nodes + [None] * m, type=pa.int64()),
