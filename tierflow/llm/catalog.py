@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.llm import chat, credentials, jaccard, ngram_lm, orc_tokens, packing, prefix_bpe, quality, winnow
+from tierflow.llm import chat, credentials, forest, jaccard, ngram_lm, orc_tokens, packing, prefix_bpe, quality, winnow
 from tierflow.workspace import staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,12 @@ def op4_winnowing(spark, sf_dir):
     )
 
 
+@query()
+def op5_hash_prefix_forest(spark, sf_dir):
+    """The ten nearest embeddings of every hundredth one."""
+    return forest.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 @query()
 def op6_linked_credentials(spark, sf_dir):
     """Secrets of all documents, and weak candidates beside complementary parts."""
