@@ -115,46 +115,42 @@ def written(spans: str | Column, *kinds: str) -> Column:
     return F.array_join(F.transform(chosen, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _suspicious(text: Column) -> Column:
+    """Whether any pattern could match: a cheap test that spares most texts the join."""
+    found = text.rlike(HEX) | text.contains("AKIA") | text.contains("://")
+    for name in NAMES:
+        found = found | F.lower(text).contains(name)
+    return F.coalesce(found, F.lit(False))
+
+
+def _merged(spans: str) -> Column:
+    """Sorted spans with those that touch or overlap made one."""
+    interval = lambda start, end: F.array(F.struct(start.alias("start"), end.alias("end")))
+
+    def add(done, s):
+        last = F.element_at(done, -1)
+        longer = F.concat(F.slice(done, 1, F.size(done) - 1), interval(last["start"], F.greatest(last["end"], s["end"])))
+        return F.when((F.size(done) > 0) & (last["end"] >= s["start"]), longer).otherwise(F.concat(done, interval(s["start"], s["end"])))
+
+    return F.aggregate(spans, F.array().cast("array<struct<start:bigint,end:bigint>>"), add)
+
+
 def redact(docs: DataFrame, id_column="doc_id", text_column="text", scope=SCOPE, mark=MARK) -> DataFrame:
-    """``docs`` with every span (overlapping ones together) replaced by ``mark``; other rows as they are.
+    """``docs`` with every span (overlapping ones together) replaced by ``mark``; other rows and columns as they are.
 
-    Texts with spans are joined with them by (id, hash of the text); others are not shuffled.
+    Only texts that a pattern could match are joined with their spans, by (id, hash of the text); others stay where they are.
     """
-    columns = docs.columns
-    text = F.col(text_column)
-    lower = F.lower(text)
-    suspicious = text.rlike(HEX) | text.contains("AKIA") | text.contains("://")
-    for name in NAMES:
-        suspicious = suspicious | lower.contains(name)
-    suspicious = F.coalesce(suspicious, F.lit(False))
-    chosen = docs.where(suspicious)
-    spans = find_spans(chosen, id_column, text_column, scope).where(F.size("spans") > 0)
-    spans = spans.select(F.col("doc_id").alias("_span_id"), F.col("text_hash").alias("_span_hash"), "spans").dropDuplicates(["_span_id", "_span_hash"])
-    spans = spans.withColumnRenamed("spans", "_spans")
-    same = chosen[id_column].eqNullSafe(F.col("_span_id")) & (F.xxhash64(chosen[text_column]) == F.col("_span_hash"))
-    joined = chosen.join(spans, same, "left")
-    nothing = F.array().cast("array<struct<start:bigint,end:bigint>>")
-    merged = F.aggregate(
-        "_spans",
-        nothing,
-        lambda done, s: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]),
-            F.concat(
-                F.slice(done, 1, F.size(done) - 1),
-                F.array(
-                    F.struct(
-                        F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end")
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
-    )
-    joined = joined.withColumn("_merged", merged)
+    text = F.col(f"doc.{text_column}")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+    suspicious = _suspicious(text)
+    chosen = rows.where(suspicious).select("doc", F.col(f"doc.{id_column}").alias("id"), F.xxhash64(text).alias("text_hash"))
+    spans = find_spans(docs.where(_suspicious(F.col(text_column))), id_column, text_column, scope).where(F.size("spans") > 0)
+    spans = spans.toDF("span_id", "span_hash", "spans").dropDuplicates(["span_id", "span_hash"])
+    same = F.col("id").eqNullSafe(F.col("span_id")) & (F.col("text_hash") == F.col("span_hash"))
+    joined = chosen.join(spans, same, "left").withColumn("merged", _merged("spans"))
     piece = lambda start, end: F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
-    parts = F.transform(
-        "_merged", lambda s, i: F.concat(piece(F.when(i == 0, F.lit(0)).otherwise(F.get("_merged", i - 1)["end"]), s["start"]), F.lit(mark))
-    )
-    tail = piece(F.element_at("_merged", -1)["end"], F.length(text))
-    cleaned = F.when(F.size("_merged") > 0, F.concat(F.array_join(parts, ""), tail)).otherwise(text)
-    redacted = joined.withColumn(text_column, cleaned).select(*columns)
-    return docs.where(~suspicious).unionByName(redacted)
+    end_before = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get("merged", i - 1)["end"])
+    parts = F.transform("merged", lambda s, i: F.concat(piece(end_before(i), s["start"]), F.lit(mark)))
+    cleaned = F.concat(F.array_join(parts, ""), piece(F.element_at("merged", -1)["end"], F.length(text)))
+    redacted = joined.select(F.col("doc").withField(text_column, F.coalesce(cleaned, text)).alias("doc"))
+    return rows.where(~suspicious).unionByName(redacted).select("doc.*")

@@ -359,9 +359,10 @@ def keep_one(docs: DataFrame, id_column="doc_id", text_column="text") -> DataFra
     kept = joined.where("component IS NOT NULL").groupBy("component").agg(F.min(row).alias("row")).select("row.doc_id", "row.text_hash")
     kept = kept.unionByName(joined.where("component IS NULL").select("doc_id", "text_hash"))
     kept = kept.distinct().toDF("_kept_id", "_kept_hash")
-    text_hash = F.xxhash64(F.coalesce(docs[text_column], F.lit("")))
-    same = docs[id_column].cast("bigint").eqNullSafe(F.col("_kept_id")) & (text_hash == F.col("_kept_hash"))
-    rows = docs.join(kept, same, "left_semi")
-    wordless = F.regexp_replace(F.coalesce(F.col(text_column), F.lit("")), r"[\x20\x09-\x0D]", "") == ""
-    numbered = rows.where(~wordless).withColumn("_hash", F.xxhash64(text_column)).dropDuplicates([id_column, "_hash"]).drop("_hash")
-    return numbered.unionByName(rows.where(wordless))
+    text = F.coalesce(F.col(f"doc.{text_column}"), F.lit(""))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+    rows = rows.select("doc", F.col(f"doc.{id_column}").cast("bigint").alias("id"), F.xxhash64(text).alias("text_hash"))
+    same = F.col("id").eqNullSafe(F.col("_kept_id")) & (F.col("text_hash") == F.col("_kept_hash"))
+    rows = rows.join(kept, same, "left_semi")
+    wordless = F.regexp_replace(text, r"[\x20\x09-\x0D]", "") == ""
+    return rows.where(~wordless).dropDuplicates(["id", "text_hash"]).unionByName(rows.where(wordless)).select("doc.*")

@@ -160,13 +160,23 @@ def learn(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
     return Model(good, bad, slope, offset)
 
 
-def score(docs: DataFrame, model: Model, text_column="text", score_column="score") -> DataFrame:
-    """``docs`` with the probability that the text is good."""
-
+def _probability(model: Model, text):
     @F.pandas_udf("double")
     def probability(texts):
         import pandas as pd
 
         return pd.Series(model.scores(texts.tolist()), dtype="float64")
 
-    return docs.withColumn(score_column, probability(F.coalesce(F.col(text_column), F.lit(""))))
+    return probability(F.coalesce(text, F.lit("")))
+
+
+def score(docs: DataFrame, model: Model, text_column="text", score_column="score") -> DataFrame:
+    """``docs`` with the probability that the text is good; a column of that name is replaced."""
+    return docs.withColumn(score_column, _probability(model, F.col(text_column)))
+
+
+def keep_good(docs: DataFrame, model: Model, least: float, text_column="text") -> DataFrame:
+    """The rows of ``docs`` with a score of at least ``least``, all columns as they are."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"))
+    scored = rows.withColumn("score", _probability(model, F.col(f"doc.{text_column}")))
+    return scored.where(F.col("score") >= least).select("doc.*")
