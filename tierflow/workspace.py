@@ -3,36 +3,59 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
+_ROOTS: dict[str, str] = {}
+_OPEN_RUNS: list[list[str]] = []
 
 
-def shared_root(spark: SparkSession) -> str:
-    """Folder every executor can reach.
+def use_shared_root(spark: SparkSession, path: str) -> None:
+    """Name the shared folder of an application that runs without ``spark.checkpoint.dir``,
+    as tests do. The setting goes before it."""
+    _ROOTS[spark.sparkContext.applicationId] = path.rstrip("/")
 
-    The cluster names it in ``spark.checkpoint.dir``. Only a ``local`` master,
-    where driver and executors are one process, falls back to a fresh temporary
-    folder; a cluster without the setting is an error.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if context.master != "local" and not context.master.startswith("local["):
+
+def has_shared_root(spark: SparkSession) -> bool:
+    return bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext.applicationId in _ROOTS
+
+
+def shared_root(spark: SparkSession) -> str:
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else what
+    :func:`use_shared_root` has named. Without either there is none."""
+    configured = spark.conf.get("spark.checkpoint.dir", None) or _ROOTS.get(spark.sparkContext.applicationId)
+    if not configured:
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    if context.applicationId not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[context.applicationId] = tempfile.mkdtemp(prefix="tierflow-")
-    return _LOCAL_ROOTS[context.applicationId]
+    return configured.rstrip("/")
 
 
 def staging_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; never handed out twice."""
-    return f"{shared_root(spark)}/tierflow/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/tierflow/{name}-{uuid.uuid4().hex}"
+    for run in _OPEN_RUNS:
+        run.append(path)
+    return path
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Staged tables of a block are deleted when it ends.
+
+    Write what is to stay, to a path of your own, inside the block: tables that were not
+    written may still need what is deleted.
+    """
+    _OPEN_RUNS.append(paths := [])
+    try:
+        yield
+    finally:
+        _OPEN_RUNS.remove(paths)
+        for path in paths:
+            jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def runs_on_executors(module_name: str) -> None:
