@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import pathlib
 import random
 from datetime import datetime, timedelta
 
@@ -9,7 +10,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tierflow.operators import core, history, load, marts, quality, sinks
-from tierflow.workspace import shared_root
+from tierflow.workspace import durable, shared_root, temporary_tables
 
 QUIET = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
@@ -130,7 +131,7 @@ def test_scd2_merge_twice_is_once(spark, rows):
     batch = changes(spark, second)
     once = history.scd2_merge(known, batch, "k", ["v"], "t", "id")
     assert [(r["k"], r["v"], r["is_current"]) for r in once.orderBy("k", "valid_from").collect()] == [
-        (1, "a", False), (1, "c", True), (2, "a", True), (3, "a", True), (4, "n", True)
+        (1, "a", False), (1, "b", False), (1, "c", True), (2, "a", True), (3, "z", False), (3, "a", True), (4, "n", True)
     ]
     assert rows(history.scd2_merge(once, batch, "k", ["v"], "t", "id")) == rows(once)
 
@@ -205,7 +206,14 @@ def test_resolve_identity(spark):
     assert {(r["e"], r["person"], r["matched_by"]) for r in got.collect()} == {
         (1, 10, "id"), (2, 11, "email"), (3, 11, "email"), (4, None, "none"), (5, None, "none")
     }
-    assert got.columns == ["e", "uid", "mail", "person", "matched_by"]
+    assert got.columns == ["e", "uid", "mail", "person", "matched_by", "ambiguous"]
+
+
+def test_resolve_identity_keeps_one_row(spark):
+    events = spark.createDataFrame([(1, None, "b@x"), (2, 10, None)], "e int, uid int, mail string")
+    people = spark.createDataFrame([(10, 12, "b@x"), (11, 11, "b@x"), (10, 13, None)], "pid int, person int, pmail string")
+    got = core.resolve_identity(events, people, "e", ("uid", "pid", "person"), ("mail", "pmail"))
+    assert {tuple(r)[3:] for r in got.collect()} == {(11, "email", True), (12, "id", True)}
 
 
 def test_interpolation_and_time_zones(spark):
@@ -241,17 +249,51 @@ def test_cdc_matches_replay(spark, start, log):
     assert dict(map(tuple, load.apply_cdc(once, changes, ["k"], ["-seq"]).collect())) == table
 
 
-def test_upsert_rewrites_only_touched_buckets(spark, tmp_path):
-    path = str(tmp_path / "t")
-    base = spark.range(100).select("id", F.lit("a").alias("v"))
+def test_upsert_appends_and_folds_touched_buckets(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "id long, v string"
+    base = spark.range(1000).select("id", F.lit("a").alias("v"))
     assert load.read_buckets(spark, path, base.schema).count() == 0
-    load.upsert_buckets(base, path, ["id"], ["id"], buckets=16)
-    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
-    load.upsert_buckets(spark.createDataFrame([(5, "b"), (500, "c")], base.schema), path, ["id"], ["id"], buckets=16)
-    after = {p for p in (tmp_path / "t").rglob("*.parquet")}
-    assert len(set(before) - after) <= 2
-    got = load.read_buckets(spark, path, base.schema)
-    assert got.count() == 101 and got.where("v = 'b'").first()["id"] == 5
+    load.upsert_buckets(base, path, ["id"], ["-v"], buckets=16)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "t" / "base").rglob("*.parquet")}
+    load.upsert_buckets(spark.createDataFrame([(5, "b"), (5000, "c")], schema), path, ["id"], ["-v"])
+    # A small batch costs its own size: the base stays as it is until the changes are folded.
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "t" / "base").rglob("*.parquet")} == before
+    for _ in range(2):
+        got = load.read_buckets(spark, path, base.schema)
+        assert got.count() == 1001 and got.where("v = 'b'").first()["id"] == 5
+        if (tmp_path / "t" / "changes").exists():
+            load.fold_buckets(spark, path, base.schema)
+    assert len(set(before) - set((tmp_path / "t" / "base").rglob("*.parquet"))) <= 2
+
+
+def test_upsert_keeps_the_latest_whatever_the_order(spark, tmp_path, rows):
+    path, schema = str(tmp_path / "t"), "k string, ts int, v string"
+    batches = [[("a", 5, "new"), (None, 1, "n")], [("a", 3, "old"), (None, 1, "n"), ("b", 1, "x")], [("a", 5, "new"), (None, 2, "m")]]
+    for batch in batches:
+        load.upsert_buckets(spark.createDataFrame(batch, schema), path, ["k"], ["-ts"], buckets=4)
+    got = load.read_buckets(spark, path, spark.createDataFrame([], schema).schema)
+    assert rows(got) == [("a", 5, "new"), ("b", 1, "x"), (None, 2, "m")]
+    with pytest.raises(ValueError, match="was made with"):
+        load.upsert_buckets(spark.createDataFrame(batches[0], schema), path, ["k"], ["-ts"], buckets=64)
+
+
+def test_null_keys_are_one_key(spark, rows):
+    target = spark.createDataFrame([(None, "a"), (1, "b")], "k int, v string")
+    changes = spark.createDataFrame([(None, "c", 1)], "k int, v string, seq int")
+    once = load.merge_upsert(target, changes, ["k"], ["-seq"])
+    assert rows(once) == rows(load.merge_upsert(once, changes, ["k"], ["-seq"])) == [(1, "b"), (None, "c")]
+
+
+def test_high_water_mark_where_clocks_are_set_back(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        instants = [1730611800, 1730615400, 1730619000]  # 01:30, 01:30 again, 02:30
+        source = spark.createDataFrame([(i,) for i in instants], "s long").select(F.timestamp_seconds("s").alias("t"), "s")
+        new = load.incremental(source, source.where(F.col("s") <= instants[1]), "t")
+        assert [r["s"] for r in new.collect()] == [instants[2]]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
 
 
 def test_raw_writers(spark, tmp_path):
@@ -339,9 +381,78 @@ def test_shared_root_needs_the_setting_on_a_cluster():
             get = staticmethod(lambda key, default: default)
 
         class sparkContext:
-            master = "yarn"
+            applicationId = "nowhere"
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_root(Cluster)
     Cluster.conf.get = staticmethod(lambda key, default: "hdfs:///shared/")
     assert shared_root(Cluster) == "hdfs:///shared"
+
+
+def test_temporary_tables_go(spark, tmp_path):
+    with temporary_tables(spark):
+        kept = durable(spark.range(5))
+        path = kept.inputFiles()[0].removeprefix("file://")
+        kept.write.parquet(str(tmp_path / "kept"))
+    assert not pathlib.Path(path).exists() and spark.read.parquet(str(tmp_path / "kept")).count() == 5
+
+
+PARTS = st.lists(st.one_of(st.none(), st.text("a|:-1", max_size=3)), min_size=1, max_size=3)
+
+
+@given(PARTS, PARTS)
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def test_keys_tell_rows_apart(spark, one, other):
+    def key(parts):
+        return spark.range(1).select(history.surrogate_key(*(F.lit(p).cast("string") for p in parts))).first()[0]
+
+    assert (key(one) == key(other)) == (one == other)
+
+
+def test_reconcile_sees_a_null_move(spark):
+    raw = spark.createDataFrame([(1, None, "a")], "id int, x string, y string")
+    bronze = spark.createDataFrame([(1, "a", None)], "id int, x string, y string")
+    assert quality.reconcile(raw, bronze, "id", ["x", "y"]).first()["keys_changed"] == 1
+
+
+def test_evolve_union_of_changed_types(spark, rows):
+    old = spark.createDataFrame([(1, 2, None, "x")], "a bigint, b int, c date, d string")
+    new = spark.createDataFrame([("z", 2.5, True, 7)], "a string, b double, c boolean, d int")
+    got = quality.evolve_union(old, new)
+    assert dict(got.dtypes) == {"a": "string", "b": "double", "c": "string", "d": "string"}
+    assert rows(got) == rows(spark.createDataFrame([("1", 2.0, None, "x"), ("z", 2.5, "true", "7")], got.schema))
+
+
+def test_match_share_of_repeated_truth(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    truth = spark.createDataFrame([(1, "a"), (1, "a"), (1, "z")], "t int, w string")
+    assert tuple(quality.match_share(df, truth, "k", "t", "v", "w").first()) == (0.5, 0.5)
+
+
+def test_star_fact_keeps_facts_without_a_member(spark, rows):
+    facts = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, k string")
+    got = marts.star_fact(facts, [(spark.createDataFrame([("a",), ("a",)], "k string"), "k", "key")])
+    found = {r["id"]: r["key"] for r in got.collect()}
+    assert len(found) == got.count() == 3 and found[2] == found[3] == "unknown" != found[1]
+
+
+def test_impute_small_values(spark):
+    df = spark.createDataFrame([("g", 0.00002), ("g", 0.00004), ("g", None)], "k string, v double")
+    got = core.impute_group_mean(df, ["k"], "v", F.col("v").isNotNull(), digits=None, scale=8)
+    assert [r["v"] for r in got.where("v_imputed").collect()] == [pytest.approx(0.00003)]
+
+
+def test_conform_from_a_table(spark, rows):
+    df = spark.createDataFrame([(1, " us "), (2, "xx"), (3, None)], "id int, c string")
+    codes = spark.createDataFrame([("US", "USA"), ("us", "USA"), (None, "none")], "code string, standard string")
+    got = core.conform(df, "c", codes, "other", "std")
+    assert rows(got.select("id", "std", "std_unmapped")) == [(1, "USA", False), (2, "other", True), (3, "other", True)]
+
+
+def test_fuzzy_match_of_long_names(spark):
+    """The parts that are joined do not grow with the length of a name."""
+    long = "abcdefghij" * 16
+    df = spark.createDataFrame([("x", long), ("x", long[:50] + "Z" + long[51:]), ("x", long[:-1])], "block string, name string")
+    got = core.fuzzy_match(df, df, "block", "name", 2, self_match=True)
+    assert sorted(r["distance"] for r in got.collect()) == [1, 1, 2]
+    assert df.select(F.max(F.size(core.probed_pieces(F.col("name"), 2)))).first()[0] <= 75

@@ -36,33 +36,33 @@ def unmatched_keys(spark, sf_dir):
     return joins.unmatched(customer, pending.select("c_custkey"), "c_custkey")
 
 
-@query("SELECT c_custkey, sha256(CAST(c_custkey AS VARCHAR) || '|' || c_name) AS customer_key FROM customer")
+@query("SELECT c_custkey, sha256(length(CAST(c_custkey AS VARCHAR)) || ':' || c_custkey || coalesce(length(nullif(c_name, 'Customer#000000007')) || ':' || c_name, '-')) AS customer_key FROM customer")
 def surrogate_key(spark, sf_dir):
-    key = history.surrogate_key("c_custkey", "c_name").alias("customer_key")
+    """Of the number and the name, one of which is missing."""
+    name = F.nullif(F.col("c_name"), F.lit("Customer#000000007"))
+    key = history.surrogate_key("c_custkey", name).alias("customer_key")
     return table(spark, sf_dir, "customer").select("c_custkey", key)
 
 
 @query(
     """
-    SELECT l_orderkey || '-' || l_linenumber AS transaction_id, sha256(CAST(o_custkey AS VARCHAR)) AS customer_key,
-           sha256(CAST(l_partkey AS VARCHAR)) AS product_key,
+    SELECT l_orderkey || '-' || l_linenumber AS transaction_id,
+           CASE WHEN c_custkey IS NULL THEN 'unknown' ELSE sha256(length(CAST(o_custkey AS VARCHAR)) || ':' || o_custkey) END AS customer_key,
+           CASE WHEN p_partkey IS NULL THEN 'unknown' ELSE sha256(length(CAST(l_partkey AS VARCHAR)) || ':' || l_partkey) END AS product_key,
            CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS date_key, l_quantity AS quantity,
            l_extendedprice AS amount, l_discount AS discount
-    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-    JOIN part ON l_partkey = p_partkey"""
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+    LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey
+    LEFT JOIN (SELECT * FROM part WHERE p_size > 5) ON l_partkey = p_partkey"""
 )
 def star_fact(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"), "o_custkey", "o_orderdate"
-    )
-    lines = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey")
-    customers = table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").alias("o_custkey"), history.surrogate_key("c_custkey").alias("surrogate")
-    )
-    parts = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("l_partkey"), history.surrogate_key("p_partkey").alias("surrogate")
-    )
-    facts = marts.star_fact(lines, [(customers, "o_custkey", "customer_key"), (parts, "l_partkey", "product_key")])
+    """Lines of insolvent customers and of small parts, which the dimensions lack, keep an unknown member."""
+    customers = table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    parts = table(spark, sf_dir, "part").where("p_size > 5").select(F.col("p_partkey").alias("l_partkey"))
+    # Customers are looked up for orders, of which there are fewer than lines.
+    orders = marts.with_member_key(table(spark, sf_dir, "orders"), customers, "o_custkey", "customer_key")
+    orders = orders.select(F.col("o_orderkey").alias("l_orderkey"), "customer_key", "o_orderdate")
+    facts = marts.star_fact(table(spark, sf_dir, "lineitem").join(orders, "l_orderkey"), [(parts, "l_partkey", "product_key")])
     return facts.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("transaction_id"),
         "customer_key",
@@ -92,26 +92,9 @@ def scd2_build(spark, sf_dir):
     return _history(table(spark, sf_dir, "events"))
 
 
-@query(
-    """
-    WITH e AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-20'),
-    m AS (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM e),
-    h AS (
-      SELECT user_id, event_type, ts AS valid_from, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS valid_to
-      FROM m WHERE p IS NULL OR p <> event_type),
-    b AS (
-      SELECT user_id, event_type AS new_type, ts FROM events WHERE ts >= TIMESTAMP '2024-01-20'
-      QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
-    c AS (SELECT * FROM h FULL JOIN b USING (user_id) WHERE valid_to IS NULL)
-    SELECT user_id, event_type, valid_from, valid_to, false AS is_current FROM h WHERE valid_to IS NOT NULL
-    UNION ALL
-    SELECT user_id, event_type, valid_from, CASE WHEN new_type <> event_type THEN ts END, coalesce(new_type = event_type, true)
-      FROM c WHERE event_type IS NOT NULL
-    UNION ALL
-    SELECT user_id, new_type, ts, NULL, true FROM c WHERE new_type IS NOT NULL AND new_type IS DISTINCT FROM event_type"""
-)
+@query(_HISTORY + " SELECT *, valid_to IS NULL AS is_current FROM h")
 def scd2_merge(spark, sf_dir):
-    """The history up to a date, then the later events as one batch."""
+    """The history up to a date, then the later events as one batch: the same as a history of all."""
     events = table(spark, sf_dir, "events")
     border = F.lit("2024-01-20 00:00:00").cast(NTZ)
     known = _history(events.where(F.col("ts") < border))
@@ -173,22 +156,35 @@ def semantic_dedup(spark, sf_dir):
 
 # Two spellings are left out so that the default is used.
 _PRIORITIES = {"1-URGENT": "URGENT", "2-HIGH": "HIGH", "3-MEDIUM": "MEDIUM"}
-
-
-@query(
-    """
+_CONFORMED = """
     SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'URGENT' WHEN '2-HIGH' THEN 'HIGH'
              WHEN '3-MEDIUM' THEN 'MEDIUM' ELSE 'OTHER' END AS priority,
            o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AS priority_unmapped
     FROM orders"""
-)
-def conform_codes(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.concat(F.lit(" "), F.lower("o_orderpriority")).alias("code")
+
+
+def _coded_orders(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderpriority", F.concat(F.lit(" "), F.lower("o_orderpriority")).alias("code")
     )
+
+
+@query(_CONFORMED)
+def conform_codes(spark, sf_dir):
+    orders = _coded_orders(spark, sf_dir).drop("o_orderpriority")
     return core.conform(orders, "code", _PRIORITIES, "OTHER", "priority").drop("code")
 
 
+@query(_CONFORMED)
+def conform_table(spark, sf_dir):
+    """The mapping is a table, taken from the codes in use, with every code repeated."""
+    orders = _coded_orders(spark, sf_dir)
+    codes = orders.where(F.col("o_orderpriority").isin(*_PRIORITIES)).select(
+        F.col("o_orderpriority").alias("code"), F.substring("o_orderpriority", 3, 10).alias("standard")
+    )
+    return core.conform(orders.drop("o_orderpriority"), "code", codes, "OTHER", "priority").drop("code")
+
+
 @query(
     """
     WITH g AS (
@@ -224,29 +220,39 @@ def fuzzy_match(spark, sf_dir):
     """
     WITH e AS (
       SELECT event_id, CASE WHEN event_type IN ('signup', 'purchase') THEN user_id END AS uid,
-             CASE WHEN event_type <> 'error' THEN 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') END AS mail
-      FROM events)
-    SELECT event_id, coalesce(i.c_custkey, m.c_custkey) AS person,
-           CASE WHEN i.c_custkey IS NOT NULL THEN 'id' WHEN m.c_custkey IS NOT NULL THEN 'email' ELSE 'none' END AS matched_by
-    FROM e LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) i ON uid = i.c_custkey
-    LEFT JOIN customer m ON mail = m.c_name"""
+             CASE WHEN event_type <> 'error' THEN user_id % 40 || '@example.com' END AS mail
+      FROM events),
+    p AS (
+      SELECT CASE WHEN c_acctbal > 0 THEN c_custkey END AS solvent, c_custkey, c_custkey % 60 || '@example.com' AS mail
+      FROM customer UNION ALL SELECT c_custkey, c_custkey + 1000000, NULL FROM customer WHERE c_custkey % 10 = 1),
+    i AS (SELECT solvent, min(c_custkey) AS k, count(DISTINCT c_custkey) > 1 AS a FROM p GROUP BY 1),
+    m AS (SELECT mail, min(c_custkey) AS k, count(DISTINCT c_custkey) > 1 AS a FROM p GROUP BY 1)
+    SELECT event_id, coalesce(i.k, m.k) AS person,
+           CASE WHEN i.k IS NOT NULL THEN 'id' WHEN m.k IS NOT NULL THEN 'email' ELSE 'none' END AS matched_by,
+           coalesce(i.a, m.a, false) AS ambiguous
+    FROM e LEFT JOIN i ON uid = i.solvent LEFT JOIN m ON i.k IS NULL AND e.mail = m.mail"""
 )
 def resolve_identity(spark, sf_dir):
-    """Views and clicks come without an id and are found by name; insolvent customers are not
-    found by id."""
+    """Views and clicks come without an id and are found by an e-mail that several customers share;
+    insolvent customers are not found by id, and some ids belong to two."""
     kind = F.col("event_type")
-    name = F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0"))
+    mail = lambda key, n: F.concat((F.col(key) % n).cast("string"), F.lit("@example.com"))
     events = table(spark, sf_dir, "events").select(
         "event_id",
         F.when(kind.isin("signup", "purchase"), F.col("user_id")).alias("uid"),
-        F.when(kind != "error", name).alias("mail"),
+        F.when(kind != "error", mail("user_id", 40)).alias("own_mail"),
     )
     customer = table(spark, sf_dir, "customer")
     people = customer.select(
-        F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).alias("solvent"), "c_custkey", "c_name"
+        F.when(F.col("c_acctbal") > 0, F.col("c_custkey")).alias("solvent"), "c_custkey", mail("c_custkey", 60).alias("mail")
+    )
+    twins = customer.where("c_custkey % 10 = 1").select(
+        F.col("c_custkey").alias("solvent"), (F.col("c_custkey") + 1000000).alias("c_custkey"), F.lit(None).cast("string").alias("mail")
+    )
+    found = core.resolve_identity(
+        events, people.unionByName(twins), "event_id", ("uid", "solvent", "c_custkey"), ("own_mail", "mail")
     )
-    found = core.resolve_identity(events, people, "event_id", ("uid", "solvent", "c_custkey"), ("mail", "c_name"))
-    return found.select("event_id", "person", "matched_by")
+    return found.select("event_id", "person", "matched_by", "ambiguous")
 
 
 @query(

@@ -78,10 +78,10 @@ def detect_deletes(spark, sf_dir):
     UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1, o_orderdate FROM orders WHERE o_orderstatus = 'F'"""
 )
 def upsert_table(spark, sf_dir):
-    """Batches merged into a bucketed table on disk, the last one twice."""
+    """Batches merged into a bucketed table on disk: later prices come before earlier ones, and twice."""
     orders, path = _orders(spark, sf_dir), staging_path(spark, "upserted")
     raised = orders.where("o_orderstatus = 'F'").withColumn("o_totalprice", F.col("o_totalprice") + 1)
-    for batch in (orders, raised, raised):
+    for batch in (raised, orders, raised):
         load.upsert_buckets(batch, path, ["o_orderkey"], ["-o_totalprice"], buckets=8)
     return load.read_buckets(spark, path, orders.schema)
 

@@ -37,8 +37,9 @@ def avg_price_by_district(spark, sf_dir):
     )
     spec = EntitySpec("orders", casts={"id": T.LongType(), "price": T.DecimalType(12, 2)}, positives=("price",), order=("price",))
     bronze = to_bronze(raw, spec, "20240131")
-    placed = bronze.join(_districts(spark, sf_dir), F.col("host_id") == F.col("c_custkey"))
-    return marts.average_price(placed, "district", F.col("price"))
+    hosts = marts.priced_owners(bronze, "host_id", F.col("price"))
+    placed = hosts.join(_districts(spark, sf_dir), F.col("host_id") == F.col("c_custkey"))
+    return marts.average_price(placed, "district")
 
 
 @query(
@@ -70,8 +71,8 @@ def occupancy_segments(spark, sf_dir):
     JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus = 'O' GROUP BY 1 ORDER BY n_active DESC, n_name LIMIT 5"""
 )
 def active_density(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").join(_districts(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
-    return marts.active_density(orders, "n_name", F.col("o_orderstatus") == "O", 5)
+    owners = marts.active_owners(table(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderstatus") == "O")
+    return marts.active_density(owners.join(_districts(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey")), "n_name", 5)
 
 
 @query(
@@ -231,12 +232,14 @@ def conversion_funnel(spark, sf_dir):
     SELECT *, (revenue - cogs - shipping) / nullif(revenue, 0) AS gross_margin FROM t"""
 )
 def gross_margin(spark, sf_dir):
-    lines = table(spark, sf_dir, "lineitem").join(
-        table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice"), F.col("l_partkey") == F.col("p_partkey")
-    )
-    cogs = money(F.col("p_retailprice")) * F.col("l_quantity").cast("int")
     shipping = money(F.col("l_extendedprice")) * F.col("l_tax").cast("decimal(4,2)")
-    return marts.gross_margin(lines, ["p_brand"], _net(), cogs, shipping)
+    sold = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(
+        F.sum(_net()).alias("net"), F.sum(shipping).alias("shipping"), F.sum(F.col("l_quantity").cast("int")).alias("quantity")
+    )
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_retailprice")
+    cogs = money(F.col("p_retailprice")) * F.col("quantity")
+    lines = sold.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return marts.gross_margin(lines, ["p_brand"], F.col("net"), cogs, F.col("shipping"))
 
 
 @query(

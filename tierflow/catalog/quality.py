@@ -257,7 +257,9 @@ def dq_metrics(spark, sf_dir):
     )
     named = events.withColumn("name", F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")))
     solvent = table(spark, sf_dir, "customer").where("c_acctbal > 0")
-    shares = quality.match_share(named, solvent, "user_id", "c_custkey", "name", "c_name")
+    # The truth holds every row twice, and another name besides.
+    other = solvent.withColumn("c_name", F.lit("another"))
+    shares = quality.match_share(named, solvent.unionByName(solvent).unionByName(other), "user_id", "c_custkey", "name", "c_name")
     matched = shares.select(
         F.inline(
             F.array(
@@ -294,14 +296,16 @@ def schema_drift(spark, sf_dir):
 
 @query(
     """
-    SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate,
+    SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, CAST(o_totalprice AS DOUBLE) AS o_totalprice, o_orderdate,
            CASE WHEN o_orderdate < TIMESTAMP '1998-01-01' THEN o_orderpriority END AS o_orderpriority,
            CASE WHEN o_orderdate >= TIMESTAMP '1998-01-01' THEN 'web' END AS channel
     FROM orders"""
 )
 def schema_evolve_union(spark, sf_dir):
+    """Besides columns that come and go, the customer becomes text and the price, once a decimal, a double."""
     old, new = _order_versions(spark, sf_dir)
-    return quality.evolve_union(old, new)
+    old = old.withColumn("o_totalprice", F.col("o_totalprice").cast("decimal(12,2)"))
+    return quality.evolve_union(old, new.withColumn("o_custkey", F.concat("o_custkey", F.lit(""))))
 
 
 @query(

@@ -31,23 +31,37 @@ def semantic_dedup(df: DataFrame, attributes: Sequence[str], earliest: str) -> D
     )
 
 
-def conform(df: DataFrame, column: str, codes: Mapping[str, str], default: str, name: str) -> DataFrame:
+def conform(
+    df: DataFrame, column: str, codes: Mapping[str, str] | DataFrame, default: str, name: str
+) -> DataFrame:
     """``column`` mapped to standard codes in ``name``; unmapped values get the default and a
-    flag. ``codes`` is a fixed mapping and becomes one literal."""
-    pairs = [F.lit(x) for pair in codes.items() for x in pair]
-    mapped = F.try_element_at(F.create_map(*pairs), F.trim(F.upper(column)))
-    return df.withColumns(
+    flag. ``codes`` is a fixed mapping, which becomes one literal, or a table (code, standard), of which
+    repeated codes give their smallest standard."""
+    own = F.trim(F.upper(column))
+    if isinstance(codes, DataFrame):
+        listed = codes.select(F.trim(F.upper("code")).alias("_code"), "standard").where("_code IS NOT NULL")
+        listed = listed.groupBy("_code").agg(F.min("standard").alias("_standard"))
+        joined, mapped = df.join(listed, own == F.col("_code"), "left"), F.col("_standard")
+    else:
+        pairs = [F.lit(x) for pair in codes.items() for x in pair]
+        joined, mapped = df, F.try_element_at(F.create_map(*pairs), own)
+    flagged = joined.withColumns(
         {name: F.coalesce(mapped, F.lit(default)), f"{name}_unmapped": mapped.isNull()}
     )
+    return flagged.drop("_code", "_standard")
 
 
-def impute_group_mean(df: DataFrame, keys: Sequence[str], value: str, valid: Column, digits: int = 4) -> DataFrame:
-    """Invalid or missing values replaced by the mean of the group's valid ones, and flagged."""
+def impute_group_mean(
+    df: DataFrame, keys: Sequence[str], value: str, valid: Column, digits: int | None = 4, scale: int = 4
+) -> DataFrame:
+    """Invalid or missing values replaced by the mean of the group's valid ones, and flagged. Values are
+    summed exactly to ``scale`` decimal places; ``digits=None`` leaves the mean unrounded."""
     kept = F.when(valid, F.col(value))
     mean = F.try_divide(
-        F.sum(kept.cast("decimal(18,4)")).cast("double"), F.count(kept).cast("double")
+        F.sum(kept.cast(f"decimal(28,{scale})")).cast("double"), F.count(kept).cast("double")
     )
-    marked = with_group_stats(df.withColumn("_kept", kept), keys, F.round(mean, digits).alias("_mean"))
+    mean = mean if digits is None else F.round(mean, digits)
+    marked = with_group_stats(df.withColumn("_kept", kept), keys, mean.alias("_mean"))
     return marked.withColumns(
         {value: F.coalesce("_kept", "_mean"), f"{value}_imputed": F.col("_kept").isNull()}
     ).drop("_kept", "_mean")
@@ -58,21 +72,43 @@ def clamp(column: Column, low: float, high: float) -> Column:
     return F.when(column.isNotNull(), F.least(F.greatest(column, F.lit(low)), F.lit(high)))
 
 
-def _without_one(text: Column) -> Column:
-    """All strings with one character removed."""
-    drop = lambda i: F.concat(F.substring(text, 1, i - 1), text.substr(i + 1, F.length(text)))
-    return F.when(
-        F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), drop)
-    ).otherwise(F.array().cast("array<string>"))
+def _piece(text: Column, length: Column, number: Column, pieces: int) -> tuple[Column, Column]:
+    """Where the piece begins (from 0) that a text of a length has under a number, and its length."""
+    begin = F.floor(number * length / pieces)
+    return begin, F.floor((number + 1) * length / pieces) - begin
+
+
+def text_pieces(text: Column, edits: int) -> Column:
+    """Hashes of a text's ``edits + 1`` pieces of even length, with their number and the text's length."""
+    numbers = F.sequence(F.lit(0), F.lit(edits))
+
+    def one(number):
+        begin, size = _piece(text, F.length(text), number, edits + 1)
+        return F.xxhash64(F.length(text), number, F.substring(text, begin.cast("int") + 1, size.cast("int")))
 
+    return F.transform(numbers, one)
 
-def deletion_variants(text: Column, edits: int) -> Column:
-    """The text and everything left of it after at most ``edits`` deletions."""
-    reached = F.array(text)
-    for _ in range(edits):
-        shorter = F.flatten(F.transform(reached, lambda t: F.array_union(F.array(t), _without_one(t))))
-        reached = F.array_distinct(shorter)
-    return reached
+
+def probed_pieces(text: Column, edits: int) -> Column:
+    """Hashes of all parts of a text that can be a piece of another one at most ``edits`` edits away: of a length
+    that differs by no more, at a place that is shifted by no more. Their number does not depend on the
+    text's length."""
+    lengths = F.filter(
+        F.sequence(F.length(text) - edits, F.length(text) + edits), lambda n: n >= 0
+    )
+    numbers, shifts = F.sequence(F.lit(0), F.lit(edits)), F.sequence(F.lit(-edits), F.lit(edits))
+
+    def at(length, number, shift):
+        begin, size = _piece(text, length, number, edits + 1)
+        begin = begin + shift
+        inside = (begin >= 0) & (begin + size <= F.length(text))
+        part = F.substring(text, begin.cast("int") + 1, size.cast("int"))
+        return F.when(inside, F.xxhash64(length, number, part))
+
+    every = F.transform(
+        lengths, lambda n: F.flatten(F.transform(numbers, lambda i: F.transform(shifts, lambda s: at(n, i, s))))
+    )
+    return F.array_distinct(F.array_compact(F.flatten(every)))
 
 
 def fuzzy_match(
@@ -81,8 +117,8 @@ def fuzzy_match(
     """Distinct names of both sides, in the same block, at most ``max_edits`` edits apart, with
     the rows behind each.
 
-    Two strings within k edits share a string that both reach by at most k
-    deletions, so joining on deletion variants finds every such pair without
+    A name is cut into ``max_edits + 1`` pieces. So many edits leave one of them whole, shifted by no more than
+    that, so joining pieces with the other side's parts finds every such pair without
     comparing a whole block with itself. ``self_match`` lists each pair of one
     table once, without identical names.
     """
@@ -93,19 +129,15 @@ def fuzzy_match(
             F.count("*").alias(f"n_{suffix}")
         ).withColumnRenamed("name", f"name_{suffix}")
 
-    def variants(df: DataFrame, suffix: str) -> DataFrame:
-        return df.withColumn(
-            "_variant", F.explode(deletion_variants(F.col(f"name_{suffix}"), max_edits))
-        )
-
-    a, b = variants(names(left, "a"), "a"), variants(names(right, "b"), "b")
-    pairs = a.join(b, ["block", "_variant"])
+    a = names(left, "a").withColumn("_piece", F.explode(text_pieces(F.col("name_a"), max_edits)))
+    b = names(right, "b").withColumn("_piece", F.explode(probed_pieces(F.col("name_b"), max_edits)))
+    pairs = a.join(b, ["block", "_piece"])
     if self_match:
         pairs = pairs.where(F.col("name_a") < F.col("name_b"))
     distance = F.levenshtein("name_a", "name_b")
     longest = F.greatest(F.length("name_a"), F.length("name_b"))
     return (
-        pairs.drop("_variant")
+        pairs.drop("_piece")
         .where(distance <= max_edits)
         .distinct()
         .withColumn("distance", distance)
@@ -125,13 +157,19 @@ def resolve_identity(
 ) -> DataFrame:
     """Events with the person found by id, else by e-mail, in ``person``, and the way it was
     found in ``matched_by``. The first names are the event's, the second the person's;
-    ``id_columns`` ends with the column that identifies the person in the result."""
+    ``id_columns`` ends with the column that identifies the person in the result.
+
+    Each event stays one row: of several people with one id or e-mail the smallest is taken, and
+    ``ambiguous`` is set."""
     own_id, person_id, person = id_columns
     own_mail, person_mail = mail_columns
-    by_id = people.where(F.col(person_id).isNotNull()).select(
-        F.col(person_id).alias("_id"), F.col(person).alias("_by_id")
-    )
-    by_mail = people.select(F.col(person_mail).alias("_mail"), F.col(person).alias("_by_mail"))
+
+    def one_each(column: str, key: str, found: str) -> DataFrame:
+        return people.where(F.col(column).isNotNull()).groupBy(F.col(column).alias(key)).agg(
+            F.min(person).alias(found), (F.min(person) < F.max(person)).alias(f"{found}_ambiguous")
+        )
+
+    by_id, by_mail = one_each(person_id, "_id", "_by_id"), one_each(person_mail, "_mail", "_by_mail")
     found = left_join_spread(events, by_id, own_id, "_id", event_key)
     # Only events not found by id look up their e-mail.
     found = found.withColumn("_lookup", F.when(F.col("_by_id").isNull(), F.col(own_mail)))
@@ -142,8 +180,9 @@ def resolve_identity(
             "matched_by": F.when(F.col("_by_id").isNotNull(), "id")
             .when(F.col("_by_mail").isNotNull(), "email")
             .otherwise("none"),
+            "ambiguous": F.coalesce("_by_id_ambiguous", "_by_mail_ambiguous", F.lit(False)),
         }
-    ).drop("_id", "_by_id", "_mail", "_by_mail", "_lookup")
+    ).drop("_id", "_by_id", "_by_id_ambiguous", "_mail", "_by_mail", "_by_mail_ambiguous", "_lookup")
 
 
 def interpolate_days(daily: DataFrame, key: str, day: str, value: str) -> DataFrame:

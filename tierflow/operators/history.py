@@ -6,86 +6,81 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tierflow.functions.keys import unambiguous
+from tierflow.operators.joins import null_safe_join
 from tierflow.operators.ordered import SLICE, last_known, next_value, previous_value, slice_rows
-from tierflow.operators.rules import keep_first
 
 
 def surrogate_key(*columns: str | Column) -> Column:
     """Stable key from the business key, the same in every job and run."""
-    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("")) for c in columns]
-    return F.sha2(F.concat_ws("|", *parts), 256)
+    return F.sha2(unambiguous(*columns), 256)
 
 
-def scd2_build(
-    changes: DataFrame, key: str, tracked: str, timestamp: str, tie_break: str, slices: int | None = None
-) -> DataFrame:
-    """History of ``tracked`` per ``key``: one row per change with ``valid_from``, ``valid_to``
-    (null while current) and ``is_current``. A null attribute is a value like any other."""
-    order = [timestamp, tie_break]
-    rows = changes.where(F.col(key).isNotNull()).select(
-        key, tracked, *order, F.lit(1).alias("_seen")
-    )
-    sliced = slice_rows(rows, [key], order, slices)
-    known = sliced.withColumn("_state", F.struct("_seen", tracked))
+def _versions(rows: DataFrame, key: str, tracked: Sequence[str], order: Sequence[str], slices: int | None) -> DataFrame:
+    """The rows at which ``tracked`` changes, the first element of ``order`` being the time."""
+    sliced = slice_rows(rows.withColumn("_seen", F.lit(1)), [key], order, slices)
+    known = sliced.withColumn("_state", F.struct("_seen", *tracked))
     previous = previous_value(known, [key], order, "_state", "_previous")
-    changed = previous.where(
-        F.col("_previous").isNull() | ~F.col(tracked).eqNullSafe(F.col(f"_previous.{tracked}"))
-    )
-    ended = next_value(changed, [key], order, timestamp, "valid_to")
+    same = F.lit(True)
+    for c in tracked:
+        same = same & F.col(c).eqNullSafe(F.col(f"_previous.{c}"))
+    changed = previous.where(F.col("_previous").isNull() | ~same)
+    ended = next_value(changed, [key], order, order[0], "valid_to")
     return ended.select(
         key,
-        tracked,
-        F.col(timestamp).alias("valid_from"),
+        *tracked,
+        F.col(order[0]).alias("valid_from"),
         "valid_to",
         F.col("valid_to").isNull().alias("is_current"),
     )
 
 
+def scd2_build(
+    changes: DataFrame, key: str, tracked: str, timestamp: str, tie_break: str, slices: int | None = None
+) -> DataFrame:
+    """History of ``tracked`` per ``key``: one row per change with ``valid_from``, ``valid_to``
+    (null while current) and ``is_current``. A null attribute is a value like any other."""
+    rows = changes.where(F.col(key).isNotNull()).select(key, tracked, timestamp, tie_break)
+    return _versions(rows, key, [tracked], [timestamp, tie_break], slices)
+
+
 def scd2_merge(
-    history: DataFrame, batch: DataFrame, key: str, tracked: Sequence[str], timestamp: str, tie_break: str
+    history: DataFrame,
+    batch: DataFrame,
+    key: str,
+    tracked: Sequence[str],
+    timestamp: str,
+    tie_break: str,
+    slices: int | None = None,
 ) -> DataFrame:
-    """``history`` after a batch of changes, of which the latest per key counts.
+    """``history`` after a batch of changes, with every version of the batch at its time, late
+    ones between those that are known.
 
-    A changed current row is closed at the change and followed by a new current
-    one; new keys get their first row; closed rows and unchanged keys stay as they
-    are, and so do keys whose change is older than their current row. Only current
-    rows take part in the join. Running it twice with one batch changes nothing more.
+    Keys that the batch does not touch stay as they are and take no part in the ordering. A
+    change that the history already has is passed over, so that running it twice with one batch
+    changes nothing more. At one instant, known versions come before new ones.
     """
-    latest = keep_first(batch.where(F.col(key).isNotNull()), [key], [f"-{timestamp}", f"-{tie_break}"])
-    incoming = latest.select(
-        F.col(key).alias("_key"),
-        F.col(timestamp).alias("_at"),
-        *(F.col(c).alias(f"_new_{c}") for c in tracked),
-    )
     columns = [key, *tracked, "valid_from", "valid_to", "is_current"]
-    history = history.select(*columns)
-    joined = history.where("is_current").join(incoming, F.col(key) == F.col("_key"), "full")
-    same = F.lit(True)
-    for c in tracked:
-        same = same & F.col(c).eqNullSafe(F.col(f"_new_{c}"))
-    is_new, has_batch = F.col(key).isNull(), F.col("_key").isNotNull()
-    replaced = ~is_new & has_batch & ~same & (F.col("_at") > F.col("valid_from"))
-    old_row = F.struct(
-        F.col(key).alias(key),
-        *(F.col(c).alias(c) for c in tracked),
-        F.col("valid_from"),
-        F.when(replaced, F.col("_at")).alias("valid_to"),
-        (~replaced).alias("is_current"),
-    )
-    new_row = F.struct(
-        F.col("_key").alias(key),
-        *(F.col(f"_new_{c}").alias(c) for c in tracked),
-        F.col("_at").alias("valid_from"),
-        F.lit(None).cast(history.schema["valid_to"].dataType).alias("valid_to"),
-        F.lit(True).alias("is_current"),
+    history, batch = history.select(*columns), batch.where(F.col(key).isNotNull())
+    touched_keys = batch.select(key).distinct()
+    touched = history.join(touched_keys, key, "left_semi")
+    # An open end sorts behind all others of its instant.
+    known = touched.select(
+        key,
+        *tracked,
+        F.col("valid_from").alias("_at"),
+        F.lit(0).alias("_new"),
+        F.struct(F.col("valid_to").isNull().alias("open"), F.col("valid_to").alias("end")).alias("_rank"),
+        F.lit(None).cast(batch.schema[tie_break].dataType).alias("_tie"),
     )
-    versions = (
-        F.when(is_new, F.array(new_row))
-        .when(replaced, F.array(old_row, new_row))
-        .otherwise(F.array(old_row))
+    incoming = batch.select(key, *tracked, F.col(timestamp).alias("_at"), F.col(tie_break).alias("_tie"))
+    version = ["_at", *tracked]
+    fresh = null_safe_join(incoming, known.select(key, *version).distinct(), [key, *version], "left_anti")
+    rows = known.unionByName(
+        fresh.withColumns({"_new": F.lit(1), "_rank": F.lit(None).cast(known.schema["_rank"].dataType)})
     )
-    current = joined.select(F.inline(versions)).toDF(*columns)
-    return history.where(~F.col("is_current")).unionByName(current)
+    merged = _versions(rows, key, tracked, ["_at", "_new", "_rank", "_tie"], slices)
+    return history.join(touched_keys, key, "left_anti").unionByName(merged.select(*columns))
 
 
 def scd2_asof(

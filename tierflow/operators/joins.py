@@ -6,19 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tierflow.workspace import durable
-
-BROADCAST_ROWS = 100_000
 NULL_SPREAD = 1024
 
 
-def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """An aggregate, made durable, with a broadcast hint only if it holds at most ``max_rows``
-    rows. A larger one is returned plain: Spark shuffles it and splits skewed partitions."""
-    kept = durable(df)
-    return F.broadcast(kept) if kept.count() <= max_rows else kept
-
-
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which null keys match each other; the keys come from the left."""
     renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
@@ -29,7 +19,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 def with_group_stats(df: DataFrame, keys: Sequence[str], *stats: Column) -> DataFrame:
     """Group aggregates on every row, like ``agg over (partition by keys)`` but with map-side
     partial sums, so that one group may hold most of the rows. Null keys form a group."""
-    return null_safe_join(df, sized(df.groupBy(*keys).agg(*stats)), keys, "left")
+    return null_safe_join(df, df.groupBy(*keys).agg(*stats), keys, "left")
 
 
 def left_join_spread(left: DataFrame, right: DataFrame, key: str, right_key: str, spread_on: str) -> DataFrame:
@@ -46,16 +36,6 @@ def left_join_spread(left: DataFrame, right: DataFrame, key: str, right_key: str
     return joined.drop("_spread", "_spread_right")
 
 
-def salted_join(large: DataFrame, per_key: DataFrame, key: str, salts: int = 32) -> DataFrame:
-    """Inner join of many rows per key with at most one row per key. The many are spread over
-    ``salts`` tasks per key and the narrow single rows repeated for each."""
-    salted = large.withColumn("_salt", F.pmod(F.xxhash64(*large.columns), F.lit(salts)))
-    repeated = per_key.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    return salted.join(repeated, [key, "_salt"]).drop("_salt")
-
-
 def integrate(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how: str = "inner") -> DataFrame:
     """Cross-source equi-join. Spark broadcasts the smaller side if its size allows."""
     if how not in ("inner", "left", "left_semi", "left_anti", "full"):

@@ -3,21 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tierflow.operators.joins import null_safe_join
 from tierflow.operators.rules import keep_first
-from tierflow.operators.sinks import target_exists
+from tierflow.operators.sinks import directory_bytes, target_exists
 from tierflow.workspace import durable
 
 BUCKET = "_bucket"
+BUCKETS = 64
+#: Changes are folded into the base when they have grown to this share of it.
+FOLD_SHARE = 0.25
 
 
 def high_water_mark(target: DataFrame, control: str) -> Column | None:
-    """Latest control value already loaded, as a literal; ``None`` for an empty target."""
-    latest = F.max(control).cast("string").alias("mark")
-    mark = target.agg(latest).first()["mark"]
-    return None if mark is None else F.lit(mark).cast(target.schema[control].dataType)
+    """Latest control value already loaded, as a literal; ``None`` for an empty target. An instant
+    is carried as microseconds, since as text it would be told twice where clocks are set back."""
+    kind = target.schema[control].dataType
+    instant = isinstance(kind, T.TimestampType)
+    latest = F.max(control)
+    mark = target.agg((F.unix_micros(latest) if instant else latest.cast("string")).alias("mark")).first()["mark"]
+    if mark is None:
+        return None
+    return F.timestamp_micros(F.lit(mark)) if instant else F.lit(mark).cast(kind)
 
 
 def incremental(source: DataFrame, target: DataFrame, control: str) -> DataFrame:
@@ -45,17 +55,9 @@ def apply_cdc(
 
 
 def _apply(target: DataFrame, latest: DataFrame, keys: Sequence[str]) -> DataFrame:
-    change = latest.select(
-        *(F.col(k).alias(f"_k_{k}") for k in keys),
-        "_deleted",
-        F.struct(*target.columns).alias("_row"),
-    )
-    match = [F.col(k) == F.col(f"_k_{k}") for k in keys]
-    joined = target.join(change, match, "full")
-    changed = F.col("_deleted").isNotNull()
-    return joined.where(~changed | ~F.col("_deleted")).select(
-        *(F.when(changed, F.col(f"_row.{c}")).otherwise(F.col(c)).alias(c) for c in target.columns)
-    )
+    """Rows without a change, and the changes that are not deletions. Null keys match each other."""
+    kept = null_safe_join(target, latest.select(*keys), keys, "left_anti")
+    return kept.unionByName(latest.where(~F.col("_deleted")).select(*target.columns))
 
 
 def detect_deletes(previous: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -63,39 +65,85 @@ def detect_deletes(previous: DataFrame, current: DataFrame, keys: Sequence[str])
     return previous.join(current.select(*keys), list(keys), "left_anti")
 
 
+# A table kept by upserts has three folders: ``base`` and ``changes``, both partitioned by key hash, and
+# ``layout`` with what they were made with.
+
+
+def _layout(spark: SparkSession, path: str) -> dict | None:
+    if not target_exists(spark, f"{path}/layout"):
+        return None
+    return spark.read.parquet(f"{path}/layout").first().asDict()
+
+
+def _stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows of base and changes, with their bucket."""
+    fields = T.StructType([*schema.fields, T.StructField(BUCKET, T.LongType())])
+    parts = [f"{path}/{p}" for p in ("base", "changes") if target_exists(spark, f"{path}/{p}")]
+    frames = [spark.read.schema(fields).parquet(p) for p in parts]
+    return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], fields)
+
+
 def read_buckets(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A table kept by :func:`upsert_buckets`; without rows before its first batch."""
-    if not target_exists(spark, path):
+    """A table kept by :func:`upsert_buckets`: the first row of each key in the table's order. It has
+    no rows before its first batch."""
+    layout = _layout(spark, path)
+    if layout is None:
         return spark.createDataFrame([], schema)
-    stored = T.StructType([*schema.fields, T.StructField(BUCKET, T.LongType())])
-    return spark.read.schema(stored).parquet(path).drop(BUCKET)
+    rows = _stored(spark, path, schema).drop(BUCKET)
+    return keep_first(rows, layout["keys"], layout["order"])
 
 
 def upsert_buckets(
-    batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], buckets: int = 64
+    batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], buckets: int | None = None
 ) -> None:
-    """``batch`` merged into the Parquet table at ``path``, which is partitioned by key hash.
+    """``batch`` merged into the table at ``path``.
 
-    Only the buckets of the batch's keys are read and rewritten. The merged rows are
-    made durable before the overwrite, since a path must not be read while it is
-    replaced.
+    A batch costs its own size: it is appended to the changes. Readers take the first row
+    of each key in ``order`` over base and changes, so an older row never displaces a newer one, in
+    whatever order batches come and however often. When the changes have grown to a share of the
+    base, they are folded into it. Keys, order and the number of buckets are stored with the first
+    batch; others are refused.
     """
-    spark, schema = batch.sparkSession, batch.schema
-    # The batch is read once; its buckets and the merge come from the stored rows.
-    latest = durable(keep_first(batch, keys, order))
+    spark = batch.sparkSession
+    layout = _layout(spark, path)
+    wanted = {"keys": list(keys), "order": list(order)}
+    if layout is None:
+        layout = {**wanted, "buckets": buckets or BUCKETS}
+        made = spark.createDataFrame([tuple(layout.values())], "keys array<string>, order array<string>, buckets int")
+        made.coalesce(1).write.parquet(f"{path}/layout")
+    if {**wanted, "buckets": buckets or layout["buckets"]} != layout:
+        raise ValueError(f"{path} was made with {layout}")
+    latest = keep_first(batch, keys, order)
+    _write_buckets(latest, f"{path}/changes", keys, layout["buckets"], "append")
+    base = directory_bytes(spark, f"{path}/base") if target_exists(spark, f"{path}/base") else 0
+    if directory_bytes(spark, f"{path}/changes") > FOLD_SHARE * base:
+        fold_buckets(spark, path, batch.schema)
+
+
+def _write_buckets(df: DataFrame, path: str, keys: Sequence[str], buckets: int, mode: str) -> None:
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias(BUCKET)
-    if target_exists(spark, path):
-        # At most ``buckets`` numbers.
-        touched = [r[0] for r in latest.select(bucket).distinct().collect()]
-        stored = T.StructType([*schema.fields, T.StructField(BUCKET, T.LongType())])
-        current = spark.read.schema(stored).parquet(path).where(F.col(BUCKET).isin(touched))
-        change = latest.withColumn("_deleted", F.lit(False))
-        latest = durable(_apply(current.drop(BUCKET), change, keys))
     (
-        latest.withColumn(BUCKET, bucket)
+        df.withColumn(BUCKET, bucket)
         .hint("rebalance", F.col(BUCKET))
-        .write.mode("overwrite")
+        .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(BUCKET)
         .parquet(path)
     )
+
+
+def fold_buckets(spark: SparkSession, path: str, schema: T.StructType) -> None:
+    """The changes folded into the base, whose other buckets stay as they are.
+
+    The merged rows are made durable before the overwrite, since a path must not be read while it
+    is replaced. A run that breaks off leaves changes that the base already has, which make no
+    difference to readers.
+    """
+    layout = _layout(spark, path)
+    changes = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/changes")
+    stored = _stored(spark, path, schema)
+    touched = spark.read.parquet(f"{path}/changes").select(BUCKET).distinct()
+    rows = stored.join(F.broadcast(touched), BUCKET, "left_semi")  # at most one row per bucket
+    merged = durable(keep_first(rows.drop(BUCKET), layout["keys"], layout["order"]))
+    _write_buckets(merged, f"{path}/base", layout["keys"], layout["buckets"], "overwrite")
+    changes.getFileSystem(spark._jsc.hadoopConfiguration()).delete(changes, True)

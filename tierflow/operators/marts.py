@@ -7,15 +7,20 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tierflow.functions.money import exact_mean, exact_sum
-from tierflow.operators.joins import salted_join
+from tierflow.functions.money import exact_sum
+from tierflow.operators.history import surrogate_key
 from tierflow.operators.ordered import ntile
-from tierflow.workspace import durable
 
 
-def average_price(df: DataFrame, district: str, price: Column) -> DataFrame:
-    """Listings and mean price per district."""
-    return df.groupBy(district).agg(F.count("*").alias("n"), exact_mean(price).alias("avg_price"))
+def priced_owners(df: DataFrame, owner: str, price: Column) -> DataFrame:
+    """Listings, those with a price, and the sum of prices of each owner: one row for a join."""
+    return df.groupBy(owner).agg(F.count("*").alias("n"), F.count(price).alias("n_priced"), F.sum(price).alias("prices"))
+
+
+def average_price(owners: DataFrame, district: str) -> DataFrame:
+    """Listings and mean price per district, from :func:`priced_owners`."""
+    mean = F.try_divide(F.sum("prices").cast("double"), F.sum("n_priced").cast("double"))
+    return owners.groupBy(district).agg(F.sum("n").alias("n"), mean.alias("avg_price"))
 
 
 def type_shares(df: DataFrame, kind: str) -> DataFrame:
@@ -45,9 +50,14 @@ def segment_counts(df: DataFrame, measure: str, limits: Sequence[tuple[str, floa
     return df.groupBy(segment.otherwise(otherwise).alias("segment")).agg(F.count("*").alias("n"))
 
 
-def active_density(df: DataFrame, area: str, active: Column, k: int) -> DataFrame:
-    """The ``k`` areas with most active rows."""
-    counts = df.where(active).groupBy(area).agg(F.count("*").alias("n_active"))
+def active_owners(df: DataFrame, owner: str, active: Column) -> DataFrame:
+    """Active rows of each owner."""
+    return df.where(active).groupBy(owner).agg(F.count("*").alias("n_active"))
+
+
+def active_density(owners: DataFrame, area: str, k: int) -> DataFrame:
+    """The ``k`` areas with most active rows, from :func:`active_owners`."""
+    counts = owners.groupBy(area).agg(F.sum("n_active").alias("n_active"))
     return counts.orderBy(F.desc("n_active"), area).limit(k)
 
 
@@ -173,15 +183,13 @@ def funnel(events: DataFrame, user: str, kind: str, timestamp: str, steps: Seque
     """Users reaching each step strictly after the step before it, and the share of the first
     step's users. Each step keeps one row per user: the earliest time it was reached."""
     wanted = events.where(F.col(user).isNotNull() & F.col(kind).isin(*steps)).select(user, kind, timestamp)
-    reached = durable(
-        wanted.where(F.col(kind) == steps[0]).groupBy(user).agg(F.min(timestamp).alias("_at"))
-    )
+    reached = wanted.where(F.col(kind) == steps[0]).groupBy(user).agg(F.min(timestamp).alias("_at"))
     levels = [reached]
     for step in steps[1:]:
-        later = salted_join(wanted.where(F.col(kind) == step), reached, user)
-        reached = durable(
-            later.where(F.col(timestamp) > F.col("_at")).groupBy(user).agg(F.min(timestamp).alias("_at"))
-        )
+        # A busy user's events are partly summed before the shuffle where the join is broadcast, and
+        # adaptive execution splits them otherwise.
+        later = wanted.where(F.col(kind) == step).join(reached, user)
+        reached = later.where(F.col(timestamp) > F.col("_at")).groupBy(user).agg(F.min(timestamp).alias("_at"))
         levels.append(reached)
     counted = [
         level.agg(F.count("*").alias("n")).select(
@@ -195,7 +203,8 @@ def funnel(events: DataFrame, user: str, kind: str, timestamp: str, steps: Seque
 
 
 def gross_margin(df: DataFrame, keys: Sequence[str], revenue: Column, cogs: Column, shipping: Column) -> DataFrame:
-    """``(revenue - cogs - shipping) / revenue`` per key; null for no revenue."""
+    """``(revenue - cogs - shipping) / revenue`` per key; null for no revenue. Lines may come summed per
+    product, since their costs are linear."""
     totals = df.groupBy(*keys).agg(
         exact_sum(revenue).alias("revenue"),
         exact_sum(cogs).alias("cogs"),
@@ -249,12 +258,24 @@ def customer_360(
     return view.fillna(0, subset=list(zero_filled))
 
 
+UNKNOWN = "unknown"
+
+
+def with_member_key(facts: DataFrame, members: DataFrame, column: str, name: str, unknown: str = UNKNOWN) -> DataFrame:
+    """Facts with the surrogate key of a dimension in ``name``: a hash of the business key in ``column``,
+    or the unknown member where the dimension, which has that column, lacks it. No fact is dropped.
+
+    Only the members' keys are joined. Do this on the table that carries the key with the fewest rows.
+    """
+    known = members.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_member", F.lit(True))
+    key = F.when(F.col("_member"), surrogate_key(column)).otherwise(unknown)
+    return facts.join(known, column, "left").withColumn(name, key).drop("_member")
+
+
 def star_fact(lines: DataFrame, dimensions: Sequence[tuple[DataFrame, str, str]]) -> DataFrame:
-    """Facts with the surrogate key of each dimension, given as (dimension, fact column, name);
-    a dimension has the business key under the fact column's name and ``surrogate``."""
+    """Facts with the surrogate key of each dimension, given as (dimension, fact column, name)."""
     for dimension, column, name in dimensions:
-        lookup = dimension.select(column, F.col("surrogate").alias(name))
-        lines = lines.join(lookup, column)
+        lines = with_member_key(lines, dimension, column, name)
     return lines
 
 

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tierflow.operators.joins import null_safe_join, sized
+from tierflow.operators.joins import null_safe_join
 from tierflow.workspace import durable
 
 SLICE = "_slice"
@@ -170,7 +170,7 @@ def exact_percentiles(
     sliced = slice_rows(counted, keys, [value], slices)
     totals = sliced.groupBy(*keys).agg(F.sum("_n").alias("_rows"))
     running = running_total(sliced, keys, [value], "_n", "_upto")
-    ranked = null_safe_join(running, sized(totals), keys)
+    ranked = null_safe_join(running, totals, keys)
     upto, first = F.col("_upto"), F.col("_upto") - F.col("_n")
 
     def at(index: Column) -> Column:

@@ -5,9 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from tierflow.operators.joins import null_safe_join, sized, with_group_stats
+from tierflow.functions.keys import unambiguous
+from tierflow.operators.joins import null_safe_join, with_group_stats
 from tierflow.operators.ordered import exact_percentiles
 from tierflow.operators.rules import AUDIT_COLUMNS, not_null
 
@@ -134,11 +136,12 @@ def quality_report(
 
 
 def error_report(spark: SparkSession, entity: str, date: str, error: Exception) -> DataFrame:
-    """The report row of a validation that could not run."""
-    return spark.createDataFrame(
-        [(entity, date, "ERROR", str(error))],
-        "entity string, date string, status string, error string",
-    ).withColumn("timestamp", F.current_timestamp())
+    """The report row of a validation that could not run, in the report's columns."""
+    empty = quality_report(spark.createDataFrame([], "id int"), entity, date)
+    facts = {"status": F.lit("ERROR"), "error": F.lit(str(error))}
+    unknown = ("bronze_count", "bronze_schema", "missing_audit_fields", "null_ids", "duplicate_count")
+    kinds = dict(empty.dtypes)
+    return empty.withColumns({**facts, **{c: F.lit(None).cast(kinds[c]) for c in unknown}})
 
 
 def report_json(report: DataFrame) -> DataFrame:
@@ -269,7 +272,7 @@ def reconcile(
     tagged = [
         side.select(
             F.col(key).alias("_key"),
-            F.xxhash64(*(F.col(c).cast("string") for c in compare)).alias("_hash"),
+            F.sha2(unambiguous(*compare), 256).alias("_hash"),
             F.lit(is_raw).alias("_raw"),
         )
         for side, is_raw in ((raw, True), (bronze, False))
@@ -353,14 +356,19 @@ def completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def match_share(
     df: DataFrame, truth: DataFrame, key: str, truth_key: str, value: str, truth_value: str
 ) -> DataFrame:
-    """Accuracy and consistency: share of rows whose key joins, and whose value then agrees."""
-    expected = truth.select(F.col(truth_key).alias("_tk"), F.col(truth_value).alias("_tv"))
-    # Rows of one key and value are counted first; hot keys reach the join as few rows.
-    folded = df.groupBy(key, value).agg(F.count("*").alias("_n"))
-    joined = folded.join(expected, F.col(key) == F.col("_tk"), "left")
+    """Accuracy and consistency: share of rows whose key joins, and whose value then agrees with
+    one of the key's true values. Repeated rows of the truth count once."""
+    # Rows of one key and value are counted first, and the truth is one row per key and value;
+    # hot keys reach the join as few rows.
+    folded = df.groupBy(F.col(key).alias("_k"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    pairs = truth.where(F.col(truth_key).isNotNull()).groupBy(
+        F.col(truth_key).alias("_k"), F.col(truth_value).alias("_v")
+    ).agg(F.lit(True).alias("_true"))
+    keys = pairs.groupBy("_k").agg(F.lit(True).alias("_known"))
+    joined = folded.join(pairs, ["_k", "_v"], "left").join(keys, "_k", "left")
     n = F.sum("_n").cast("double")
-    found = F.sum(F.when(F.col("_tk").isNotNull(), F.col("_n")).otherwise(0)).cast("double")
-    equal = F.sum(F.when(F.col(value) == F.col("_tv"), F.col("_n")).otherwise(0)).cast("double")
+    found = F.sum(F.when(F.col("_known"), F.col("_n")).otherwise(0)).cast("double")
+    equal = F.sum(F.when(F.col("_true"), F.col("_n")).otherwise(0)).cast("double")
     return joined.agg(
         F.try_divide(found, n).alias("consistency"), F.try_divide(equal, n).alias("accuracy")
     )
@@ -383,10 +391,33 @@ def schema_drift_table(old: DataFrame, new: DataFrame) -> DataFrame:
     )
 
 
+def _common_type(spark: SparkSession, one: T.DataType, other: T.DataType) -> T.DataType:
+    """The narrowest type that holds both; text where there is no other."""
+    if one == other or isinstance(other, T.NullType):
+        return one
+    if isinstance(one, T.StringType) or isinstance(other, T.StringType):
+        return T.StringType()
+    both = F.coalesce(F.lit(None).cast(one), F.lit(None).cast(other)).alias("both")
+    try:
+        return spark.range(0).select(both).schema["both"].dataType
+    except AnalysisException:
+        return T.StringType()
+
+
 def evolve_union(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rows of both versions under the union of their columns, missing ones null. A column
-    whose type changed takes the wider type of the two."""
-    return old.unionByName(new, allowMissingColumns=True)
+    whose type changed takes the wider type of the two, or text where neither is wider."""
+    before, after = ({f.name: f.dataType for f in df.schema.fields} for df in (old, new))
+    common = {
+        c: _common_type(old.sparkSession, before[c], after[c])
+        for c in before.keys() & after.keys()
+        if before[c] != after[c]
+    }
+
+    def widened(df: DataFrame) -> DataFrame:
+        return df.withColumns({c: F.col(c).cast(t) for c, t in common.items()}) if common else df
+
+    return widened(old).unionByName(widened(new), allowMissingColumns=True)
 
 
 def zscore_outliers(df: DataFrame, keys: Sequence[str], value: str, limit: float = 3.0) -> DataFrame:
@@ -402,7 +433,7 @@ def iqr_outliers(df: DataFrame, keys: Sequence[str], value: str, factor: float =
     """Rows beyond ``factor`` quartile ranges from their group's quartiles. Quartiles are exact."""
     quartiles = exact_percentiles(df, keys, value, {"q1": 0.25, "q3": 0.75})
     fences = with_fences(quartiles, factor)
-    joined = null_safe_join(df, sized(fences), keys)
+    joined = null_safe_join(df, fences, keys)
     return joined.where((F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
 
 

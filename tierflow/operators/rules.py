@@ -81,7 +81,8 @@ def _sort_columns(df: DataFrame, order: Sequence[str]) -> list[Column]:
         for n, t in df.dtypes
         if n not in AUDIT_COLUMNS
     ]
-    return [*listed, F.xxhash64(*content)]
+    # A hash skips nulls, so their places are hashed too.
+    return [*listed, F.xxhash64(*(part for c in content for part in (c.isNull(), c)))]
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:

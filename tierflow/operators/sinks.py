@@ -88,13 +88,13 @@ def union_sorted_fields(*frames: DataFrame) -> DataFrame:
     return first.select(*sorted(first.columns))
 
 
-def write_landing(rows: DataFrame, path: str, allow_overwrite: bool = False) -> None:
-    """Files as bytes, by content type. Empty files are refused."""
-    if not rows.where("is_empty").isEmpty():
-        raise EmptyInput("refusing to land an empty file")
-    require_rows(rows).write.mode(_guarded(rows, path, allow_overwrite)).partitionBy(
-        "content_type"
-    ).parquet(path)
+def make_way(spark: SparkSession, path: str, allow_overwrite: bool) -> None:
+    """Refuse a target that is there, or remove it where overwriting is allowed."""
+    if target_exists(spark, path):
+        if not allow_overwrite:
+            raise TargetExists(f"{path} exists; pass allow_overwrite=True to replace it")
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
 def write_report(report: DataFrame, path: str) -> None:
