@@ -24,6 +24,10 @@ def _event_stream(spark, sf_dir):
     return jobs.read_stream(spark, sf_dir, schema, name_glob="events.parquet")
 
 
+def _appended(spark, result, name):
+    return jobs.run_append(result, staging_path(spark, name), staging_path(spark, f"{name}-state"))
+
+
 def _aggregates():
     return F.count("*").alias("n"), exact_sum(money(F.col("value"))).alias("total")
 
@@ -78,7 +82,7 @@ def stream_tumbling(spark, sf_dir):
     """The windows that the watermark has closed once the stream has read everything."""
     stream = jobs.with_watermark(_event_stream(spark, sf_dir).select("ts", "event_type", "value"), "ts", "10 minutes")
     result = jobs.tumbling(stream, "ts", "1 hour", ["event_type"], *_aggregates())
-    return _window_columns(jobs.run_append(result, "tumbling"))
+    return _window_columns(_appended(spark, result, "tumbling"))
 
 
 @query(
@@ -94,7 +98,7 @@ def stream_tumbling(spark, sf_dir):
 def stream_session(spark, sf_dir):
     stream = jobs.with_watermark(_event_stream(spark, sf_dir).select("ts", "user_id"), "ts", "10 minutes")
     result = jobs.sessions(stream, "ts", "6 hours", ["user_id"], F.count("*").alias("n"))
-    return _window_columns(jobs.run_append(result, "sessions"))
+    return _window_columns(_appended(spark, result, "sessions"))
 
 
 @query("SELECT event_id AS id, ts AS event_time, event_type, value FROM events WHERE value > 0")
@@ -110,7 +114,7 @@ def stream_bronze(spark, sf_dir):
     spec = EntitySpec("events", positives=("value",))
     renamed = stream.withColumnRenamed("Event-Time", "event_time")
     bronze = jobs.stream_to_bronze(renamed, spec, "20240131", "event_time", "31 days")
-    written = jobs.run_append(bronze, "bronze")
+    written = _appended(spark, bronze, "bronze")
     return written.select("id", F.col("event_time").cast(NTZ).alias("event_time"), "event_type", "value")
 
 
@@ -120,6 +124,12 @@ def stream_bronze(spark, sf_dir):
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
 )
 def stream_upsert(spark, sf_dir):
-    """The latest event per user, kept in a bucketed table by micro-batches."""
-    stream = _event_stream(spark, sf_dir).select("user_id", "event_id", "event_type", "ts")
-    return jobs.run_upsert(stream, ["user_id"], ["-ts", "-event_id"], "latest-event", buckets=8)
+    """The latest event per user, kept in a bucketed table by micro-batches that come out of order:
+    the last third of the month first, then the first, then the rest."""
+    events, folder = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), staging_path(spark, "unordered")
+    day = F.dayofmonth("ts")
+    for part in (day > 20, day <= 10, (day > 10) & (day <= 20)):
+        events.where(part).coalesce(1).write.mode("append").parquet(folder)
+    stream = jobs.read_stream(spark, folder, events.schema, files_per_trigger=1).drop("_source_file")
+    state = staging_path(spark, "latest-event-state")
+    return jobs.run_upsert(stream, ["user_id"], ["-ts", "-event_id"], staging_path(spark, "latest-event"), state, buckets=8)

@@ -12,7 +12,6 @@ from tierflow.operators.rules import audited, validity_rules
 from tierflow.operators.sinks import target_exists
 from tierflow.plans.bronze import prepare
 from tierflow.specs import EntitySpec
-from tierflow.workspace import staging_path
 
 LOCAL_SESSIONS = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
@@ -77,9 +76,9 @@ def sliding(
 def sessions(
     events: DataFrame, timestamp: str, gap: str, keys: Sequence[str], *aggregates: Column
 ) -> DataFrame:
-    """Windows that end after ``gap`` without an event. Sessions are merged inside each input
-    partition first, so that a busy key is shuffled as sessions and not as events."""
-    events.sparkSession.conf.set(LOCAL_SESSIONS, True)
+    """Windows that end after ``gap`` without an event. Set ``LOCAL_SESSIONS`` in the session to merge
+    them inside each input partition first, so that a busy key is shuffled as sessions and
+    not as events."""
     return _windowed(events, F.session_window(timestamp, gap), keys, aggregates)
 
 
@@ -97,40 +96,39 @@ def with_watermark(events: DataFrame, timestamp: str, late_by: str) -> DataFrame
     return event_time(events, timestamp).withWatermark(timestamp, late_by)
 
 
-def start_append(df: DataFrame, path: str, name: str) -> StreamingQuery:
-    """Append to Parquet all that is there now, exactly once, then stop."""
+def start_append(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append to Parquet all that is there now, then stop. Started again with the same
+    ``checkpoint`` and ``path``, it goes on where it stopped; nothing is written twice."""
     return (
         df.writeStream.format("parquet")
         .outputMode("append")
         .option("path", path)
-        .option("checkpointLocation", staging_path(df.sparkSession, f"{name}-state"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
 
 
-def run_append(df: DataFrame, name: str) -> DataFrame:
-    """:func:`start_append` into a new table, awaited; returns the table."""
-    spark, path = df.sparkSession, staging_path(df.sparkSession, name)
-    start_append(df, path, name).awaitTermination()
-    if not target_exists(spark, path):  # nothing arrived
-        return spark.createDataFrame([], df.schema)
-    return spark.read.schema(df.schema).parquet(path)
+def run_append(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """:func:`start_append`, awaited; returns the table."""
+    start_append(df, path, checkpoint).awaitTermination()
+    if not target_exists(df.sparkSession, path):  # nothing arrived
+        return df.sparkSession.createDataFrame([], df.schema)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def run_upsert(
-    stream: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, buckets: int = 64
+    stream: DataFrame, keys: Sequence[str], order: Sequence[str], path: str, checkpoint: str, buckets: int | None = None
 ) -> DataFrame:
-    """Each micro-batch merged into a bucketed table, rewriting only the buckets it touches.
-    A repeated batch leads to the same rows."""
-    spark, path = stream.sparkSession, staging_path(stream.sparkSession, name)
+    """Each micro-batch merged into the table at ``path``; returns the table. Started again with the
+    same ``checkpoint``, it goes on where it stopped; a batch that is repeated leads to the same rows."""
     query = (
         stream.writeStream.foreachBatch(
             lambda batch, _: upsert_buckets(batch, path, keys, order, buckets)
         )
-        .option("checkpointLocation", staging_path(spark, f"{name}-state"))
+        .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return read_buckets(spark, path, stream.schema)
+    return read_buckets(stream.sparkSession, path, stream.schema)
