@@ -30,7 +30,7 @@ def test_nyc(spark, tmp_path):
     lake, out = f"file://{tmp_path}/lake", f"file://{tmp_path}/out"
     spec = replace(NYC, order=("-price",))
     run = bronze.run_bronze_from_lake(spark, spec, lake, out, "p", "20240131")
-    written = spark.read.parquet(f"{out}/p/nyc/20240131/")
+    written = spark.read.parquet(f"{out}/p/csv/nyc/20240131/")
     assert run.rows == 2 and run.raw_rows == 6 and run.dropped == 4
     got = {r["id"]: r for r in written.collect()}
     assert set(got) == {1, 4}
@@ -44,9 +44,9 @@ def test_nyc(spark, tmp_path):
     assert (types["id"], types["host_id"], types["latitude"], types["price"]) == ("bigint", "bigint", "double", "decimal(10,2)")
     assert {r["column"] for r in run.profile.collect()} == set(NYC.profile)
 
-    report = bronze.validate_bronze(spark, out, "nyc", "p", "20240131").first()
+    report = bronze.validate_bronze(spark, out, "nyc", "p", "20240131", source="csv").first()
     assert (report["status"], report["bronze_count"], report["null_ids"], report["duplicate_count"]) == ("SUCCESS", 2, 0, 0)
-    text = [r["value"] for r in spark.read.text(f"{out}/reports/nyc_validation_20240131.txt").collect()]
+    text = [r["value"] for r in spark.read.text(f"{out}/reports/csv_nyc_validation_20240131.txt").collect()]
     stored = json.loads(text[0])
     assert len(text) == 1 and stored["status"] == "SUCCESS"
     assert json.loads(stored["bronze_schema"])["type"] == "struct"
@@ -142,5 +142,13 @@ def test_report_of_incomplete_tables(spark):
     assert report["status"] == "SUCCESS" and report["null_ids"] is None
     empty = quality.quality_report(keyless.limit(0), "x", "d").first()
     assert empty["status"] == "WARNING" and empty["bronze_count"] == 0
-    failed = quality.error_report(spark, "x", "d", RuntimeError("gone")).first()
-    assert (failed["status"], failed["error"]) == ("ERROR", "gone")
+    failed = quality.error_report(spark, "x", "d", RuntimeError("gone"))
+    assert failed.dtypes == quality.quality_report(df, "x", "d").dtypes
+    assert (failed.first()["status"], failed.first()["error"], failed.first()["bronze_count"]) == ("ERROR", "gone", None)
+
+
+def test_validation_of_a_missing_table(spark, tmp_path):
+    report = bronze.validate_bronze(spark, f"file://{tmp_path}", "x", "p", "20240131").first()
+    assert report["status"] == "ERROR" and "PATH_NOT_FOUND" in report["error"]
+    stored = [r["value"] for r in spark.read.text(f"{tmp_path}/reports/api_x_validation_20240131.txt").collect()]
+    assert json.loads(stored[0])["status"] == "ERROR"

@@ -1,14 +1,16 @@
 from __future__ import annotations
 
+import hashlib
 import json
+import pathlib
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from tierflow.operators.sinks import EmptyInput
+from tierflow.operators.sinks import EmptyInput, TargetExists
 from tierflow.plans import ingest
-from tierflow.plans.bronze import run_bronze
+from tierflow.plans.bronze import run_bronze, run_bronze_from_lake
 from tierflow.sources import fetch
 from tierflow.specs import ENDPOINTS, SCRAPES, EntitySpec, endpoint_spec
 
@@ -89,10 +91,11 @@ def test_pages_until_gap(spark):
         ("s21", 1, "GET", "http://h/s21", {}),
         ("e", 1, "GET", "http://h/e", {}),
         ("t", 1, "GET", "http://h/t/{page}", {}),
+        ("s1", 1, "GET", "http://h/s1", None),
     ).drop("page")
     kept, failed = fetch.fetch_pages(df, paged, first_wave=2, policy=QUICK)
     per_source = {r["request_id"]: r["n"] for r in kept.groupBy("request_id").agg(F.count("*").alias("n")).collect()}
-    assert per_source == {"s2": 2, "s21": 21, "e": 1, "t": 3}
+    assert per_source == {"s1": 1, "s2": 2, "s21": 21, "e": 1, "t": 3}
     assert [(r["request_id"], r["page"], r["error"]) for r in failed.collect()] == [("e", 2, "HTTP 404")]
 
 
@@ -165,8 +168,13 @@ def test_ingest_routes_by_source(spark, tmp_path):
     options = landing_options(tmp_path)
     target = ingest.ingest(spark, "api", "reviews", transport=lambda *_: (200, data), **options)
     assert target.endswith("p/api/reviews/dom_api_reviews_20240131.csv.gz")
-    row = spark.read.parquet(target).first()
-    assert bytes(row["content"]) == data and row["content_type"] == "application/gzip"
+    assert open(target.removeprefix("file://"), "rb").read() == data
+    row = spark.read.parquet(ingest.manifest_path(target)).first()
+    assert (row["n_bytes"], row["sha256"]) == (len(data), hashlib.sha256(data).hexdigest())
+    with pytest.raises(TargetExists):
+        ingest.ingest(spark, "api", "reviews", transport=lambda *_: (200, data), **options)
+    with pytest.raises(EmptyInput):
+        ingest.ingest(spark, "api", "calendar", transport=lambda *_: (200, b""), **options)
     with pytest.raises(RuntimeError, match="HTTP 404"):
         ingest.ingest(spark, "api", "calendar", transport=lambda *_: (404, b""), **options)
     posts = ingest.ingest(spark, "api", "posts", transport=lambda *_: (200, '[{"id": 1}]'), **options)
@@ -177,7 +185,13 @@ def test_ingest_routes_by_source(spark, tmp_path):
     (folder / "a.csv").write_text("id\n1\n")
     options.pop("policy")
     landed = ingest.ingest(spark, "csv", "items", folder=str(tmp_path / "data"), **options)
-    assert [bytes(r["content"]) for r in spark.read.parquet(landed).collect()] == [b"id\n1\n"]
+    assert {p.name: p.read_bytes() for p in pathlib.Path(landed.removeprefix("file://")).iterdir()} == {"a.csv": b"id\n1\n", "b.csv": b"id\n2\n"}
+    run = run_bronze_from_lake(spark, EntitySpec("items", source="csv", fmt="csv"), options["bucket"], f"file://{tmp_path}/out", "p", "20240131")
+    assert run.rows == 2
+    options.pop("base_url")
+    first, left_out = ingest.land_csv_folder(spark, "items", str(folder), **options, first_only=True, allow_overwrite=True)
+    assert open(first.removeprefix("file://"), "rb").read() == b"id\n1\n" and [p.rsplit("/", 1)[-1] for p in left_out] == ["b.csv"]
+    options["base_url"] = "http://h"
     with pytest.raises(ValueError, match="ftp"):
         ingest.ingest(spark, "ftp", "x", **options)
 
@@ -196,8 +210,8 @@ def test_scrape_pages(spark):
 def test_land_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "calendar.csv.gz").write_bytes(b"\x1f\x8b rest")
-    target = ingest.land_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), "*.gz")
-    assert bytes(spark.read.parquet(target).first()["content"]) == b"\x1f\x8b rest"
+    target = ingest.land_files(spark, str(tmp_path / "in"), str(tmp_path / "out" / "c.csv.gz"), "*.gz")
+    assert open(target, "rb").read() == b"\x1f\x8b rest"
     (tmp_path / "in" / "reviews.csv.gz").write_bytes(b"")
     with pytest.raises(EmptyInput, match="reviews"):
         ingest.land_files(spark, str(tmp_path / "in"), str(tmp_path / "more"), "*.gz")

@@ -77,7 +77,7 @@ def test_paths():
     assert names.bucket_path("file:///x", "a/b") == "file:///x/a/b"
     assert names.raw_glob("p", "api", "posts", "20240131", "json") == "p/api/posts/*20240131.json*"
     assert names.raw_glob("p", "csv", "nyc", "20240131", "csv", compressed=False) == "p/csv/nyc/*20240131.csv"
-    assert names.bronze_dir("p", "nyc", "20240131") == "p/nyc/20240131/"
+    assert names.bronze_dir("p", "csv", "nyc", "20240131") == "p/csv/nyc/20240131/"
     assert names.raw_key("p", "api", "posts", "dom", "20240131", "json") == "p/api/posts/dom_api_posts_20240131.json"
     assert names.raw_key("", "api", "posts", "dom", "20240131", "csv.gz") == "api/posts/dom_api_posts_20240131.csv.gz"
 

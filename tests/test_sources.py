@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import json
 
 import pytest
@@ -49,7 +50,8 @@ def test_json_array_object_and_empty(spark, tmp_path):
 )
 def test_layout_of_json_is_recognised(spark, tmp_path, text, multi_line):
     (tmp_path / "a.json").write_text(text)
-    assert files.is_multi_line_json(spark, str(tmp_path)) is multi_line
+    by_line, documents = files.multi_line_files(spark, str(tmp_path))
+    assert (len(by_line), len(documents)) == ((0, 1) if multi_line else (1, 0))
     df = files.scan(spark, str(tmp_path), "json", T.StructType([T.StructField("id", T.LongType())]))
     assert sorted(r["id"] for r in df.where("id is not null").collect()) == [1, 2]
 
@@ -122,19 +124,24 @@ def test_landing_keeps_bytes(spark, tmp_path):
     (drop / "a.csv.gz").write_bytes(data)
     (drop / "b.csv").write_text("id\n")
     (drop / "c.bin").write_bytes(b"\xff\x00")
-    rows = landing.landing_rows(files.scan_files(spark, str(drop)))
-    sinks.write_landing(rows, target)
-    landed = {r["path"].rsplit("/", 1)[-1]: r for r in spark.read.parquet(target).collect()}
-    assert bytes(landed["a.csv.gz"]["content"]) == data
-    assert {n: r["content_type"] for n, r in landed.items()} == {
-        "a.csv.gz": "application/gzip", "b.csv": "text/csv", "c.bin": "application/octet-stream"
-    }
+    files_found = files.scan_files(spark, str(drop)).select("path", F.concat(F.lit(f"{target}/"), files.basename(F.col("path"))).alias("target"))
+    manifest = {r["target"].rsplit("/", 1)[-1]: r for r in landing.copy_objects(files_found).collect()}
+    assert (tmp_path / "landed" / "a.csv.gz").read_bytes() == data
+    assert manifest["c.bin"]["n_bytes"] == 2 and manifest["a.csv.gz"]["sha256"] == hashlib.sha256(data).hexdigest()
     with pytest.raises(sinks.TargetExists):
-        sinks.write_landing(rows, target)
-    blank = spark.createDataFrame([("x.csv", bytearray())], "path string, content binary")
-    with pytest.raises(sinks.EmptyInput):
-        sinks.write_landing(landing.landing_rows(blank), target, True)
+        sinks.make_way(spark, target, False)
+
 
+def test_mixed_layouts_lose_nothing(spark, tmp_path):
+    """Lines, documents over several lines, an indented array and twenty bad lines, in one folder."""
+    (tmp_path / "lines.json").write_text('{"id": 1}\n{"id": 2}\n')
+    (tmp_path / "pretty one.json").write_text('{\n  "id": 3\n}\n')
+    (tmp_path / "array.json").write_text('[\n  {"id": 4},\n  {"id": 5}\n]\n')
+    (tmp_path / "bad.json").write_text("{oops\n" * 20 + "".join(f'{{"id": {i}}}\n' for i in range(10, 20)))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField(files.CORRUPT, T.StringType())])
+    good, bad = files.split_corrupt(files.scan(spark, str(tmp_path), "json", schema))
+    assert sorted(r["id"] for r in good.collect()) == [1, 2, 3, 4, 5, *range(10, 20)]
+    assert len(bad.collect()) == 20
 
 @pytest.mark.parametrize(
     "body, records",

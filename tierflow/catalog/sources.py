@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from tierflow.catalog.registry import query, table
 from tierflow.functions.names import raw_glob, raw_key as raw_key_path, raw_key_column
 from tierflow.operators import sinks
+from tierflow.plans import bronze, ingest
 from tierflow.plans.ingest import land_records
 from tierflow.sources import fetch, files, html, landing, payload, sniff
+from tierflow.specs import EntitySpec
 from tierflow.workspace import staging_path
 
 
@@ -98,14 +100,16 @@ def csv_sniff(spark, sf_dir):
 
 @query("SELECT 'application/gzip' AS content_type, true AS bytes_kept, count(*) AS n_rows FROM orders")
 def land_binary(spark, sf_dir):
-    """Gzip files landed as bytes, compared with their source by checksum."""
+    """Gzip files landed as the objects they are, compared with their source by checksum."""
     orders, drop = table(spark, sf_dir, "orders"), staging_path(spark, "drop")
-    orders.write.option("header", True).option("compression", "gzip").csv(drop)
-    source, target = files.scan_files(spark, drop, "*.csv.gz"), staging_path(spark, "landed")
-    sinks.write_landing(landing.landing_rows(source), target)
-    landed = spark.read.parquet(target).select("path", "content_type", F.sha2("content", 256).alias("_kept"))
-    checks = source.select("path", F.sha2("content", 256).alias("_sent")).join(landed, "path", "left")
-    n_rows = files.scan_csv(spark, drop, orders.schema).agg(F.count("*")).scalar()
+    orders.repartition(3).write.option("header", True).option("compression", "gzip").csv(drop)
+    target = ingest.land_files(spark, drop, f"{staging_path(spark, 'landed')}/orders.csv.gz", "*.csv.gz")
+    name = files.basename(F.col("path"))
+    read = lambda folder, column: files.scan_files(spark, folder, "*.csv.gz").select(
+        name.alias("name"), landing.content_type(F.col("path")).alias("content_type"), F.sha2("content", 256).alias(column)
+    )
+    checks = read(target, "_kept").join(read(drop, "_sent").drop("content_type"), "name", "full")
+    n_rows = files.scan_csv(spark, target, orders.schema).agg(F.count("*")).scalar()
     return checks.groupBy("content_type").agg(
         F.bool_and(F.coalesce(F.col("_kept") == F.col("_sent"), F.lit(False))).alias("bytes_kept")
     ).withColumn("n_rows", n_rows)
@@ -274,6 +278,49 @@ def ingest_raw(spark, sf_dir):
     return files.scan_json(spark, path, records.schema).drop(files.SOURCE_FILE)
 
 
+_BRONZE_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders"
+
+
+def _bronze_of_lake(spark, entity, source, lake, schema):
+    spec = EntitySpec(entity, source=source, fmt="csv", keys=("o_orderkey",), schema=schema)
+    run = bronze.run_bronze_from_lake(spark, spec, lake, _bucket(spark, "bronze"), "shop", "20240131")
+    return spark.read.parquet(run.path).select(*schema.names)
+
+
+def _bucket(spark, name):
+    """A folder of the shared one, as a bucket with a scheme."""
+    path = staging_path(spark, name)
+    return path if "://" in path else f"file://{path}"
+
+
+@query(_BRONZE_ORDERS)
+def ingest_csv_to_bronze(spark, sf_dir):
+    """Orders in three CSV files, landed as they are and read by the bronze pass."""
+    orders = table(spark, sf_dir, "orders")
+    drop, lake = _bucket(spark, "csv-drop"), _bucket(spark, "lake")
+    for status in ("F", "O", "P"):
+        part = orders.where(F.col("o_orderstatus") == status)
+        part.coalesce(1).write.option("header", True).csv(f"{drop}/orders/orders_{status.lower()}.csv")
+    ingest.ingest(spark, "csv", "orders", lake, "shop", "retail", "20240131", folder=drop)
+    return _bronze_of_lake(spark, "orders", "csv", lake, orders.schema)
+
+
+@query(_BRONZE_ORDERS)
+def ingest_gzip_to_bronze(spark, sf_dir):
+    """Orders as one ``.csv.gz`` that a source serves, downloaded to an object and read by the bronze pass."""
+    orders = table(spark, sf_dir, "orders")
+    served, lake = _bucket(spark, "served"), _bucket(spark, "lake")
+    orders.coalesce(1).write.option("header", True).option("compression", "gzip").csv(served)
+    part = files.scan_files(spark, served, "*.csv.gz").select("path").first()["path"]
+
+    def serve(method, url, headers, body, timeout):
+        with landing.open_object(part, "rb") as source:
+            return 200, bytes(source.read())
+
+    ingest.ingest(spark, "api", "calendar", lake, "shop", "retail", "20240131", transport=serve, base_url="http://source")
+    return _bronze_of_lake(spark, "calendar", "api", lake, orders.schema)
+
+
 @query("SELECT * FROM customer")
 def sink_json_roundtrip(spark, sf_dir):
     customer, path = table(spark, sf_dir, "customer"), staging_path(spark, "customer-json")

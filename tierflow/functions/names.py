@@ -52,10 +52,12 @@ def raw_glob(prefix: str, source: str, entity: str, date: str, fmt: str, compres
     return f"{prefix}/{source}/{entity}/*{date}.{fmt}{'*' if compressed else ''}"
 
 
-def bronze_dir(prefix: str, entity: str, date: str) -> str:
-    return f"{prefix}/{entity}/{date}/"
+def bronze_dir(prefix: str, source: str, entity: str, date: str) -> str:
+    """Folder of one entity and day; each source of an entity has its own."""
+    return f"{prefix}/{source}/{entity}/{date}/"
 
 
+# Fixed value: the layout of raw keys.
 def raw_key(prefix: str, source: str, entity: str, domain: str, date: str, extension: str) -> str:
     """Object key of one raw file; an empty prefix leaves no leading slash."""
     name = f"{domain}_{source}_{entity}_{date}.{extension}"

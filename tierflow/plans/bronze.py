@@ -9,7 +9,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tierflow.functions.names import bronze_dir, bucket_path, normalize_columns, raw_glob
-from tierflow.operators.quality import profile, quality_report, report_json
+from tierflow.operators.quality import error_report, profile, quality_report, report_json
 from tierflow.operators.rules import (
     audited,
     clean_values,
@@ -21,6 +21,7 @@ from tierflow.operators.rules import (
 from tierflow.operators.sinks import write_report
 from tierflow.sources.files import scan
 from tierflow.specs import EntitySpec
+from tierflow.workspace import durable
 
 
 def prepare(raw: DataFrame, spec: EntitySpec) -> DataFrame:
@@ -112,17 +113,26 @@ def run_bronze_from_lake(
 ) -> BronzeRun:
     """:func:`run_bronze` on the lake's own paths."""
     source = bucket_path(raw_bucket, raw_glob(prefix, spec.source, spec.name, date, spec.fmt))
-    target = bucket_path(bronze_bucket, bronze_dir(prefix, spec.name, date))
+    target = bucket_path(bronze_bucket, bronze_dir(prefix, spec.source, spec.name, date))
     return run_bronze(spark, spec, source, target, date, dedup_first)
 
 
 def validate_bronze(
-    spark: SparkSession, bronze_bucket: str, entity: str, prefix: str, date: str, key: str = "id"
+    spark: SparkSession,
+    bronze_bucket: str,
+    entity: str,
+    prefix: str,
+    date: str,
+    key: str = "id",
+    source: str = "api",
 ) -> DataFrame:
-    """Quality report of a written bronze table, also stored as text beside it."""
-    table = spark.read.parquet(bucket_path(bronze_bucket, bronze_dir(prefix, entity, date)))
-    report = quality_report(table, entity, date, key)
-    write_report(
-        report_json(report), bucket_path(bronze_bucket, f"reports/{entity}_validation_{date}.txt")
-    )
+    """Quality report of a written bronze table, also stored as text beside it. A table that cannot
+    be read gives a report with status ERROR."""
+    path = bucket_path(bronze_bucket, bronze_dir(prefix, source, entity, date))
+    try:
+        report = durable(quality_report(spark.read.parquet(path), entity, date, key))
+    except Exception as error:  # whatever keeps the table from being read belongs in the report
+        report = durable(error_report(spark, entity, date, error))
+    target = f"reports/{source}_{entity}_validation_{date}.txt"
+    write_report(report_json(report), bucket_path(bronze_bucket, target))
     return report

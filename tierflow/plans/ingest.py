@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tierflow.functions.names import bucket_path, raw_key
 from tierflow.operators.quality import validate_records
-from tierflow.operators.sinks import EmptyInput, write_landing, write_raw_csv, write_raw_json
-from tierflow.sources.fetch import RetryPolicy, Transport, endpoint_requests, fetch, fetch_pages
+from tierflow.operators.sinks import EmptyInput, make_way, write_raw_csv, write_raw_json
+from tierflow.sources.fetch import RetryPolicy, Transport, download, endpoint_requests, fetch, fetch_pages
 from tierflow.sources.files import csv_members, empty_files, scan_files
 from tierflow.sources.html import page_links, scrape
-from tierflow.sources.landing import landing_rows
+from tierflow.sources.landing import Opener, copy_objects, open_object
 from tierflow.sources.payload import unparseable, unwrap_payload
 from tierflow.specs import ScrapeSpec, endpoint_spec, scrape_spec
 from tierflow.workspace import durable, staging_path
@@ -140,20 +140,24 @@ def land_download(
     headers: Mapping[str, str] | None = None,
     policy: RetryPolicy = RetryPolicy(),
     allow_overwrite: bool = False,
+    opener: Opener = open_object,
 ) -> str:
-    """A file entity downloaded and landed byte for byte. Returns its path."""
+    """A file entity downloaded and landed as the object it is, by the task that requests it.
+    Returns its path; size and checksum are in a manifest (see :func:`manifest_path`)."""
     spec = endpoint_spec(entity)
     requests = endpoint_requests(spark, [spec], base_url).withColumn("page", F.lit(1))
-    path = staging_path(spark, "downloads")
-    fetch(requests, transport, api_key, policy, headers=headers, as_bytes=True).write.parquet(path)
-    responses = spark.read.parquet(path)
-    failed = responses.where(F.col("error").isNotNull()).first()
-    if failed is not None:
-        raise RuntimeError(f"{entity}: {failed['error']}")
     name = spec.path.rsplit("/", 1)[-1]
     target = bucket_path(bucket, raw_key(prefix, "api", entity, domain, date, name.split(".", 1)[-1]))
-    files = responses.select(F.lit(name).alias("path"), F.col("body").alias("content"))
-    write_landing(landing_rows(files), target, allow_overwrite)
+    make_way(spark, target, allow_overwrite)
+    targeted = requests.withColumn("target", F.lit(target))
+    landed = durable(download(targeted, transport, api_key, policy, headers, opener))
+    failed = landed.where(F.col("error").isNotNull()).first()
+    if failed is not None:
+        raise RuntimeError(f"{entity}: {failed['error']}")
+    if not landed.where("n_bytes = 0").isEmpty():
+        make_way(spark, target, True)
+        raise EmptyInput(f"refusing to land an empty file: {entity}")
+    landed.select(F.col("url").alias("path"), "target", "n_bytes", "sha256").write.mode("overwrite").parquet(manifest_path(target))
     return target
 
 
@@ -197,10 +201,7 @@ def ingest(
     files are not. ``folder`` holds a folder of CSV files per entity."""
     place = dict(bucket=bucket, prefix=prefix, domain=domain, date=date, allow_overwrite=allow_overwrite)
     if source == "csv":
-        members = csv_members(spark, f"{folder.rstrip('/')}/{entity}")
-        first = members.agg(F.min("path").alias("path")).first()["path"]
-        target = bucket_path(bucket, raw_key(prefix, source, entity, domain, date, "csv"))
-        return land_files(spark, first, target, allow_overwrite=allow_overwrite)
+        return land_csv_folder(spark, entity, f"{folder.rstrip('/')}/{entity}", **place, **options)[0]
     if source == "scraping":
         return land_scraped_entity(spark, entity, transport, base_url=base_url, **place, **options)
     if source == "api":
@@ -209,13 +210,65 @@ def ingest(
     raise ValueError(f"unknown source: {source}")
 
 
+def manifest_path(target: str) -> str:
+    """Where the manifest of a landed object or folder lies: beside it, out of the raw globs' reach."""
+    parent, name = target.rstrip("/").rsplit("/", 1)
+    return f"{parent}/_manifests/{name}"
+
+
+def land_csv_folder(
+    spark: SparkSession,
+    entity: str,
+    folder: str,
+    bucket: str,
+    prefix: str,
+    domain: str,
+    date: str,
+    first_only: bool = False,
+    allow_overwrite: bool = False,
+    opener: Opener = open_object,
+) -> tuple[str, list[str]]:
+    """The CSV files of an entity's folder landed as they are, all of them under the raw key. Returns the
+    key's path and the members left out: none, unless ``first_only`` takes the smallest path alone."""
+    members = csv_members(spark, folder)
+    left_out: list[str] = []
+    if first_only:
+        first, *left_out = [r["path"] for r in members.orderBy("path").collect()]
+        source = first
+    else:
+        source = f"{folder.rstrip('/')}/*.csv"
+    if members.isEmpty():
+        raise FileNotFoundError(f"no CSV files below {folder}")
+    target = bucket_path(bucket, raw_key(prefix, "csv", entity, domain, date, "csv"))
+    return land_files(spark, source, target, allow_overwrite=allow_overwrite, opener=opener), left_out
+
+
 def land_files(
-    spark: SparkSession, source_path: str, target: str, name_glob: str | None = None, allow_overwrite: bool = False
+    spark: SparkSession,
+    source_path: str,
+    target: str,
+    name_glob: str | None = None,
+    allow_overwrite: bool = False,
+    opener: Opener = open_object,
 ) -> str:
-    """Files of a drop folder landed byte for byte, without parsing or validation. An empty
-    file is an error."""
-    empty = empty_files(spark, source_path, name_glob or "*")
+    """Files of a drop folder landed byte for byte, without parsing or validation: one file as the object
+    ``target``, several as objects below it. An empty file is an error. Contents are copied by
+    one task for each file; sizes and checksums are in a manifest."""
+    found = scan_files(spark, source_path, name_glob).select("path", "length")
+    files = durable(found)
+    empty = [r["path"] for r in files.where("length = 0").select("path").collect()] + empty_files(spark, source_path, name_glob or "*")
     if empty:
-        raise EmptyInput(f"refusing to land empty files: {empty}")
-    write_landing(landing_rows(scan_files(spark, source_path, name_glob)), target, allow_overwrite)
+        raise EmptyInput(f"refusing to land empty files: {sorted(set(empty))}")
+    n = files.count()
+    if n == 0:
+        raise EmptyInput(f"nothing to land at {source_path}")
+    make_way(spark, target, allow_overwrite)
+    # A member may be a folder of parts; its name goes before the part's.
+    names = F.array_join(F.slice(F.split("path", "/"), -2, 2), "-")
+    last = F.element_at(F.split("path", "/"), -1)
+    own = F.when(F.element_at(F.split("path", "/"), -2).endswith(".csv"), names).otherwise(last)
+    place = F.lit(target) if n == 1 else F.concat(F.lit(target.rstrip("/") + "/"), own)
+    path = F.when(F.col("path").startswith("file:/"), F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))).otherwise(F.col("path"))
+    copied = copy_objects(files.select(path.alias("path"), place.alias("target")), opener)
+    copied.write.mode("overwrite").parquet(manifest_path(target))
     return target

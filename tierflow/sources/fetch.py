@@ -12,7 +12,7 @@ from urllib.parse import urlencode, urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tierflow.operators.joins import sized
+from tierflow.sources.landing import Opener, open_object, store
 from tierflow.sources.payload import count_records
 from tierflow.specs import EndpointSpec
 from tierflow.workspace import runs_on_executors, staging_path
@@ -122,15 +122,15 @@ def fetch(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sent_before = False
         for batch in batches:
-            sent = []
             for r in batch.itertuples(index=False):
                 if sent_before and policy.pause:
                     time.sleep(policy.pause)
-                sent.append((r.request_id, r.page, *_send(r, transport, all_headers, policy)))
+                # One body is held at a time.
+                yield pd.DataFrame(
+                    [(r.request_id, r.page, *_send(r, transport, all_headers, policy))],
+                    columns=["request_id", "page", "status", "body", "attempts", "error"],
+                ).astype({"status": "Int32", "page": "Int32", "attempts": "Int32"})
                 sent_before = True
-            yield pd.DataFrame(
-                sent, columns=["request_id", "page", "status", "body", "attempts", "error"]
-            ).astype({"status": "Int32", "page": "Int32", "attempts": "Int32"})
 
     shaped = requests.select(
         F.col("request_id").cast("string"),
@@ -145,6 +145,37 @@ def fetch(
     return shaped.mapInPandas(run, RESPONSE_SCHEMA.format(body="binary" if as_bytes else "string"))
 
 
+DOWNLOADS = "request_id string, url string, target string, status int, n_bytes long, sha256 string, error string"
+
+
+def download(
+    requests: DataFrame,
+    transport: Transport,
+    api_key: str | None = None,
+    policy: RetryPolicy = RetryPolicy(),
+    headers: Mapping[str, str] | None = None,
+    opener: Opener = open_object,
+) -> DataFrame:
+    """Bodies of ``requests`` written to their ``target`` by the task that requests them; a row with size and
+    checksum, or an error, for each. Write the rows at once: computing them again sends again."""
+    all_headers = dict(headers or {})
+    if api_key:
+        all_headers["Authorization"] = f"Bearer {api_key}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                status, body, _, error = _send(r, transport, all_headers, policy)
+                size, digest = (None, None) if error else store([body], r.target, opener)
+                row = (r.request_id, r.url, r.target, status, size, digest, error)
+                yield pd.DataFrame([row], columns=[c.split()[0] for c in DOWNLOADS.split(", ")]).astype(
+                    {"status": "Int32", "n_bytes": "Int64"}
+                )
+
+    shaped = requests.select("request_id", "method", "url", F.col("params").cast("map<string,string>").alias("params"), "target")
+    return shaped.repartition("request_id").mapInPandas(run, DOWNLOADS)
+
+
 def first_gaps(pages: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
     """First page per key that is empty or failed; ``pages`` has ``page, n_items, error``."""
     gap = (F.col("n_items") == 0) | F.col("error").isNotNull()
@@ -162,7 +193,7 @@ def first_missing(pages: DataFrame, keys: tuple[str, ...] = ("request_id",)) ->
 
 def until_gap(rows: DataFrame, gaps: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:
     """``rows`` on pages before their key's gap; all rows of keys without a gap."""
-    kept = rows.join(sized(gaps), list(keys), "left")
+    kept = rows.join(gaps, list(keys), "left")
     return kept.where(F.col("gap").isNull() | (F.col("page") < F.col("gap"))).drop("gap")
 
 
@@ -202,7 +233,7 @@ def fetch_pages(
             F.when(templated, F.col("params"))
             .otherwise(
                 F.map_concat(
-                    F.map_filter("params", lambda k, _: k != page_param),
+                    F.map_filter(F.coalesce("params", F.create_map().cast("map<string,string>")), lambda k, _: k != page_param),
                     F.create_map(F.lit(page_param), F.col("page").cast("string")),
                 )
             )

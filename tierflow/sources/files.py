@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -19,26 +21,46 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
-def is_multi_line_json(spark: SparkSession, path: str, lines: int = 20) -> bool:
-    """Whether JSON documents span lines: none of the first lines is a whole object or array."""
-    text = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> ''").limit(lines)
+def multi_line_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """The JSON files at ``path`` that hold one record per line, and those that are one document over
+    several lines. Each file is looked at as a whole.
+
+    A file whose lines are all whole records is of the first kind. Any other is of the
+    second if it can be read as one document; else it is of the first and has corrupt lines.
+    """
+    line = F.trim("value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), line.alias("line")).where("line <> ''")
     whole = F.col("line").rlike(r"^[\[{]") & F.try_parse_json("line").isNotNull()
-    counts = text.agg(F.count("*").alias("n"), F.count_if(whole).alias("whole")).first()
-    return counts["n"] > 0 and counts["whole"] == 0
+    kinds = lines.groupBy("file").agg(F.bool_and(whole).alias("by_line")).collect()
+    by_line = [unquote(r["file"]) for r in kinds if r["by_line"]]
+    others = [unquote(r["file"]) for r in kinds if not r["by_line"]]
+    if not others:
+        return by_line, []
+    probe = spark.read.schema(f"_any string, {CORRUPT} string").option("multiLine", True).json(others)
+    read = probe.select(F.col("_metadata.file_path").alias("file"), F.col(CORRUPT).isNull().alias("good"), "_any")
+    whole_files = read.groupBy("file").agg(F.bool_and("good").alias("good"), F.count("_any").alias("_n")).collect()
+    documents = {unquote(r["file"]) for r in whole_files if r["good"]}
+    return by_line + [f for f in others if f not in documents], sorted(documents)
 
 
 def scan_json(
     spark: SparkSession, path: str, schema: T.StructType | None = None, multi_line: bool | None = False
 ) -> DataFrame:
     """JSON files. One record per line by default, which lets Spark split large files;
-    ``multi_line`` reads one object or array per file, and ``None`` looks at the first lines
-    to tell which it is."""
-    if multi_line is None:
-        multi_line = is_multi_line_json(spark, path)
-    reader = spark.read.option("multiLine", multi_line)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return with_source_file(reader.json(path))
+    ``multi_line`` reads one object or array per file, and ``None`` reads each file by its own
+    layout, for which all of them are read once more."""
+
+    def read(paths: str | list[str], several: bool) -> DataFrame:
+        reader = spark.read.option("multiLine", several)
+        return with_source_file((reader if schema is None else reader.schema(schema)).json(paths))
+
+    if multi_line is not None:
+        return read(path, multi_line)
+    by_line, documents = multi_line_files(spark, path)
+    frames = [read(paths, several) for paths, several in ((by_line, False), (documents, True)) if paths]
+    if not frames:  # empty files only
+        return read(path, False)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
 def scan_csv(
@@ -73,11 +95,12 @@ def scan(
     schema: T.StructType | None = None,
     multi_line: bool | None = None,
 ) -> DataFrame:
-    """Scan by format name. Unless told, JSON is looked at and CSV may have quoted line breaks."""
+    """Scan by format name. Unless told, each JSON file is read by its own layout, and CSV records end
+    with their line."""
     if fmt == "json":
         return scan_json(spark, path, schema, multi_line)
     if fmt == "csv":
-        return scan_csv(spark, path, schema, multi_line is not False)
+        return scan_csv(spark, path, schema, bool(multi_line))
     if fmt == "parquet":
         return scan_parquet(spark, path)
     raise ValueError(f"unsupported format: {fmt}")

@@ -247,14 +247,14 @@ def scrape(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [
-                (*(getattr(row, n) for n in names), i, *record.values())
-                for row in batch.itertuples(index=False)
-                if getattr(row, html) is not None
-                for i, record in enumerate(
-                    _records(getattr(row, html), parsed_container, parsed_fields), start=1
-                )
-            ]
-            yield pd.DataFrame(rows, columns=schema.names)
+            for row in batch.itertuples(index=False):
+                if getattr(row, html) is not None:
+                    kept_values = [getattr(row, n) for n in names]
+                    records = _records(getattr(row, html), parsed_container, parsed_fields)
+                    # One page's records are held at a time.
+                    yield pd.DataFrame(
+                        [(*kept_values, i, *r.values()) for i, r in enumerate(records, start=1)],
+                        columns=schema.names,
+                    )
 
     return pages.select(*names, html).mapInPandas(run, schema)

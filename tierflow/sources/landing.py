@@ -1,9 +1,74 @@
-"""Files kept byte for byte in the raw tier."""
+"""Files kept byte for byte in the raw tier.
+
+Bytes go from object to object in the executors, chunk by chunk; rows carry only what is known
+about them.
+"""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tierflow.workspace import runs_on_executors
+
+runs_on_executors(__name__)
+
+CHUNK = 8 << 20
+MANIFEST = "path string, target string, n_bytes long, sha256 string"
+# Opens an object for reading or writing: (path, mode "rb" or "wb") -> binary file.
+Opener = Callable[[str, str], object]
+
+
+def open_object(path: str, mode: str):
+    """Objects by Arrow's file systems, which know local files, S3, GCS and HDFS."""
+    from pyarrow import fs
+
+    for alias in ("s3a://", "s3n://"):
+        if path.startswith(alias):
+            path = "s3://" + path[len(alias) :]
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = "file://" + path[len("file:") :]
+    files, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    if mode == "rb":
+        return files.open_input_stream(inner, compression=None)
+    if isinstance(files, fs.LocalFileSystem):
+        files.create_dir(inner.rsplit("/", 1)[0], recursive=True)
+    return files.open_output_stream(inner, compression=None)
+
+
+def store(chunks: Iterable[bytes], target: str, opener: Opener = open_object) -> tuple[int, str]:
+    """Write chunks to an object; its size and checksum. A repeated write gives the same object."""
+    size, digest = 0, hashlib.sha256()
+    with opener(target, "wb") as out:
+        for chunk in chunks:
+            out.write(chunk)
+            digest.update(chunk)
+            size += len(chunk)
+    return size, digest.hexdigest()
+
+
+def _chunks(source) -> Iterator[bytes]:
+    while chunk := source.read(CHUNK):
+        yield bytes(chunk)
+
+
+def copy_objects(files: DataFrame, opener: Opener = open_object) -> DataFrame:
+    """Each object of ``files`` (path, target) copied by a task of its own; the manifest rows. Write
+    them at once: computing them again copies again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, target in zip(batch["path"], batch["target"]):
+                with opener(path, "rb") as source:
+                    size, digest = store(_chunks(source), target, opener)
+                yield pd.DataFrame([(path, target, size, digest)], columns=["path", "target", "n_bytes", "sha256"])
+
+    tasks = max(1, min(files.count(), 10_000))
+    return files.select("path", "target").repartition(tasks, "path").mapInPandas(run, MANIFEST)
+
 
 def content_type(name: Column) -> Column:
     """MIME type by file extension."""

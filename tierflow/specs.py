@@ -15,8 +15,9 @@ class EntitySpec:
     Rules naming a column the input lacks are skipped, except ``required``
     columns. ``order`` decides which of several rows with one key survives:
     the first, in the given order, where ``-column`` sorts descending with nulls
-    last. ``multi_line=False`` lets Spark split large files; by default CSV may have
-    line breaks in quotes, and JSON is recognised by its first lines.
+    last. ``multi_line`` declares the layout: true for CSV with line breaks in quotes and for JSON documents
+    over several lines, false for one record a line, which lets Spark split large files. By
+    default CSV is taken as the latter, and each JSON file is looked at as a whole.
     """
 
     name: str
@@ -93,8 +94,11 @@ ENTITIES = {
     "posts": EntitySpec(name="posts"),
     "neighborhoods": EntitySpec(name="neighborhoods", source="scraping"),
     "productos": EntitySpec(name="productos", source="csv", fmt="csv"),
+    "reviews": EntitySpec(name="reviews", fmt="csv"),
+    "calendar": EntitySpec(name="calendar", fmt="csv"),
 }
 
+# Fixed values.
 SCRAPES = {
     "listings": ScrapeSpec(
         name="listings",
@@ -134,6 +138,7 @@ SCRAPES = {
     ),
 }
 
+# Fixed values.
 ENDPOINTS = {
     "listings": EndpointSpec(
         "listings", "/products", "https://dummyjson.com/products", {"limit": "100"}
