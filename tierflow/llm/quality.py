@@ -3,12 +3,14 @@
 Two zstandard dictionaries are built, one from text labelled good and one from text labelled bad.
 A text is cut into blocks, each block is compressed with either dictionary, and the sums give
 the normalised difference (bad - good) / (bad + good), between -1 and 1. Short blocks keep the
-dictionaries' say, which a long text's own repetition would drown. A logistic curve through labelled rows
-other than those of the dictionaries turns the difference into a probability.
+dictionaries' say, which a long text's own repetition would drown. Where a text repeats itself within a
+block, both sizes are small and their difference says little; so the mean size as a share of the
+text stands beside it. A logistic curve through labelled rows other than those of the dictionaries turns
+the two into a probability.
 
 Learning reads a bounded sample of the labelled rows (parameters ``sample_rows`` for each dictionary and
 for the curve, chosen by a hash of the id; ``sample_blocks`` blocks of each row, spread over its whole text); scoring reads every text
-whole. Null texts count as empty, whose difference is 0. Repeated rows get the same score; of
+whole. Null texts count as empty, whose measures are 0. Repeated rows get the same score; of
 contradicting labels of one id the lowest holds. Where a class has no labelled row, every score is the
 share of label 1, or 0.5 without any labels. Only ids, texts and labels are read by name, so other columns may have any name.
 """
@@ -16,6 +18,7 @@ share of label 1, or 0.5 without any labels. Only ids, texts and labels are read
 from __future__ import annotations
 
 import math
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +30,9 @@ from tierflow.workspace import runs_on_executors
 runs_on_executors("tierflow.llm.words")
 runs_on_executors(__name__)
 
-BLOCK = 512
+BLOCK = 256
 DICTIONARY_BYTES = 112_640
-LEVEL = 1
+LEVEL = 3
 
 
 def blocks(text, size=BLOCK):
@@ -69,45 +72,47 @@ class Scorer:
 
         self.good, self.bad = compressor(good), compressor(bad)
 
-    def difference(self, text):
+    def measures(self, text):
+        """The normalised difference, and the logarithm of the mean compressed share of the text."""
         parts = blocks(text)
+        if not parts:
+            return 0.0, 0.0
         good = sum(len(self.good(p)) for p in parts)
         bad = sum(len(self.bad(p)) for p in parts)
-        return (bad - good) / (bad + good) if parts else 0.0
+        return (bad - good) / (bad + good), math.log((bad + good) / 2 / sum(map(len, parts)))
 
 
-def fit_curve(differences, labels, rounds=50):
-    """(slope, offset) of the logistic curve by Newton's method, with one imagined row of each
-    label at either side so that separable samples have a solution."""
+def fit_curve(measures, labels, rounds=100):
+    """Weights of the two measures and an offset of the logistic curve, by Newton's method. A slight pull to
+    zero and short steps keep separable samples finite."""
     import numpy as np
 
-    x = np.concatenate([differences, [0.5, -0.5, 0.5, -0.5]])
-    y = np.concatenate([labels, [1, 0, 0, 1]]).astype(float)
-    weights = np.concatenate([np.ones(len(differences)), [0.5, 0.5, 0.05, 0.05]])
-    rows, at = np.stack([x, np.ones(len(x))], axis=1), np.zeros(2)
+    x = np.column_stack([np.array(measures, dtype=float).reshape(-1, 2), np.ones(len(labels))])
+    y, at, pull = np.array(labels, dtype=float), np.zeros(3), 1e-3
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(rows @ at, -30, 30)))
-        gradient = rows.T @ (weights * (y - p)) - 1e-6 * at
-        hessian = (rows * (weights * p * (1 - p))[:, None]).T @ rows + 1e-6 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        at = at + step * min(1.0, 10 / max(1e-9, float(np.abs(step).max())))
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+        gradient = x.T @ (y - p) - pull * at
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(3)
+        step = np.clip(np.linalg.solve(hessian, gradient), -5, 5)
+        at = at + step
         if np.abs(step).max() < 1e-9:
             break
-    return float(at[0]), float(at[1])
+    return tuple(float(v) for v in at)
 
 
 class Model:
     """Two dictionaries and a curve; ``constant`` where there was nothing to tell apart."""
 
-    def __init__(self, good=b"", bad=b"", slope=0.0, offset=0.0, constant=None):
-        self.good, self.bad, self.slope, self.offset, self.constant = good, bad, slope, offset, constant
+    def __init__(self, good=b"", bad=b"", weights=(0.0, 0.0, 0.0), constant=None):
+        self.good, self.bad, self.weights, self.constant = good, bad, weights, constant
 
     def scores(self, texts):
         if self.constant is not None:
             return [self.constant] * len(texts)
         key = f"quality {hash((self.good, self.bad))}"
         scorer = words.kept(key, lambda: Scorer(self.good, self.bad))
-        at = (self.slope * scorer.difference(t) + self.offset for t in texts)
+        of_difference, of_share, offset = self.weights
+        at = (of_difference * d + of_share * share + offset for d, share in map(scorer.measures, texts))
         return [1 / (1 + math.exp(-max(-700.0, min(700.0, v)))) for v in at]
 
 
@@ -116,7 +121,7 @@ def _chosen(labelled, rows, salt):
     return labelled.orderBy(F.xxhash64("label_id", F.lit(salt)), "label_id").limit(rows)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="text", label_column="quality", sample_rows=3000, sample_blocks=8) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="text", label_column="quality", sample_rows=3000, sample_blocks=16) -> Model:
     """The model from ``labels`` (id, 0 or 1); what may be learnt from is for the caller to filter."""
     labelled = (
         labels.where(F.col(id_column).isNotNull() & F.col(label_column).isin(0, 1))
@@ -142,7 +147,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
         texts.join(F.broadcast(picked), "label_id").select("label", "text").mapInArrow(sampled, "label int, samples array<binary>").collect()
     )
     samples = {0: [], 1: []}
-    for row in sorted(found, key=lambda r: [bytes(s) for s in r["samples"]]):
+    # An order that no lost executor changes and that does not put like beside like, which training minds.
+    joined = lambda row: b"".join(map(bytes, row["samples"]))
+    for row in sorted(found, key=lambda row: (zlib.crc32(joined(row)), joined(row))):
         samples[row["label"]] += [bytes(s) for s in row["samples"]]
     if not samples[0] or not samples[1]:
         return Model(constant=counts[1] / (counts[0] + counts[1]))
@@ -151,13 +158,13 @@ def learn(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
     def measured(parts):
         scorer = Scorer(good, bad)
         for batch in parts:
-            values = [scorer.difference(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, type=pa.float64())], names=["label", "difference"])
+            values = list(zip(*map(scorer.measures, batch.column(1).to_pylist()))) or [(), ()]
+            columns = [pa.array(list(v), type=pa.float64()) for v in values]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["label", "difference", "share"])
 
     checked = _chosen(labelled.where(half == 1), sample_rows, "curve")
-    rows = texts.join(F.broadcast(checked), "label_id").select("label", "text").mapInArrow(measured, "label int, difference double").collect()
-    slope, offset = fit_curve([r["difference"] for r in rows], [r["label"] for r in rows])
-    return Model(good, bad, slope, offset)
+    rows = texts.join(F.broadcast(checked), "label_id").select("label", "text").mapInArrow(measured, "label int, difference double, share double").collect()
+    return Model(good, bad, fit_curve([(r["difference"], r["share"]) for r in rows], [r["label"] for r in rows]))
 
 
 def _probability(model: Model, text):
