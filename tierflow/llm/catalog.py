@@ -45,7 +45,28 @@ def op1_bloom_language_model(spark, sf_dir):
     return ngram_lm.score(docs, ngram_lm.train(docs.where(~F.col("held_out"))))
 
 
-@query()
+@query(
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS a
+        FROM documents
+    ), s AS (
+        SELECT doc_id, CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 5 THEN [array_to_string(a, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i:i + 4], ' '))) END AS shingles
+        FROM w
+    ), e AS (SELECT doc_id, unnest(shingles) AS h FROM s
+    ), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL
+    ), l AS (
+        SELECT x, y FROM p JOIN s i ON x = i.doc_id JOIN s j ON y = j.doc_id
+        WHERE 100 * c >= 75 * (len(i.shingles) + len(j.shingles) - c)
+    ), r AS (
+        SELECT doc_id, doc_id AS reached FROM documents
+        UNION SELECT doc_id, t FROM r JOIN (SELECT x AS f, y AS t FROM l UNION ALL SELECT y, x FROM l) ON reached = f
+    )
+    SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id
+    FROM s JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY 1) USING (doc_id)"""
+)
 def op3_shingle_join(spark, sf_dir):
     """Groups of documents whose five-word shingles overlap by three quarters."""
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
