@@ -98,6 +98,19 @@ def csv_sniff(spark, sf_dir):
     return sniff.sniff_csv(documents.select("doc_id", content.alias("content")), "doc_id")
 
 
+@query("SELECT * FROM orders")
+def csv_detected(spark, sf_dir):
+    """Orders in files with commas, semicolons and TABs, one of them in Latin-1, each read in its own way."""
+    orders, folder = table(spark, sf_dir, "orders"), staging_path(spark, "dialects")
+    for status, mark, encoding in (("F", ",", "UTF-8"), ("O", ";", "ISO-8859-1"), ("P", "\t", "UTF-8")):
+        part = orders.where(F.col("o_orderstatus") == status)
+        part = part.withColumn("o_orderpriority", F.concat("o_orderpriority", F.lit("é")))
+        options = {"header": True, "sep": mark, "encoding": encoding}
+        part.coalesce(1).write.mode("append").options(**options).csv(folder)
+    found = files.scan_csv_detected(spark, folder, orders.schema).drop(files.SOURCE_FILE)
+    return found.withColumn("o_orderpriority", F.rtrim("o_orderpriority", F.lit("é")))
+
+
 @query("SELECT 'application/gzip' AS content_type, true AS bytes_kept, count(*) AS n_rows FROM orders")
 def land_binary(spark, sf_dir):
     """Gzip files landed as the objects they are, compared with their source by checksum."""

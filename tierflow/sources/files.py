@@ -9,8 +9,11 @@ from urllib.parse import unquote
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tierflow.sources.sniff import sniff_files
+
 SOURCE_FILE = "_source_file"
 CORRUPT = "_corrupt_record"
+CHARSETS = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
 
 
 def with_source_file(df: DataFrame) -> DataFrame:
@@ -65,7 +68,7 @@ def scan_json(
 
 def scan_csv(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     schema: T.StructType | None = None,
     multi_line: bool = False,
     sep: str = ",",
@@ -83,6 +86,18 @@ def scan_csv(
     return with_source_file(reader.csv(path))
 
 
+def scan_csv_detected(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """CSV files, each read with the delimiter and encoding that it is found to have."""
+    dialects = sniff_files(spark, path).groupBy("delimiter", "encoding").agg(F.collect_list("path").alias("paths"))
+    frames = [
+        scan_csv(spark, [unquote(p) for p in d["paths"]], schema, sep=d["delimiter"], encoding=CHARSETS[d["encoding"]])
+        for d in dialects.orderBy("delimiter", "encoding").collect()
+    ]
+    if not frames:  # empty files only
+        return scan_csv(spark, path, schema)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
 def scan_parquet(spark: SparkSession, path: str, merge_schema: bool = False) -> DataFrame:
     """Parquet files; ``merge_schema`` takes the union of the columns of all files."""
     return with_source_file(spark.read.option("mergeSchema", merge_schema).parquet(path))
