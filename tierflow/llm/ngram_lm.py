@@ -29,6 +29,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,12 +39,14 @@ from tierflow.workspace import durable, runs_on_executors
 runs_on_executors("tierflow.llm.words")
 runs_on_executors(__name__)
 
-FILTER_BITS = 1 << 29
+FILTER_BITS = 1 << 28
 #: Share of a block's bits for single words; probes for each level.
 WORD_SHARE, PROBES = 0.25, 4
 #: Part of the bits that may be set.
 FULL = 0.5
-BUCKET_BYTES = 25_000_000
+BUCKET_BYTES = 8_000_000
+#: So many blocks at least, that none is larger than a megabyte.
+LEAST_BUCKETS = 64
 HEAVY = 1 << 20
 CLASSES, LEVELS = 16, 40
 END = np.uint64(0x5F3759DF5F3759DF)
@@ -93,8 +96,8 @@ class Layout:
         for i in range(PROBES):
             yield first + (((a & np.uint64(0xFFFFFFFF)) + np.uint64(i) * b) % np.uint64(size)).astype(np.int64)
 
-    def block_of(self, keys, counts, is_pair, bits):
-        """Insert keys with their counts into a block's ``bits``; the lowest count inserted."""
+    def block_of(self, keys, counts, is_pair, packed):
+        """Insert keys with their counts into a block of ``packed`` bits; the lowest level inserted."""
         size = self.pair_bits if is_pair else self.word_bits
         levels = level_of(counts)
         # Number of bits that all keys of at least a level would set, one after the other.
@@ -105,7 +108,7 @@ class Layout:
         for level in range(1, int(levels.max(initial=0)) + 1):
             chosen = keys[(levels >= level) & (levels >= lowest)]
             for places in self.places(chosen, level, is_pair):
-                bits[places] = 1
+                np.bitwise_or.at(packed, places >> 3, np.uint8(128) >> (places & 7).astype(np.uint8))
         return lowest
 
     def levels(self, filter_bytes, hashes, is_pair):
@@ -126,15 +129,15 @@ class Layout:
 
 def _blobs(kind, hashes, counts, buckets, width):
     """Rows (bucket, kind, hashes, counts) of sorted hashes."""
-    cuts = np.searchsorted(bucket_of(hashes, buckets), np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cuts)).tolist():
-        part = slice(cuts[b], cuts[b + 1])
-        yield b, kind, hashes[part].astype(width).tobytes(), counts[part].astype(np.uint32).tobytes()
+    for b, first, last in words.runs(bucket_of(hashes, buckets)):
+        yield b, kind, hashes[first:last].astype(width).tobytes(), counts[first:last].astype(np.uint32).tobytes()
 
 
-def _unique(hashes):
-    unique, counts = np.unique(hashes, return_counts=True)
-    return unique, counts
+def _joined(arrays):
+    """One array of all; the list is emptied."""
+    joined = np.concatenate(arrays)
+    arrays.clear()
+    return joined
 
 
 def _counting(buckets):
@@ -142,28 +145,22 @@ def _counting(buckets):
 
     def run(parts):
         for batch in parts:
-            texts = batch.column(0).to_pylist()
-            singles, pairs = [], []
-            for first, last in words.batches(texts):
-                tokens, bounds = token_hashes(texts[first:last])
-                singles.append(_unique(tokens))
-                pairs.append(_unique(pair_hashes(tokens, bounds)[1]))
-            rows = []
-            for kind, parts_ in (("word", singles), ("pair", pairs)):
-                if parts_:
-                    codes, unique = pd.factorize(np.concatenate([h for h, _ in parts_]))
-                    counts = np.bincount(codes, np.concatenate([c for _, c in parts_])).astype(np.int64)
-                    order = np.argsort(unique)
-                    unique, counts = unique[order], counts[order]
-                    # Most pairs are met once in a batch; their counts need not be sent.
-                    if kind == "pair":
-                        rows += _blobs("once", unique[counts == 1], counts[:0], buckets, np.uint32)
-                        unique, counts = unique[counts > 1], counts[counts > 1]
-                    rows += _blobs(kind, unique, counts, buckets, np.uint32 if kind == "pair" else np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), type=t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int32(), pa.string(), pa.binary(), pa.binary()))],
-                names=["bucket", "kind", "hashes", "counts"],
-            )
+            for first, last in words.column_batches(batch.column(0), words.FOLDED_CHARS):
+                yield counted(batch.column(0).slice(first, last - first))
+
+    def counted(column):
+        singles, pairs = [], []
+        for texts in words.texts_of(column):
+            tokens, bounds = token_hashes(texts)
+            singles.append(tokens)
+            pairs.append(pair_hashes(tokens, bounds)[1])
+        rows = [*_blobs("word", *np.unique(_joined(singles), return_counts=True), buckets, np.uint64)]
+        unique, counts = np.unique(_joined(pairs), return_counts=True)
+        # Most pairs are met once in a batch; their counts need not be sent.
+        rows += _blobs("once", unique[counts == 1], counts[:0], buckets, np.uint32)
+        rows += _blobs("pair", unique[counts > 1], counts[counts > 1], buckets, np.uint32)
+        columns = zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in columns], names=["bucket", "kind", "hashes", "counts"])
 
     return run
 
@@ -191,9 +188,9 @@ def _counted(layout):
             )
         singles, single_counts = _summed(*found["word"])
         pairs, pair_counts = _summed(*found["pair"])
-        bits = np.zeros(layout.block, np.uint8)
-        lowest_word = layout.block_of(singles, single_counts, False, bits)
-        lowest_pair = layout.block_of(pairs, pair_counts, True, bits)
+        packed = np.zeros(layout.block // 8, np.uint8)
+        lowest_word = layout.block_of(singles, single_counts, False, packed)
+        lowest_pair = layout.block_of(pairs, pair_counts, True, packed)
         return pa.table(
             {
                 "bucket": table.column("bucket").slice(0, 1).cast(pa.int32()),
@@ -203,7 +200,7 @@ def _counted(layout):
                 "lowest_pair": pa.array([lowest_pair], type=pa.int32()),
                 "hashes": pa.array([singles.tobytes()], type=pa.binary()),
                 "counts": pa.array([single_counts.astype(np.int64).tobytes()], type=pa.binary()),
-                "bits": pa.array([np.packbits(bits).tobytes()], type=pa.binary()),
+                "bits": pa.array([packed.tobytes()], type=pa.binary()),
             }
         )
 
@@ -245,7 +242,7 @@ def train(docs: DataFrame, text_column="text", filter_bits=FILTER_BITS) -> Model
     """Count all texts of ``docs``."""
     texts = docs.select(F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    layout = Layout(max(1, -(-total // BUCKET_BYTES)), filter_bits)
+    layout = Layout(max(LEAST_BUCKETS, -(-total // BUCKET_BYTES)), filter_bits)
     entries = texts.mapInArrow(_counting(layout.buckets), "bucket int, kind string, hashes binary, counts binary")
     schema = "bucket int, tokens bigint, distinct bigint, lowest_word int, lowest_pair int, hashes binary, counts binary, bits binary"
     return Model(durable(entries.groupBy("bucket").applyInArrow(_counted(layout), schema)), layout)
@@ -255,21 +252,22 @@ def _scoring(sent, layout, tokens, distinct):
     """For ``mapInArrow``: a row for each text, and blobs of its rare words by bucket."""
 
     def run(parts):
+        number = TaskContext.get().partitionId() << 32
         for batch in parts:
-            texts = batch.column(2).to_pylist()
-            for first in range(0, len(texts), MANY):
-                yield scored(batch.slice(first, MANY), texts[first : first + MANY])
+            for first, last in words.column_batches(batch.column(2), words.FOLDED_CHARS, MANY):
+                yield scored(batch.slice(first, last - first), number)
+                number += 1
 
-    def scored(batch, texts):
+    def scored(batch, number):
         heavy, heavy_counts, filter_bytes, lowest = sent.value
         floor = math.log10(tokens + distinct + 1)
         columns = {k: [] for k in ("n", "log", "known", "pair_log", "other_log", "seen", "unseen", "low")}
         rare_hashes, rare_owners = [], []
         text_hashes = batch.column(1).to_numpy()
-        new = np.zeros(len(texts), bool)
+        new = np.zeros(batch.num_rows, bool)
         new[np.unique(text_hashes, return_index=True)[1]] = True
-        for first, last in words.batches(texts):
-            hashes, bounds = token_hashes(texts[first:last])
+        for first, last in words.column_batches(batch.column(2)):
+            hashes, bounds = token_hashes(batch.column(2).slice(first, last - first).to_pylist())
             before, pairs = pair_hashes(hashes, bounds)
             owner = np.repeat(np.arange(last - first), np.diff(bounds))
             m = last - first
@@ -306,13 +304,17 @@ def _scoring(sent, layout, tokens, distinct):
         hashes, owners = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rare_hashes, rare_owners))
         order = np.argsort(hashes, kind="stable")
         hashes, owners = hashes[order], owners[order].astype(np.uint16)
-        cuts = np.searchsorted(bucket_of(hashes, layout.buckets) if len(hashes) else hashes, np.arange(layout.buckets + 1))
-        filled = np.flatnonzero(np.diff(cuts)).tolist()
-        n, m = len(texts), len(filled)
-        table = text_hashes.astype(np.int64).tobytes()
+        hashes = hashes.astype(np.uint64)
+        everyone = text_hashes.astype(np.int64)
+        blobs = [
+            (k, hashes[a:b].tobytes(), *words.listed_owners(owners[a:b], everyone, MANY))
+            for k, a, b in words.runs(bucket_of(hashes, layout.buckets))
+        ]
+        n, m = batch.num_rows, len(blobs)
+        in_bucket, *parts = zip(*blobs) if blobs else [()] * 4
         nothing = lambda c, t: pa.array(columns[c] + [None] * m, type=t)
         arrays = [
-            pa.array([i % layout.buckets for i in range(n)] + filled, type=pa.int32()),
+            pa.array([i % layout.buckets for i in range(n)] + list(in_bucket), type=pa.int32()),
             pa.concat_arrays([batch.column(0), pa.nulls(m, batch.column(0).type)]),
             pa.array(text_hashes.tolist() + [None] * m, type=pa.int64()),
             pa.concat_arrays([batch.column(3), pa.nulls(m, pa.bool_())]),
@@ -320,9 +322,8 @@ def _scoring(sent, layout, tokens, distinct):
             nothing("n", pa.int64()), nothing("log", pa.float64()), nothing("known", pa.int64()),
             nothing("pair_log", pa.float64()), nothing("other_log", pa.float64()),
             *(nothing(c, pa.list_(pa.int32())) for c in ("seen", "unseen", "low")),
-            pa.array([None] * n + [hashes[cuts[b] : cuts[b + 1]].astype(np.uint64).tobytes() for b in filled], type=pa.binary()),
-            pa.array([None] * n + [owners[cuts[b] : cuts[b + 1]].tobytes() for b in filled], type=pa.binary()),
-            pa.array([None] * n + [table] * m, type=pa.binary()),
+            pa.array([None] * n + [number] * m, type=pa.int64()), *(pa.nulls(n + m, pa.binary()) for _ in range(3)),
+            *(pa.array([None] * n + list(part), type=pa.binary()) for part in parts),
         ]
         return pa.RecordBatch.from_arrays(arrays, names=[*ROW_NAMES, "hashes", "owners", "table"])
 
@@ -331,7 +332,7 @@ def _scoring(sent, layout, tokens, distinct):
 
 ROW = (
     "doc_id {kind}, text_hash bigint, held_out boolean, sent int, n bigint, log double, known bigint, pair_log double, "
-    "other_log double, seen array<int>, unseen array<int>, low array<int>"
+    "other_log double, seen array<int>, unseen array<int>, low array<int>, batch bigint, sum_hashes binary, sum_logs binary, sum_known binary"
 )
 ROW_NAMES = ["bucket", *(part.split()[0] for part in ROW.split(", "))]
 
@@ -346,29 +347,45 @@ def _rare(table):
     if counts.num_rows:
         known = np.frombuffer(counts.column("hashes")[0].as_py(), np.uint64)
         number = np.frombuffer(counts.column("word_counts")[0].as_py(), np.int64)
-    keys, logs, found = [], [], []
-    for hashes, owners, texts in zip(*(blobs.column(c).to_pylist() for c in ("hashes", "owners", "table"))):
+    keys, logs, found, batches = [], [], [], []
+    for hashes, owners, texts, batch in zip(*(blobs.column(c).to_pylist() for c in ("hashes", "owners", "table", "batch"))):
         hashes, owners, texts = np.frombuffer(hashes, np.uint64), np.frombuffer(owners, np.uint16), np.frombuffer(texts, np.int64)
         count = np.zeros(len(hashes), np.int64)
         if len(known):
             place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
             count = np.where(known[place] == hashes, number[place], 0)
         has = np.unique(owners)
+        batches.append(batch)
         keys.append(texts[has])
         logs.append(np.bincount(owners, np.log10(count + 1), len(texts))[has])
         found.append(np.bincount(owners, count > 0, len(texts))[has].astype(np.int64))
     if not keys:
         return rows
-    keys, logs, found = (np.concatenate(x) for x in (keys, logs, found))
-    unique, codes = np.unique(keys, return_inverse=True)
-    m = len(unique)
+    m = len(keys)
     more = {name: pa.nulls(m, rows.schema.field(name).type) for name in ROW_NAMES[1:]}
-    more["text_hash"] = pa.array(unique, type=pa.int64())
-    more["log"] = pa.array(np.bincount(codes, logs, m), type=pa.float64())
-    more["known"] = pa.array(np.bincount(codes, found, m).astype(np.int64), type=pa.int64())
+    more["batch"] = pa.array(batches, type=pa.int64())
+    for name, parts, kind in (("sum_hashes", keys, np.int64), ("sum_logs", logs, np.float64), ("sum_known", found, np.int64)):
+        more[name] = pa.array([x.astype(kind).tobytes() for x in parts], type=pa.binary())
     return pa.concat_tables([rows, pa.table(more)])
 
 
+def _batch_sums(table):
+    """For ``applyInArrow`` over a batch of texts: its sums from all buckets, one row a text."""
+    keys, logs, known = (
+        np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
+        for name, kind in (("sum_hashes", np.int64), ("sum_logs", np.float64), ("sum_known", np.int64))
+    )
+    unique, codes = np.unique(keys, return_inverse=True)
+    m = len(unique)
+    return pa.table(
+        {
+            "text_hash": pa.array(unique, type=pa.int64()),
+            "rare_log": pa.array(np.bincount(codes, logs, m), type=pa.float64()),
+            "rare_known": pa.array(np.bincount(codes, known, m).astype(np.int64), type=pa.int64()),
+        }
+    )
+
+
 def score(docs: DataFrame, model: Model, id_column="doc_id", text_column="text", held_out_column="held_out") -> DataFrame:
     """Rows (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one for each row of ``docs``.
 
@@ -398,10 +415,11 @@ def score(docs: DataFrame, model: Model, id_column="doc_id", text_column="text",
     )
     smoothing = of("seen", [math.log10(1 - u) for u in missing]) + of("unseen", [0.0, *(math.log10(u) for u in missing[1:])])
     # Each batch that held a text sent its rare words once.
-    sums = done.groupBy("text_hash").agg(
-        F.sum(F.when(F.col("n").isNull(), F.col("log"))).alias("rare_log"),
-        F.sum(F.when(F.col("n").isNull(), F.col("known"))).alias("rare_known"),
-        F.sum("sent").alias("times"),
+    parts = done.where("batch IS NOT NULL").select("batch", "sum_hashes", "sum_logs", "sum_known")
+    by_batch = parts.groupBy("batch").applyInArrow(_batch_sums, "text_hash bigint, rare_log double, rare_known bigint")
+    sent_times = texts.select("text_hash", F.lit(None).cast("double").alias("rare_log"), F.lit(None).cast("bigint").alias("rare_known"), "sent")
+    sums = by_batch.withColumn("sent", F.lit(None).cast("int")).unionByName(sent_times).groupBy("text_hash").agg(
+        F.sum("rare_log").alias("rare_log"), F.sum("rare_known").alias("rare_known"), F.sum("sent").alias("times")
     )
     joined = texts.join(sums, "text_hash")
     rest = lambda c: F.coalesce(F.col(c) / F.col("times"), F.lit(0.0))

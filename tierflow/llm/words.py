@@ -17,6 +17,8 @@ SEPARATOR = 0xD800
 SPACE, WORD, DIGIT, OTHER, BETWEEN, UNKNOWN = 0, 1, 2, 3, 4, 255
 #: Code points that are looked at together; a longer text makes a batch of its own.
 BATCH_CHARS = 1 << 20
+#: Code points whose words are folded into one set of entries before a shuffle.
+FOLDED_CHARS = 1 << 23
 
 
 def kept(name, make):
@@ -103,11 +105,12 @@ class HashIndex:
             slots[left] = (slots[left] + 1) & self.mask
 
 
-def batches(texts, chars=BATCH_CHARS):
-    """Slices (first, last) of ``texts`` with about ``chars`` code points, or one longer text."""
+def batches(texts, chars=BATCH_CHARS, most=1 << 30):
+    """Slices (first, last) of ``texts`` with about ``chars`` code points, or one longer text, and at
+    most ``most`` texts."""
     first, held = 0, 0
     for i, text in enumerate(texts):
-        if held and held + len(text) > chars:
+        if i > first and (held + len(text) > chars or i - first >= most):
             yield first, i
             first, held = i, 0
         held += len(text) + 1
@@ -115,6 +118,42 @@ def batches(texts, chars=BATCH_CHARS):
         yield first, len(texts)
 
 
+def column_batches(column, size=BATCH_CHARS, most=1 << 30):
+    """Slices (first, last) of an Arrow column of texts with about ``size`` bytes, or one longer text, and
+    at most ``most`` texts; so no more than a slice need be Python strings."""
+    import pyarrow.compute as pc
+
+    first, held = 0, 0
+    for i, length in enumerate(pc.binary_length(column).to_pylist()):
+        if i > first and (held + length > size or i - first >= most):
+            yield first, i
+            first, held = i, 0
+        held += length + 1
+    if first < len(column):
+        yield first, len(column)
+
+
+def texts_of(column, size=BATCH_CHARS):
+    """Lists of a column's texts, slice by slice."""
+    for first, last in column_batches(column, size):
+        yield column.slice(first, last - first).to_pylist()
+
+
+def runs(values):
+    """(value, first, last) of each run of equal ``values``, which are sorted."""
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(values)) if len(values) else starts
+    return list(zip(values[starts].tolist(), starts.tolist(), ends.tolist()))
+
+
+def listed_owners(owners, everyone, many):
+    """Bytes of a blob's owners, numbered anew, and of the list of those that it has; ``many`` stays as it is."""
+    real = owners != many
+    who = np.unique(owners[real])
+    local = np.where(real, np.searchsorted(who, owners), many).astype(np.uint16)
+    return local.tobytes(), everyone[who].tobytes()
+
+
 def code_points(texts):
     """One array of code points, with ``SEPARATOR`` after every text."""
     joined = chr(SEPARATOR).join([*texts, ""])
