@@ -22,8 +22,8 @@ from tierflow.workspace import runs_on_executors
 runs_on_executors("tierflow.llm.words")
 runs_on_executors(__name__)
 
-#: Pieces whose ids a worker keeps; beyond them it starts anew. About 60 bytes each in arrays and 150 in the dict.
-KEPT_PIECES = 1_500_000
+#: Pieces whose ids a worker keeps; beyond them it starts anew. About 40 bytes each.
+KEPT_PIECES = 1 << 19
 
 
 def default_path() -> str:

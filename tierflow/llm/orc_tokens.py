@@ -45,10 +45,9 @@ def encoded_parts(path, end_id):
         import numpy as np
 
         for batch in parts:
-            texts = batch.column(1).to_pylist()
-            for first, last in words.batches(texts):
-                ids, bounds = encoder.encode(texts[first:last])
+            for first, last in words.column_batches(batch.column(1)):
                 n = last - first
+                ids, bounds = encoder.encode(batch.column(1).slice(first, n).to_pylist())
                 ids = np.insert(ids.astype(np.int32), bounds[1:], end_id)
                 bounds = bounds + np.arange(n + 1)
                 yield pa.RecordBatch.from_arrays(

@@ -186,9 +186,8 @@ def _pieces(path, end_id, capacity):
         encoder, part = byte_bpe.encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch in parts:
-            texts = batch.column(1).to_pylist()
-            for first, last in words.batches(texts):
-                ids, bounds = encoder.encode(texts[first:last])
+            for first, last in words.column_batches(batch.column(1)):
+                ids, bounds = encoder.encode(batch.column(1).slice(first, last - first).to_pylist())
                 ids = np.insert(ids.astype("<u4"), bounds[1:], end_id)
                 flat = memoryview(ids).cast("B")
                 rows, numbers, starts, lengths, sums = [], [], [], [], []

@@ -333,9 +333,8 @@ def encode(docs: DataFrame, id_column="doc_id", text_column="text", vocabulary=N
     def run(parts):
         bpe = encoder(path)
         for batch in parts:
-            texts = batch.column(1).to_pylist()
-            for first, last in words.batches(texts):
-                ids, bounds = bpe.encode(texts[first:last])
+            for first, last in words.column_batches(batch.column(1)):
+                ids, bounds = bpe.encode(batch.column(1).slice(first, last - first).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), lists], names=["doc_id", "ids"])
 
@@ -366,9 +365,9 @@ def digests(docs: DataFrame, id_column="doc_id", text_column="text", vocabulary=
         bpe = encoder(path)
         sha = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in parts:
-            texts = batch.column(1).to_pylist()
-            for first, last in words.batches(texts):
-                rows = [(n, sha(ids), sha(decoded)) for n, ids, decoded in bpe.written(texts[first:last])]
+            for first, last in words.column_batches(batch.column(1)):
+                texts = batch.column(1).slice(first, last - first).to_pylist()
+                rows = [(n, sha(ids), sha(decoded)) for n, ids, decoded in bpe.written(texts)]
                 counts, ids, decoded = zip(*rows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), pa.array(counts, type=pa.int64()), pa.array(ids), pa.array(decoded)],

@@ -140,7 +140,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
 
     def sampled(parts):
         for batch in parts:
-            samples = [spread(blocks(t), sample_blocks) for t in batch.column(1).to_pylist()]
+            samples = [spread(blocks(t), sample_blocks) for texts in words.texts_of(batch.column(1)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(samples, type=pa.list_(pa.binary()))], names=["label", "samples"])
 
     found = (
@@ -158,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
     def measured(parts):
         scorer = Scorer(good, bad)
         for batch in parts:
-            values = list(zip(*map(scorer.measures, batch.column(1).to_pylist()))) or [(), ()]
+            values = list(zip(*(scorer.measures(t) for texts in words.texts_of(batch.column(1)) for t in texts))) or [(), ()]
             columns = [pa.array(list(v), type=pa.float64()) for v in values]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["label", "difference", "share"])
 
