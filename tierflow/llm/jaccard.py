@@ -32,6 +32,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,12 +47,13 @@ WORDS = 5
 SHARE = 75
 #: Part of a set that must be found elsewhere, in the pruning.
 NEEDED = 0.25
-#: Bytes of text whose pruning entries meet in one task, about two million of them.
-BUCKET_BYTES = 25_000_000
+#: Bytes of text whose pruning entries meet in one task, about seven hundred thousand of them.
+BUCKET_BYTES = 8_000_000
 #: Members of one list, and rows of one task, that are compared with each other.
 BLOCK, TASK_ROWS = 2048, 100_000
 BITMAP_WORDS = 16
 MANY = 0xFFFF
+COUNTED = ["doc_id", "text_hash", "node", "n", "found", "batch"]
 
 
 def shingle_sets(texts, size=WORDS):
@@ -98,15 +100,16 @@ def _entries(buckets, size, share):
     """For ``mapInArrow``: a row for each text and blobs of prefix hashes with their owners, by bucket."""
 
     def run(parts):
+        number = TaskContext.get().partitionId() << 32
         for batch in parts:
-            texts, ids, text_hashes = batch.column(1).to_pylist(), batch.column(0), batch.column(2)
-            for first in range(0, len(texts), MANY - 1):
-                yield folded(texts[first : first + MANY - 1], ids.slice(first, MANY - 1), text_hashes.slice(first, MANY - 1))
+            for first, last in words.column_batches(batch.column(1), words.FOLDED_CHARS, MANY - 1):
+                yield folded(number, *(column.slice(first, last - first) for column in batch.columns))
+                number += 1
 
-    def folded(texts, ids, text_hashes):
+    def folded(number, ids, column, text_hashes):
         nodes, sizes, place, prefixes, owners = [], [], {}, [], []
-        for a, b in words.batches(texts):
-            for shingles in shingle_sets(texts[a:b], size):
+        for texts in words.texts_of(column):
+            for shingles in shingle_sets(texts, size):
                 node = class_of(shingles)
                 nodes.append(node)
                 sizes.append(len(shingles))
@@ -127,64 +130,68 @@ def _entries(buckets, size, share):
         sent = np.flatnonzero(begins)
         hashes, owner = hashes[sent], np.where(many[sent], MANY, owner[sent]).astype(np.uint16)
         bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-        cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-        table = np.fromiter(place, dtype=np.int64, count=len(place)).tobytes()
-        filled = np.flatnonzero(np.diff(cuts)).tolist()
-        counted = {}
-        for node in place:
-            counted[node] = int(found[place[node]])
+        everyone = np.fromiter(place, dtype=np.int64, count=len(place))
+        blobs = [(k, hashes[a:b].tobytes(), *words.listed_owners(owner[a:b], everyone, MANY)) for k, a, b in words.runs(bucket)]
+        counted = dict(zip(place, found.tolist()))
         shared = [counted.pop(node, 0) for node in nodes]
-        n, m = len(nodes), len(filled)
+        n, m = len(nodes), len(blobs)
+        in_bucket, *parts = zip(*blobs) if blobs else [()] * 4
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([i % buckets for i in range(n)] + filled, type=pa.int32()),
+                pa.array([i % buckets for i in range(n)] + list(in_bucket), type=pa.int32()),
                 pa.concat_arrays([ids, pa.nulls(m, ids.type)]),
                 pa.concat_arrays([text_hashes, pa.nulls(m, text_hashes.type)]),
                 pa.array(nodes + [None] * m, type=pa.int64()),
                 pa.array(sizes + [None] * m, type=pa.int32()),
                 pa.array(shared + [None] * m, type=pa.int64()),
-                pa.array([None] * n + [hashes[cuts[b] : cuts[b + 1]].tobytes() for b in filled], type=pa.binary()),
-                pa.array([None] * n + [owner[cuts[b] : cuts[b + 1]].tobytes() for b in filled], type=pa.binary()),
-                pa.array([None] * n + [table] * m, type=pa.binary()),
+                pa.array([None] * n + [number] * m, type=pa.int64()),
+                *(pa.array([None] * n + list(part), type=pa.binary()) for part in parts),
             ],
-            names=["bucket", "doc_id", "text_hash", "node", "n", "found", "hashes", "owners", "nodes"],
+            names=["bucket", *COUNTED, "hashes", "owners", "nodes"],
         )
 
     return run
 
 
 def _counted(table):
-    """For ``applyInArrow`` over a bucket: its text rows, and how many hashes of each class others have."""
+    """For ``applyInArrow`` over a bucket: its text rows, and for each batch of texts how many hashes of each class
+    others have."""
     is_text = table.column("n").is_valid()
-    rows = table.filter(is_text).select(["doc_id", "text_hash", "node", "n", "found"])
+    rows = table.filter(is_text).select(COUNTED)
+    rows = rows.append_column("counts", pa.nulls(rows.num_rows, pa.binary()))
     blobs = table.filter(pa.compute.invert(is_text))
-    hashes, owners = [], []
-    for h, o, nodes in zip(*(blobs.column(c).to_pylist() for c in ("hashes", "owners", "nodes"))):
-        hashes.append(np.frombuffer(h, np.uint64))
-        place = np.frombuffer(o, np.uint16).astype(np.int64)
-        nodes = np.append(np.frombuffer(nodes, np.int64), 0)
-        owners.append((nodes[np.minimum(place, len(nodes) - 1)], place == MANY))
+    hashes, owners, lists = (blobs.column(c).to_pylist() for c in ("hashes", "owners", "nodes"))
     if not hashes:
-        return rows
-    hashes = np.concatenate(hashes)
-    node, many = (np.concatenate(x) for x in zip(*owners))
+        return rows.append_column("nodes", pa.nulls(rows.num_rows, pa.binary()))
+    owners = [np.frombuffer(o, np.uint16) for o in owners]
+    ends = np.cumsum([len(o) for o in owners])
+    hashes = np.frombuffer(b"".join(hashes), np.uint64)
     order = np.argsort(hashes, kind="stable")
-    hashes, node, many = hashes[order], node[order], many[order]
-    again = hashes[1:] == hashes[:-1]
+    again = hashes[order[1:]] == hashes[order[:-1]]
     shared = np.zeros(len(hashes), bool)
-    shared[1:] |= again
-    shared[:-1] |= again
-    nodes, counts = np.unique(node[shared & ~many], return_counts=True)
-    more = pa.table(
-        {
-            "doc_id": pa.nulls(len(nodes), pa.int64()),
-            "text_hash": pa.nulls(len(nodes), pa.int64()),
-            "node": pa.array(nodes, type=pa.int64()),
-            "n": pa.nulls(len(nodes), pa.int32()),
-            "found": pa.array(counts, type=pa.int64()),
-        }
+    shared[order[1:]] |= again
+    shared[order[:-1]] |= again
+    counts = []
+    for owner, nodes, end in zip(owners, lists, ends.tolist()):
+        theirs = owner[shared[end - len(owner) : end] & (owner != MANY)]
+        counts.append(np.bincount(theirs, minlength=len(nodes) // 8).astype(np.int64).tobytes())
+    m = len(counts)
+    more = {name: pa.nulls(m, rows.schema.field(name).type) for name in COUNTED}
+    more["batch"] = blobs.column("batch").combine_chunks()
+    return pa.concat_tables(
+        [
+            rows.append_column("nodes", pa.nulls(rows.num_rows, pa.binary())),
+            pa.table({**more, "counts": pa.array(counts, type=pa.binary()), "nodes": pa.array(lists, type=pa.binary())}),
+        ]
     )
-    return pa.concat_tables([rows, more])
+
+
+def _batch_counts(table):
+    """For ``applyInArrow`` over a batch: its classes' counts from all buckets, one row a class."""
+    nodes, counts = (np.frombuffer(b"".join(table.column(c).to_pylist()), np.int64) for c in ("nodes", "counts"))
+    unique, codes = np.unique(nodes, return_inverse=True)
+    summed = np.bincount(codes, counts, len(unique)).astype(np.int64)
+    return pa.table({"node": pa.array(unique, type=pa.int64()), "found": pa.array(summed, type=pa.int64())})
 
 
 def _full_sets(size):
@@ -192,9 +199,8 @@ def _full_sets(size):
 
     def run(parts):
         for batch in parts:
-            texts = batch.column(0).to_pylist()
-            for first, last in words.batches(texts):
-                sets = list(shingle_sets(texts[first:last], size))
+            for texts in words.texts_of(batch.column(0)):
+                sets = list(shingle_sets(texts, size))
                 bounds = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                 flat = np.concatenate(sets).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
@@ -328,11 +334,14 @@ def join(docs: DataFrame, id_column="doc_id", text_column="text", size=WORDS, sh
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
-    schema = "bucket int, doc_id bigint, text_hash bigint, node bigint, n int, found bigint, hashes binary, owners binary, nodes binary"
+    row = "doc_id bigint, text_hash bigint, node bigint, n int, found bigint, batch bigint"
+    schema = f"bucket int, {row}, hashes binary, owners binary, nodes binary"
     entries = rows.mapInArrow(_entries(buckets, size, share), schema)
-    counted = durable(entries.groupBy("bucket").applyInArrow(_counted, "doc_id bigint, text_hash bigint, node bigint, n int, found bigint"))
+    counted = durable(entries.groupBy("bucket").applyInArrow(_counted, f"{row}, counts binary, nodes binary"))
+    by_batch = counted.where("batch IS NOT NULL").groupBy("batch").applyInArrow(_batch_counts, "node bigint, found bigint")
+    texts_rows = counted.where("n IS NOT NULL")
 
-    classes = counted.groupBy("node").agg(F.max("n").alias("n"), F.sum("found").alias("found"), F.min("doc_id").alias("class_id"))
+    classes = texts_rows.select("node", "n", "found", "doc_id").unionByName(by_batch, allowMissingColumns=True).groupBy("node").agg(F.max("n").alias("n"), F.sum("found").alias("found"), F.min("doc_id").alias("class_id"))
     needed = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * share / 100) * NEEDED).cast("int"))
     classes = durable(classes.withColumn("alive", (F.col("n") > 0) & (F.col("found") >= needed)))
     alive = classes.where("alive").select(F.col("class_id").alias("alive_id")).distinct()
@@ -345,7 +354,7 @@ def join(docs: DataFrame, id_column="doc_id", text_column="text", size=WORDS, sh
     joined = joined.withColumn("component", F.coalesce("component", "node"))
     smallest = joined.groupBy("component").agg(F.min("class_id").alias("component_id"))
     by_class = joined.join(smallest, "component").select("node", "class_id", "component", "component_id")
-    texts_rows = counted.where("n IS NOT NULL").select("doc_id", "text_hash", "node", F.col("n").cast("bigint").alias("n_shingles"))
+    texts_rows = texts_rows.select("doc_id", "text_hash", "node", F.col("n").cast("bigint").alias("n_shingles"))
     own = F.col("doc_id")
     empty = texts_rows.where("n_shingles = 0").select("*", own.alias("class_id"), F.lit(None).cast("bigint").alias("component"), own.alias("component_id"))
     return texts_rows.where("n_shingles > 0").join(by_class, "node").select(*empty.columns).unionByName(empty)
