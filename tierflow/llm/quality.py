@@ -109,8 +109,11 @@ class Model:
     def scores(self, texts):
         if self.constant is not None:
             return [self.constant] * len(texts)
-        key = f"quality {hash((self.good, self.bad))}"
-        scorer = words.kept(key, lambda: Scorer(self.good, self.bad))
+        held = words.kept("quality", dict)  # of one model at a time
+        if (self.good, self.bad) not in held:
+            held.clear()
+            held[self.good, self.bad] = Scorer(self.good, self.bad)
+        scorer = held[self.good, self.bad]
         of_difference, of_share, offset = self.weights
         at = (of_difference * d + of_share * share + offset for d, share in map(scorer.measures, texts))
         return [1 / (1 + math.exp(-max(-700.0, min(700.0, v)))) for v in at]

@@ -16,9 +16,9 @@ import numpy as np
 SEPARATOR = 0xD800
 SPACE, WORD, DIGIT, OTHER, BETWEEN, UNKNOWN = 0, 1, 2, 3, 4, 255
 #: Code points that are looked at together; a longer text makes a batch of its own.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 19
 #: Code points whose words are folded into one set of entries before a shuffle.
-FOLDED_CHARS = 1 << 23
+FOLDED_CHARS = 1 << 22
 
 
 def kept(name, make):
