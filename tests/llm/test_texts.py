@@ -62,6 +62,28 @@ def test_language_model(spark, bits):
     assert all(r["score"] < 0 for r in scored)
 
 
+def test_language_model_leaves_no_pair_out(spark):
+    # 40,000 different pairs in a filter that is to have 4096 bits: each is held, and so no training text has an unseen one.
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(100)), False) for i in range(400)] + [(400, "w1x1 w9x9", True)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, held_out boolean").repartition(3)
+    model = ngram_lm.train(docs.where("NOT held_out"), filter_bits=1 << 12)
+    for bucket, keys, counts in pairs_by_bucket([t for _, t, h in rows if not h], model.layout.buckets):
+        bits = np.frombuffer(model.counts.where(f"bucket = {bucket}").first()["bits"], np.uint8)
+        levels = ngram_lm.Layout(1, len(bits) * 8).levels(bits, keys, True)
+        assert (levels >= ngram_lm.level_of(counts)).all() and np.unpackbits(bits).mean() <= 0.51
+    scored = {r["doc_id"]: r["score"] for r in ngram_lm.score(docs, model).collect()}
+    # A word that stands once is followed by its neighbour: about 2 or 3 digits a text, not 5 a word.
+    assert len(scored) == 401 and all(scored[i] > -250 for i in range(400))
+
+
+def pairs_by_bucket(texts, buckets):
+    pairs = ngram_lm.pair_hashes(*ngram_lm.token_hashes(texts))[1]
+    keys, counts = np.unique(pairs, return_counts=True)
+    for b in range(0, buckets, 16):
+        mine = ngram_lm.bucket_of(keys, buckets) == b
+        yield b, keys[mine], counts[mine]
+
+
 def test_language_model_without_texts(spark):
     docs = spark.createDataFrame([(1, "a b", True)], "doc_id bigint, text string, held_out boolean")
     row = ngram_lm.score(docs, ngram_lm.train(docs.limit(0))).first()

@@ -4,19 +4,20 @@
 its first word, are counted within each batch and then by hash buckets over the whole corpus.
 So a very common word costs one entry a batch. Word counts stay exact, as a table by bucket.
 
-*Filter.* A count c has level 1 + floor(log2 c); of each word and each pair all levels up to its own are
-inserted, so that probing level after level until one is missing gives the quantised count. The
-filter has a fixed number of bits (``FILTER_BITS``), a block for each bucket, and is broadcast. Where a block's
-pairs or words would fill more than half its bits, the rarest are left out by raising the lowest count
-that is inserted; the rule is the same at every size, and what is left out is scored as unseen.
+*Filter.* A count c has level 1 + floor(log2 c). Of each pair all levels up to its own are inserted, so that probing level
+after level until one is missing gives the quantised count. Each bucket has a block of the filter, sized by the bucket's own
+levels so that at most half its bits are set: the filter grows with the corpus and nothing is left out. ``FILTER_BITS`` are
+its bits at least. A word's level follows from its exact count.
+
+*Lookup.* Nothing is broadcast. Each batch of texts asks every bucket once for the counts of its distinct words and the levels
+of its distinct pairs; texts and answers meet again by batch.
 
 *Smoothing.* After a word v that has level q, a pair that the filter holds gets (1 - u) c(v, w) / c(v), any other
 u (c(w) + 1) / (N + V + 1), where u is the share of the training corpus's pairs after words of
 such a level that are missing or have the lowest level (Good and Turing's estimate). After a word
-that the filter does not hold, u is 1.
+that the training texts lack, u is 1.
 
-*Exact part.* The add-one score over single words needs exact counts. Those of words with at least N / 2**20 tokens, of
-which there are at most 2**20, are broadcast; the other tokens of each text meet their counts in the hash buckets.
+*Exact part.* The add-one score over single words takes the exact counts.
 
 Words are lower-cased (A-Z) runs between blanks. Null texts count as empty: one token, the end. Repeated rows each count and each
 have a result. Without training texts N and V are 0. An empty table gives no rows. Only the id and the text are read by name.
@@ -27,7 +28,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,17 +40,14 @@ runs_on_executors("tierflow.llm.words")
 runs_on_executors(__name__)
 
 FILTER_BITS = 1 << 28
-#: Share of a block's bits for single words; probes for each level.
-WORD_SHARE, PROBES = 0.25, 4
-#: Part of the bits that may be set.
+#: Probes for each level.
+PROBES = 4
+#: Part of a block's bits that may be set.
 FULL = 0.5
 BUCKET_BYTES = 8_000_000
-#: So many blocks at least, that none is larger than a megabyte.
 LEAST_BUCKETS = 64
-HEAVY = 1 << 20
 CLASSES, LEVELS = 16, 40
 END = np.uint64(0x5F3759DF5F3759DF)
-MANY = 0xFFFF
 
 
 def token_hashes(texts):
@@ -80,36 +77,30 @@ LEVEL_COUNTS = np.array([0.0, 1.0] + [2.0 ** (q - 1) * 2**0.5 * (1 - 2.0 ** (-q)
 
 
 class Layout:
-    """Where the bits of a key's level lie."""
+    """Where the bits of a key's level lie; ``bits`` of all blocks."""
 
     def __init__(self, buckets, bits=FILTER_BITS):
-        block = max(128, bits // buckets // 64 * 64)
-        self.buckets, self.block = buckets, block
-        self.word_bits = int(block * WORD_SHARE) // 64 * 64
-        self.pair_bits = block - self.word_bits
+        self.buckets, self.block = buckets, max(128, bits // buckets // 64 * 64)
+
+    def grown(self, counts):
+        """Layout of one bucket's own block, of which all levels of ``counts`` set ``FULL`` at most."""
+        bits = -int(level_of(counts).sum()) * PROBES / math.log(1 - FULL)
+        return Layout(1, max(self.block, (int(bits) // 64 + 1) * 64))
 
     def places(self, keys, level, is_pair):
         """``PROBES`` arrays of bit places within a block."""
-        size, first = (self.pair_bits, self.word_bits) if is_pair else (self.word_bits, 0)
         a = words.mixed((keys & np.uint64(0xFFFFFFFF)) + (np.uint64(level) << np.uint64(33)) + (np.uint64(is_pair) << np.uint64(32)))
         b = (a >> np.uint64(32)) | np.uint64(1)
         for i in range(PROBES):
-            yield first + (((a & np.uint64(0xFFFFFFFF)) + np.uint64(i) * b) % np.uint64(size)).astype(np.int64)
+            yield (((a & np.uint64(0xFFFFFFFF)) + np.uint64(i) * b) % np.uint64(self.block)).astype(np.int64)
 
     def block_of(self, keys, counts, is_pair, packed):
-        """Insert keys with their counts into a block of ``packed`` bits; the lowest level inserted."""
-        size = self.pair_bits if is_pair else self.word_bits
+        """Insert all levels of keys with their counts into a block of ``packed`` bits; the lowest level inserted."""
         levels = level_of(counts)
-        # Number of bits that all keys of at least a level would set, one after the other.
-        most = -math.log(1 - FULL) * size / PROBES
-        lowest = 1
-        while levels[levels >= lowest].sum() > most:
-            lowest += 1
         for level in range(1, int(levels.max(initial=0)) + 1):
-            chosen = keys[(levels >= level) & (levels >= lowest)]
-            for places in self.places(chosen, level, is_pair):
+            for places in self.places(keys[levels >= level], level, is_pair):
                 np.bitwise_or.at(packed, places >> 3, np.uint8(128) >> (places & 7).astype(np.uint8))
-        return lowest
+        return 1
 
     def levels(self, filter_bytes, hashes, is_pair):
         """The level of each hash, 0 where the filter lacks it."""
@@ -188,16 +179,14 @@ def _counted(layout):
             )
         singles, single_counts = _summed(*found["word"])
         pairs, pair_counts = _summed(*found["pair"])
-        packed = np.zeros(layout.block // 8, np.uint8)
-        lowest_word = layout.block_of(singles, single_counts, False, packed)
-        lowest_pair = layout.block_of(pairs, pair_counts, True, packed)
+        own = layout.grown(pair_counts)
+        packed = np.zeros(own.block // 8, np.uint8)
+        own.block_of(pairs, pair_counts, True, packed)
         return pa.table(
             {
                 "bucket": table.column("bucket").slice(0, 1).cast(pa.int32()),
                 "tokens": pa.array([int(single_counts.sum())], type=pa.int64()),
                 "distinct": pa.array([len(singles)], type=pa.int64()),
-                "lowest_word": pa.array([lowest_word], type=pa.int32()),
-                "lowest_pair": pa.array([lowest_pair], type=pa.int32()),
                 "hashes": pa.array([singles.tobytes()], type=pa.binary()),
                 "counts": pa.array([single_counts.astype(np.int64).tobytes()], type=pa.binary()),
                 "bits": pa.array([packed.tobytes()], type=pa.binary()),
@@ -208,34 +197,12 @@ def _counted(layout):
 
 
 class Model:
-    """Counts of a corpus: the table of exact word counts and the filter, read by ``score``."""
+    """Counts of a corpus: the table by bucket of exact word counts and blocks of the filter, read by ``score``."""
 
     def __init__(self, counts: DataFrame, layout: Layout):
         self.counts, self.layout = counts, layout
         total = counts.agg(F.sum("tokens").alias("n"), F.sum("distinct").alias("v")).first()
         self.tokens, self.distinct = total["n"] or 0, total["v"] or 0
-        least = max(1, -(-self.tokens // HEAVY))
-
-        def heavy(parts):
-            for batch in parts:
-                for hashes, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    found = np.frombuffer(found, np.int64)
-                    chosen = found >= least
-                    rows = [np.frombuffer(hashes, np.uint64)[chosen].tobytes(), found[chosen].tobytes()]
-                    yield pa.RecordBatch.from_arrays([pa.array([r], type=pa.binary()) for r in rows], names=["hashes", "counts"])
-
-        # At most HEAVY words of 16 bytes, and FILTER_BITS bits, come to the driver.
-        rows = counts.select("hashes", "counts").mapInArrow(heavy, "hashes binary, counts binary").collect()
-        hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows] or [np.empty(0, np.uint64)])
-        found = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows] or [np.empty(0, np.int64)])
-        order = np.argsort(hashes)
-        self.heavy, self.least = (hashes[order], found[order]), least
-        self.filter = np.zeros(layout.buckets * layout.block // 8, np.uint8)
-        self.lowest = np.ones((2, layout.buckets), np.int32)
-        for row in counts.select("bucket", "bits", "lowest_word", "lowest_pair").toLocalIterator():
-            block = layout.block // 8
-            self.filter[row["bucket"] * block : (row["bucket"] + 1) * block] = np.frombuffer(row["bits"], np.uint8)
-            self.lowest[:, row["bucket"]] = row["lowest_word"], row["lowest_pair"]
 
 
 def train(docs: DataFrame, text_column="text", filter_bits=FILTER_BITS) -> Model:
@@ -244,146 +211,136 @@ def train(docs: DataFrame, text_column="text", filter_bits=FILTER_BITS) -> Model
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     layout = Layout(max(LEAST_BUCKETS, -(-total // BUCKET_BYTES)), filter_bits)
     entries = texts.mapInArrow(_counting(layout.buckets), "bucket int, kind string, hashes binary, counts binary")
-    schema = "bucket int, tokens bigint, distinct bigint, lowest_word int, lowest_pair int, hashes binary, counts binary, bits binary"
+    schema = "bucket int, tokens bigint, distinct bigint, hashes binary, counts binary, bits binary"
     return Model(durable(entries.groupBy("bucket").applyInArrow(_counted(layout), schema)), layout)
 
 
-def _scoring(sent, layout, tokens, distinct):
-    """For ``mapInArrow``: a row for each text, and blobs of its rare words by bucket."""
+def _asked(column):
+    """(tokens, bounds and pairs of each slice of texts, all distinct words, all distinct pairs)."""
+    slices = []
+    for texts in words.texts_of(column):
+        tokens, bounds = token_hashes(texts)
+        slices.append((tokens, bounds, pair_hashes(tokens, bounds)[1]))
+    singles, pairs = (np.unique(np.concatenate([x[i] for x in slices])) for i in (0, 2))
+    return slices, singles, pairs
+
+
+def _packed(batch):
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+        stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+ASKED = "bucket int, batch bigint, texts binary, singles binary, pairs binary"
+ANSWERED = "bucket int, batch bigint, texts binary, counts binary, levels binary"
+
+
+def _asking(buckets):
+    """For ``mapInArrow``: a row for each batch of texts, and what it asks of every bucket."""
 
     def run(parts):
-        number = TaskContext.get().partitionId() << 32
+        partition, n = TaskContext.get().partitionId(), 0
         for batch in parts:
-            for first, last in words.column_batches(batch.column(2), words.FOLDED_CHARS, MANY):
-                yield scored(batch.slice(first, last - first), number)
-                number += 1
+            for first, last in words.column_batches(batch.column(1), words.FOLDED_CHARS):
+                yield asked(batch.slice(first, last - first), partition, n)
+                n += 1
+
+    def asked(batch, partition, n):
+        _, singles, pairs = _asked(batch.column(1))
+        in_single, in_pair = (np.searchsorted(bucket_of(x, buckets), np.arange(buckets + 1)) for x in (singles, pairs))
+        low, number = pairs.astype(np.uint32), (partition << 32) + n
+        rows = [((partition + n) % buckets, number, _packed(batch), None, None)]
+        for b in np.flatnonzero((np.diff(in_single) > 0) | (np.diff(in_pair) > 0)).tolist():
+            mine = singles[in_single[b] : in_single[b + 1]].tobytes(), low[in_pair[b] : in_pair[b + 1]].tobytes()
+            rows.append((b, number, None, *mine))
+        columns = zip(zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))
+        return pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in columns], names=["bucket", "batch", "texts", "singles", "pairs"])
+
+    return run
+
 
-    def scored(batch, number):
-        heavy, heavy_counts, filter_bytes, lowest = sent.value
-        floor = math.log10(tokens + distinct + 1)
+def _answer(table):
+    """For ``applyInArrow`` over a bucket: texts as they are, and for each request the counts of its words and
+    the levels of its pairs, in its order."""
+    texts = table.filter(table.column("texts").is_valid()).select(["bucket", "batch", "texts"])
+    requests = table.filter(table.column("pairs").is_valid())
+    model = table.filter(table.column("bits").is_valid())
+    joined = lambda name, kind: np.frombuffer(b"".join(requests.column(name).to_pylist()), kind).astype(np.uint64)
+    singles, pairs = joined("singles", np.uint64), joined("pairs", np.uint32)
+    counts, levels = np.zeros(len(singles), np.int64), np.zeros(len(pairs), np.int64)
+    if model.num_rows:
+        known = np.frombuffer(model.column("known")[0].as_py(), np.uint64)
+        if len(known):
+            place = np.minimum(np.searchsorted(known, singles), len(known) - 1)
+            counts = np.where(known[place] == singles, np.frombuffer(model.column("known_counts")[0].as_py(), np.int64)[place], 0)
+        bits = np.frombuffer(model.column("bits")[0].as_py(), np.uint8)
+        levels = Layout(1, len(bits) * 8).levels(bits, pairs, True)
+
+    def split(values, name, width):
+        ends = np.cumsum([len(x) // width for x in requests.column(name).to_pylist()])
+        return pa.array([x.tobytes() for x in np.split(values, ends)[:-1]], type=pa.binary())
+
+    answers = requests.select(["bucket", "batch"])
+    answers = answers.append_column("texts", pa.nulls(len(answers), pa.binary()))
+    answers = answers.append_column("counts", split(counts, "singles", 8)).append_column("levels", split(levels.astype(np.uint8), "pairs", 4))
+    for name in ("counts", "levels"):
+        texts = texts.append_column(name, pa.nulls(len(texts), pa.binary()))
+    return pa.concat_tables([texts.cast(answers.schema), answers])
+
+
+def _scoring(tokens, distinct):
+    """For ``applyInArrow`` over a batch: a row for each text, from the answers of all buckets."""
+    floor = math.log10(tokens + distinct + 1)
+
+    def run(table):
+        packed = table.filter(table.column("texts").is_valid()).column("texts")[0].as_py()
+        answers = table.filter(table.column("levels").is_valid()).sort_by("bucket")
+        batch = pa.ipc.open_stream(packed).read_all().combine_chunks().to_batches()[0]
+        slices, singles, pairs = _asked(batch.column(1))
+        exact, found = (np.frombuffer(b"".join(answers.column(c).to_pylist()), kind) for c, kind in (("counts", np.int64), ("levels", np.uint8)))
+        if len(exact) != len(singles) or len(found) != len(pairs):
+            raise ValueError("a batch of texts was not answered as it asked: its input changed while it was read")
+        word_levels, found = level_of(exact), found.astype(np.int64)
+        end = word_levels[np.searchsorted(singles, END)]
         columns = {k: [] for k in ("n", "log", "known", "pair_log", "other_log", "seen", "unseen", "low")}
-        rare_hashes, rare_owners = [], []
-        text_hashes = batch.column(1).to_numpy()
-        new = np.zeros(batch.num_rows, bool)
-        new[np.unique(text_hashes, return_index=True)[1]] = True
-        for first, last in words.column_batches(batch.column(2)):
-            hashes, bounds = token_hashes(batch.column(2).slice(first, last - first).to_pylist())
-            before, pairs = pair_hashes(hashes, bounds)
-            owner = np.repeat(np.arange(last - first), np.diff(bounds))
-            m = last - first
+        for hashes, bounds, in_pairs in slices:
+            m = len(bounds) - 1
+            owner = np.repeat(np.arange(m), np.diff(bounds))
             sums = lambda x: np.bincount(owner, x, m)  # noqa: B023, E731
-            codes, unique = pd.factorize(hashes)
-            place = np.minimum(np.searchsorted(heavy, unique), max(0, len(heavy) - 1))
-            is_heavy = heavy[place] == unique if len(heavy) else np.zeros(len(unique), bool)
-            exact = np.where(is_heavy, heavy_counts[place] if len(heavy) else 0, 0)
-            rare = ~is_heavy[codes] & new[first:last][owner]
-            rare_hashes.append(hashes[rare])
-            rare_owners.append(first + owner[rare])
-            levels = layout.levels(filter_bytes, unique, False)
-            level = levels[codes]
+            codes = np.searchsorted(singles, hashes)
+            level = word_levels[codes]
             context = np.empty_like(level)
             context[1:] = level[:-1]
-            context[bounds[:-1]] = layout.levels(filter_bytes, np.array([END]), False)[0]
-            pair = np.where(context > 0, layout.levels(filter_bytes, pairs, True), 0)
+            context[bounds[:-1]] = end
+            pair = np.where(context > 0, found[np.searchsorted(pairs, in_pairs)], 0)
             count, context_count, pair_count = (LEVEL_COUNTS[x] for x in (level, context, pair))
             seen = pair > 0
             ratio = np.log10(np.where(seen, pair_count / np.maximum(np.maximum(context_count, pair_count), 1), 1.0))
             single = np.where(seen, 0.0, np.log10(count + 1) - floor)
-            # A class of levels for the word before; the lowest level that a pair of its block can have counts as nearly unseen.
+            # A class of levels for the word before; the lowest level counts as nearly unseen.
             cell = owner * CLASSES + np.minimum((context + 1) // 2, CLASSES - 1)
-            lowest_here = lowest[1][bucket_of(pairs, layout.buckets)]
             grid = lambda x: np.bincount(cell[x], minlength=m * CLASSES).reshape(m, CLASSES).tolist()  # noqa: B023, E731
             columns["n"] += np.diff(bounds).tolist()
-            columns["log"] += sums((np.log10(exact + 1) * is_heavy)[codes]).tolist()
-            columns["known"] += sums((is_heavy & (exact > 0))[codes].astype(float)).astype(np.int64).tolist()
+            columns["log"] += sums(np.log10(exact + 1)[codes]).tolist()
+            columns["known"] += sums((exact > 0)[codes]).astype(np.int64).tolist()
             columns["pair_log"] += sums(ratio).tolist()
             columns["other_log"] += sums(single).tolist()
             columns["seen"] += grid(seen)
             columns["unseen"] += grid(~seen)
-            columns["low"] += grid(pair <= lowest_here)
-        hashes, owners = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rare_hashes, rare_owners))
-        order = np.argsort(hashes, kind="stable")
-        hashes, owners = hashes[order], owners[order].astype(np.uint16)
-        hashes = hashes.astype(np.uint64)
-        everyone = text_hashes.astype(np.int64)
-        blobs = [
-            (k, hashes[a:b].tobytes(), *words.listed_owners(owners[a:b], everyone, MANY))
-            for k, a, b in words.runs(bucket_of(hashes, layout.buckets))
-        ]
-        n, m = batch.num_rows, len(blobs)
-        in_bucket, *parts = zip(*blobs) if blobs else [()] * 4
-        nothing = lambda c, t: pa.array(columns[c] + [None] * m, type=t)
-        arrays = [
-            pa.array([i % layout.buckets for i in range(n)] + list(in_bucket), type=pa.int32()),
-            pa.concat_arrays([batch.column(0), pa.nulls(m, batch.column(0).type)]),
-            pa.array(text_hashes.tolist() + [None] * m, type=pa.int64()),
-            pa.concat_arrays([batch.column(3), pa.nulls(m, pa.bool_())]),
-            pa.array(new.astype(int).tolist() + [None] * m, type=pa.int32()),
-            nothing("n", pa.int64()), nothing("log", pa.float64()), nothing("known", pa.int64()),
-            nothing("pair_log", pa.float64()), nothing("other_log", pa.float64()),
-            *(nothing(c, pa.list_(pa.int32())) for c in ("seen", "unseen", "low")),
-            pa.array([None] * n + [number] * m, type=pa.int64()), *(pa.nulls(n + m, pa.binary()) for _ in range(3)),
-            *(pa.array([None] * n + list(part), type=pa.binary()) for part in parts),
-        ]
-        return pa.RecordBatch.from_arrays(arrays, names=[*ROW_NAMES, "hashes", "owners", "table"])
+            columns["low"] += grid(pair <= 1)
+        kinds = dict.fromkeys(columns, pa.float64()) | dict.fromkeys(("n", "known"), pa.int64())
+        kinds |= dict.fromkeys(("seen", "unseen", "low"), pa.list_(pa.int32()))
+        arrays = [batch.column(0), batch.column(2), *(pa.array(columns[c], type=kinds[c]) for c in columns)]
+        return pa.Table.from_arrays(arrays, names=["doc_id", "held_out", *columns])
 
     return run
 
 
 ROW = (
-    "doc_id {kind}, text_hash bigint, held_out boolean, sent int, n bigint, log double, known bigint, pair_log double, "
-    "other_log double, seen array<int>, unseen array<int>, low array<int>, batch bigint, sum_hashes binary, sum_logs binary, sum_known binary"
+    "doc_id {kind}, held_out boolean, n bigint, log double, known bigint, pair_log double, "
+    "other_log double, seen array<int>, unseen array<int>, low array<int>"
 )
-ROW_NAMES = ["bucket", *(part.split()[0] for part in ROW.split(", "))]
-
-
-def _rare(table):
-    """For ``applyInArrow`` over a bucket: rows of texts as they are, and sums over each text's rare words."""
-    is_text = table.column("n").is_valid()
-    rows = table.filter(is_text).select(ROW_NAMES[1:])
-    counts = table.filter(table.column("word_counts").is_valid())
-    blobs = table.filter(table.column("owners").is_valid())
-    known = np.empty(0, np.uint64)
-    if counts.num_rows:
-        known = np.frombuffer(counts.column("hashes")[0].as_py(), np.uint64)
-        number = np.frombuffer(counts.column("word_counts")[0].as_py(), np.int64)
-    keys, logs, found, batches = [], [], [], []
-    for hashes, owners, texts, batch in zip(*(blobs.column(c).to_pylist() for c in ("hashes", "owners", "table", "batch"))):
-        hashes, owners, texts = np.frombuffer(hashes, np.uint64), np.frombuffer(owners, np.uint16), np.frombuffer(texts, np.int64)
-        count = np.zeros(len(hashes), np.int64)
-        if len(known):
-            place = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            count = np.where(known[place] == hashes, number[place], 0)
-        has = np.unique(owners)
-        batches.append(batch)
-        keys.append(texts[has])
-        logs.append(np.bincount(owners, np.log10(count + 1), len(texts))[has])
-        found.append(np.bincount(owners, count > 0, len(texts))[has].astype(np.int64))
-    if not keys:
-        return rows
-    m = len(keys)
-    more = {name: pa.nulls(m, rows.schema.field(name).type) for name in ROW_NAMES[1:]}
-    more["batch"] = pa.array(batches, type=pa.int64())
-    for name, parts, kind in (("sum_hashes", keys, np.int64), ("sum_logs", logs, np.float64), ("sum_known", found, np.int64)):
-        more[name] = pa.array([x.astype(kind).tobytes() for x in parts], type=pa.binary())
-    return pa.concat_tables([rows, pa.table(more)])
-
-
-def _batch_sums(table):
-    """For ``applyInArrow`` over a batch of texts: its sums from all buckets, one row a text."""
-    keys, logs, known = (
-        np.concatenate([np.frombuffer(x, kind) for x in table.column(name).to_pylist()])
-        for name, kind in (("sum_hashes", np.int64), ("sum_logs", np.float64), ("sum_known", np.int64))
-    )
-    unique, codes = np.unique(keys, return_inverse=True)
-    m = len(unique)
-    return pa.table(
-        {
-            "text_hash": pa.array(unique, type=pa.int64()),
-            "rare_log": pa.array(np.bincount(codes, logs, m), type=pa.float64()),
-            "rare_known": pa.array(np.bincount(codes, known, m).astype(np.int64), type=pa.int64()),
-        }
-    )
 
 
 def score(docs: DataFrame, model: Model, id_column="doc_id", text_column="text", held_out_column="held_out") -> DataFrame:
@@ -391,18 +348,14 @@ def score(docs: DataFrame, model: Model, id_column="doc_id", text_column="text",
 
     ``held_out`` says which rows the model was not trained on; the smoothing is estimated on the others.
     """
-    spark, layout = docs.sparkSession, model.layout
-    sent = spark.sparkContext.broadcast((*model.heavy, model.filter, model.lowest))
     kind = docs.schema[id_column].dataType.simpleString()
     text = F.coalesce(F.col(text_column), F.lit(""))
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"), F.col(held_out_column).alias("held_out"))
-    row = ROW.format(kind=kind)
-    entries = rows.mapInArrow(_scoring(sent, layout, model.tokens, model.distinct), f"bucket int, {row}, hashes binary, owners binary, table binary")
-    counts = model.counts.select("bucket", "hashes", F.col("counts").alias("word_counts"))
-    together = entries.unionByName(counts, allowMissingColumns=True)
-    done = durable(together.groupBy("bucket").applyInArrow(_rare, row))
-
-    texts = done.where("n IS NOT NULL")
+    rows = docs.select(F.col(id_column).alias("doc_id"), text.alias("text"), F.col(held_out_column).alias("held_out"))
+    counts = model.counts.select("bucket", F.col("hashes").alias("known"), F.col("counts").alias("known_counts"), "bits")
+    asked = rows.mapInArrow(_asking(model.layout.buckets), ASKED).unionByName(counts, allowMissingColumns=True)
+    answered = asked.groupBy("bucket").applyInArrow(_answer, ANSWERED)
+    texts = durable(answered.groupBy("batch").applyInArrow(_scoring(model.tokens, model.distinct), ROW.format(kind=kind)))
+
     shares = texts.where(~F.col("held_out")).agg(
         *(F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c in ("seen", "unseen", "low") for i in range(CLASSES))
     ).first()
@@ -414,22 +367,12 @@ def score(docs: DataFrame, model: Model, id_column="doc_id", text_column="text",
         F.zip_with(column, F.array(*map(F.lit, weights)), lambda n, w: n * w), F.lit(0.0), lambda a, b: a + b
     )
     smoothing = of("seen", [math.log10(1 - u) for u in missing]) + of("unseen", [0.0, *(math.log10(u) for u in missing[1:])])
-    # Each batch that held a text sent its rare words once.
-    parts = done.where("batch IS NOT NULL").select("batch", "sum_hashes", "sum_logs", "sum_known")
-    by_batch = parts.groupBy("batch").applyInArrow(_batch_sums, "text_hash bigint, rare_log double, rare_known bigint")
-    sent_times = texts.select("text_hash", F.lit(None).cast("double").alias("rare_log"), F.lit(None).cast("bigint").alias("rare_known"), "sent")
-    sums = by_batch.withColumn("sent", F.lit(None).cast("int")).unionByName(sent_times).groupBy("text_hash").agg(
-        F.sum("rare_log").alias("rare_log"), F.sum("rare_known").alias("rare_known"), F.sum("sent").alias("times")
-    )
-    joined = texts.join(sums, "text_hash")
-    rest = lambda c: F.coalesce(F.col(c) / F.col("times"), F.lit(0.0))
-    base = F.col("log") + rest("rare_log") - F.col("n") * math.log10(model.tokens + model.distinct + 1)
-    return joined.select(
+    return texts.select(
         "doc_id",
         "held_out",
         F.col("n").alias("n_tokens"),
-        (F.col("known") + F.round(rest("rare_known")).cast("bigint")).alias("n_known"),
+        F.col("known").alias("n_known"),
         F.lit(model.tokens).cast("bigint").alias("train_tokens"),
-        base.alias("base_score"),
+        (F.col("log") - F.col("n") * math.log10(model.tokens + model.distinct + 1)).alias("base_score"),
         (F.col("pair_log") + F.col("other_log") + smoothing).alias("score"),
     )
