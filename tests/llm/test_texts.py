@@ -76,6 +76,14 @@ def test_language_model_leaves_no_pair_out(spark):
     assert len(scored) == 401 and all(scored[i] > -250 for i in range(400))
 
 
+def test_filter_has_its_earlier_size():
+    # 2**29 bits at least; a block's bits grow with its levels.
+    layout = ngram_lm.Layout(64)
+    assert layout.buckets * layout.block == 1 << 29
+    assert layout.grown(np.ones(10, np.int64)).block == layout.block
+    assert layout.grown(np.ones(layout.block, np.int64)).block > 5 * layout.block
+
+
 def pairs_by_bucket(texts, buckets):
     pairs = ngram_lm.pair_hashes(*ngram_lm.token_hashes(texts))[1]
     keys, counts = np.unique(pairs, return_counts=True)

@@ -39,7 +39,8 @@ from tierflow.workspace import durable, runs_on_executors
 runs_on_executors("tierflow.llm.words")
 runs_on_executors(__name__)
 
-FILTER_BITS = 1 << 28
+#: Bits of all blocks at least; blocks grow beyond as their pairs need.
+FILTER_BITS = 1 << 29
 #: Probes for each level.
 PROBES = 4
 #: Part of a block's bits that may be set.
