@@ -3,7 +3,8 @@
 Kinds that stand by themselves: ``assign`` (a name such as password or token, then a value of
 at least 12 characters), ``access`` (an access identifier) and ``hex`` (at least 16 hexadecimal digits).
 Weak kinds, reported only where parts that belong to them lie in the same scope, that is within
-``scope`` code points: ``key`` (a run of 40 letters of base 64, with an access identifier), ``short`` (an assignment of
+``scope`` code points: ``key`` (a run of 40 letters of base 64 and its padding, also right
+after ``=``, with an access identifier), ``short`` (an assignment of
 6 to 11 characters, with an access identifier or an endpoint), ``endpoint`` (a URL, with a
 secret: ``assign``, ``hex`` or ``key``, or an access identifier).
 
@@ -27,7 +28,7 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 #: Patterns of weak kinds.
-KEY = r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{40}(?![A-Za-z0-9/+=])"
+KEY = r"(?<![A-Za-z0-9/+])[A-Za-z0-9/+]{40}={0,2}(?![A-Za-z0-9/+=])"
 ENDPOINT = r"(?i)(?:https?|ftp|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+"
 #: All kinds, in the order of spans that begin together.
 KINDS = ("assign", "access", "hex", "key", "endpoint", "short")
