@@ -181,6 +181,15 @@ def test_named_and_padded_keys(spark):
     check_spans(spark, NAMED_KEYS)
 
 
+def test_key_beside_an_endpoint_alone(spark):
+    cases = [
+        (f"endpoint https://store.example.com secret key {AWS_KEY} end", "endpoint key", "endpoint [SECRET] secret key [SECRET] end"),
+        (f"key={AWS_KEY} at https://store.example.com", "key endpoint", "key=[SECRET] at [SECRET]"),
+        (f"https://store.example.com{' x' * 150} {AWS_KEY}", "", f"https://store.example.com{' x' * 150} {AWS_KEY}"),
+    ]
+    check_spans(spark, cases)
+
+
 def labelled(n=400):
     draw = random.Random(8)
     good = lambda: " ".join("".join(draw.choices("etaoin", k=draw.randint(2, 7))) for _ in range(80))

@@ -4,7 +4,7 @@ Kinds that stand by themselves: ``assign`` (a name such as password or token, th
 at least 12 characters), ``access`` (an access identifier) and ``hex`` (at least 16 hexadecimal digits).
 Weak kinds, reported only where parts that belong to them lie in the same scope, that is within
 ``scope`` code points: ``key`` (a run of 40 letters of base 64 and its padding, also right
-after ``=``, with an access identifier), ``short`` (an assignment of
+after ``=``, with an access identifier or an endpoint), ``short`` (an assignment of
 6 to 11 characters, with an access identifier or an endpoint), ``endpoint`` (a URL, with a
 secret: ``assign``, ``hex`` or ``key``, or an access identifier).
 
@@ -99,7 +99,7 @@ def find_spans(docs: DataFrame, id_column="doc_id", text_column="text", scope=SC
         {"by_access": near("access"), "by_secret": near("assign", "hex", "key"), "by_endpoint": near("endpoint")}
     )
     strong = F.col("kind").isin("assign", "access", "hex")
-    key_found = (F.col("kind") == "key") & F.col("by_access")
+    key_found = (F.col("kind") == "key") & (F.col("by_access") | F.col("by_endpoint"))
     short_found = (F.col("kind") == "short") & (F.col("by_access") | F.col("by_endpoint"))
     endpoint_found = (F.col("kind") == "endpoint") & (F.col("by_access") | F.col("by_secret"))
     kept = strong | key_found | short_found | endpoint_found
