@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.llm import chat, credentials, forest, jaccard, ngram_lm, orc_tokens, packing, prefix_bpe, quality, winnow
+from tierflow.llm import chat, credentials, divergence, filter_audit, forest, jaccard, licenses, ngram_lm, orc_tokens, packing, prefix_bpe, quality, winnow
 from tierflow.workspace import staging_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +176,92 @@ def op9_chat_formatting(spark, sf_dir):
 def op10_best_fit_packing(spark, sf_dir):
     """All documents packed into sequences of 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH d AS (
+        SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS a
+        FROM documents
+    ), g AS (SELECT DISTINCT lang, source FROM d
+    ), kept AS (
+        SELECT lang, term FROM (SELECT lang, unnest(list_distinct(a)) AS term FROM d) GROUP BY ALL HAVING count(*) >= 30
+    ), n AS (
+        SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(a) AS term FROM d) SEMI JOIN kept USING (lang, term) GROUP BY ALL
+    ), v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL
+    ), p AS (
+        SELECT lang, source, term, coalesce(n, 0) AS n,
+            1 + (1000000000::HUGEINT * (coalesce(n, 0) + 5)) // (sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) + 5 * v) AS p
+        FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source, term)
+    ), q AS (
+        SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 5)) // (sum(n) OVER (PARTITION BY lang) + 5 * v) AS q
+        FROM (SELECT lang, term, sum(n) AS n FROM n GROUP BY ALL) JOIN v USING (lang)
+    ), rows AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0) AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+            SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS f
+            FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+        ) f ON f.lang = a.lang AND f.source = a.source AND f.other = b.source
+        UNION ALL
+        SELECT lang, source, 'term', term, p - q FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+    )
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+    FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM rows)
+    WHERE part = 'pair' OR rank <= 50"""
+)
+def op11_source_divergence(spark, sf_dir):
+    """How far the sources of each language differ in their words, and by which words each stands out."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query(licenses.brute_force_sql())
+def op12_license_index(spark, sf_dir):
+    """Licence notices in all documents, by a positional index of rare words."""
+    return licenses.summary(table(spark, sf_dir, "documents"))
+
+
+@query(
+    r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+            min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first
+        FROM documents
+    ), m AS (
+        SELECT part, coalesce(quality, false) AS good, coalesce(toxic, false) AS toxic, [
+            CASE WHEN len(w) < 100 THEN 'A' END,
+            CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' END,
+            CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 10 * length(t) THEN 'C' END,
+            CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+            CASE WHEN doc_id > first THEN 'E' END] AS fails
+        FROM d LEFT JOIN (
+            SELECT doc_id, bool_or(quality = 1) AS quality, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1
+        ) USING (doc_id)
+    ), c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM m GROUP BY ALL
+    ), f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+    ), o AS (
+        SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+        WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+    ), s AS (
+        SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS now,
+            string_split(filter_order[1:step - 1], '') AS earlier, string_split(filter_order[1:step], '') AS done
+        FROM o, range(1, 6) r(step)
+    ), x AS (
+        SELECT part, filter_order, step, now,
+            coalesce(sum(n) FILTER (WHERE NOT list_has_any(fails, done)), 0) AS kept,
+            coalesce(sum(n) FILTER (WHERE list_contains(fails, now) AND NOT list_has_any(fails, earlier)), 0) AS removed,
+            coalesce(sum(n) FILTER (WHERE list_contains(fails, now) AND list_has_any(fails, earlier)), 0) AS redundant,
+            coalesce(sum(n) FILTER (WHERE list_filter(fails, lambda y: y IS NOT NULL) = [now]), 0) AS unique_fails,
+            coalesce(sum(good) FILTER (WHERE list_contains(fails, now) AND NOT list_has_any(fails, earlier)), 0) AS good_lost,
+            coalesce(sum(c.toxic) FILTER (WHERE list_contains(fails, now) AND NOT list_has_any(fails, earlier)), 0) AS toxic_lost
+        FROM c, s GROUP BY ALL
+    )
+    SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+        CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+        CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, now) AS BIGINT) AS shapley
+    FROM x"""
+)
+def op13_filter_interactions(spark, sf_dir):
+    """What five quality filters remove from each language, in every order of them."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
