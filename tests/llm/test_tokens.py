@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import random
 import zlib
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -162,19 +163,40 @@ def fewest(items, capacity):
     return best(tuple(sorted(items, reverse=True)))
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(1, 20), max_size=8))
-def test_dominance_never_costs_a_sequence(items):
-    from collections import Counter
-
-    fixed, rest = packing.reduce_dominated(dict(Counter(items)), 20)
+def check_reduction(items, capacity):
+    """The reduction keeps every piece and the fewest possible sequences."""
+    fixed, rest = packing.reduce_dominated(dict(Counter(items)), capacity)
     taken = Counter()
     for times, found in fixed:
-        assert sum(found) <= 20
+        assert sum(found) <= capacity
         taken.update({x: n * times for x, n in Counter(found).items()})
     assert taken + Counter(rest) == Counter(items)
     left = [x for x, n in rest.items() for _ in range(n)]
-    assert sum(times for times, _ in fixed) + fewest(left, 20) == fewest(items, 20)
+    assert sum(times for times, _ in fixed) + fewest(left, capacity) == fewest(items, capacity)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 20), max_size=8))
+@example([1, 1, 2])
+def test_dominance_never_costs_a_sequence(items):
+    check_reduction(items, 20)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(100, 1700), max_size=9))
+@example([618, 1618, 198, 297, 386])
+def test_dominance_of_long_pieces_never_costs_a_sequence(items):
+    check_reduction(items, packing.CAPACITY)
+
+
+def test_reduction_is_not_worse_than_best_fit_alone():
+    draw = random.Random(1)
+    sequences = lambda patterns: sum(times for times, _ in patterns)
+    for _ in range(2000):
+        low, high = draw.choice([(300, 1100), (1, 2048), (500, 1500), (100, 700), (600, 1400)])
+        counts = Counter(draw.randint(low, high) for _ in range(draw.randint(3, 40)))
+        fixed, rest = packing.reduce_dominated(counts, 2048)
+        assert sequences(fixed) + sequences(packing.best_fit(rest, 2048)) <= sequences(packing.best_fit(counts, 2048))
 
 
 @settings(max_examples=100, deadline=None)

@@ -78,20 +78,32 @@ class _Lengths:
         return self.sorted[i] if i >= 0 else 0
 
     def longest_pair(self, j, room):
-        """(a, b), a >= b, with the largest sum up to ``room``; of equal sums the one with the largest a."""
-        lengths = self.sorted
-        low, high, best = 0, bisect_right(lengths, room) - 1, (0, 0)
-        while low <= high:
-            a, b = lengths[high], lengths[low]
-            if a + b > room:
-                high -= 1
+        """(a, b), a >= b, with the largest sum up to ``room`` besides one of length ``j``; of equal sums the one
+        with the largest a, (0, 0) if no two fit."""
+        lengths, best = self.sorted, (0, 0)
+        for high in range(bisect_right(lengths, room) - 1, -1, -1):
+            a = lengths[high]
+            if 2 * a <= sum(best):
+                break
+            if self.counts[a] == (a == j):
                 continue
-            need = Counter((a, b, j))
-            if a + b > sum(best) and all(self.counts[x] >= n for x, n in need.items()):
-                best = (a, b)
-            low += 1
+            # Beside a piece of length a, the longest that is left of those up to min(a, room - a).
+            low = min(high, bisect_right(lengths, room - a) - 1)
+            while low >= 0 and self.counts[lengths[low]] <= (lengths[low] == j) + (lengths[low] == a):
+                low -= 1
+            if low >= 0 and a + lengths[low] > sum(best):
+                best = (a, lengths[low])
         return best
 
+    def shortest_pair(self, j, above):
+        """The two shortest pieces longer than ``above`` besides one of length ``j``, as far as there are."""
+        found = []
+        for x in self.sorted[bisect_right(self.sorted, above) :]:
+            found += [x] * min(2 - len(found), self.counts[x] - (x == j))
+            if len(found) == 2:
+                break
+        return found
+
 
 def _dominating(lengths, j, capacity):
     """A set with ``j`` that dominates all others with it, or None."""
@@ -107,9 +119,8 @@ def _dominating(lengths, j, capacity):
         if b >= first + second:
             return (j, b)
         if first == b:
-            longer = [x for x in lengths.sorted[bisect_right(lengths.sorted, second) :]]
-            two = [x for x in longer[:2] for _ in range(min(2, lengths.counts[x] - (x == j)))][:2]
-            if len(two) < 2 or sum(two) > room:
+            longer = lengths.shortest_pair(j, second)
+            if len(longer) < 2 or sum(longer) > room:
                 return (j, first, second)
     return None
 
