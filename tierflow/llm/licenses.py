@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 RARE, LEAST = 2, 0.75
 #: The one letter beyond ASCII that lower-cases into ASCII, and what it is replaced by.
-KELVIN, OTHER = "K", "�"
+KELVIN, OTHER = "\u212a", "\ufffd"
 
 #: Phrases that name a licence, with its label.
 PHRASES = (
