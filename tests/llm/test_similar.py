@@ -79,13 +79,76 @@ def test_join_is_brute_force(spark, copies):
     assert sorted(map(tuple, joined.collect())) == sorted(brute_components(rows))
 
 
-def test_blocks_of_long_lists(spark, copies, monkeypatch):
+@pytest.mark.parametrize("sets, shingles_held", [(3, 500_000), (1000, 150), (1, 1)])
+def test_blocks_of_large_groups(spark, copies, monkeypatch, sets, shingles_held):
     rows, docs = copies
-    monkeypatch.setattr(jaccard, "BLOCK", 3)
+    monkeypatch.setattr(jaccard, "BLOCK", sets)
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", shingles_held)
     joined = jaccard.join(docs).select("doc_id", "n_shingles", "component_id")
     assert sorted(map(tuple, joined.collect())) == sorted(brute_components(rows))
 
 
+def test_every_pair_that_may_link_meets_in_one_block(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    sizes = [*range(1, 60), 100, 133, 134, 300, 400, 401, 9]
+    members = spark.createDataFrame([("g", i, n) for i, n in enumerate(sizes)] + [("h", 900, 5)], "group string, node bigint, n int")
+    tasks = {}
+    for r in jaccard._blocks(members, 75).collect():
+        tasks.setdefault(tuple(r)[:5], []).append((r["node"], r["is_first"]))
+    met = []
+    for key, got in tasks.items():
+        within = key[1:3] == key[3:5]
+        met += [(a, b) for a, fa in got for b, fb in got if a < b and (within or fa != fb)]
+    assert len(met) == len(set(met))
+    assert {(a, b) for a in range(len(sizes)) for b in range(a) if 4 * min(sizes[a], sizes[b]) >= 3 * max(sizes[a], sizes[b])} <= {(b, a) for a, b in met}
+
+
+def test_divide_skip_is_brute_force():
+    draw = np.random.default_rng(8)
+    for share in (60, 75, 90):
+        base = draw.integers(0, 1 << 60, 400).astype(np.uint64)
+        sets = []
+        for _ in range(60):
+            kept = base[draw.random(400) < draw.choice([0.1, 0.9, 0.97])]
+            sets.append(np.unique(np.concatenate([kept, draw.integers(0, 1 << 60, int(draw.choice([0, 3, 40]))).astype(np.uint64)])))
+        sets = sorted((x for x in sets if len(x)), key=len)
+        index = jaccard.Inverted(sets)
+        links = 0
+        for query, x in enumerate(sets):
+            allowed = draw.random(len(sets)) < 0.8
+            wanted = [
+                i for i, y in enumerate(sets)
+                if i > query and allowed[i] and 100 * (c := len(np.intersect1d(x, y))) >= share * (len(x) + len(y) - c)
+            ]
+            assert jaccard.divide_skip(index, query, allowed, share).tolist() == wanted
+            links += len(wanted)
+        assert links > 20
+    alone = jaccard.Inverted([np.array([1], np.uint64), np.array([2, 3], np.uint64)])
+    assert not len(jaccard.divide_skip(alone, 0, np.ones(2, bool)))
+
+
+def test_a_shared_passage_links_nothing(spark):
+    """200 long texts that share a passage, each with a copy too far off to link: no task returns a pair."""
+    draw = random.Random(9)
+    word = lambda: "".join(draw.choices("abcdefgh", k=5))
+    passage = [word() for _ in range(400)]
+    rows = []
+    for i in range(100):
+        own = [word() for _ in range(4600)]
+        # Every sixth text has a copy that does link.
+        changed = [word() if draw.random() < (0.01 if i % 6 == 0 else 0.045) else w for w in own]
+        rows += [(2 * i, " ".join(own + passage)), (2 * i + 1, " ".join(passage + changed))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    sets = [(int(jaccard.class_of(x)), len(x), x.view(np.int64).tolist()) for x in jaccard.shingle_sets([t for _, t in rows])]
+    frame = spark.createDataFrame(sets, "node bigint, n int, shingles array<bigint>")
+    members = frame.selectExpr("'g' AS group", "node", "n", "node AS component")
+    found = members.join(frame.select("node", "shingles"), "node").selectExpr("*", "true AS within", "true AS is_first")
+    links = found.groupBy("group").applyInArrow(jaccard._linked(75), "a bigint, b bigint").collect()
+    assert len(links) == 17
+    joined = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs).collect()}
+    assert joined == {i: i - i % 2 if i // 2 % 6 == 0 else i for i, _ in rows}
+
+
 def test_one_of_each_group_stays(spark, copies):
     rows, docs = copies
     kept = jaccard.keep_one(docs)

@@ -7,15 +7,17 @@ at least T = ceil(SHARE n / 100) of them.
 1. *Pruning.* Each set's smallest hashes, so many that at least L of T common ones must be among them, are counted in one
    shuffle. A set of which fewer than the least possible L are found in another's has no partner. Hashes that
    recur within a batch are folded before the shuffle, so a very common shingle costs one entry a batch.
-2. *DivideSkip.* The remaining sets' shingles form inverted lists. Of a set's lists of two or more, the
-   T - 1 longest are not merged: a partner must be on one of the others, the short ones.
-3. *Merging, first round.* Each short list names its most central set (the largest share of shingles that
+2. *Lists over all sets.* The remaining sets' shingles form inverted lists. Of a set's lists of two or more, the
+   T - 1 longest can be passed over: a partner must be on one of the others, the set's short lists.
+3. *Neighbours, first round.* Each short list names its most central set (the largest share of shingles that
    others have too). A set counts on how many of its lists each name stands, and the most frequent is
    verified by binary probes of one sorted set into the other. Groups of copies fall together here,
    by as many pairs as they have members.
-4. *Merging, second round.* Short lists that still hold sets of different components compare these,
-   within the task, by sizes and by an upper bound of the overlap from bitmaps; pairs that could link
-   are verified as before. Lists with many members are dealt out to tasks by pairs of blocks.
+4. *DivideSkip, second round.* Short lists that still hold sets of different components are searched. All sets on such lists
+   with one central set meet, whole, in a task; many are dealt by likeness of size to blocks, and a task gets two of them. The task
+   inverts its sets. For each set, its L longest lists there are set aside; the short ones are merged, counting how often
+   each other set occurs; sets that occur T - L times are looked up in the long lists by binary probes, longest last, and are dropped as soon as
+   the lists left cannot bring them to the required overlap. Only links between components leave the task.
 5. Connected components of all links.
 
 No list is cut and no pair is left out. A shingle is a 64-bit hash and so is a class; different ones are
@@ -49,9 +51,14 @@ SHARE = 75
 NEEDED = 0.25
 #: Bytes of text whose pruning entries meet in one task, about seven hundred thousand of them.
 BUCKET_BYTES = 8_000_000
-#: Members of one list, and rows of one task, that are compared with each other.
-BLOCK, TASK_ROWS = 2048, 100_000
-BITMAP_WORDS = 16
+#: Sets and shingles of one block, about; a task inverts two blocks.
+BLOCK, BLOCK_SHINGLES = 1024, 500_000
+#: Ratio of the sizes of neighbouring classes of blocks, a little more than that of two sets that link.
+SIZE_STEP = 1.005
+#: How many of a set's T lists are set aside as long: T / (1 + MERGED log2(longest)).
+MERGED = 0.1
+#: Long lists that are probed at once.
+PROBED = 64
 MANY = 0xFFFF
 COUNTED = ["doc_id", "text_hash", "node", "n", "found", "batch"]
 
@@ -195,7 +202,7 @@ def _batch_counts(table):
 
 
 def _full_sets(size):
-    """For ``mapInArrow``: class, size, sorted hashes and a bitmap of each text."""
+    """For ``mapInArrow``: class, size and sorted hashes of each text."""
 
     def run(parts):
         for batch in parts:
@@ -208,56 +215,128 @@ def _full_sets(size):
                         pa.array([class_of(s) for s in sets], type=pa.int64()),
                         pa.array(np.diff(bounds)),
                         pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat)),
-                        pa.array([bitmap(s).tobytes() for s in sets], type=pa.binary()),
                     ],
-                    names=["node", "n", "shingles", "bits"],
+                    names=["node", "n", "shingles"],
                 )
 
     return run
 
 
-def bitmap(shingles):
-    """Bits of the places that the hashes fall on."""
-    bits = np.zeros(64 * BITMAP_WORDS, np.uint8)
-    bits[(shingles % np.uint64(len(bits))).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+class Inverted:
+    """Inverted lists of sets in ascending order of size, for the hashes that two of them have at least."""
 
+    def __init__(self, sets):
+        self.sizes = np.array([len(x) for x in sets], dtype=np.int64)
+        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        _, codes, found = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        often = found[codes] > 1
+        codes, owner = np.cumsum(found > 1)[codes[often]] - 1, owner[often]
+        self.lists = np.split(codes, np.cumsum(np.bincount(owner, minlength=len(sets)))[:-1])
+        order = np.argsort(codes, kind="stable")
+        self.members = owner[order]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(codes))]).astype(np.int64)
+        #: List and member as one number, ascending: what binary probes look into.
+        self.keys = codes[order] * len(sets) + self.members
 
-def _possible(share):
-    """For ``applyInArrow``: pairs of a task's lists that may link, of different components."""
+    def merged(self, lists):
+        """How often each set is a member of ``lists``."""
+        lengths = self.starts[lists + 1] - self.starts[lists]
+        places = np.arange(lengths.sum()) + np.repeat(self.starts[lists] - np.cumsum(lengths) + lengths, lengths)
+        return np.bincount(self.members[places], minlength=len(self.sizes))
+
+    def probed(self, lists, sets):
+        """On how many of ``lists`` each of ``sets`` is, by binary search."""
+        wanted = lists[:, None] * len(self.sizes) + sets[None, :]
+        places = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return (self.keys[places] == wanted).sum(axis=0)
+
+
+def divide_skip(index: Inverted, query, allowed, share=SHARE):
+    """The sets that ``allowed`` (a mask) has, of ``query``'s size or larger, that link with it.
+
+    A partner of n or more shingles has at least T = ceil(2 share n / (100 + share)) in common.
+    """
+    sizes, lists = index.sizes, index.lists[query]
+    n = int(sizes[query])
+    least = -(-2 * share * n // (100 + share))
+    if len(lists) < least:
+        return np.empty(0, np.int64)
+    lengths = index.starts[lists + 1] - index.starts[lists]
+    lists = lists[np.argsort(lengths, kind="stable")]
+    aside = min(least - 1, int(least / (1 + MERGED * np.log2(lengths.max()))))
+    short, long = lists[: len(lists) - aside], lists[len(lists) - aside :]
+    counts = index.merged(short)
+    found = np.flatnonzero((counts >= least - aside) & allowed)
+    found = found[(found > query) & (share * sizes[found] <= 100 * n)]
+    counts, needed = counts[found], -(-share * (n + sizes[found]) // (100 + share))
+    for first in range(0, len(long), PROBED):
+        open_ = counts + len(long) - first >= needed
+        found, counts, needed = found[open_], counts[open_], needed[open_]
+        if not len(found):
+            break
+        counts = counts + index.probed(long[first : first + PROBED], found)
+    return found[counts >= needed]
+
+
+def _linked(share):
+    """For ``applyInArrow``: links between different components among a task's sets, as few as join the same components."""
 
     def run(table):
-        keys = np.stack([table.column(c).to_numpy() for c in ("h", "i", "j")], axis=1)
-        order = np.lexsort(keys.T[::-1])
-        keys = keys[order]
-        node, n, component, block = (table.column(c).to_numpy()[order] for c in ("node", "n", "component", "block"))
-        joined = b"".join(table.column("bits").to_pylist())
-        bits = np.frombuffer(joined, np.uint64).reshape(-1, BITMAP_WORDS)[order]
-        n = n.astype(np.int64)
-        begins = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1)))
-        pairs = []
-        for first, last in zip(begins.tolist(), np.append(begins[1:], len(keys)).tolist()):
-            across = keys[first, 1] != keys[first, 2]
-            for a in range(first, last - 1):
-                b = np.arange(a + 1, last)
-                b = b[component[b] != component[a]]
-                if across:
-                    b = b[block[b] != block[a]]
-                b = b[(100 * np.minimum(n[b], n[a]) >= share * np.maximum(n[b], n[a])) & (node[b] != node[a])]
-                if not len(b):
-                    continue
-                most = np.minimum(
-                    n[a] - np.bitwise_count(bits[a] & ~bits[b]).sum(axis=1, dtype=np.int64),
-                    n[b] - np.bitwise_count(bits[b] & ~bits[a]).sum(axis=1, dtype=np.int64),
-                )
-                b = b[100 * most >= share * (n[a] + n[b] - most)]
-                pairs += [(min(node[a], x), max(node[a], x)) for x in node[b].tolist()]
-        pairs = sorted(set(pairs))
-        return pa.table({"a": pa.array([int(a) for a, _ in pairs], type=pa.int64()), "b": pa.array([int(b) for _, b in pairs], type=pa.int64())})
+        n = table.column("n").to_numpy()
+        order = np.argsort(n, kind="stable")
+        node, component, is_first = (table.column(c).to_numpy(zero_copy_only=False)[order] for c in ("node", "component", "is_first"))
+        listed = table.column("shingles").combine_chunks()
+        at, flat = listed.offsets.to_numpy(), listed.values.to_numpy().view(np.uint64)
+        index = Inverted([flat[at[i] : at[i + 1]] for i in order.tolist()])
+        within = table.column("within")[0].as_py()
+        component = np.unique(component, return_inverse=True)[1]
+        links = []
+        for query in range(len(node)):
+            allowed = component != component[query]
+            if not within:
+                allowed &= is_first != is_first[query]
+            if not allowed[query + 1 :].any():
+                continue
+            for other in divide_skip(index, query, allowed, share).tolist():
+                if component[other] != component[query]:
+                    links.append((int(node[query]), int(node[other])))
+                    component[component == component[other]] = component[query]
+        return pa.table({"a": pa.array([a for a, _ in links], type=pa.int64()), "b": pa.array([b for _, b in links], type=pa.int64())})
 
     return run
 
 
+def _blocks(members: DataFrame, share: int) -> DataFrame:
+    """Rows (group, low_class, low, high_class, high, is_first, node): what each task gets of the groups' ``members`` (group, node, n).
+
+    A group is split by classes of size, of which two sets that link are in the same or in neighbouring ones, and those by hash into
+    blocks. Every pair of blocks that may hold a link is a task. A small group is one block.
+    """
+    weight = F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)
+    whole = members.groupBy("group").agg(weight.alias("weight")).select("group", (F.col("weight") <= 1).alias("is_small"))
+    step = float(np.log(SIZE_STEP * 100 / share))
+    classed = members.join(whole, "group").withColumn("class", F.when(F.col("is_small"), 0).otherwise(F.floor(F.ln("n") / step)).cast("int"))
+    sizes = classed.groupBy("group", "class").agg(F.ceil(weight).cast("int").alias("parts"))
+    sizes = sizes.groupBy("group").agg(F.map_from_entries(F.collect_list(F.struct("class", "parts"))).alias("parts"))
+    split = classed.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("node"), F.try_element_at("parts", "class")).cast("int"))
+
+    def with_class(difference, pair):
+        other = F.try_element_at("parts", F.col("class") + difference)
+        return F.when(other.isNotNull(), F.transform(F.sequence(F.lit(0), other - 1), pair))
+
+    task = lambda low_class, low, high_class, high, is_first: F.struct(
+        low_class.alias("low_class"), low.alias("low"), high_class.alias("high_class"), high.alias("high"), is_first.alias("is_first")
+    )
+    c, own = F.col("class"), F.col("own")
+    pairs = [
+        with_class(0, lambda x: task(c, F.least(own, x), c, F.greatest(own, x), own <= x)),
+        with_class(1, lambda x: task(c, own, c + 1, x, F.lit(True))),
+        with_class(-1, lambda x: task(c - 1, x, c, own, F.lit(False))),
+    ]
+    dealt = split.select("group", "node", F.explode(F.flatten(F.array_compact(F.array(*pairs)))).alias("task"))
+    return dealt.select("group", "task.*", "node")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) of classes that link, found by binary probes of the smaller set into the larger."""
 
@@ -295,7 +374,7 @@ def _short_lists(sets: DataFrame, share: int) -> DataFrame:
 
 
 def linked_classes(sets: DataFrame, share=SHARE) -> DataFrame:
-    """Rows (vertex, component) of the classes that link with another; ``sets`` has node, n, shingles and bits."""
+    """Rows (vertex, component) of the classes that link with another; ``sets`` has node, n and shingles."""
     lists = durable(_short_lists(sets, share))
     sizes_fit = lambda a, b: 100 * F.least(a, b) >= share * F.greatest(a, b)
 
@@ -308,18 +387,15 @@ def linked_classes(sets: DataFrame, share=SHARE) -> DataFrame:
     found = durable(connected_components(first_links))
 
     members = lists.join(found.withColumnRenamed("vertex", "node"), "node", "left")
-    members = members.select("h", "node", "n", F.coalesce("component", "node").alias("component"))
-    mixed = members.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("members"))
-    mixed = mixed.where("low <> high").select("h", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    dealt = durable(members.join(mixed, "h").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    tasks = max(1, -(-dealt.count() // TASK_ROWS))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    spread = dealt.select("h", "node", "n", "component", "block", other)
-    spread = spread.select("h", "node", "n", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    with_bits = spread.join(sets.select("node", "bits"), "node")
-    task = F.pmod(F.xxhash64("h", "i", "j"), F.lit(4 * tasks))
-    possible = with_bits.groupBy(task.alias("task")).applyInArrow(_possible(share), "a bigint, b bigint").distinct()
-    second_links = _verified(possible, sets, share)
+    members = durable(members.select("h", "node", "n", F.coalesce("component", "node").alias("component")))
+    mixed = members.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("h")
+    named = mixed.join(centres, "h").select("h", F.col("centre").alias("group"))
+    grouped = durable(members.join(named, "h").select("group", "node", "n", "component").distinct())
+    content = sets.select("node", "shingles").join(grouped.select("node", "n", "component").distinct(), "node")
+    tasks = _blocks(grouped, share).join(content, "node")
+    key = ["group", "low_class", "low", "high_class", "high"]
+    within = (F.col("low_class") == F.col("high_class")) & (F.col("low") == F.col("high"))
+    second_links = tasks.withColumn("within", within).groupBy(*key).applyInArrow(_linked(share), "a bigint, b bigint")
     everything = second_links.unionByName(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")))
     return connected_components(everything)
 
@@ -346,7 +422,7 @@ def join(docs: DataFrame, id_column="doc_id", text_column="text", size=WORDS, sh
     classes = durable(classes.withColumn("alive", (F.col("n") > 0) & (F.col("found") >= needed)))
     alive = classes.where("alive").select(F.col("class_id").alias("alive_id")).distinct()
     texts = rows.join(alive, F.col("doc_id").eqNullSafe(F.col("alive_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_full_sets(size), "node bigint, n int, shingles array<bigint>, bits binary").where("n > 0")
+    sets = texts.mapInArrow(_full_sets(size), "node bigint, n int, shingles array<bigint>").where("n > 0")
     sets = durable(sets.dropDuplicates(["node"]))
 
     components = linked_classes(sets, share).withColumnRenamed("vertex", "node")
