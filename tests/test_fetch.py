@@ -25,8 +25,17 @@ def requests(spark, *rows):
 def test_urls():
     assert fetch.join_url("http://h/api/", "/items") == "http://h/api/items"
     assert fetch.join_url(None, "http://h/items") == "http://h/items"
-    assert fetch.with_query("http://h/x?a=1#f", {"limit": "100"}) == "http://h/x?a=1&limit=100#f"
-    assert fetch.with_query("http://h/x", {}) == "http://h/x"
+
+
+def test_addresses_are_what_urllib_makes(spark):
+    from urllib.parse import urlencode
+
+    params = {"limit": "100", "a b": "é&=~*-_./?#+", "": ""}
+    query = urlencode(sorted(params.items()))
+    urls = {"http://h/x?a=1#f": f"http://h/x?a=1&{query}#f", "http://h/x": f"http://h/x?{query}", "http://h/x?#a?b#c": f"http://h/x?{query}#a?b#c"}
+    rows = [(u, 1, "get", u, params) for u in urls] + [("none", 1, "GET", "http://h/x?#f", {}), ("post", 1, "post", "http://h/x", params)]
+    got = {r["request_id"]: r["url"] for r in fetch.addressed(requests(spark, *rows)).collect()}
+    assert got == {**urls, "none": "http://h/x?#f", "post": "http://h/x"}
 
 
 def test_get_post_and_headers(spark):

@@ -141,15 +141,21 @@ def land_download(
     policy: RetryPolicy = RetryPolicy(),
     allow_overwrite: bool = False,
     opener: Opener = open_object,
+    objects: DataFrame | None = None,
 ) -> str:
-    """A file entity downloaded and landed as the object it is, by the task that requests it.
-    Returns its path; size and checksum are in a manifest (see :func:`manifest_path`)."""
+    """A file entity downloaded and landed as the object it is, by the task that requests it. An entity of several
+    ``objects`` (url) is landed as objects below its path. Returns the path; sizes and checksums are in a manifest
+    (see :func:`manifest_path`)."""
     spec = endpoint_spec(entity)
     requests = endpoint_requests(spark, [spec], base_url).withColumn("page", F.lit(1))
     name = spec.path.rsplit("/", 1)[-1]
     target = bucket_path(bucket, raw_key(prefix, "api", entity, domain, date, name.split(".", 1)[-1]))
     make_way(spark, target, allow_overwrite)
     targeted = requests.withColumn("target", F.lit(target))
+    if objects is not None:
+        below = F.concat(F.lit(target + "/"), F.element_at(F.split(F.substring_index("url", "?", 1), "/"), -1))
+        params = F.lit(None).cast("map<string,string>").alias("params")
+        targeted = objects.select(F.col("url").alias("request_id"), F.lit("GET").alias("method"), "url", params, below.alias("target"))
     landed = durable(download(targeted, transport, api_key, policy, headers, opener))
     failed = landed.where(F.col("error").isNotNull()).first()
     if failed is not None:

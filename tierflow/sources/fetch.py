@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import json
 import time
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
 from functools import reduce
-from urllib.parse import urlencode, urlsplit, urlunsplit
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tierflow.sources.landing import Opener, open_object, store
@@ -22,11 +21,12 @@ runs_on_executors(__name__)
 # Statuses worth another try, and methods that may be sent.
 RETRY_STATUSES = frozenset({429, 500, 502, 503, 504})
 METHODS = ("GET", "POST")
+MOST_TASKS = 10_000
 
 RESPONSE_SCHEMA = "request_id string, page int, status int, body {body}, attempts int, error string"
 # Transport: (method, url, headers, JSON body or None, timeout in seconds) -> (status, body),
-# the body as text or, for downloads, as bytes.
-Transport = Callable[[str, str, Mapping[str, str], "str | None", float], "tuple[int, str | bytes]"]
+# the body as text or, for downloads, as bytes or an iterable of chunks, which are written one by one.
+Transport = Callable[[str, str, Mapping[str, str], "str | None", float], "tuple[int, str | bytes | Iterable[bytes]]"]
 
 
 @dataclass(frozen=True)
@@ -44,13 +44,25 @@ def join_url(base: str | None, endpoint: str) -> str:
     return f"{base.rstrip('/')}/{endpoint.lstrip('/')}" if base else endpoint
 
 
-def with_query(url: str, params: Mapping[str, str]) -> str:
-    """``params`` added behind the URL's own query and ahead of its fragment."""
-    if not params:
-        return url
-    parts = urlsplit(url)
-    query = "&".join(q for q in (parts.query, urlencode(sorted(params.items()))) if q)
-    return urlunsplit(parts._replace(query=query))
+def with_query(url: Column, params: Column) -> Column:
+    """Parameters (a map) in the order of their names behind the URL's own query and ahead of its fragment."""
+    # What form encoding and URL quoting write differently.
+    quoted = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
+    pairs = F.array_sort(F.map_entries(F.coalesce(params, F.create_map().cast("map<string,string>"))))
+    added = F.array_join(F.transform(pairs, lambda p: F.concat(quoted(p["key"]), F.lit("="), quoted(p["value"]))), "&")
+    ahead = F.substring_index(url, "#", 1)
+    path, fragment = F.substring_index(ahead, "?", 1), F.substr(url, F.length(ahead) + 1)
+    own = F.substr(ahead, F.length(path) + 2)
+    query = F.concat_ws("&", F.nullif(own, F.lit("")), added)
+    return F.when(added == "", url).otherwise(F.concat(path, F.lit("?"), query, fragment))
+
+
+def addressed(requests: DataFrame) -> DataFrame:
+    """``requests`` (method, url, params) as they are sent: the parameters of a GET are part of its ``url``."""
+    method = F.upper(F.coalesce("method", F.lit("GET")))
+    params = F.col("params").cast("map<string,string>")
+    url = F.when(method == "POST", F.col("url")).otherwise(with_query(F.col("url"), params))
+    return requests.withColumns({"method": method, "url": url, "params": params})
 
 
 def page_url(template: Column, page: Column) -> Column:
@@ -72,16 +84,12 @@ def endpoint_requests(
     )
 
 
-def _send(row, transport: Transport, headers: Mapping[str, str], policy: RetryPolicy) -> tuple:
-    method = (row.method or "GET").upper()
+def _send(row: Mapping, transport: Transport, headers: Mapping[str, str], policy: RetryPolicy) -> tuple:
+    method, url, payload = row["method"], row["url"], None
     if method not in METHODS:
         return None, None, 0, f"unsupported method: {method}"
-    params = dict(row.params) if row.params is not None else {}
-    url, payload = row.url, None
     if method == "POST":
-        payload = json.dumps(params, ensure_ascii=False, sort_keys=True)
-    else:
-        url = with_query(url, params)
+        payload = json.dumps(dict(row["params"] or ()), ensure_ascii=False, sort_keys=True)
     status, text, error, attempt = None, None, None, 0
     for attempt in range(1, policy.retries + 2):
         try:
@@ -98,6 +106,11 @@ def _send(row, transport: Transport, headers: Mapping[str, str], policy: RetryPo
     return status, text, attempt, error
 
 
+def _one_row(values: tuple, schema: pa.Schema) -> pa.RecordBatch:
+    """A batch of one row, so that one body is held at a time."""
+    return pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(values, schema.types)], schema=schema)
+
+
 def fetch(
     requests: DataFrame,
     transport: Transport,
@@ -119,30 +132,23 @@ def fetch(
     if api_key:
         all_headers["Authorization"] = f"Bearer {api_key}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.binary() if as_bytes else pa.string(), pa.int32(), pa.string()]
+    schema = pa.schema(list(zip(("request_id", "page", "status", "body", "attempts", "error"), kinds)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent_before = False
         for batch in batches:
-            for r in batch.itertuples(index=False):
+            for row in batch.to_pylist():
                 if sent_before and policy.pause:
                     time.sleep(policy.pause)
-                # One body is held at a time.
-                yield pd.DataFrame(
-                    [(r.request_id, r.page, *_send(r, transport, all_headers, policy))],
-                    columns=["request_id", "page", "status", "body", "attempts", "error"],
-                ).astype({"status": "Int32", "page": "Int32", "attempts": "Int32"})
+                yield _one_row((row["request_id"], row["page"], *_send(row, transport, all_headers, policy)), schema)
                 sent_before = True
 
-    shaped = requests.select(
-        F.col("request_id").cast("string"),
-        F.col("page").cast("int"),
-        "method",
-        "url",
-        F.col("params").cast("map<string,string>"),
-    )
+    shaped = addressed(requests).select(F.col("request_id").cast("string"), F.col("page").cast("int"), "method", "url", "params")
     # A fixed number: requests are few bytes, and adaptive execution would join them in one task.
     tasks = parallelism or requests.sparkSession.sparkContext.defaultParallelism
     shaped = shaped.repartition(tasks, "request_id", "page")
-    return shaped.mapInPandas(run, RESPONSE_SCHEMA.format(body="binary" if as_bytes else "string"))
+    return shaped.mapInArrow(run, RESPONSE_SCHEMA.format(body="binary" if as_bytes else "string"))
 
 
 DOWNLOADS = "request_id string, url string, target string, status int, n_bytes long, sha256 string, error string"
@@ -162,18 +168,23 @@ def download(
     if api_key:
         all_headers["Authorization"] = f"Bearer {api_key}"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples(index=False):
-                status, body, _, error = _send(r, transport, all_headers, policy)
-                size, digest = (None, None) if error else store([body], r.target, opener)
-                row = (r.request_id, r.url, r.target, status, size, digest, error)
-                yield pd.DataFrame([row], columns=[c.split()[0] for c in DOWNLOADS.split(", ")]).astype(
-                    {"status": "Int32", "n_bytes": "Int64"}
-                )
+    schema = pa.schema(
+        [(c, pa.string()) for c in ("request_id", "url", "target")]
+        + [("status", pa.int32()), ("n_bytes", pa.int64()), ("sha256", pa.string()), ("error", pa.string())]
+    )
 
-    shaped = requests.select("request_id", "method", "url", F.col("params").cast("map<string,string>").alias("params"), "target")
-    return shaped.repartition("request_id").mapInPandas(run, DOWNLOADS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                status, body, _, error = _send(row, transport, all_headers, policy)
+                chunks = (body,) if isinstance(body, bytes) else body
+                size, digest = (None, None) if error else store(chunks, row["target"], opener)
+                yield _one_row((row["request_id"], row["url"], row["target"], status, size, digest, error), schema)
+
+    # Each object is a task's own, up to a bound.
+    shaped = addressed(requests).select("request_id", "method", "url", "params", "target")
+    tasks = max(1, min(requests.count(), MOST_TASKS))
+    return shaped.repartition(tasks, "request_id").mapInArrow(run, DOWNLOADS)
 
 
 def first_gaps(pages: DataFrame, keys: tuple[str, ...] = ("request_id",)) -> DataFrame:

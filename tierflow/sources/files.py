@@ -103,15 +103,28 @@ def scan_parquet(spark: SparkSession, path: str, merge_schema: bool = False) ->
     return with_source_file(spark.read.option("mergeSchema", merge_schema).parquet(path))
 
 
+def scan_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType | None = None) -> DataFrame:
+    """XML files, a record for each element ``row_tag``: attributes are columns with a leading underscore. Without a schema the types are inferred
+    in an extra pass. Give namespaced tags with their prefix."""
+    reader = spark.read.format("xml").option("rowTag", row_tag)
+    reader = reader if schema is None else reader.schema(schema)
+    return with_source_file(reader.load(path))
+
+
 def scan(
     spark: SparkSession,
     path: str,
     fmt: str,
     schema: T.StructType | None = None,
     multi_line: bool | None = None,
+    row_tag: str | None = None,
 ) -> DataFrame:
     """Scan by format name. Unless told, each JSON file is read by its own layout, and CSV records end
-    with their line."""
+    with their line. XML needs the tag of its records."""
+    if fmt == "xml":
+        if not row_tag:
+            raise ValueError("XML needs a row tag")
+        return scan_xml(spark, path, row_tag, schema)
     if fmt == "json":
         return scan_json(spark, path, schema, multi_line)
     if fmt == "csv":

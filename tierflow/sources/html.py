@@ -7,7 +7,7 @@ from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tierflow.workspace import runs_on_executors
@@ -37,6 +37,8 @@ ENDED_BY = {
     **{block: frozenset({"p"}) for block in BLOCKS},
 }
 
+# Characters of pages whose records are held at a time, beyond one page.
+HELD_CHARS = 1 << 20
 # A name without its semicolon is text and no entity; its ampersand is set aside while parsing.
 _BARE_AMPERSAND = re.compile(r"&(?=[A-Za-z][A-Za-z0-9]*(?![A-Za-z0-9;]))")
 _KEPT = "\0"
@@ -245,16 +247,29 @@ def scrape(
     )
     names = [f.name for f in kept]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def made(batch: pa.RecordBatch, rows: list, positions: list, records: list) -> pa.RecordBatch:
+        chosen = pa.array(rows, type=pa.int32())
+        found = [pa.array([r[name] for r in records], type=pa.string()) for name in fields]
+        return pa.RecordBatch.from_arrays(
+            [batch.column(i).take(chosen) for i in range(len(names))] + [pa.array(positions, type=pa.int32()), *found], names=schema.names
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                if getattr(row, html) is not None:
-                    kept_values = [getattr(row, n) for n in names]
-                    records = _records(getattr(row, html), parsed_container, parsed_fields)
-                    # One page's records are held at a time.
-                    yield pd.DataFrame(
-                        [(*kept_values, i, *r.values()) for i, r in enumerate(records, start=1)],
-                        columns=schema.names,
-                    )
-
-    return pages.select(*names, html).mapInPandas(run, schema)
+            pages_of = batch.column(len(names))
+            rows, positions, records, held = [], [], [], 0
+            for i in range(batch.num_rows):
+                text = pages_of[i].as_py()
+                if text is None:
+                    continue
+                for position, record in enumerate(_records(text, parsed_container, parsed_fields), start=1):
+                    rows.append(i)
+                    positions.append(position)
+                    records.append(record)
+                held += len(text)
+                if held > HELD_CHARS:
+                    yield made(batch, rows, positions, records)
+                    rows, positions, records, held = [], [], [], 0
+            yield made(batch, rows, positions, records)
+
+    return pages.select(*names, html).mapInArrow(run, schema)

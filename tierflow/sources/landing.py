@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tierflow.workspace import runs_on_executors
@@ -55,19 +55,25 @@ def _chunks(source) -> Iterator[bytes]:
         yield bytes(chunk)
 
 
+def chunks_of(path: str, opener: Opener = open_object) -> Iterator[bytes]:
+    """An object's content, a chunk at a time."""
+    with opener(path, "rb") as source:
+        yield from _chunks(source)
+
+
 def copy_objects(files: DataFrame, opener: Opener = open_object) -> DataFrame:
     """Each object of ``files`` (path, target) copied by a task of its own; the manifest rows. Write
     them at once: computing them again copies again."""
+    schema = pa.schema([("path", pa.string()), ("target", pa.string()), ("n_bytes", pa.int64()), ("sha256", pa.string())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, target in zip(batch["path"], batch["target"]):
-                with opener(path, "rb") as source:
-                    size, digest = store(_chunks(source), target, opener)
-                yield pd.DataFrame([(path, target, size, digest)], columns=["path", "target", "n_bytes", "sha256"])
+            for path, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                size, digest = store(chunks_of(path, opener), target, opener)
+                yield pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip((path, target, size, digest), schema.types)], schema=schema)
 
     tasks = max(1, min(files.count(), 10_000))
-    return files.select("path", "target").repartition(tasks, "path").mapInPandas(run, MANIFEST)
+    return files.select("path", "target").repartition(tasks, "path").mapInArrow(run, MANIFEST)
 
 
 def content_type(name: Column) -> Column:
