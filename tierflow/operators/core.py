@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tierflow.operators.joins import left_join_spread, with_group_stats
+from tierflow.operators.joins import join_in_blocks, left_join_spread, with_group_stats
 
 
 def normalized_text(text: Column) -> Column:
@@ -119,8 +119,8 @@ def fuzzy_match(
 
     A name is cut into ``max_edits + 1`` pieces. So many edits leave one of them whole, shifted by no more than
     that, so joining pieces with the other side's parts finds every such pair without
-    comparing a whole block with itself. ``self_match`` lists each pair of one
-    table once, without identical names.
+    comparing a whole block with itself. A piece that very many names have is met in blocks of names, a task
+    for each two. ``self_match`` lists each pair of one table once, without identical names.
     """
 
     def names(df: DataFrame, suffix: str) -> DataFrame:
@@ -131,7 +131,7 @@ def fuzzy_match(
 
     a = names(left, "a").withColumn("_piece", F.explode(text_pieces(F.col("name_a"), max_edits)))
     b = names(right, "b").withColumn("_piece", F.explode(probed_pieces(F.col("name_b"), max_edits)))
-    pairs = a.join(b, ["block", "_piece"])
+    pairs = join_in_blocks(a, b, ["block", "_piece"], "name_a", "name_b")
     if self_match:
         pairs = pairs.where(F.col("name_a") < F.col("name_b"))
     distance = F.levenshtein("name_a", "name_b")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 NULL_SPREAD = 1024
+#: Rows of one key on one side that meet those of the other in one task, about.
+BLOCK_ROWS = 5_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -36,6 +38,28 @@ def left_join_spread(left: DataFrame, right: DataFrame, key: str, right_key: str
     return joined.drop("_spread", "_spread_right")
 
 
+def join_in_blocks(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], spread_left: str, spread_right: str, block_rows: int | None = None
+) -> DataFrame:
+    """Inner join in which a key with many rows on both sides is cut into blocks of about ``block_rows`` on either side, by a hash
+    of the ``spread`` columns; every two blocks meet under a key of their own, and so in tasks of their own."""
+    block_rows = block_rows or BLOCK_ROWS
+    counts = [df.groupBy(*keys).agg(F.count("*").alias(n)) for df, n in ((left, "_n"), (right, "_m"))]
+    hot = counts[0].join(counts[1], list(keys)).where(F.col("_n").cast("double") * F.col("_m") > float(block_rows) ** 2)
+    blocks = lambda n: F.ceil(F.col(n) / block_rows).cast("int")
+    hot = hot.select(*keys, blocks("_n").alias("_rows"), blocks("_m").alias("_columns"))
+
+    def dealt(df: DataFrame, spread: str, own: str, other: str, own_name: str, other_name: str) -> DataFrame:
+        known = df.join(hot, list(keys), "left")
+        place = F.coalesce(F.pmod(F.xxhash64(spread, F.lit(1)), F.col(own)).cast("int"), F.lit(0))
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce(other, F.lit(1)) - 1))
+        return known.withColumn(own_name, place).withColumn(other_name, copies).drop("_rows", "_columns")
+
+    a = dealt(left, spread_left, "_rows", "_columns", "_i", "_j")
+    b = dealt(right, spread_right, "_columns", "_rows", "_j", "_i")
+    return a.join(b, [*keys, "_i", "_j"]).drop("_i", "_j")
+
+
 def integrate(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how: str = "inner") -> DataFrame:
     """Cross-source equi-join. Spark broadcasts the smaller side if its size allows."""
     if how not in ("inner", "left", "left_semi", "left_anti", "full"):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -14,8 +15,8 @@ from tierflow.workspace import durable
 
 BUCKET = "_bucket"
 BUCKETS = 64
-#: Changes are folded into the base when they have grown to this share of it.
-FOLD_SHARE = 0.25
+#: Changes are folded into the base when they have grown to this share of it, and to so many bytes.
+FOLD_SHARE, FOLD_LEAST = 0.25, 32 << 20
 
 
 def high_water_mark(target: DataFrame, control: str) -> Column | None:
@@ -116,7 +117,7 @@ def upsert_buckets(
     latest = keep_first(batch, keys, order)
     _write_buckets(latest, f"{path}/changes", keys, layout["buckets"], "append")
     base = directory_bytes(spark, f"{path}/base") if target_exists(spark, f"{path}/base") else 0
-    if directory_bytes(spark, f"{path}/changes") > FOLD_SHARE * base:
+    if directory_bytes(spark, f"{path}/changes") > max(FOLD_LEAST, FOLD_SHARE * base):
         fold_buckets(spark, path, batch.schema)
 
 
@@ -136,14 +137,44 @@ def fold_buckets(spark: SparkSession, path: str, schema: T.StructType) -> None:
     """The changes folded into the base, whose other buckets stay as they are.
 
     The merged rows are made durable before the overwrite, since a path must not be read while it
-    is replaced. A run that breaks off leaves changes that the base already has, which make no
-    difference to readers.
+    is replaced. Only the files of changes that were read are removed: what another writer appends
+    meanwhile stays for the next time. A run that breaks off leaves changes that the base already has, which make no
+    difference to readers. One fold may run at a time.
     """
     layout = _layout(spark, path)
-    changes = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/changes")
-    stored = _stored(spark, path, schema)
-    touched = spark.read.parquet(f"{path}/changes").select(BUCKET).distinct()
+    fields = T.StructType([*schema.fields, T.StructField(BUCKET, T.LongType())])
+    files = [unquote(f) for f in spark.read.schema(fields).parquet(f"{path}/changes").inputFiles()]
+    if not files:
+        return
+    changes = spark.read.schema(fields).option("basePath", f"{path}/changes").parquet(*files)
+    stored = changes
+    if target_exists(spark, f"{path}/base"):
+        stored = spark.read.schema(fields).parquet(f"{path}/base").unionByName(changes)
+    touched = changes.select(BUCKET).distinct()
     rows = stored.join(F.broadcast(touched), BUCKET, "left_semi")  # at most one row per bucket
     merged = durable(keep_first(rows.drop(BUCKET), layout["keys"], layout["order"]))
     _write_buckets(merged, f"{path}/base", layout["keys"], layout["buckets"], "overwrite")
-    changes.getFileSystem(spark._jsc.hadoopConfiguration()).delete(changes, True)
+    for file in files:
+        read = spark._jvm.org.apache.hadoop.fs.Path(file)
+        read.getFileSystem(spark._jsc.hadoopConfiguration()).delete(read, False)
+
+
+def incremental_changes(
+    source: DataFrame, target: DataFrame, control: str, deleted: Column, log: DataFrame | None = None
+) -> DataFrame:
+    """Changes beyond the target's high-water mark as a change log with ``op``: a row whose ``deleted`` holds is a D, any other an U.
+    A ``log`` of deletions has the target's keys and the control column; what it lacks is null."""
+    marked = incremental(source, target, control).withColumn("op", F.when(F.coalesce(deleted, F.lit(False)), "D").otherwise("U"))
+    if log is None:
+        return marked
+    removed = incremental(log, target, control).withColumn("op", F.lit("D"))
+    return marked.unionByName(removed, allowMissingColumns=True)
+
+
+def incremental_merge(
+    source: DataFrame, target: DataFrame, keys: Sequence[str], control: str, deleted: Column, log: DataFrame | None = None
+) -> DataFrame:
+    """``target`` after an incremental load that says what was deleted, by a column of the source or by a log of deletions.
+    Of changes of one key and time a deletion wins."""
+    changes = incremental_changes(source, target, control, deleted, log).withColumn("_gone", (F.col("op") == "D").cast("int"))
+    return apply_cdc(target, changes, keys, [f"-{control}", "-_gone"])

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tierflow.functions.money import exact_sum
 from tierflow.operators.history import surrogate_key
-from tierflow.operators.ordered import ntile
+from tierflow.operators.ordered import ntiles
+from tierflow.workspace import durable
 
 
 def priced_owners(df: DataFrame, owner: str, price: Column) -> DataFrame:
@@ -72,9 +73,8 @@ def rfm(
         F.sum(amount).alias("monetary"),
         F.datediff(today, F.min(date)).alias("days_since_first"),
     )
-    scored = ntile(base, buckets, [F.desc("recency"), F.asc(customer)], "r_score")
-    scored = ntile(scored, buckets, ["frequency", customer], "f_score")
-    scored = ntile(scored, buckets, ["monetary", customer], "m_score")
+    orders_of = {"r_score": ("recency", True), "f_score": ("frequency", False), "m_score": ("monetary", False)}
+    scored = ntiles(durable(base), buckets, {score: [by, (customer, False)] for score, by in orders_of.items()})
     return scored.withColumn("monetary", F.col("monetary").cast("double")).withColumn(
         "segment", F.concat("r_score", "f_score", "m_score")
     )
@@ -182,14 +182,15 @@ def churn(orders: DataFrame, customer: str, date: str, today: Column, idle_days:
 def funnel(events: DataFrame, user: str, kind: str, timestamp: str, steps: Sequence[str]) -> DataFrame:
     """Users reaching each step strictly after the step before it, and the share of the first
     step's users. Each step keeps one row per user: the earliest time it was reached."""
-    wanted = events.where(F.col(user).isNotNull() & F.col(kind).isin(*steps)).select(user, kind, timestamp)
-    reached = wanted.where(F.col(kind) == steps[0]).groupBy(user).agg(F.min(timestamp).alias("_at"))
+    # Events are scanned once; what each step needs of them, and each step's users, are tables.
+    wanted = durable(events.where(F.col(user).isNotNull() & F.col(kind).isin(*steps)).select(user, kind, timestamp))
+    reached = durable(wanted.where(F.col(kind) == steps[0]).groupBy(user).agg(F.min(timestamp).alias("_at")))
     levels = [reached]
     for step in steps[1:]:
         # A busy user's events are partly summed before the shuffle where the join is broadcast, and
         # adaptive execution splits them otherwise.
         later = wanted.where(F.col(kind) == step).join(reached, user)
-        reached = later.where(F.col(timestamp) > F.col("_at")).groupBy(user).agg(F.min(timestamp).alias("_at"))
+        reached = durable(later.where(F.col(timestamp) > F.col("_at")).groupBy(user).agg(F.min(timestamp).alias("_at")))
         levels.append(reached)
     counted = [
         level.agg(F.count("*").alias("n")).select(

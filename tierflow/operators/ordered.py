@@ -9,7 +9,9 @@ one row per slice that is safe to broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -157,6 +159,105 @@ def ntile(df: DataFrame, buckets: int, order: Sequence[str | Column], name: str)
     return rows.withColumn(name, bucket.cast("int")).drop("_rn", "_rows")
 
 
+#: Rows of the sample that splitters are taken from, and rows that are put in order by one task.
+SPLITTERS, ORDERED_ROWS = 24, 1_000_000
+# An order: columns with whether they descend. Nulls are smaller than all values.
+Order = Sequence[tuple[str, bool]]
+
+
+def ntiles(df: DataFrame, buckets: int, orders: Mapping[str, Order]) -> DataFrame:
+    """``ntile(buckets)`` over the whole table for several orders at once, each in a column of its own. An order tells all
+    rows apart.
+
+    Nothing is sorted as a whole: a sample gives splitters of every order, one pass counts the rows between them, and only slices in
+    which a bucket begins are looked at further. Buckets then follow from their first rows, of which there are ``buckets`` for
+    each order. ``df`` is read a few times; make it durable if it is dear.
+    """
+    columns = sorted({c for order in orders.values() for c, _ in order})
+    rows = df.select(*columns)
+    splitters = {name: _splitters(rows, order) for name, order in orders.items()}
+    place = {name: _place(order, splitters[name]) for name, order in orders.items()}
+    counts = rows.select(F.inline(F.array(*(F.struct(F.lit(n).alias("order"), place[n].alias("slice")) for n in orders))))
+    held = {(r["order"], r["slice"]): r["n"] for r in counts.groupBy("order", "slice").agg(F.count("*").alias("n")).collect()}
+    first_order = next(iter(orders))
+    total = sum(n for (name, _), n in held.items() if name == first_order)
+    small, larger = divmod(total, buckets)
+    firsts = sorted({start for b in range(1, buckets) if 0 < (start := b * small + min(b, larger)) < total})
+
+    borders = {}
+    for name, order in orders.items():
+        sizes = [held.get((name, at), 0) for at in range(len(splitters[name]) + 1)]
+        wanted = [_slice_of(sizes, first) for first in firsts]
+        near = rows.withColumn("_at", place[name]).where(F.col("_at").isin(sorted({at for at, _ in wanted})))
+        found = {}
+        if few := [w for w in wanted if sizes[w[0]] <= ORDERED_ROWS]:
+            by_order = Window.partitionBy("_at").orderBy(*_sorted(order))
+            ranked = near.withColumn("_rank", F.row_number().over(by_order) - 1)
+            hit = reduce(or_, ((F.col("_at") == at) & (F.col("_rank") == rank) for at, rank in few))
+            found = {(r["_at"], r["_rank"]): r for r in ranked.where(hit).collect()}
+        for at, rank in wanted:
+            if (at, rank) not in found:
+                found[at, rank] = _row_at(near.where(F.col("_at") == at), order, rank, sizes[at])
+        borders[name] = [found[w] for w in wanted]
+    return df.select("*", *((_place(order, borders[name]) + 1).alias(name) for name, order in orders.items()))
+
+
+def _sorted(order: Order) -> list[Column]:
+    return [F.desc_nulls_last(c) if descending else F.asc_nulls_first(c) for c, descending in order]
+
+
+def _splitters(rows: DataFrame, order: Order) -> list:
+    """Rows of a sample by row hash, in order, each once."""
+    names = [c for c, _ in order]
+    chosen = rows.select(*names).orderBy(F.xxhash64(*names, F.lit(3))).limit(SPLITTERS).distinct()
+    return chosen.orderBy(*_sorted(order)).collect()
+
+
+def _slice_of(sizes: Sequence[int], rank: int) -> tuple[int, int]:
+    """The slice that holds the row of a rank (from 0), and its rank there."""
+    at = 0
+    while rank >= sizes[at]:
+        rank -= sizes[at]
+        at += 1
+    return at, rank
+
+
+def _row_at(rows: DataFrame, order: Order, rank: int, n: int):
+    """The row of a rank (from 0) among ``n``: slices of slices, until one task can put the rest in order."""
+    while n > ORDERED_ROWS:
+        place = _place(order, splitters := _splitters(rows, order))
+        counts = {r["slice"]: r["n"] for r in rows.groupBy(place.alias("slice")).agg(F.count("*").alias("n")).collect()}
+        sizes = [counts.get(at, 0) for at in range(len(splitters) + 1)]
+        at, rank = _slice_of(sizes, rank)
+        rows, n = rows.where(place == at), sizes[at]
+    ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*_sorted(order))) - 1)
+    return ranked.where(F.col("_rank") == rank).first()
+
+
+def _place(order: Order, borders: Sequence) -> Column:
+    """How many of the sorted ``borders`` (rows) a row is not before, by a tree of comparisons."""
+
+    def reached(border) -> Column:
+        condition = F.lit(True)
+        for name, descending in reversed(order):
+            column, value = F.col(name), border[name]
+            if value is None:
+                beyond, same = (F.lit(False) if descending else column.isNotNull()), column.isNull()
+            else:
+                beyond = (column < F.lit(value)) | column.isNull() if descending else column > F.lit(value)
+                same = column == F.lit(value)
+            condition = F.coalesce(beyond, F.lit(False)) | (F.coalesce(same, F.lit(False)) & condition)
+        return condition
+
+    def below(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(reached(borders[middle]), below(middle + 1, high)).otherwise(below(low, middle))
+
+    return below(0, len(borders))
+
+
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, points: dict[str, float], slices: int | None = None
 ) -> DataFrame:

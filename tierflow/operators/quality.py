@@ -375,14 +375,29 @@ def match_share(
 
 
 def schema_drift(old: DataFrame, new: DataFrame) -> list[tuple[str, str, str | None, str | None]]:
-    """Columns added, removed or changed in type: ``(change, column, old type, new type)``."""
-    before, after = dict(old.dtypes), dict(new.dtypes)
-    changes = []
-    for c in sorted(before.keys() | after.keys()):
-        if before.get(c) != after.get(c):
-            kind = "added" if c not in before else "removed" if c not in after else "type_changed"
-            changes.append((kind, c, before.get(c), after.get(c)))
-    return changes
+    """Columns and nested fields added, removed or changed in type: ``(change, path, old type, new type)``. A path names
+    fields after a dot, elements of a list by ``[]``, and a map's keys and values by ``{key}`` and ``{value}``."""
+    return sorted(_type_drift("", old.schema, new.schema), key=lambda change: change[1])
+
+
+def _type_drift(path: str, old: T.DataType, new: T.DataType):
+    if isinstance(old, T.StructType) and isinstance(new, T.StructType):
+        before, after = ({f.name: f.dataType for f in t.fields} for t in (old, new))
+        for c in before.keys() | after.keys():
+            at = f"{path}.{c}" if path else c
+            if c not in before:
+                yield "added", at, None, after[c].simpleString()
+            elif c not in after:
+                yield "removed", at, before[c].simpleString(), None
+            else:
+                yield from _type_drift(at, before[c], after[c])
+    elif isinstance(old, T.ArrayType) and isinstance(new, T.ArrayType):
+        yield from _type_drift(f"{path}[]", old.elementType, new.elementType)
+    elif isinstance(old, T.MapType) and isinstance(new, T.MapType):
+        yield from _type_drift(f"{path}{{key}}", old.keyType, new.keyType)
+        yield from _type_drift(f"{path}{{value}}", old.valueType, new.valueType)
+    elif old.simpleString() != new.simpleString():
+        yield "type_changed", path, old.simpleString(), new.simpleString()
 
 
 def schema_drift_table(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -392,9 +407,18 @@ def schema_drift_table(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _common_type(spark: SparkSession, one: T.DataType, other: T.DataType) -> T.DataType:
-    """The narrowest type that holds both; text where there is no other."""
+    """The narrowest type that holds both: structs with the fields of both, lists and maps of what holds their contents, and text where
+    there is no other."""
     if one == other or isinstance(other, T.NullType):
         return one
+    if isinstance(one, T.StructType) and isinstance(other, T.StructType):
+        later = {f.name: f.dataType for f in other.fields}
+        fields = [T.StructField(f.name, _common_type(spark, f.dataType, later.pop(f.name, f.dataType))) for f in one.fields]
+        return T.StructType(fields + [T.StructField(name, kind) for name, kind in later.items()])
+    if isinstance(one, T.ArrayType) and isinstance(other, T.ArrayType):
+        return T.ArrayType(_common_type(spark, one.elementType, other.elementType))
+    if isinstance(one, T.MapType) and isinstance(other, T.MapType):
+        return T.MapType(_common_type(spark, one.keyType, other.keyType), _common_type(spark, one.valueType, other.valueType))
     if isinstance(one, T.StringType) or isinstance(other, T.StringType):
         return T.StringType()
     both = F.coalesce(F.lit(None).cast(one), F.lit(None).cast(other)).alias("both")
@@ -404,9 +428,30 @@ def _common_type(spark: SparkSession, one: T.DataType, other: T.DataType) -> T.D
         return T.StringType()
 
 
+def _as_type(column: Column, kind: T.DataType, wanted: T.DataType) -> Column:
+    """A value of one type as another that :func:`_common_type` gave: fields that it lacks are null."""
+    if kind == wanted:
+        return column
+    if isinstance(kind, T.StructType) and isinstance(wanted, T.StructType):
+        own = {f.name: f.dataType for f in kind.fields}
+        fields = [
+            (_as_type(column.getField(f.name), own[f.name], f.dataType) if f.name in own else F.lit(None).cast(f.dataType)).alias(f.name)
+            for f in wanted.fields
+        ]
+        return F.when(column.isNotNull(), F.struct(*fields))
+    if isinstance(kind, T.ArrayType) and isinstance(wanted, T.ArrayType):
+        return F.transform(column, lambda x: _as_type(x, kind.elementType, wanted.elementType))
+    if isinstance(kind, T.MapType) and isinstance(wanted, T.MapType):
+        entry = lambda e: F.struct(
+            _as_type(e["key"], kind.keyType, wanted.keyType).alias("key"), _as_type(e["value"], kind.valueType, wanted.valueType).alias("value")
+        )
+        return F.map_from_entries(F.transform(F.map_entries(column), entry))
+    return F.to_json(column) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else column.cast(wanted)
+
+
 def evolve_union(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Rows of both versions under the union of their columns, missing ones null. A column
-    whose type changed takes the wider type of the two, or text where neither is wider."""
+    """Rows of both versions under the union of their columns and nested fields, missing ones null. What changed in type
+    takes the wider type of the two, or text where neither is wider (JSON for nested values)."""
     before, after = ({f.name: f.dataType for f in df.schema.fields} for df in (old, new))
     common = {
         c: _common_type(old.sparkSession, before[c], after[c])
@@ -414,10 +459,10 @@ def evolve_union(old: DataFrame, new: DataFrame) -> DataFrame:
         if before[c] != after[c]
     }
 
-    def widened(df: DataFrame) -> DataFrame:
-        return df.withColumns({c: F.col(c).cast(t) for c, t in common.items()}) if common else df
+    def widened(df: DataFrame, kinds: Mapping[str, T.DataType]) -> DataFrame:
+        return df.withColumns({c: _as_type(F.col(c), kinds[c], t) for c, t in common.items()}) if common else df
 
-    return widened(old).unionByName(widened(new), allowMissingColumns=True)
+    return widened(old, before).unionByName(widened(new, after), allowMissingColumns=True)
 
 
 def zscore_outliers(df: DataFrame, keys: Sequence[str], value: str, limit: float = 3.0) -> DataFrame:

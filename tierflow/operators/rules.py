@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -106,3 +109,28 @@ def audited(df: DataFrame, date: str, run_timestamp: Column | None = None) -> Da
             "_processing_date": F.lit(date),
         }
     )
+
+
+@dataclass(frozen=True)
+class Extraction:
+    """One run of an extractor: which system it read, and when. The id tells runs apart."""
+
+    source_system: str
+    extraction_id: str = field(default_factory=lambda: uuid.uuid4().hex)
+    extracted_at: datetime = field(default_factory=lambda: datetime.now(timezone.utc))
+
+    def on(self, df: DataFrame) -> DataFrame:
+        """``df`` with the run on every row."""
+        return df.withColumns(
+            {
+                "extracted_at": F.lit(self.extracted_at).cast("timestamp"),
+                "source_system": F.lit(self.source_system),
+                "extraction_id": F.lit(self.extraction_id),
+            }
+        )
+
+
+def without_extractions(df: DataFrame, *extraction_ids: str) -> DataFrame:
+    """``df`` without the rows of runs that are withdrawn; rows of no run stay."""
+    withdrawn = F.coalesce(F.col("extraction_id").isin(*extraction_ids), F.lit(False))
+    return df.where(~withdrawn)

@@ -6,11 +6,12 @@ from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tierflow.functions.names import bronze_dir, bucket_path, normalize_columns, raw_glob
 from tierflow.operators.quality import error_report, profile, quality_report, report_json
 from tierflow.operators.rules import (
+    Extraction,
     audited,
     clean_values,
     explode_records,
@@ -19,7 +20,7 @@ from tierflow.operators.rules import (
     validity_rules,
 )
 from tierflow.operators.sinks import write_report
-from tierflow.sources.files import scan
+from tierflow.sources.files import CORRUPT, scan, split_corrupt
 from tierflow.specs import EntitySpec
 from tierflow.workspace import durable
 
@@ -68,6 +69,7 @@ class BronzeRun:
     rows: int
     raw: DataFrame
     profile: DataFrame | None = None
+    quarantined: int = 0
 
     @cached_property
     def raw_rows(self) -> int:
@@ -85,21 +87,37 @@ def run_bronze(
     bronze_path: str,
     date: str,
     dedup_first: bool = False,
+    quarantine_path: str | None = None,
+    extraction: Extraction | None = None,
 ) -> BronzeRun:
     """Scan, transform and overwrite one entity and day. An empty input writes nothing.
 
     The plan with its shuffle runs once, for the write; the row count and the profile
-    are read from the written files.
+    are read from the written files. With a ``quarantine_path`` and a schema, records that do not
+    parse go there with their text and source file, and not to bronze as rows of nulls. An ``extraction`` is written on
+    every row, by which the run can be traced or withdrawn.
     """
-    raw = scan(spark, raw_path, spec.fmt, spec.schema, spec.multi_line)
+    schema = spec.schema
+    apart = quarantine_path is not None and schema is not None and spec.fmt in ("json", "csv", "xml")
+    if apart and CORRUPT not in schema.names:
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    raw = scan(spark, raw_path, spec.fmt, schema, spec.multi_line, spec.row_tag)
     if raw.isEmpty():
         return BronzeRun(bronze_path, 0, raw)
+    set_aside = 0
+    if apart:
+        raw, bad = split_corrupt(raw)
+        bad.withColumn("_processing_date", F.lit(date)).write.mode("overwrite").parquet(quarantine_path)
+        set_aside = spark.read.parquet(quarantine_path).count()
     stamp = F.lit(datetime.now(timezone.utc)).cast("timestamp")
-    to_bronze(raw, spec, date, dedup_first, stamp).write.mode("overwrite").parquet(bronze_path)
+    bronze = to_bronze(raw, spec, date, dedup_first, stamp)
+    if extraction is not None:
+        bronze = extraction.on(bronze)
+    bronze.write.mode("overwrite").parquet(bronze_path)
     written = spark.read.parquet(bronze_path)
     unpacked = explode_records(raw, spec.explode_path) if spec.explode_path else raw
     stats = profile(written, spec.profile) if spec.profile else None
-    return BronzeRun(bronze_path, written.count(), unpacked, stats)
+    return BronzeRun(bronze_path, written.count(), unpacked, stats, set_aside)
 
 
 def run_bronze_from_lake(
@@ -110,11 +128,14 @@ def run_bronze_from_lake(
     prefix: str,
     date: str,
     dedup_first: bool = False,
+    quarantine: bool = False,
+    extraction: Extraction | None = None,
 ) -> BronzeRun:
-    """:func:`run_bronze` on the lake's own paths."""
+    """:func:`run_bronze` on the lake's own paths; a quarantine lies below ``_quarantine`` in the bronze bucket."""
     source = bucket_path(raw_bucket, raw_glob(prefix, spec.source, spec.name, date, spec.fmt))
     target = bucket_path(bronze_bucket, bronze_dir(prefix, spec.source, spec.name, date))
-    return run_bronze(spark, spec, source, target, date, dedup_first)
+    aside = bucket_path(bronze_bucket, f"_quarantine/{bronze_dir(prefix, spec.source, spec.name, date)}") if quarantine else None
+    return run_bronze(spark, spec, source, target, date, dedup_first, aside, extraction)
 
 
 def validate_bronze(

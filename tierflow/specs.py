@@ -17,7 +17,8 @@ class EntitySpec:
     the first, in the given order, where ``-column`` sorts descending with nulls
     last. ``multi_line`` declares the layout: true for CSV with line breaks in quotes and for JSON documents
     over several lines, false for one record a line, which lets Spark split large files. By
-    default CSV is taken as the latter, and each JSON file is looked at as a whole.
+    default CSV is taken as the latter, and each JSON file is looked at as a whole. ``row_tag`` names the element of
+    an XML record.
     """
 
     name: str
@@ -34,6 +35,7 @@ class EntitySpec:
     profile: tuple[str, ...] = ()
     schema: T.StructType | None = None
     multi_line: bool | None = None
+    row_tag: str | None = None
 
 
 @dataclass(frozen=True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -73,6 +74,23 @@ def sliding(
     return _windowed(events, F.window(timestamp, width, step), keys, aggregates)
 
 
+def sliding_by_panes(
+    events: DataFrame, timestamp: str, width_minutes: int, step_minutes: int, keys: Sequence[str], **aggregates: tuple[str, Column | str]
+) -> DataFrame:
+    """:func:`sliding` for aggregates that add up, given as ``name=(kind, column)`` with a kind of ``count``, ``sum``, ``min`` or ``max``.
+
+    Events are folded once into panes as long as the greatest common divisor of width and step; windows are then merged from panes.
+    So an event is one row, and only panes are copied to the ``width / pane`` windows that they belong to.
+    """
+    pane = gcd(width_minutes, step_minutes)
+    fold = {"count": F.count, "sum": F.sum, "min": F.min, "max": F.max}
+    partial = [fold[kind](column).alias(name) for name, (kind, column) in aggregates.items()]
+    panes = events.groupBy(F.window(timestamp, f"{pane} minutes").alias("pane"), *keys).agg(*partial)
+    merged = [fold["sum" if kind == "count" else kind](name).alias(name) for name, (kind, _) in aggregates.items()]
+    at = F.window_time("pane")
+    return _windowed(panes, F.window(at, f"{width_minutes} minutes", f"{step_minutes} minutes"), keys, merged)
+
+
 def sessions(
     events: DataFrame, timestamp: str, gap: str, keys: Sequence[str], *aggregates: Column
 ) -> DataFrame:
