@@ -280,3 +280,39 @@ def sink_parquet_roundtrip(spark, sf_dir):
     changed = part.where(F.col("p_brand") == "Brand#4").withColumn("p_size", F.col("p_size") + 1)
     sinks.write_partitions(changed, path, ["p_brand"])
     return spark.read.schema(part.schema).parquet(path)
+
+
+@query(
+    """
+    SELECT CASE WHEN o_orderkey % 10 = 3 THEN 'quarantine' ELSE 'bronze' END AS place, o_orderkey FROM orders"""
+)
+def bronze_quarantine(spark, sf_dir):
+    """Orders as JSON lines, a tenth of them cut off: what does not parse is set aside with its text."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    raw, bronze_at, aside = (staging_path(spark, x) for x in ("lines", "bronze", "quarantine"))
+    line = F.to_json(F.struct("*"))
+    cut = F.when(F.col("o_orderkey") % 10 == 3, F.substr(line, F.lit(1), F.length(line) - 5)).otherwise(line)
+    orders.select(cut.alias("value")).write.text(raw)
+    spec = EntitySpec("orders", keys=("o_orderkey",), schema=orders.schema, multi_line=False)
+    run_bronze(spark, spec, raw, bronze_at, DATE, quarantine_path=aside)
+    text = F.regexp_extract("_corrupt_record", '"o_orderkey":([0-9]+)', 1).cast("bigint")
+    return (
+        spark.read.parquet(bronze_at).select(F.lit("bronze").alias("place"), "o_orderkey")
+        .unionByName(spark.read.parquet(aside).select(F.lit("quarantine").alias("place"), text.alias("o_orderkey")))
+    )
+
+
+@query("SELECT o_orderkey, o_totalprice, 'erp' AS source_system, true AS has_time FROM orders WHERE o_orderstatus <> 'P'")
+def bronze_extraction(spark, sf_dir):
+    """Two extraction runs of the orders in one table, the second of which is withdrawn by its id."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    spec = EntitySpec("orders", fmt="parquet", keys=("o_orderkey",))
+    pending = F.col("o_orderstatus") == "P"
+    paths, runs = [], [rules.Extraction("erp"), rules.Extraction("erp")]
+    for extraction, part in zip(runs, (orders.where(~pending), orders.where(pending))):
+        raw, path = staging_path(spark, "extracted"), staging_path(spark, "traced")
+        part.write.parquet(raw)
+        run_bronze(spark, spec, raw, path, DATE, extraction=extraction)
+        paths.append(path)
+    left = rules.without_extractions(spark.read.parquet(*paths), runs[1].extraction_id)
+    return left.select("o_orderkey", "o_totalprice", "source_system", F.col("extracted_at").isNotNull().alias("has_time"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tierflow.catalog.registry import query, table
 from tierflow.functions.money import money
-from tierflow.operators import core, history, joins, marts
+from tierflow.operators import components, core, history, joins, marts
 
 NTZ = "timestamp_ntz"
 
@@ -301,3 +301,25 @@ def normalize_timezone(spark, sf_dir):
         .otherwise("UTC")
     )
     return table(spark, sf_dir, "events").select("event_id", core.to_utc(F.col("ts"), zone).alias("utc"))
+
+
+@query(
+    """
+    WITH RECURSIVE r AS (
+      SELECT c_custkey, CASE WHEN c_custkey % 5 < 2 THEN c_custkey // 5 END AS phone,
+        CASE WHEN c_custkey % 3 = 0 THEN 'm' || (c_custkey * 7 % 1000) // 4 || '@x' END AS mail FROM customer),
+    l AS (
+      SELECT a.c_custkey AS a, b.c_custkey AS b FROM r a JOIN r b ON a.phone = b.phone
+      UNION SELECT a.c_custkey, b.c_custkey FROM r a JOIN r b ON a.mail = b.mail),
+    p AS (SELECT c_custkey AS v, c_custkey AS reached FROM r UNION SELECT p.v, l.b FROM p JOIN l ON p.reached = l.a)
+    SELECT c_custkey, phone, mail, person_id FROM r JOIN (SELECT v AS c_custkey, min(reached) AS person_id FROM p GROUP BY 1) USING (c_custkey)"""
+)
+def resolve_records(spark, sf_dir):
+    """Customers that share a phone or a mail address, over any number of steps, are one person."""
+    key = F.col("c_custkey")
+    records = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        F.when(key % 5 < 2, F.floor(key / 5)).alias("phone"),
+        F.when(key % 3 == 0, F.concat(F.lit("m"), F.floor(key * 7 % 1000 / 4), F.lit("@x"))).alias("mail"),
+    )
+    return components.resolve_records(records, "c_custkey", ["phone", "mail"])

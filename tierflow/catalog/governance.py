@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tierflow.catalog.registry import query, table
 from tierflow.functions import privacy
-from tierflow.operators import sinks
+from tierflow.operators import erasure, sinks
 from tierflow.workspace import staging_path
 
 
@@ -58,3 +58,13 @@ def erase_subjects(spark, sf_dir):
     subjects = table(spark, sf_dir, "customer").where("c_acctbal <= 0").select(F.col("c_custkey").alias("user_id"))
     target, removed = sinks.erase_table(spark, path, subjects, "user_id")
     return spark.read.parquet(target).withColumn("n_removed", F.lit(removed).cast("long"))
+
+
+@query("SELECT event_id, user_id, event_type, ts FROM events WHERE user_id IS NULL OR user_id % 50 <> 7")
+def erase_by_file(spark, sf_dir):
+    """Users erased from files clustered by user; files without them stay as they are."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    path = staging_path(spark, "clustered")
+    events.repartitionByRange(16, "user_id").write.parquet(path)
+    erasure.erase_by_file(spark, path, events.where("user_id % 50 = 7").select("user_id"), "user_id")
+    return spark.read.schema(events.schema).parquet(path)

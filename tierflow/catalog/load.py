@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tierflow.catalog.registry import query, table
-from tierflow.operators import load, rules, sinks
+from tierflow.operators import layout, load, rules, sinks
 from tierflow.workspace import staging_path
 
 
@@ -65,6 +65,22 @@ def cdc_apply(spark, sf_dir):
     return load.apply_cdc(orders.where("o_orderstatus <> 'P'"), log, ["o_orderkey"], ["-seq"])
 
 
+@query(
+    f"""
+    SELECT {_COLUMNS} FROM orders WHERE o_orderdate < TIMESTAMP '1999-01-01' AND o_orderkey % 11 <> 3
+    UNION ALL SELECT {_COLUMNS} FROM orders WHERE o_orderdate >= TIMESTAMP '1999-01-01' AND o_orderstatus <> 'F' AND o_orderkey % 11 <> 3"""
+)
+def incremental_deletes(spark, sf_dir):
+    """Later orders are loaded, of which finished ones are marked as deleted; a log removes more, old ones and new."""
+    orders = _orders(spark, sf_dir)
+    border = F.lit("1999-01-01").cast("timestamp_ntz")
+    loaded = orders.where(F.col("o_orderdate") < border)
+    late = F.lit("2030-01-01").cast("timestamp_ntz")
+    log = orders.where("o_orderkey % 11 = 3").select("o_orderkey", late.alias("o_orderdate"))
+    deleted = (F.col("o_orderstatus") == "F") & (F.col("o_orderdate") >= border)
+    return load.incremental_merge(orders, loaded, ["o_orderkey"], "o_orderdate", deleted, log).select(*orders.columns)
+
+
 @query(f"SELECT {_COLUMNS} FROM orders WHERE o_orderstatus = 'P'")
 def detect_deletes(spark, sf_dir):
     """The current full load lacks the pending orders."""
@@ -132,6 +148,40 @@ def compact_roundtrip(spark, sf_dir):
     return spark.read.parquet(target)
 
 
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate FROM lineitem")
+def zorder_roundtrip(spark, sf_dir):
+    """Lines rewritten along a space-filling curve over part and date."""
+    lines, small = table(spark, sf_dir, "lineitem"), staging_path(spark, "small-files")
+    lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate").write.parquet(small)
+    target = staging_path(spark, "z-ordered")
+    layout.compact_z_ordered(spark, small, target, ["l_partkey", "l_shipdate"], target_bytes=32 * 1024)
+    return spark.read.parquet(target)
+
+
+@query(
+    """
+    SELECT 'l_partkey' AS filtered, count(*) AS n_rows, true AS few_files FROM lineitem, (SELECT max(p_partkey) AS m FROM part)
+    WHERE l_partkey BETWEEN m // 2 AND m // 2 + m // 50
+    UNION ALL SELECT 'l_shipdate', count(*), true FROM lineitem WHERE l_shipdate BETWEEN TIMESTAMP '1997-03-01' AND TIMESTAMP '1997-04-15'"""
+)
+def zorder_pruning(spark, sf_dir):
+    """Filters on either of two columns open at most two fifths of 64 files along the curve."""
+    lines, path = table(spark, sf_dir, "lineitem"), staging_path(spark, "z-ordered")
+    layout.z_ordered(lines, ["l_partkey", "l_shipdate"], 64).write.parquet(path)
+    stored = spark.read.parquet(path)
+    top = table(spark, sf_dir, "part").agg(F.max("p_partkey")).first()[0]
+    ranges = [
+        ("l_partkey", top // 2, top // 2 + top // 50),
+        ("l_shipdate", *(F.lit(x).cast("timestamp_ntz") for x in ("1997-03-01", "1997-04-15"))),
+    ]
+    rows = []
+    for column, low, high in ranges:
+        files = layout.opened_share(stored, column, low, high).first()
+        few = F.lit(files["opened"] <= 0.4 * files["files"]).alias("few_files")
+        rows.append(stored.where(F.col(column).between(low, high)).agg(F.lit(column).alias("filtered"), F.count("*").alias("n_rows"), few))
+    return rows[0].unionByName(rows[1])
+
+
 @query("SELECT event_id, user_id, event_type, value, ts, CAST(ts AS DATE) AS load_date FROM events")
 def idempotent_rerun(spark, sf_dir):
     """A load of days that runs twice, the second time with every event repeated."""

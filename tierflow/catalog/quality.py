@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tierflow.catalog.registry import query, table
-from tierflow.operators import quality, rules, sinks
+from tierflow.operators import difference, quality, rules, sinks, sketches
 from tierflow.workspace import staging_path
 
 def _customer_rules():
@@ -334,3 +334,95 @@ def outliers_iqr(spark, sf_dir):
     return outliers.select(
         "event_id", "event_type", "value", "low", "high"
     )
+
+
+@query(
+    """
+    SELECT 'value' AS column, count(*) AS rows, count(value) AS count, min(value) AS min, max(value) AS max,
+        CAST(sum(CAST(value AS DECIMAL(28, 4))) AS DECIMAL(38, 4)) AS sum, true AS within FROM events
+    UNION ALL SELECT 'user_id', count(*), count(user_id), min(user_id), max(user_id),
+        CAST(sum(CAST(user_id AS DECIMAL(28, 4))) AS DECIMAL(38, 4)), true FROM events
+    UNION ALL SELECT 'props', count(*), count(props), NULL, NULL, NULL, true FROM events"""
+)
+def profile_merged(spark, sf_dir):
+    """Profiles of all days from stored states of each day, one of which was loaded a second time: counts, extremes and sums are exact,
+    distinct values and quantiles within the sketches' error of exact ones."""
+    events = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    path, columns = staging_path(spark, "states"), ["value", "user_id", "props"]
+    first = F.day("ts") <= 15
+    for part in (first, ~first, F.day("ts") == 20):
+        sketches.add_states(events.where(part), path, "day", columns)
+    merged = sketches.merged_profile(sketches.read_states(spark, path))
+    exact = events.agg(*(F.count_distinct(c).alias(c) for c in columns))
+    exact = exact.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in columns))))
+    joined = merged.join(exact, "column")
+    # The rank of each estimated quartile among all values.
+    quartiles = merged.where("column IN ('value', 'user_id')").select("column", F.explode(F.array("q25", "q50", "q75")).alias("at"))
+    values = events.select(F.inline(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns[:2]))))
+    ranks = values.join(quartiles, "column").groupBy("column", "at").agg(F.avg((F.col("x") < F.col("at")).cast("int")).alias("below"), F.avg((F.col("x") <= F.col("at")).cast("int")).alias("upto"))
+    error = sketches.RANK_ERROR
+    near = [(F.col("below") <= q + error) & (F.col("upto") >= q - error) for q in (0.25, 0.5, 0.75)]
+    good = ranks.groupBy("column").agg(F.bool_and(near[0] | near[1] | near[2]).alias("quartiles_near"))
+    distinct_near = F.abs(F.col("n_distinct") - F.col("exact")) <= sketches.DISTINCT_ERROR * F.col("exact")
+    return joined.join(good, "column", "left").select(
+        "column", "rows", "count", "min", "max", "sum", (distinct_near & F.coalesce("quartiles_near", F.lit(True))).alias("within")
+    )
+
+
+_TWO_LOADS = """
+    WITH a AS (SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey % 97 <> 1),
+    b AS (
+      SELECT o_orderkey, CASE WHEN o_orderkey % 89 = 2 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice
+      FROM orders WHERE o_orderkey % 83 <> 3)"""
+
+
+@query(
+    _TWO_LOADS
+    + """
+    SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+        CASE WHEN b.o_orderkey IS NULL THEN 'removed' WHEN a.o_orderkey IS NULL THEN 'added' ELSE 'changed' END AS change
+    FROM a FULL JOIN b ON a.o_orderkey = b.o_orderkey
+    WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR a.o_orderstatus <> b.o_orderstatus"""
+)
+def reconcile_by_digest(spark, sf_dir):
+    """What differs between two loads of the orders, found by digests over ranges of keys."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    before = orders.where("o_orderkey % 97 <> 1")
+    status = F.when(F.col("o_orderkey") % 89 == 2, "X").otherwise(F.col("o_orderstatus"))
+    after = orders.where("o_orderkey % 83 <> 3").withColumn("o_orderstatus", status)
+    return difference.differences(before, after, ["o_orderkey"], ["o_orderstatus", "o_totalprice"])
+
+
+@query(
+    """
+    SELECT 'added' AS change, 'line.tags[].weight' AS column, NULL AS old_type, 'double' AS new_type
+    UNION ALL SELECT 'removed', 'line.status', 'string', NULL
+    UNION ALL SELECT 'type_changed', 'line.by_name{value}', 'int', 'bigint'"""
+)
+def nested_drift(spark, sf_dir):
+    """Changes inside structs, lists and maps of orders, by path."""
+    old, new = _nested_orders(table(spark, sf_dir, "orders"))
+    return quality.schema_drift_table(old, new)
+
+
+@query(
+    """
+    SELECT o_orderkey, o_orderstatus AS status, o_custkey AS tag, NULL::DOUBLE AS weight, CAST(1 AS BIGINT) AS of_name FROM orders
+    UNION ALL SELECT o_orderkey, NULL, o_custkey, o_totalprice, 2 FROM orders"""
+)
+def nested_union(spark, sf_dir):
+    """Both versions of nested orders under the fields of both."""
+    old, new = _nested_orders(table(spark, sf_dir, "orders"))
+    tag = F.col("line.tags")[0]
+    return quality.evolve_union(old, new).select(
+        "o_orderkey", F.col("line.status").alias("status"), tag["tag"].alias("tag"), tag["weight"].alias("weight"),
+        F.try_element_at("line.by_name", F.lit("n")).alias("of_name"),
+    )
+
+
+def _nested_orders(orders):
+    tag = F.col("o_custkey").alias("tag")
+    old = F.struct(F.col("o_orderstatus").alias("status"), F.array(F.struct(tag)).alias("tags"), F.create_map(F.lit("n"), F.lit(1)).alias("by_name"))
+    weighed = F.array(F.struct(tag, F.col("o_totalprice").alias("weight"))).alias("tags")
+    new = F.struct(weighed, F.create_map(F.lit("n"), F.lit(2).cast("bigint")).alias("by_name"))
+    return orders.select("o_orderkey", old.alias("line")), orders.select("o_orderkey", new.alias("line"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from tierflow.catalog.registry import query, table
@@ -11,7 +9,7 @@ from tierflow.functions.names import raw_glob, raw_key as raw_key_path, raw_key_
 from tierflow.operators import sinks
 from tierflow.plans import bronze, ingest
 from tierflow.plans.ingest import land_records
-from tierflow.sources import fetch, files, html, landing, payload, sniff
+from tierflow.sources import fetch, files, html, landing, paging, payload, sniff
 from tierflow.specs import EntitySpec
 from tierflow.workspace import staging_path
 
@@ -30,6 +28,14 @@ def scan_csv(spark, sf_dir):
     return files.scan_csv(spark, path, orders.schema).drop(files.SOURCE_FILE)
 
 
+@query("SELECT * FROM orders")
+def scan_xml(spark, sf_dir):
+    """Orders as XML documents, a record for each element."""
+    orders, path = table(spark, sf_dir, "orders"), staging_path(spark, "orders-xml")
+    orders.write.format("xml").option("rootTag", "orders").option("rowTag", "order").save(path)
+    return files.scan(spark, path, "xml", orders.schema, row_tag="order").drop(files.SOURCE_FILE)
+
+
 @query("SELECT * FROM lineitem")
 def scan_parquet(spark, sf_dir):
     return files.scan_parquet(spark, f"{sf_dir}/lineitem.parquet").drop(files.SOURCE_FILE)
@@ -106,7 +112,7 @@ def csv_detected(spark, sf_dir):
         part = orders.where(F.col("o_orderstatus") == status)
         part = part.withColumn("o_orderpriority", F.concat("o_orderpriority", F.lit("é")))
         options = {"header": True, "sep": mark, "encoding": encoding}
-        part.coalesce(1).write.mode("append").options(**options).csv(folder)
+        part.write.mode("append").options(**options).csv(folder)
     found = files.scan_csv_detected(spark, folder, orders.schema).drop(files.SOURCE_FILE)
     return found.withColumn("o_orderpriority", F.rtrim("o_orderpriority", F.lit("é")))
 
@@ -117,13 +123,15 @@ def land_binary(spark, sf_dir):
     orders, drop = table(spark, sf_dir, "orders"), staging_path(spark, "drop")
     orders.repartition(3).write.option("header", True).option("compression", "gzip").csv(drop)
     target = ingest.land_files(spark, drop, f"{staging_path(spark, 'landed')}/orders.csv.gz", "*.csv.gz")
-    name = files.basename(F.col("path"))
-    read = lambda folder, column: files.scan_files(spark, folder, "*.csv.gz").select(
-        name.alias("name"), landing.content_type(F.col("path")).alias("content_type"), F.sha2("content", 256).alias(column)
+    # The manifest has what was read from the source; what was landed is read back once.
+    sent = spark.read.parquet(ingest.manifest_path(target)).select(files.basename(F.col("target")).alias("name"), F.col("sha256").alias("_sent"))
+    kept = files.scan_files(spark, target, "*.csv.gz").select(
+        files.basename(F.col("path")).alias("name"),
+        landing.content_type(F.col("path")).alias("content_type"),
+        F.sha2("content", 256).alias("_kept"),
     )
-    checks = read(target, "_kept").join(read(drop, "_sent").drop("content_type"), "name", "full")
     n_rows = files.scan_csv(spark, target, orders.schema).agg(F.count("*")).scalar()
-    return checks.groupBy("content_type").agg(
+    return kept.join(sent, "name", "full").groupBy("content_type").agg(
         F.bool_and(F.coalesce(F.col("_kept") == F.col("_sent"), F.lit(False))).alias("bytes_kept")
     ).withColumn("n_rows", n_rows)
 
@@ -145,29 +153,21 @@ def landing_manifest(spark, sf_dir):
 
 @query(
     """
-    SELECT CAST(page_id AS VARCHAR) AS request_id, 200 AS status, 1 AS attempts, 'GET' AS method,
+    SELECT CAST(page_id AS VARCHAR) AS request_id, 'GET' AS method,
            split_part(url, '#', 1) || CASE WHEN contains(split_part(url, '#', 1), '?') THEN '&' ELSE '?' END
              || 'limit=100' || CASE WHEN contains(url, '#') THEN '#' || split_part(url, '#', 2) ELSE '' END
              AS url
     FROM pages"""
 )
 def fetch_requests(spark, sf_dir):
-    """One request per page address, against a transport that echoes the request."""
-
-    def loopback(method, url, headers, body, timeout):
-        return 200, json.dumps({"url": url, "method": method, "sent": body})
-
+    """The requests for all page addresses as they are sent."""
     requests = table(spark, sf_dir, "pages").select(
         F.col("page_id").cast("string").alias("request_id"),
-        F.lit(1).alias("page"),
-        F.lit("GET").alias("method"),
+        F.lit("get").alias("method"),
         "url",
         F.create_map(F.lit("limit"), F.lit("100")).alias("params"),
     )
-    echoed = F.from_json("body", "url string, method string, sent string")
-    return fetch.fetch(requests, loopback).select(
-        "request_id", "status", "attempts", echoed["method"].alias("method"), echoed["url"].alias("url")
-    )
+    return fetch.addressed(requests).select("request_id", "method", "url")
 
 
 _UNTIL_GAP = """
@@ -178,19 +178,39 @@ _UNTIL_GAP = """
 """
 
 
+def _responses(rows, item):
+    """Responses of every request for every page: the items in a list; without any an empty list or, on odd pages, an error."""
+    found = rows.groupBy("request_id", "page").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("body"))
+    last = rows.agg(F.max("page")).first()[0]
+    asked = rows.select("request_id").distinct().select("request_id", F.explode(F.sequence(F.lit(1), F.lit(int(last)))).alias("page"))
+    joined = asked.join(found.withColumn("page", F.col("page").cast("int")), ["request_id", "page"], "left")
+    failed = F.col("body").isNull() & (F.col("page") % 2 == 1)
+    return joined.select(
+        "request_id",
+        "page",
+        F.when(failed, 404).otherwise(200).alias("status"),
+        F.when(~failed, F.coalesce("body", F.lit("[]"))).alias("body"),
+        F.when(failed, "HTTP 404").alias("error"),
+    )
+
+
 @query(
     f"""
     WITH r AS (SELECT event_id, event_type AS request_id, event_id // 20 + 1 AS page FROM events), {_UNTIL_GAP}
     SELECT event_id, request_id, page FROM r JOIN f USING (request_id) WHERE page < gap"""
 )
 def paginate_until_empty(spark, sf_dir):
-    """Twenty events a page; each event type is a source that ends at its first empty page."""
+    """Recorded pages of twenty events; each event type is a source that ends at its first empty or failed page."""
     rows = table(spark, sf_dir, "events").select(
         "event_id",
         F.col("event_type").alias("request_id"),
         (F.floor(F.col("event_id") / 20) + 1).alias("page"),
     )
-    return fetch.until_gap(rows, fetch.first_missing(rows)).select("event_id", "request_id", "page")
+    recorded = staging_path(spark, "recorded")
+    paging.record_pages(_responses(rows, "event_id"), recorded)
+    kept = paging.sequences(paging.read_pages(spark, recorded))
+    events = F.explode(F.from_json("body", "array<bigint>")).alias("event_id")
+    return kept.select(events, "request_id", F.col("page").cast("bigint").alias("page"))
 
 
 @query(
@@ -202,15 +222,21 @@ def paginate_until_empty(spark, sf_dir):
     FROM r JOIN f USING (request_id) WHERE page < gap"""
 )
 def paginate_template(spark, sf_dir):
-    """Templated addresses per language, up to the first page without content."""
+    """Templated addresses per language, as a stream of recorded pages that goes on when more are recorded, up to the
+    first page without content."""
     rows = table(spark, sf_dir, "pages").select(
         "page_id",
         F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("request_id"),
         (F.floor(F.col("page_id") / 8) + 1).alias("page"),
     )
-    kept = fetch.until_gap(rows, fetch.first_missing(rows))
+    recorded, kept_at, state = (staging_path(spark, x) for x in ("recorded", "sequences", "sequences-state"))
+    responses = _responses(rows, "page_id")
+    for part in (F.col("page") <= 4, F.col("page") > 4):
+        paging.record_pages(responses.where(part), recorded, pages_a_wave=4)
+        kept = paging.run_sequences(paging.stream_pages(spark, recorded), kept_at, state)
     template = F.concat(F.lit("https://example.com/"), "request_id", F.lit("?page={page}"))
-    return kept.select("page_id", "request_id", fetch.page_url(template, F.col("page")).alias("url"))
+    pages = F.explode(F.from_json("body", "array<bigint>")).alias("page_id")
+    return kept.select(pages, "request_id", fetch.page_url(template, F.col("page")).alias("url"))
 
 
 @query(
@@ -313,24 +339,23 @@ def ingest_csv_to_bronze(spark, sf_dir):
     drop, lake = _bucket(spark, "csv-drop"), _bucket(spark, "lake")
     for status in ("F", "O", "P"):
         part = orders.where(F.col("o_orderstatus") == status)
-        part.coalesce(1).write.option("header", True).csv(f"{drop}/orders/orders_{status.lower()}.csv")
+        part.write.option("header", True).csv(f"{drop}/orders/orders_{status.lower()}.csv")
     ingest.ingest(spark, "csv", "orders", lake, "shop", "retail", "20240131", folder=drop)
     return _bronze_of_lake(spark, "orders", "csv", lake, orders.schema)
 
 
 @query(_BRONZE_ORDERS)
 def ingest_gzip_to_bronze(spark, sf_dir):
-    """Orders as one ``.csv.gz`` that a source serves, downloaded to an object and read by the bronze pass."""
+    """Orders as ``.csv.gz`` objects that a source serves chunk by chunk, downloaded by a request each and read by the bronze pass."""
     orders = table(spark, sf_dir, "orders")
     served, lake = _bucket(spark, "served"), _bucket(spark, "lake")
-    orders.coalesce(1).write.option("header", True).option("compression", "gzip").csv(served)
-    part = files.scan_files(spark, served, "*.csv.gz").select("path").first()["path"]
+    orders.write.option("header", True).option("compression", "gzip").csv(served)
+    objects = files.scan_files(spark, served, "*.csv.gz").select(F.col("path").alias("url"))
 
     def serve(method, url, headers, body, timeout):
-        with landing.open_object(part, "rb") as source:
-            return 200, bytes(source.read())
+        return 200, landing.chunks_of(url)
 
-    ingest.ingest(spark, "api", "calendar", lake, "shop", "retail", "20240131", transport=serve, base_url="http://source")
+    ingest.ingest(spark, "api", "calendar", lake, "shop", "retail", "20240131", transport=serve, objects=objects)
     return _bronze_of_lake(spark, "calendar", "api", lake, orders.schema)
 
 

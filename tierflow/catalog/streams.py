@@ -8,7 +8,7 @@ from tierflow.catalog.registry import query, table
 from tierflow.functions.money import exact_sum, money
 from tierflow.operators import marts
 from tierflow.specs import EntitySpec
-from tierflow.streaming import jobs
+from tierflow.streaming import capture, jobs
 from tierflow.workspace import staging_path
 
 NTZ = "timestamp_ntz"
@@ -53,8 +53,10 @@ def kpi_tumbling(spark, sf_dir):
     FROM w GROUP BY 1, 2"""
 )
 def kpi_sliding(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("ts", "value")
-    return _window_columns(jobs.sliding(events, "ts", "1 hour", "30 minutes", [], *_aggregates()))
+    """Windows merged from panes of half an hour."""
+    events = table(spark, sf_dir, "events").select("ts", money(F.col("value")).alias("value"))
+    windows = jobs.sliding_by_panes(events, "ts", 60, 30, [], n=("count", "*"), total=("sum", "value"))
+    return _window_columns(windows.withColumn("total", F.col("total").cast("double")))
 
 
 @query(
@@ -127,9 +129,39 @@ def stream_upsert(spark, sf_dir):
     """The latest event per user, kept in a bucketed table by micro-batches that come out of order:
     the last third of the month first, then the first, then the rest."""
     events, folder = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts"), staging_path(spark, "unordered")
-    day = F.dayofmonth("ts")
+    day, path, state = F.dayofmonth("ts"), staging_path(spark, "latest-event"), staging_path(spark, "latest-event-state")
     for part in (day > 20, day <= 10, (day > 10) & (day <= 20)):
-        events.where(part).coalesce(1).write.mode("append").parquet(folder)
-    stream = jobs.read_stream(spark, folder, events.schema, files_per_trigger=1).drop("_source_file")
-    state = staging_path(spark, "latest-event-state")
-    return jobs.run_upsert(stream, ["user_id"], ["-ts", "-event_id"], staging_path(spark, "latest-event"), state, buckets=8)
+        events.where(part).write.mode("append").parquet(folder)
+        stream = jobs.read_stream(spark, folder, events.schema).drop("_source_file")
+        latest = jobs.run_upsert(stream, ["user_id"], ["-ts", "-event_id"], path, state, buckets=8)
+    return latest
+
+
+@query(
+    """
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus = 'O'
+    UNION ALL SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice + 1 FROM orders WHERE o_orderstatus = 'P'"""
+)
+def stream_cdc(spark, sf_dir):
+    """A change log on a stream, which starts again for every part of it: finished orders are deleted before the update that
+    the deletion follows arrives; pending ones are updated before they are inserted; the deletions come twice."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    done, pending = orders.where("o_orderstatus = 'F'"), orders.where("o_orderstatus = 'P'")
+    raised = F.col("o_totalprice") + 1
+
+    def change(rows, op, seq):
+        at = F.lit("2024-01-01 00:00:00").cast(NTZ) + F.make_dt_interval(hours=F.lit(seq))
+        return rows.withColumns({"op": F.lit(op), "seq": F.lit(seq), "changed_at": at})
+
+    deleted = change(done, "D", 2)
+    parts = [
+        change(orders.where("o_orderstatus <> 'P'"), "I", 0).unionByName(change(pending.withColumn("o_totalprice", raised), "U", 3)),
+        deleted,
+        change(done.withColumn("o_totalprice", raised), "U", 1).unionByName(change(pending, "I", 0)).unionByName(deleted),
+    ]
+    folder, path, state = (staging_path(spark, x) for x in ("changes", "captured", "captured-state"))
+    for part in parts:
+        part.write.mode("append").parquet(folder)
+        stream = jobs.read_stream(spark, folder, part.schema).drop("_source_file")
+        living = capture.run_capture(stream, ["o_orderkey"], ["seq"], "changed_at", "6 hours", path, state, buckets=8)
+    return living.select(*orders.columns)
