@@ -201,7 +201,9 @@ def test_components(spark):
 
 
 def brute_fingerprint(text):
-    pieces = re.findall(r"[^ \t\n\x0b\f\r]{1,16}", (text or "").lower())
+    blank, marks = r" \t\n\x0b\f\r", "aeiou05\u0e00-\u0eff\u1000-\u11ff\u1780-\u17ff\u2e80-\uffff\U00010000-\U0010ffff"
+    piece = rf"(?<![^{blank}])[^{blank}]{{1,16}}(?![^{blank}])|[^{blank}{marks}]{{0,15}}[{marks}]|[^{blank}{marks}]{{1,16}}"
+    pieces = re.findall(piece, (text or "").lower())
     number = lambda data, seed=42: xxhash.xxh64_intdigest(data, seed)
     pair = lambda a, b: number(struct.pack("<Q", b), number(struct.pack("<Q", a)))
     hashes = [number(p.encode()) for p in pieces]
@@ -215,7 +217,7 @@ def brute_fingerprint(text):
     else:
         two = [pair(a, b) for a, b in zip(hashes, hashes[1:])]
         grams = [pair(a, b) for a, b in zip(two, two[2:])]
-    grams = [g >> 25 for g in grams]
+    grams = [g >> 31 for g in grams]
     chosen = []
     for i in range(max(1, len(grams) - 7)):
         window = grams[i : i + 8]
@@ -254,6 +256,38 @@ def test_winnowing_guarantee(spark):
     assert all(a & b for a in sets for b in sets)
 
 
+def test_winnowing_of_texts_without_blanks(spark):
+    """A character in front moves no cut but the first; a shared stretch is found wherever it stands."""
+    draw = random.Random(12)
+    latin = "".join(draw.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=2000))
+    chinese = "".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(800))
+    rows = []
+    for text in (latin, chinese):
+        rows += [text, "x" + text, text[300:], "q7" * 40 + text[200:600] + "w" * 9]
+    found = winnow.with_fingerprint(spark.createDataFrame(list(enumerate(rows)), "i int, text string"), "text", "f")
+    sets = [set(r[1]) for r in sorted(found.select("i", winnow.chosen_hashes("f")).collect())]
+    for first in (0, 4):
+        whole = sets[first]
+        assert len(whole & sets[first + 1]) >= 0.95 * len(whole) and len(whole & sets[first + 2]) >= 0.9 * len(sets[first + 2])
+        assert len(whole & sets[first + 3]) >= 0.6 * len(sets[first + 3])
+
+
+def test_slices_part_a_repeated_id(spark, monkeypatch):
+    monkeypatch.setattr(winnow, "SLICE_BYTES", 2000)
+    draw = random.Random(13)
+    text = lambda: "".join(draw.choices("abcdef ", k=100))
+    docs = spark.createDataFrame([(7, text()) for _ in range(300)] + [(i, text()) for i in range(300)], "doc_id bigint, text string")
+    placed = winnow.with_slice(docs.withColumn("_tie", F.xxhash64("text")), "doc_id", "text")
+    sizes = {r["_slice"]: r["count"] for r in placed.groupBy("_slice").count().collect()}
+    assert len(sizes) >= 25 and max(sizes.values()) <= 60
+    rows = sorted((r["doc_id"], r["_tie"], r["_slice"]) for r in placed.collect())
+    assert [r[2] for r in rows] == sorted(r[2] for r in rows)
+    compared = winnow.compare_with_next(docs).collect()
+    nexts = {(r["doc_id"], r["text"]): n["text"] for r, n in zip(*[sorted(placed.collect(), key=lambda r: (r["doc_id"], r["_tie"]))[k:] for k in (0, 1)])}
+    edited = {t[: 100 - 50] + n[:50] for (_, t), n in nexts.items()}
+    assert len(compared) == 600 and len({r["edited"] for r in compared} - edited) <= 1
+
+
 def test_winnowing_of_one_and_none(spark):
     one = spark.createDataFrame([(1, "a b c d")], "doc_id bigint, text string")
     row = winnow.compare_with_next(one).first()

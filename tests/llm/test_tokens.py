@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import zlib
 from collections import Counter
@@ -92,6 +93,34 @@ def test_token_files(spark):
     assert "EqualTo(doc_id,9)" in one._jdf.queryExecution().toString()
 
 
+def test_files_have_stripes_row_indexes_and_filters(spark, tmp_path):
+    """What the footers of the files written say."""
+    docs = spark.range(5000).selectExpr("id AS doc_id", "concat('some text ', id, ' ', repeat('a b ', 50)) AS text")
+    orc_tokens.write_token_files(docs.repartition(2), str(tmp_path / "t"))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    rows = 0
+    for file in (tmp_path / "t").glob("*.orc"):
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(file)), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        names = list(reader.getSchema().getFieldNames())
+        columns = {reader.getSchema().findSubtype(n).getId(): n for n in names}
+        rows += reader.getNumberOfRows()
+        assert reader.getRowIndexStride() == 1000 and reader.getStripes().size() >= 1
+        opened = reader.rows()
+        for stripe in reader.getStripes():
+            footer = opened.readStripeFooter(stripe)
+            kinds = {}
+            for stream in footer.getStreamsList():
+                kinds.setdefault(columns.get(stream.getColumn()), set()).add(stream.getKind().toString())
+            assert "ROW_INDEX" in kinds["doc_id"] and any("BLOOM_FILTER" in k for k in kinds["doc_id"])
+            assert not any("BLOOM_FILTER" in k for k in kinds["ids"])
+            # Whole numbers by run lengths of the second version.
+            for column in ("doc_id", "n_tokens"):
+                number = reader.getSchema().findSubtype(column).getId()
+                assert footer.getColumns(number).getKind().toString() == "DIRECT_V2"
+        opened.close()
+    assert rows == 5000
+
+
 def test_token_files_of_nothing(spark):
     path = staging_path(spark, "test-tokens")
     orc_tokens.write_token_files(spark.createDataFrame([], SCHEMA), path)
@@ -109,6 +138,15 @@ def test_prefix_bpe_round_trip(spark):
         assert r["text"] == library.decode(wanted[ODD[r["doc_id"]]], skip_special_tokens=False)
     digests = prefix_bpe.digests(docs)
     assert digests.count() == len(ODD) + 3
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    digest = lambda t: (
+        len(ids := library.encode(t, add_special_tokens=False).ids), sha(" ".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))
+    )
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in table.collect()}
+    for found, own in ((digests.where("doc_id > 0 AND doc_id < 99"), lambda i: ODD[i]), (prefix_bpe.digests(table), texts.get)):
+        for r in found.collect():
+            assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == digest(own(r["doc_id"])), own(r["doc_id"])
     assert {r["n_tokens"] for r in digests.where("doc_id = 99 OR doc_id = 0").collect()} == {0}
     assert prefix_bpe.digests(docs.limit(0)).count() == 0
 

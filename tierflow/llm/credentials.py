@@ -70,7 +70,7 @@ def _parts(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
         _matches("text", ENDPOINT, "endpoint", F.col("text").contains("://")),
     ]
     listed = rows.select("doc_id", "text_hash", "_row", F.flatten(F.array_compact(F.array(*kinds))).alias("part"))
-    exploded = listed.repartition("doc_id", "text_hash").select("doc_id", "text_hash", "_row", F.explode_outer("part").alias("part"))
+    exploded = listed.repartition("doc_id", "text_hash", "_row").select("doc_id", "text_hash", "_row", F.explode_outer("part").alias("part"))
     by_kind = Window.partitionBy("doc_id", "text_hash", "_row", "part.kind").orderBy("part.nth")
     end = F.sum(F.col("part.gap") + F.col("part.length")).over(by_kind.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     value = F.col("part.value_length")

@@ -141,14 +141,22 @@ def learn(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
     )
     texts = docs.select(F.col(id_column).alias("label_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
+    def of_texts(chosen, run, values):
+        """What ``run`` makes of the texts of the chosen ids, at most ``sample_rows`` of a kind: of an id with
+        several rows it is the text with the smallest hash that counts."""
+        found = texts.join(F.broadcast(chosen), "label_id").select("label", "text", "label_id", F.xxhash64("text").alias("text_hash"))
+        kind = texts.schema["label_id"].dataType.simpleString()
+        made = found.mapInArrow(run, f"label int, {values}, label_id {kind}, text_hash bigint")
+        value = F.struct(*(c for c in made.columns if c not in ("label_id", "text_hash")))
+        return [r["value"] for r in made.groupBy("label_id").agg(F.min_by(value, F.col("text_hash")).alias("value")).collect()]
+
     def sampled(parts):
         for batch in parts:
             samples = [spread(blocks(t), sample_blocks) for texts in words.texts_of(batch.column(1)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(samples, type=pa.list_(pa.binary()))], names=["label", "samples"])
+            arrays = [batch.column(0), pa.array(samples, type=pa.list_(pa.binary())), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["label", "samples", "label_id", "text_hash"])
 
-    found = (
-        texts.join(F.broadcast(picked), "label_id").select("label", "text").mapInArrow(sampled, "label int, samples array<binary>").collect()
-    )
+    found = of_texts(picked, sampled, "samples array<binary>")
     samples = {0: [], 1: []}
     # An order that no lost executor changes and that does not put like beside like, which training minds.
     joined = lambda row: b"".join(map(bytes, row["samples"]))
@@ -163,10 +171,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
         for batch in parts:
             values = list(zip(*(scorer.measures(t) for texts in words.texts_of(batch.column(1)) for t in texts))) or [(), ()]
             columns = [pa.array(list(v), type=pa.float64()) for v in values]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["label", "difference", "share"])
+            arrays = [batch.column(0), *columns, *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(arrays, names=["label", "difference", "share", "label_id", "text_hash"])
 
-    checked = _chosen(labelled.where(half == 1), sample_rows, "curve")
-    rows = texts.join(F.broadcast(checked), "label_id").select("label", "text").mapInArrow(measured, "label int, difference double, share double").collect()
+    rows = of_texts(_chosen(labelled.where(half == 1), sample_rows, "curve"), measured, "difference double, share double")
+    # An order that no lost executor changes.
+    rows.sort(key=lambda r: (r["difference"], r["share"], r["label"]))
     return Model(good, bad, fit_curve([(r["difference"], r["share"]) for r in rows], [r["label"] for r in rows]))
 
 
