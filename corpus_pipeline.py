@@ -1,7 +1,14 @@
 """Documents made ready for training: rejected ones go, one of each group of near copies stays, secrets are
 masked, and what remains is packed into sequences.
 
-Each stage works on all that the one before it kept. All but the last return the columns of documents.
+Each stage works on all that the one before it kept. All but the last return the columns of documents, whatever else there is of
+them and however it is named.
+
+Null and empty texts are scored as the classifier scores empty text; where they are kept, the join keeps each of them, since
+without words they are like nothing, the scan leaves them as they are (null stays null, and so does its ``n_chars``), and packing counts
+them as one closing id. Of repeated rows, and of rows with one text under several ids, the join keeps one: the smallest id, a null one last.
+Very long texts take part whole. An empty table gives an empty result with the same columns; without labels of both kinds
+every text has the share of good labels as its score.
 """
 
 from __future__ import annotations

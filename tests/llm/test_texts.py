@@ -360,6 +360,42 @@ def test_pipeline_by_brute_force(spark):
     check_packing(sorted(masked.items()), packed, 2048)
 
 
+PIPELINE_DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, node string, score double, spans int, text_hash int"
+
+
+def pipeline_folder(spark, tmp_path, rows, labels):
+    docs = [(i, t, "en", "s", None if t is None else len(t), "n", 0.5, 1, 2) for i, t in rows]
+    spark.createDataFrame(docs, PIPELINE_DOCS).repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    return str(tmp_path)
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    draw = random.Random(3)
+    words = lambda n: " ".join("".join(draw.choices("abcdefgh", k=5)) for _ in range(n))
+    base = words(400)
+    rows = [(1, None), (2, ""), (2, ""), (3, " \n"), (4, base), (5, base), (4, base), (None, base), (6, base + " end"), (7, words(60_000))]
+    rows += [(8, "password = abcdefghijklmnop and " + words(50)), (None, None), (9, "one"), (10, "one")]
+    folder = pipeline_folder(spark, tmp_path, rows, [(4, 1, 0), (999, 1, 0)])  # one kind of label: all are kept
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert docs.columns == [c.split()[0] for c in PIPELINE_DOCS.split(", ")]
+    kept = sorted((repr(r["doc_id"]), r["text"]) for r in docs.select("doc_id", "text").collect() if r["doc_id"] not in (7, 8))
+    # Wordless rows all stay, one of the copies of a text does, near copies and "one" as well.
+    assert kept == sorted([("1", None), ("2", ""), ("2", ""), ("3", " \n"), ("4", base), ("9", "one"), ("None", None)], key=lambda x: (x[0], x[1]))
+    masked = docs.where("doc_id = 8").first()
+    assert masked["text"].startswith("[SECRET] and ") and masked["n_chars"] == len(masked["text"])
+    packed = corpus_pipeline.run(spark, folder).collect()
+    assert {r["doc_id"] for r in packed} == {1, 2, 3, 4, 7, 8, 9, None}
+    check_packing([(r["doc_id"], r["text"] or "") for r in docs.collect()], packed, 2048)
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    folder = pipeline_folder(spark, tmp_path, [], [])
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
 def test_stage_names():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "n-gram Jaccard join", "secret scans", "best-fit packing"]
     assert hashlib.sha256(b"").hexdigest()
