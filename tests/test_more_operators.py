@@ -295,3 +295,56 @@ def test_extractions_can_be_withdrawn(spark):
     assert one.extraction_id != rules.Extraction("erp").extraction_id
     left = rules.without_extractions(both, "run-2")
     assert sorted(str(r["extraction_id"]) for r in left.collect()) == sorted([one.extraction_id] * 2 + ["None"] * 2)
+
+
+# ---- marts kept up to date
+
+
+def test_a_maintained_mart_is_a_full_build(spark, tmp_path, rows):
+    from decimal import Decimal
+
+    from tierflow.operators import maintenance
+
+    draw = random.Random(8)
+    schema = "id int, g string, h int, amount decimal(18,2), day int"
+    make = lambda i: (i, draw.choice(["a", "b", None]), draw.randrange(3), draw.choice([None, Decimal(draw.randrange(1000)) / 100]), draw.choice([None, *range(6)]))
+    mart = maintenance.Mart(("g", "h"), {"total": "amount"}, {"days": "day", "amounts": "amount"}, {"first": ("min", "day"), "last": ("max", "day"), "top": ("max", "amount")})
+    state, path = {}, str(tmp_path / "m")
+    frame = lambda x: spark.createDataFrame(list(x), schema)
+    assert maintenance.read_mart(spark, mart, path, frame([]).schema).count() == 0
+    for version in range(1, 5):
+        before, after = [], []
+        for i in draw.sample(range(60), 25):
+            if i in state:
+                before.append(state.pop(i))
+            if draw.random() < (0.9 if version < 4 else 0.2):
+                state[i] = make(i)
+                after.append(state[i])
+        batch = maintenance.images(frame(before), frame(after))
+        for _ in range(2 if version == 2 else 1):
+            maintenance.maintain(batch, mart, path, version, buckets=3)
+        got = maintenance.read_mart(spark, mart, path, frame([]).schema)
+        wanted = maintenance.full_build(frame(state.values()), mart)
+        assert rows(got.select(*wanted.columns)) == rows(wanted)
+
+
+def test_a_batch_that_broke_off_is_finished(spark, tmp_path, rows, monkeypatch):
+    from tierflow.operators import maintenance
+
+    mart, path = maintenance.Mart(("g",), {"s": "v"}, {"n": "v"}), str(tmp_path / "m")
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("b", 2)], "g string, v int")
+    append, calls = maintenance._append, []
+
+    def once(*args):
+        if calls:
+            raise KeyboardInterrupt
+        calls.append(1)
+        append(*args)
+
+    monkeypatch.setattr(maintenance, "_append", once)
+    with pytest.raises(KeyboardInterrupt):
+        maintenance.maintain(maintenance.images(None, df), mart, path, 1, 2)
+    monkeypatch.setattr(maintenance, "_append", append)
+    maintenance.maintain(maintenance.images(None, df), mart, path, 1, 2)
+    got = maintenance.read_mart(spark, mart, path, df.schema)
+    assert rows(got.select("g", "n_rows", "s", "n")) == [("a", 2, 3, 2), ("b", 1, 2, 1)]

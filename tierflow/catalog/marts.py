@@ -6,10 +6,11 @@ from pyspark.sql import functions as F, types as T
 
 from tierflow.catalog.registry import query, table
 from tierflow.functions.money import exact_sum, money
-from tierflow.operators import marts
+from tierflow.operators import maintenance, marts
 from tierflow.plans.bronze import to_bronze
 from tierflow.sources.files import scan_parquet
 from tierflow.specs import EntitySpec
+from tierflow.workspace import staging_path
 
 TODAY = "2002-01-01"
 
@@ -291,3 +292,38 @@ def customer_360(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     zero = ["n_orders", "ltv", "n_events", "n_errors"]
     return marts.customer_360(customers, "c_custkey", [(orders, "o_custkey"), (events, "user_id")], zero)
+
+
+@query(
+    """
+    WITH f AS (
+      SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 2 THEN o_custkey % 100 + 1 ELSE o_custkey END AS customer,
+        CAST(o_totalprice AS DECIMAL(18, 2)) + CASE WHEN o_orderkey % 7 = 2 THEN 10 ELSE 0 END AS amount, o_orderdate AS day
+      FROM orders WHERE o_orderkey % 13 <> 4)
+    SELECT customer, count(*) AS n_rows, CAST(sum(amount) AS DOUBLE) AS revenue, count(DISTINCT day) AS n_days, min(day) AS first_day, max(day) AS last_day
+    FROM f GROUP BY customer"""
+)
+def mart_maintained(spark, sf_dir):
+    """Customers' orders kept up to date: pending orders come, some orders change customer and price, others are deleted, and one
+    batch is applied twice."""
+    key = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_orderstatus", F.col("o_custkey").alias("customer"),
+        F.col("o_totalprice").cast("decimal(18,2)").alias("amount"), F.col("o_orderdate").alias("day"),
+    )
+    moved = orders.where(key % 7 == 2)
+    after = moved.withColumns({"customer": F.col("customer") % 100 + 1, "amount": (F.col("amount") + 10).cast("decimal(18,2)")})
+    gone = orders.where(key % 13 == 4)
+    changed = F.when(key % 7 == 2, F.col("customer") % 100 + 1).otherwise(F.col("customer"))
+    price = F.when(key % 7 == 2, F.col("amount") + 10).otherwise(F.col("amount")).cast("decimal(18,2)")
+    mart = maintenance.Mart(("customer",), {"revenue": "amount"}, {"n_days": "day"}, {"first_day": ("min", "day"), "last_day": ("max", "day")})
+    batches = [
+        maintenance.images(None, orders.where("o_orderstatus <> 'P'")),
+        maintenance.images(None, orders.where("o_orderstatus = 'P'")),
+        maintenance.images(moved, after),
+        maintenance.images(gone.withColumns({"customer": changed, "amount": price}), None),
+    ]
+    path = staging_path(spark, "mart")
+    for version, batch in [*enumerate(batches, start=1), (3, batches[2])]:
+        maintenance.maintain(batch, mart, path, version, buckets=8)
+    return maintenance.read_mart(spark, mart, path, orders.schema).withColumn("revenue", F.col("revenue").cast("double"))
