@@ -1,20 +1,28 @@
 """Tables clustered by several columns at once along a space-filling curve.
 
 Each column's values are replaced by their range rank among ``2**bits`` ranges of about as many rows, and the ranks' bits are
-interleaved (Z-order). Files hold a stretch of that order and so a narrow range of every column; a filter on any one of
-them opens about the k-th part root of the files for k columns, by the minima and maxima that Parquet keeps.
+interleaved (Z-order). Rows of one place of the curve are a cell. Cells are counted, and the space of all is halved in every column for as long as
+a box has too many rows for a file; so each file is a box, with a narrow range of every column, and not a stretch of the
+curve, which may jump. A cell that fills several files is dealt to them by row hash. By the minima and maxima that Parquet keeps, a filter
+on a narrow range of any one of k columns opens one or two of the files' k-th root of layers.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Mapping, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tierflow.operators.sinks import directory_bytes
 
 BITS = 6
+#: Bits of a place on the curve, and so of the number of cells that are counted on the driver.
+CELL_BITS = 16
+#: Times its even share that a box may hold before it is divided.
+SLACK = 1.5
 #: Rows that borders are taken from, for each range of a column.
 SAMPLED = 100
 
@@ -56,23 +64,57 @@ def z_value(ranks: Sequence[Column], bits: int = BITS) -> Column:
     return value
 
 
+def boxes(counts: Mapping[int, int], columns: int, bits: int, most: float) -> list[tuple[int, int, int]]:
+    """(first cell, end cell, parts) of boxes with at most ``most`` rows, in the order of the curve; a cell with more has several parts.
+
+    A box of level l is what shares the first ``l * columns`` bits of the curve."""
+    cells = sorted(counts)
+    before = [0, *accumulate(counts[c] for c in cells)]
+    found = []
+
+    def divide(first: int, size: int) -> None:
+        a, b = bisect_left(cells, first), bisect_left(cells, first + size)
+        rows = before[b] - before[a]
+        if not rows:
+            return
+        if rows <= most or size == 1:
+            found.append((first, first + size, max(1, math.ceil(rows / most)) if size == 1 else 1))
+            return
+        for k in range(1 << columns):
+            divide(first + k * (size >> columns), size >> columns)
+
+    divide(0, 1 << bits * columns)
+    return found
+
+
 def z_ordered(df: DataFrame, columns: Sequence[str], files: int, bits: int = BITS) -> DataFrame:
-    """``df`` dealt to ``files`` partitions along the curve, and sorted by it inside them."""
+    """``df`` dealt to about ``files`` partitions, each a box of the curve, and sorted along it inside them.
+
+    Of each column at most ``CELL_BITS / len(columns)`` bits are taken, so that at most ``2**CELL_BITS`` cells are counted."""
+    bits = max(1, min(bits, CELL_BITS // len(columns)))
     borders = range_borders(df, columns, bits)
-    z = z_value([range_rank(F.col(c), borders[c]) for c in columns], bits)
-    placed = df.withColumn("_z", z)
-    # The row hash lets one place of the curve that fills many files be split between them.
-    ranged = placed.repartitionByRange(files, "_z", F.xxhash64(*df.columns))
-    return ranged.sortWithinPartitions("_z", *columns).drop("_z")
+    placed = df.withColumn("_z", z_value([range_rank(F.col(c), borders[c]) for c in columns], bits))
+    counts = {r["_z"]: r["n"] for r in placed.groupBy("_z").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    planned, rows, number = boxes(counts, len(columns), bits, max(1.0, SLACK * total / files)), [], 0
+    for first, end, parts in planned:
+        rows += [(z, number, parts) for z in range(first, end) if z in counts]
+        number += parts
+    cells = df.sparkSession.createDataFrame(rows, "_z bigint, _file int, _parts int")
+    # At most 2**CELL_BITS rows. The row hash parts what several files hold.
+    known = placed.join(F.broadcast(cells), "_z")
+    file = (F.col("_file") + F.pmod(F.xxhash64(*df.columns), F.col("_parts"))).cast("int")
+    dealt = known.repartitionById(max(1, number), file)
+    return dealt.sortWithinPartitions("_z", *columns).select(*df.columns)
 
 
 def compact_z_ordered(
     spark: SparkSession, source: str, target: str, columns: Sequence[str], target_bytes: int = 512 * 1024 * 1024, bits: int = BITS
 ) -> int:
-    """Rewrite of a Parquet directory into files of about ``target_bytes`` along the curve. Returns the number of ranges."""
+    """Rewrite of a Parquet directory into files of about ``target_bytes``, each a box of the curve. Returns their number."""
     files = max(1, math.ceil(directory_bytes(spark, source) / target_bytes))
     z_ordered(spark.read.parquet(source), columns, files, bits).write.mode("errorifexists").parquet(target)
-    return files
+    return len(spark.read.parquet(target).inputFiles())
 
 
 def file_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:
