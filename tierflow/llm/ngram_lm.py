@@ -95,18 +95,22 @@ class Layout:
         bits = -int(level_of(counts).sum()) * PROBES / math.log(1 - FULL)
         return Layout(1, max(self.block, (int(bits) // 64 + 1) * 64))
 
-    def places(self, keys, level, is_pair):
-        """Arrays of bit places within a block, one a probe."""
+    def hashed(self, keys, level, is_pair):
+        """Two hashes of each key at a level, from which all its probes follow."""
         a = words.mixed((keys & np.uint64(0xFFFFFFFF)) + (np.uint64(level) << np.uint64(33)) + (np.uint64(is_pair) << np.uint64(32)))
-        b = (a >> np.uint64(32)) | np.uint64(1)
-        for i in range(self.probes):
-            yield (((a & np.uint64(0xFFFFFFFF)) + np.uint64(i) * b) % np.uint64(self.block)).astype(np.int64)
+        return a & np.uint64(0xFFFFFFFF), (a >> np.uint64(32)) | np.uint64(1)
+
+    def place(self, a, b, probe):
+        """The bit of a probe within a block."""
+        return ((a + np.uint64(probe) * b) % np.uint64(self.block)).astype(np.int64)
 
     def block_of(self, keys, counts, is_pair, packed, lowest=1):
         """Insert the levels of keys, from ``lowest`` up to that of their counts, into a block of ``packed`` bits."""
         levels = level_of(counts)
         for level in range(lowest, int(levels.max(initial=0)) + 1):
-            for places in self.places(keys[levels >= level], level, is_pair):
+            a, b = self.hashed(keys[levels >= level], level, is_pair)
+            for probe in range(self.probes):
+                places = self.place(a, b, probe)
                 np.bitwise_or.at(packed, places >> 3, np.uint8(128) >> (places & 7).astype(np.uint8))
 
     def levels(self, filter_bytes, hashes, is_pair, lowest=1):
@@ -114,13 +118,14 @@ class Layout:
         base = bucket_of(hashes, self.buckets) * self.block
         found, left = np.zeros(len(hashes), np.int64), np.arange(len(hashes))
         for level in range(lowest, LEVELS + 1):
-            if not len(left):
-                break
-            hit = np.ones(len(left), bool)
-            for places in self.places(hashes[left], level, is_pair):
-                at = base[left] + places
-                hit &= (filter_bytes[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            left = left[hit]
+            a, b = self.hashed(hashes[left], level, is_pair)
+            for probe in range(self.probes):
+                if not len(left):
+                    return found
+                at = base[left] + self.place(a, b, probe)
+                # Most of what is not there fails the first probes.
+                hit = (filter_bytes[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+                left, a, b = left[hit], a[hit], b[hit]
             found[left] = level
         return found
 
@@ -343,7 +348,7 @@ def _asked(column):
     for texts in words.texts_of(column):
         tokens, bounds = token_hashes(texts)
         slices.append((tokens, bounds, pair_hashes(tokens, bounds)[1]))
-    singles, pairs = (np.unique(np.concatenate([x[i] for x in slices])) for i in (0, 2))
+    singles, pairs = (words.distinct(np.concatenate([x[i] for x in slices])) for i in (0, 2))
     return slices, singles, pairs
 
 
