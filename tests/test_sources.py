@@ -72,8 +72,10 @@ def test_gzip_is_read_by_extension(spark, tmp_path):
 def test_formats(spark):
     assert files.source_format("csv") == "csv"
     assert files.source_format("scraping") == "json"
-    with pytest.raises(ValueError, match="xml"):
+    with pytest.raises(ValueError, match="row tag"):
         files.scan(spark, "x", "xml")
+    with pytest.raises(ValueError, match="avro"):
+        files.scan(spark, "x", "avro")
 
 
 def test_merged_schema(spark, tmp_path):
