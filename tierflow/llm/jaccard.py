@@ -358,7 +358,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(words.released(run), "a bigint, b bigint")
 
 
 def _short_lists(sets: DataFrame, share: int) -> DataFrame:
@@ -412,7 +412,7 @@ def join(docs: DataFrame, id_column="doc_id", text_column="text", size=WORDS, sh
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     row = "doc_id bigint, text_hash bigint, node bigint, n int, found bigint, batch bigint"
     schema = f"bucket int, {row}, hashes binary, owners binary, nodes binary"
-    entries = rows.mapInArrow(_entries(buckets, size, share), schema)
+    entries = rows.mapInArrow(words.released(_entries(buckets, size, share)), schema)
     counted = durable(entries.groupBy("bucket").applyInArrow(_counted, f"{row}, counts binary, nodes binary"))
     by_batch = counted.where("batch IS NOT NULL").groupBy("batch").applyInArrow(_batch_counts, "node bigint, found bigint")
     texts_rows = counted.where("n IS NOT NULL")
@@ -422,7 +422,7 @@ def join(docs: DataFrame, id_column="doc_id", text_column="text", size=WORDS, sh
     classes = durable(classes.withColumn("alive", (F.col("n") > 0) & (F.col("found") >= needed)))
     alive = classes.where("alive").select(F.col("class_id").alias("alive_id")).distinct()
     texts = rows.join(alive, F.col("doc_id").eqNullSafe(F.col("alive_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(_full_sets(size), "node bigint, n int, shingles array<bigint>").where("n > 0")
+    sets = texts.mapInArrow(words.released(_full_sets(size)), "node bigint, n int, shingles array<bigint>").where("n > 0")
     sets = durable(sets.dropDuplicates(["node"]))
 
     components = linked_classes(sets, share).withColumnRenamed("vertex", "node")

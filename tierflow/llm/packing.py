@@ -241,7 +241,7 @@ def pack(docs: DataFrame, id_column="doc_id", text_column="text", vocabulary=Non
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     schema = f"doc_id {kind}, part int, piece int, start bigint, length bigint, ids_crc32 bigint, rank_in_part bigint"
-    pieces = durable(rows.mapInArrow(_pieces(vocabulary or byte_bpe.default_path(), end_id, capacity), schema))
+    pieces = durable(rows.mapInArrow(words.released(_pieces(vocabulary or byte_bpe.default_path(), end_id, capacity)), schema))
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -181,11 +181,12 @@ def learn(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
 
 
 def _probability(model: Model, text):
-    @F.pandas_udf("double")
-    def probability(texts):
-        import pandas as pd
-
-        return pd.Series(model.scores(texts.tolist()), dtype="float64")
+    @F.arrow_udf("double")
+    def probability(column: pa.Array) -> pa.Array:
+        # A slice of the texts is Python strings at a time.
+        scores = [score for texts in words.texts_of(column) for score in model.scores(texts)]
+        words.release()
+        return pa.array(scores, type=pa.float64())
 
     return probability(F.coalesce(text, F.lit("")))
 
