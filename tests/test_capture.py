@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F, types as T
 
 from tierflow.operators import load
 from tierflow.streaming import capture, jobs
@@ -83,3 +83,60 @@ def test_versions_of_several_columns():
     ranks = [capture._rank(v) for v in ((None, None), (None, 1), (0, None), (0, 1), (1, None))]
     assert ranks == sorted(ranks) and len(set(ranks)) == 5
     assert F is not None
+
+
+class CountedState:
+    """A key's state and timers, which keeps the names of what is called."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers = [], None, []
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.value is not None
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def listTimers(self):
+        self.calls.append("listTimers")
+        return iter(self.timers)
+
+    def registerTimer(self, at):
+        self.calls.append("registerTimer")
+        self.timers.append(at)
+
+    def deleteTimer(self, at):
+        self.calls.append("deleteTimer")
+        self.timers.remove(at)
+
+
+def test_a_key_takes_few_round_trips():
+    change, state = Row("id", "op", "seq", "t"), CountedState()
+    processor = capture.NewestChange(T.StructType([T.StructField("seq", T.IntegerType())]), "op", "t", 0)
+    processor.init(state)
+
+    def calls(*changes):
+        state.calls.clear()
+        let_through = list(processor.handleInputRows((1,), iter(change(1, op, seq, at(seq)) for op, seq in changes), None))
+        return [r["seq"] for r in let_through], list(state.calls)
+
+    assert calls(("I", 0)) == ([0], ["get", "update"])
+    assert calls(("U", 2), ("U", 1)) == ([2], ["get", "update"])
+    assert calls(("U", 1)) == ([], ["get"])
+    assert calls(("D", 3)) == ([3], ["get", "update", "registerTimer"])
+    # Only a tombstone has a timer, which goes with the next change.
+    assert calls(("U", 4)) == ([4], ["get", "listTimers", "deleteTimer", "update"])
+    assert state.timers == []

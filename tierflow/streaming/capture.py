@@ -41,7 +41,8 @@ class NewestChange(StatefulProcessor):
         self.newest = handle.getValueState("newest", T.StructType([*self.version.fields, T.StructField("deleted", T.BooleanType())]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        held = self.newest.get() if self.newest.exists() else None
+        # Every call to the state or its timers is a round trip to the JVM, which is most of a key's cost: a new or living key takes two.
+        held = self.newest.get()
         reached = _rank(held[:-1]) if held else None
         best = None
         for row in rows:
@@ -49,8 +50,9 @@ class NewestChange(StatefulProcessor):
             if reached is None or rank > reached:
                 reached, best = rank, row
         if best is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            if held and held[-1]:  # only a tombstone has a timer
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
             gone = best[self.op] == DELETED
             self.newest.update((*(best[c] for c in self.version.names), gone))
             if gone and best[self.timestamp] is not None:
@@ -58,7 +60,8 @@ class NewestChange(StatefulProcessor):
             yield best
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        if self.newest.exists() and self.newest.get()[-1]:
+        held = self.newest.get()
+        if held and held[-1]:
             self.newest.clear()
         yield from ()
 
