@@ -224,3 +224,10 @@ def test_land_files(spark, tmp_path):
     (tmp_path / "in" / "reviews.csv.gz").write_bytes(b"")
     with pytest.raises(EmptyInput, match="reviews"):
         ingest.land_files(spark, str(tmp_path / "in"), str(tmp_path / "more"), "*.gz")
+
+
+def test_the_query_of_requests_sends_them(spark):
+    from tierflow.catalog import QUERIES
+
+    got = QUERIES["fetch_requests"](spark, "/root/testdata/sf0.001").select("status", "attempts", "method").distinct().collect()
+    assert [tuple(r) for r in got] == [(200, 1, "GET")]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tierflow.catalog.registry import query, table
@@ -153,21 +155,29 @@ def landing_manifest(spark, sf_dir):
 
 @query(
     """
-    SELECT CAST(page_id AS VARCHAR) AS request_id, 'GET' AS method,
+    SELECT CAST(page_id AS VARCHAR) AS request_id, 200 AS status, 1 AS attempts, 'GET' AS method,
            split_part(url, '#', 1) || CASE WHEN contains(split_part(url, '#', 1), '?') THEN '&' ELSE '?' END
              || 'limit=100' || CASE WHEN contains(url, '#') THEN '#' || split_part(url, '#', 2) ELSE '' END
              AS url
     FROM pages"""
 )
 def fetch_requests(spark, sf_dir):
-    """The requests for all page addresses as they are sent."""
+    """One request per page address, sent by the fetch job; the transport answers with the request as it reached it."""
+
+    def loopback(method, url, headers, body, timeout):
+        return 200, json.dumps({"url": url, "method": method, "sent": body})
+
     requests = table(spark, sf_dir, "pages").select(
         F.col("page_id").cast("string").alias("request_id"),
+        F.lit(1).alias("page"),
         F.lit("get").alias("method"),
         "url",
         F.create_map(F.lit("limit"), F.lit("100")).alias("params"),
     )
-    return fetch.addressed(requests).select("request_id", "method", "url")
+    echoed = F.from_json("body", "url string, method string, sent string")
+    return fetch.fetch(requests, loopback).select(
+        "request_id", "status", "attempts", echoed["method"].alias("method"), echoed["url"].alias("url")
+    )
 
 
 _UNTIL_GAP = """
