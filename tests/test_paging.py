@@ -87,3 +87,32 @@ def test_first_gap(spark):
     reached = spark.createDataFrame([("d", 2), ("a", 1)], "request_id string, reached int")
     assert sorted(map(tuple, paging.first_gap(pages).collect())) == [("a", 3), ("b", 1), ("c", 1), ("d", 1)]
     assert sorted(map(tuple, paging.first_gap(pages, reached).collect())) == [("a", 3), ("b", 1), ("c", 1), ("d", 4)]
+
+
+def test_many_small_files_share_partitions(spark, tmp_path, rows):
+    path = str(tmp_path / "recorded")
+    pages = [("a", page, 200, "[1]", None) for page in range(1, 401)]
+    paging.record_pages(spark.createDataFrame(pages, RESPONSES), path, pages_a_wave=1)
+    found = paging.read_pages(spark, path, pages_a_wave=1)
+    assert 1 < found.rdd.getNumPartitions() <= 2 * paging.PARTITIONS
+    assert rows(found.select("page")) == sorted(((p[1],) for p in pages), key=repr)
+    sized = [paging.WaveFile(w, f"f{w}", 5 << 20) for w in range(1000)]
+    parts = paging.packed(sized)
+    assert [f for p in parts for f in p.paths] == [f.path for f in sized] and {len(p.paths) for p in parts[:-1]} == {3}
+    assert len(paging.packed([paging.WaveFile(0, "large", 1 << 30), paging.WaveFile(1, "small", 1)])) == 2
+
+
+def test_a_sequence_reads_its_source_once(spark, tmp_path):
+    opened = spark.sparkContext.accumulator(0)
+
+    def counting(df):
+        def seen(batches):
+            for batch in batches:
+                opened.add(batch.num_rows)
+                yield batch
+
+        return paging.counted(df.mapInArrow(seen, df.schema))
+
+    pages = spark.createDataFrame([("a", page, 200, "[1]" if page < 5 else "[]", None) for page in range(1, 9)], RESPONSES)
+    assert paging.sequences(pages, counting).count() == 4
+    assert opened.value == 8

@@ -1,8 +1,8 @@
 """Recorded pages as a Spark data source: a batch of all of them, and a stream whose offset is the wave of pages.
 
 Responses of numbered pages are recorded as they come, in waves of so many page numbers, as Parquet below ``wave=<n>``.
-The source plans one partition for each file of a wave and reads it by Arrow's file systems, so a long sequence is spread over the
-cluster and a stream that starts again asks only for waves that it has not read. Where a sequence ends, at its first
+The source plans partitions of some files of waves each and reads them by Arrow's file systems, so a long sequence is spread over the
+cluster, small waves do not cost a task each, and a stream that starts again asks only for waves that it has not read. Where a sequence ends, at its first
 empty, failed or missing page, is decided by Spark on the rows.
 """
 
@@ -28,11 +28,14 @@ from pyspark.sql.datasource import (
 from tierflow.operators.sinks import balanced, target_exists
 from tierflow.sources.fetch import until_gap
 from tierflow.sources.payload import count_records
-from tierflow.workspace import runs_on_executors
+from tierflow.workspace import durable, runs_on_executors
 
 runs_on_executors(__name__)
 
 PAGES_A_WAVE = 64
+#: Files are read together up to so many bytes, where they do not suffice for so many partitions up to less; one counts as
+#: ``OPEN_BYTES`` more than it has.
+PARTITION_BYTES, PARTITIONS, OPEN_BYTES = 16 << 20, 64, 256 << 10
 SCHEMA = "request_id string, page int, status int, body string, error string"
 PUSHDOWN = "spark.sql.python.filterPushdown.enabled"
 
@@ -46,10 +49,30 @@ def record_pages(responses: DataFrame, path: str, pages_a_wave: int = PAGES_A_WA
     balanced(responses.select(*columns, wave), "wave").write.mode("append").partitionBy("wave").parquet(path)
 
 
-class WaveFile(InputPartition):
-    def __init__(self, wave: int, path: str):
-        super().__init__(wave)
-        self.wave, self.path = wave, path
+class WaveFile:
+    def __init__(self, wave: int, path: str, size: int):
+        self.wave, self.path, self.size = wave, path, size
+
+
+class WaveFiles(InputPartition):
+    def __init__(self, paths: list[str]):
+        super().__init__(paths[0])
+        self.paths = paths
+
+
+def packed(files: list[WaveFile]) -> list[WaveFiles]:
+    """Files, in their order, in partitions of at most ``PARTITION_BYTES``, but for single files that have more; a partition for each
+    file as long as there are few."""
+    most = min(PARTITION_BYTES, sum(f.size + OPEN_BYTES for f in files) / PARTITIONS)
+    parts, room = [], 0
+    for file in files:
+        cost = file.size + OPEN_BYTES
+        if not parts or cost > room:
+            parts.append([])
+            room = most
+        parts[-1].append(file.path)
+        room -= cost
+    return [WaveFiles(paths) for paths in parts]
 
 
 class _Waves:
@@ -72,18 +95,20 @@ class _Waves:
         files, root = self._files()
         found = files.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         parts = [(f.path.split("/"), f) for f in found if f.is_file and f.path.endswith(".parquet")]
-        named = [(next((p for p in parts[:-1] if p.startswith("wave=")), None), f.path) for parts, f in parts]
-        return [WaveFile(int(wave[len("wave=") :]), file) for wave, file in sorted(named, key=lambda x: x[1]) if wave and "/_temporary/" not in file]
+        named = [(next((p for p in parts[:-1] if p.startswith("wave=")), None), f.path, f.size) for parts, f in parts]
+        ordered = sorted(named, key=lambda x: x[1])
+        return [WaveFile(int(wave[len("wave=") :]), file, size) for wave, file, size in ordered if wave and "/_temporary/" not in file]
 
-    def rows(self, part: WaveFile) -> Iterator[pa.RecordBatch]:
+    def rows(self, part: WaveFiles) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
 
         files, _ = self._files()
         kinds = {"int": pa.int32(), "string": pa.string()}
         schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in SCHEMA.split(", "))])
-        with files.open_input_file(part.path) as source:
-            for batch in pq.ParquetFile(source).iter_batches(batch_size=1024, columns=schema.names):
-                yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)).cast(f.type) for f in schema], schema=schema)
+        for path in part.paths:
+            with files.open_input_file(path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(batch_size=1024, columns=schema.names):
+                    yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(f.name)).cast(f.type) for f in schema], schema=schema)
 
 
 class _Reader(_Waves, DataSourceReader):
@@ -104,12 +129,12 @@ class _Reader(_Waves, DataSourceReader):
                     self.last = value if self.last is None else min(self.last, value)
             yield f
 
-    def partitions(self) -> list[WaveFile]:
+    def partitions(self) -> list[WaveFiles]:
         first = (self.first - 1) // self.pages_a_wave
         last = None if self.last is None else (self.last - 1) // self.pages_a_wave
-        return [f for f in self.listed() if f.wave >= first and (last is None or f.wave <= last)]
+        return packed([f for f in self.listed() if f.wave >= first and (last is None or f.wave <= last)])
 
-    def read(self, partition: WaveFile | None) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: WaveFiles | None) -> Iterator[pa.RecordBatch]:
         # A source without waves is read once, without a partition.
         return self.rows(partition) if partition is not None else iter(())
 
@@ -121,10 +146,10 @@ class _StreamReader(_Waves, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"wave": max((f.wave + 1 for f in self.listed()), default=0)}
 
-    def partitions(self, start: dict, end: dict) -> list[WaveFile]:
-        return [f for f in self.listed() if start["wave"] <= f.wave < end["wave"]]
+    def partitions(self, start: dict, end: dict) -> list[WaveFiles]:
+        return packed([f for f in self.listed() if start["wave"] <= f.wave < end["wave"]])
 
-    def read(self, partition: WaveFile) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: WaveFiles) -> Iterator[pa.RecordBatch]:
         return self.rows(partition)
 
 
@@ -180,7 +205,7 @@ def first_gap(pages: DataFrame, reached: DataFrame | None = None) -> DataFrame:
 
 def sequences(pages: DataFrame, count: Callable[[DataFrame], DataFrame] = counted) -> DataFrame:
     """Pages of each request up to its first gap."""
-    known = count(pages)
+    known = durable(count(pages))  # read by several branches, and from its source once
     return until_gap(known, first_gap(known)).drop("n_items")
 
 
@@ -205,7 +230,7 @@ def run_sequences(
         written.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(at)
 
     def merge(batch: DataFrame, number: int) -> None:
-        known = count(batch)
+        known = durable(count(batch))
         before = read(reached_at, reached_schema).where(F.col("batch") < number)
         before = before.groupBy("request_id").agg(F.max("reached").alias("reached"))
         gaps = first_gap(known, before)
