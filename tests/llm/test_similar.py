@@ -6,13 +6,16 @@ import hashlib
 import random
 import re
 import struct
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tierflow.llm import forest, jaccard, winnow
+from tierflow import workspace
+from tierflow.llm import forest, jaccard, winnow, words
 from tierflow.llm.components import connected_components
 
 LOWER = {i: i + 32 for i in range(65, 91)}
@@ -345,3 +348,37 @@ def test_forest_odd_vectors(spark):
 def test_edited_digest_is_of_utf8(spark):
     row = spark.createDataFrame([("é\U0001f600",)], "t string").select(F.sha2("t", 256)).first()
     assert row[0] == hashlib.sha256("é\U0001f600".encode()).hexdigest()
+
+
+# ---- memory of workers
+
+
+def test_join_sends_small_batches_to_workers(spark, monkeypatch):
+    name, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, durable = spark.conf.get(name), jaccard.durable
+    monkeypatch.setattr(jaccard, "durable", lambda df: seen.append(spark.conf.get(name)) or durable(df))
+    docs = spark.createDataFrame([(i, f"one two three four five six {i // 2}") for i in range(8)], "doc_id bigint, text string")
+    assert {r["component_id"] for r in jaccard.join(docs).collect()} == {0, 2, 4, 6}
+    assert seen and set(seen) == {str(jaccard.ARROW_BYTES)} and spark.conf.get(name) == before
+
+
+def test_batches_are_bounded_and_whole(spark):
+    docs = spark.range(3000, numPartitions=1).selectExpr("repeat('x', 1000) AS text").unionByName(spark.sql("SELECT repeat('y', 300000) AS text"))
+
+    def sizes(parts):
+        for batch in parts:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    with workspace.arrow_batches(spark, 100_000):
+        found = docs.mapInArrow(sizes, "n bigint, size bigint").collect()
+    assert sum(r["n"] for r in found) == 3001
+    assert all(r["size"] < 120_000 for r in found if r["n"] > 1) and max(r["size"] for r in found) >= 300_000
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    words.kept("byte bpe test", list)
+    words.kept("lowered numbers", words._lowered)
+    list(words.released(iter)([]))
+    assert "byte bpe test" in sys.modules["_tierflow_kept"].__dict__
+    list(words.released(iter, *jaccard.KEPT)([]))
+    assert "byte bpe test" not in sys.modules["_tierflow_kept"].__dict__ and "lowered numbers" in sys.modules["_tierflow_kept"].__dict__

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from tierflow.llm import words
 from tierflow.llm.components import connected_components
-from tierflow.workspace import durable, runs_on_executors
+from tierflow.workspace import arrow_batches, durable, runs_on_executors
 
 runs_on_executors("tierflow.llm.words")
 runs_on_executors(__name__)
@@ -59,6 +59,10 @@ SIZE_STEP = 1.005
 MERGED = 0.1
 #: Long lists that are probed at once.
 PROBED = 64
+#: Bytes of an Arrow batch: the JVM and the worker each hold one or two of a task.
+ARROW_BYTES = 2 * words.FOLDED_CHARS
+#: What a worker keeps for this operator.
+KEPT = ("blank classes", "lowered numbers")
 MANY = 0xFFFF
 COUNTED = ["doc_id", "text_hash", "node", "n", "found", "batch"]
 
@@ -358,7 +362,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return both.mapInArrow(words.released(run), "a bigint, b bigint")
+    return both.mapInArrow(words.released(run, *KEPT), "a bigint, b bigint")
 
 
 def _short_lists(sets: DataFrame, share: int) -> DataFrame:
@@ -395,7 +399,7 @@ def linked_classes(sets: DataFrame, share=SHARE) -> DataFrame:
     tasks = _blocks(grouped, share).join(content, "node")
     key = ["group", "low_class", "low", "high_class", "high"]
     within = (F.col("low_class") == F.col("high_class")) & (F.col("low") == F.col("high"))
-    second_links = tasks.withColumn("within", within).groupBy(*key).applyInArrow(_linked(share), "a bigint, b bigint")
+    second_links = tasks.withColumn("within", within).groupBy(*key).applyInArrow(words.released_group(_linked(share)), "a bigint, b bigint")
     everything = second_links.unionByName(found.select(F.col("vertex").alias("a"), F.col("component").alias("b")))
     return connected_components(everything)
 
@@ -406,15 +410,20 @@ def join(docs: DataFrame, id_column="doc_id", text_column="text", size=WORDS, sh
     ``node`` is the class of equal sets, ``class_id`` its smallest id, ``component`` a number of all that links reach, the
     smallest class among it (null for an empty set), ``component_id`` the smallest id there.
     """
+    with arrow_batches(docs.sparkSession, ARROW_BYTES):
+        return _joined(docs, id_column, text_column, size, share)
+
+
+def _joined(docs, id_column, text_column, size, share):
     rows = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
     rows = rows.withColumn("text_hash", F.xxhash64("text"))
     row = "doc_id bigint, text_hash bigint, node bigint, n int, found bigint, batch bigint"
     schema = f"bucket int, {row}, hashes binary, owners binary, nodes binary"
-    entries = rows.mapInArrow(words.released(_entries(buckets, size, share)), schema)
-    counted = durable(entries.groupBy("bucket").applyInArrow(_counted, f"{row}, counts binary, nodes binary"))
-    by_batch = counted.where("batch IS NOT NULL").groupBy("batch").applyInArrow(_batch_counts, "node bigint, found bigint")
+    entries = rows.mapInArrow(words.released(_entries(buckets, size, share), *KEPT), schema)
+    counted = durable(entries.groupBy("bucket").applyInArrow(words.released_group(_counted), f"{row}, counts binary, nodes binary"))
+    by_batch = counted.where("batch IS NOT NULL").groupBy("batch").applyInArrow(words.released_group(_batch_counts), "node bigint, found bigint")
     texts_rows = counted.where("n IS NOT NULL")
 
     classes = texts_rows.select("node", "n", "found", "doc_id").unionByName(by_batch, allowMissingColumns=True).groupBy("node").agg(F.max("n").alias("n"), F.sum("found").alias("found"), F.min("doc_id").alias("class_id"))
@@ -422,7 +431,7 @@ def join(docs: DataFrame, id_column="doc_id", text_column="text", size=WORDS, sh
     classes = durable(classes.withColumn("alive", (F.col("n") > 0) & (F.col("found") >= needed)))
     alive = classes.where("alive").select(F.col("class_id").alias("alive_id")).distinct()
     texts = rows.join(alive, F.col("doc_id").eqNullSafe(F.col("alive_id")), "left_semi").select("text")
-    sets = texts.mapInArrow(words.released(_full_sets(size)), "node bigint, n int, shingles array<bigint>").where("n > 0")
+    sets = texts.mapInArrow(words.released(_full_sets(size), *KEPT), "node bigint, n int, shingles array<bigint>").where("n > 0")
     sets = durable(sets.dropDuplicates(["node"]))
 
     components = linked_classes(sets, share).withColumnRenamed("vertex", "node")

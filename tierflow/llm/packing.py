@@ -34,13 +34,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierflow.llm import byte_bpe, words
-from tierflow.workspace import durable, runs_on_executors
+from tierflow.workspace import arrow_batches, durable, runs_on_executors
 
 runs_on_executors("tierflow.llm.words")
 runs_on_executors("tierflow.llm.byte_bpe")
 runs_on_executors(__name__)
 
 CAPACITY = 2048
+#: Bytes of an Arrow batch.
+ARROW_BYTES = 1 << 23
+#: What a worker keeps for this operator.
+KEPT = ("byte bpe", "letter classes", "plain numbers")
 
 
 class _Lengths:
@@ -241,7 +245,9 @@ def pack(docs: DataFrame, id_column="doc_id", text_column="text", vocabulary=Non
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     schema = f"doc_id {kind}, part int, piece int, start bigint, length bigint, ids_crc32 bigint, rank_in_part bigint"
-    pieces = durable(rows.mapInArrow(words.released(_pieces(vocabulary or byte_bpe.default_path(), end_id, capacity)), schema))
+    run = words.released(_pieces(vocabulary or byte_bpe.default_path(), end_id, capacity), *KEPT)
+    with arrow_batches(spark, ARROW_BYTES):
+        pieces = durable(rows.mapInArrow(run, schema))
     by_part = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_part.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

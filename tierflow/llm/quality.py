@@ -33,6 +33,8 @@ runs_on_executors(__name__)
 BLOCK = 256
 DICTIONARY_BYTES = 112_640
 LEVEL = 3
+#: What a worker keeps for this operator.
+KEPT = "quality"
 
 
 def blocks(text, size=BLOCK):
@@ -109,7 +111,7 @@ class Model:
     def scores(self, texts):
         if self.constant is not None:
             return [self.constant] * len(texts)
-        held = words.kept("quality", dict)  # of one model at a time
+        held = words.kept(KEPT, dict)  # of one model at a time
         if (self.good, self.bad) not in held:
             held.clear()
             held[self.good, self.bad] = Scorer(self.good, self.bad)
@@ -146,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
         several rows it is the text with the smallest hash that counts."""
         found = texts.join(F.broadcast(chosen), "label_id").select("label", "text", "label_id", F.xxhash64("text").alias("text_hash"))
         kind = texts.schema["label_id"].dataType.simpleString()
-        made = found.mapInArrow(run, f"label int, {values}, label_id {kind}, text_hash bigint")
+        made = found.mapInArrow(words.released(run, KEPT), f"label int, {values}, label_id {kind}, text_hash bigint")
         value = F.struct(*(c for c in made.columns if c not in ("label_id", "text_hash")))
         return [r["value"] for r in made.groupBy("label_id").agg(F.min_by(value, F.col("text_hash")).alias("value")).collect()]
 
@@ -183,6 +185,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_column="doc_id", text_column="t
 def _probability(model: Model, text):
     @F.arrow_udf("double")
     def probability(column: pa.Array) -> pa.Array:
+        words.forget_others(KEPT)
         # A slice of the texts is Python strings at a time.
         scores = [score for texts in words.texts_of(column) for score in model.scores(texts)]
         words.release()

@@ -117,16 +117,42 @@ def release():
         trim(0)
 
 
-def released(run):
-    """A function for ``mapInArrow`` that gives its memory back when its part has ended."""
+def forget_others(*names):
+    """What this process keeps for other operators dropped: all whose name begins with none of ``names``. A worker goes from one
+    stage of a pipeline to the next, and would hold the tables of both."""
+    store = sys.modules.setdefault("_tierflow_kept", types.ModuleType("_tierflow_kept")).__dict__
+    others = [k for k in store if not k.startswith(("__", "places", "libc", *names))]
+    for name in others:
+        del store[name]
+    if others:
+        release()
+
+
+def released(run, *names):
+    """A function for ``mapInArrow`` that gives its memory back when its part has ended; with ``names`` of what it keeps,
+    what others have kept goes before."""
 
     def releasing(parts):
+        if names:
+            forget_others(*names)
         yield from run(parts)
         release()
 
     return releasing
 
 
+def released_group(run):
+    """A function for ``applyInArrow`` that gives its memory back after a group of more than a megabyte."""
+
+    def releasing(table):
+        made = run(table)
+        if table.nbytes > 1 << 20:
+            release()
+        return made
+
+    return releasing
+
+
 def batches(texts, chars=BATCH_CHARS, most=1 << 30):
     """Slices (first, last) of ``texts`` with about ``chars`` code points, or one longer text, and at
     most ``most`` texts."""

@@ -64,6 +64,18 @@ def runs_on_executors(module_name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module_name])
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """What runs inside the block goes to Python workers in batches of about ``size`` bytes at most, or of one longer row."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back, with its lineage cut.
 
