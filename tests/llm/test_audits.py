@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tests.llm.test_similar import LOWER
 from tierflow.llm import divergence, filter_audit, licenses
@@ -181,6 +182,17 @@ def test_sums_are_those_of_count_vectors(spark):
 
 # ---- licence notices
 
+
+def test_words_are_found_by_a_table_of_characters(spark):
+    text = "".join(f"{chr(c)}{chr(c)} a" for c in range(0x3000)) + "\U00020000b\U0010ffff"
+    assert re.findall(licenses.LISTED, text) == re.findall(licenses.WORD, text)
+    docs = spark.createDataFrame([(text,)], "text string")
+    found = docs.select(*(F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (licenses.LISTED, licenses.WORD))).first()
+    assert found[0] == found[1] == re.findall(licenses.WORD, text)
+    plan = docs.select(licenses._words("text"))._jdf.queryExecution().analyzed().toString()
+    assert "\\x00\\x01" in plan and "\\x00-" not in plan
+
+
 MIT, APACHE = licenses.NOTICES[0][1], licenses.NOTICES[4][1]
 NOTICES = [
     ("Released under the MIT License.", "mit", "mit", 1.0),

@@ -21,12 +21,15 @@ text are read, so other columns may have any name.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same words, with each character that ends one listed: Java looks these up in a table, but tries ranges one after the other.
+LISTED = "[^" + "".join(f"\\x{c:02X}" for c in range(0x80) if not re.fullmatch(WORD, chr(c))) + "]+"
 RARE, LEAST = 2, 0.75
 #: The one letter beyond ASCII that lower-cases into ASCII, and what it is replaced by.
 KELVIN, OTHER = "\u212a", "\ufffd"
@@ -120,7 +123,7 @@ TEMPLATES = tuple(Template.of(*x) for x in (*PHRASES, *NOTICES))
 
 def _words(text: str | Column) -> Column:
     lowered = F.lower(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(KELVIN), F.lit(OTHER)))
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(lowered, F.lit(LISTED), F.lit(0))
 
 
 def document_frequencies(docs: DataFrame, text_column="text", templates=TEMPLATES) -> dict[str, int]:
