@@ -348,3 +348,16 @@ def test_a_batch_that_broke_off_is_finished(spark, tmp_path, rows, monkeypatch):
     maintenance.maintain(maintenance.images(None, df), mart, path, 1, 2)
     got = maintenance.read_mart(spark, mart, path, df.schema)
     assert rows(got.select("g", "n_rows", "s", "n")) == [("a", 2, 3, 2), ("b", 1, 2, 1)]
+
+
+def test_tasks_of_a_join_do_not_grow_with_the_table(spark, rows, monkeypatch):
+    """Twice the rows go to twice the partitions; the result is that of the plain join."""
+    monkeypatch.setattr(joins, "TASK_ROWS", 50)
+    for n in (1000, 2000):
+        left = spark.range(n).selectExpr("IF(id % 10 = 0, null, id % 300) AS a", "id AS x")
+        right = spark.range(300).selectExpr("id AS b", "id * 7 AS y")
+        dealt, other = joins.dealt([(left, "a"), (right, "b")], n)
+        assert dealt.rdd.getNumPartitions() == other.rdd.getNumPartitions() == n // 50
+        assert rows(dealt.join(other, F.col("a") == F.col("b"))) == rows(left.join(right, F.col("a") == F.col("b")))
+    small = spark.range(50)
+    assert joins.dealt([(small, "id")], 50) == [small]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F, types as T
 
 from tierflow.catalog.registry import query, table
 from tierflow.functions.money import exact_sum, money
-from tierflow.operators import maintenance, marts
+from tierflow.operators import joins, maintenance, marts
 from tierflow.plans.bronze import to_bronze
 from tierflow.sources.files import scan_parquet
 from tierflow.specs import EntitySpec
@@ -103,9 +103,9 @@ def _sales(spark, sf_dir):
     placed = orders.join(_districts(spark, sf_dir), F.col("o_custkey") == F.col("c_custkey"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_extendedprice", "l_discount")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    return lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(
-        placed, F.col("l_orderkey") == F.col("o_orderkey")
-    )
+    priced = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    priced, placed = joins.dealt([(priced, "l_orderkey"), (placed, "o_orderkey")], lines.count())
+    return priced.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 def _net():

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 NULL_SPREAD = 1024
 #: Rows of one key on one side that meet those of the other in one task, about.
 BLOCK_ROWS = 5_000
+#: Rows of the larger side of a join that one task sorts, about.
+TASK_ROWS = 500_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -24,6 +26,17 @@ def with_group_stats(df: DataFrame, keys: Sequence[str], *stats: Column) -> Data
     return null_safe_join(df, df.groupBy(*keys).agg(*stats), keys, "left")
 
 
+def dealt(sides: Sequence[tuple[DataFrame, str]], rows: int) -> list[DataFrame]:
+    """Sides (frame, key) of an inner join hashed by key to so many partitions that each has about ``TASK_ROWS`` of the larger
+    side's ``rows``; what a task sorts and aggregates by key then does not grow with the table. Null keys, which match nothing,
+    go before; a side of no more rows than that is left as it is."""
+    parts = -(-rows // TASK_ROWS)
+    if parts <= 1:
+        return [df for df, _ in sides]
+    parts = max(parts, int(sides[0][0].sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return [df.where(F.col(key).isNotNull()).repartition(parts, key) for df, key in sides]
+
+
 def left_join_spread(left: DataFrame, right: DataFrame, key: str, right_key: str, spread_on: str) -> DataFrame:
     """Left join on one key that may be null on the left for many rows: null keys, which match
     nothing, are spread by ``spread_on`` rather than sent to one task."""
