@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 from datetime import date, datetime
 
@@ -75,3 +76,29 @@ def test_compaction_and_empty(spark, tmp_path):
     assert layout.compact_z_ordered(spark, str(tmp_path / "small"), str(tmp_path / "z"), ["a", "b"], target_bytes=4000) > 1
     assert spark.read.parquet(str(tmp_path / "z")).count() == 1000
     assert layout.z_ordered(df.limit(0), ["a", "b"], 4).count() == 0
+
+
+@pytest.mark.parametrize("at_once", [64, 5])
+def test_a_task_writes_several_small_files_of_a_cell(spark, tmp_path, rows, monkeypatch, at_once):
+    monkeypatch.setattr(layout, "TASK_FILES", at_once, raising=False)
+    df = spark.range(8000).selectExpr("id % 100 AS a", "id * 7919 % 101 AS b", "id")
+    df.write.parquet(source := str(tmp_path / "small"))
+    n = layout.compact_z_ordered(spark, source, target := str(tmp_path / "z"), ["a", "b"], target_bytes=500, bits=1)
+    stored = spark.read.parquet(target)
+    assert rows(stored) == rows(df)
+    held = layout.file_ranges(stored, ["a", "b"]).collect()
+    # File names begin with the number of the task that wrote them.
+    tasks = {os.path.basename(r["file"])[: len("part-00000")] for r in held}
+    assert n == len(held) > 40 and 4 <= len(tasks) <= 4 + n / at_once
+    assert max(r["n_rows"] for r in held) <= layout.SLACK * 8000 / (layout.directory_bytes(spark, source) / 500)
+    # Of the four cells, each file holds rows of one.
+    borders = layout.range_borders(df, ["a", "b"], 1)
+    assert all((r[f"min_{c}"] >= borders[c][0]) == (r[f"max_{c}"] >= borders[c][0]) for r in held for c in "ab")
+
+
+def test_a_file_that_fills_a_task_is_not_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(layout, "TASK_BYTES", 1000)
+    spark.range(4000).selectExpr("1 AS a", "'x' AS b", "id").write.parquet(source := str(tmp_path / "small"))
+    n = layout.compact_z_ordered(spark, source, target := str(tmp_path / "z"), ["a", "b"], target_bytes=1000)
+    names = [os.path.basename(f) for f in spark.read.parquet(target).inputFiles()]
+    assert n == len(names) == len({f[: len("part-00000")] for f in names}) > 1

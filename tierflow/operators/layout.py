@@ -3,7 +3,8 @@
 Each column's values are replaced by their range rank among ``2**bits`` ranges of about as many rows, and the ranks' bits are
 interleaved (Z-order). Rows of one place of the curve are a cell. Cells are counted, and the space of all is halved in every column for as long as
 a box has too many rows for a file; so each file is a box, with a narrow range of every column, and not a stretch of the
-curve, which may jump. A cell that fills several files is dealt to them by row hash. By the minima and maxima that Parquet keeps, a filter
+curve, which may jump. A cell that fills several files is dealt to partitions by row hash; where a file is small for a task, a partition holds
+several files of its cell, which the writer cuts off; the last one may be small. By the minima and maxima that Parquet keeps, a filter
 on a narrow range of any one of k columns opens one or two of the files' k-th root of layers.
 """
 
@@ -16,7 +17,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tierflow.operators.sinks import directory_bytes
+from tierflow.operators.sinks import directory_bytes, directory_files
 
 BITS = 6
 #: Bits of a place on the curve, and so of the number of cells that are counted on the driver.
@@ -25,6 +26,9 @@ CELL_BITS = 16
 SLACK = 1.5
 #: Rows that borders are taken from, for each range of a column.
 SAMPLED = 100
+#: A task writes several files of a cell while they are below this together, and at most so many.
+TASK_BYTES = 128 * 1024 * 1024
+TASK_FILES = 64
 
 
 def range_borders(df: DataFrame, columns: Sequence[str], bits: int = BITS) -> dict[str, list]:
@@ -91,21 +95,29 @@ def z_ordered(df: DataFrame, columns: Sequence[str], files: int, bits: int = BIT
     """``df`` dealt to about ``files`` partitions, each a box of the curve, and sorted along it inside them.
 
     Of each column at most ``CELL_BITS / len(columns)`` bits are taken, so that at most ``2**CELL_BITS`` cells are counted."""
+    return _dealt(df, columns, files, bits, 1)[0]
+
+
+def _dealt(df: DataFrame, columns: Sequence[str], files: int, bits: int, together: int) -> tuple[DataFrame, int]:
+    """``df`` in partitions that are a box each, or about ``together`` files of one cell, and the rows that a file holds at most.
+
+    So there are at most as many partitions as cells, and one more for each ``together`` files."""
     bits = max(1, min(bits, CELL_BITS // len(columns)))
     borders = range_borders(df, columns, bits)
     placed = df.withColumn("_z", z_value([range_rank(F.col(c), borders[c]) for c in columns], bits))
     counts = {r["_z"]: r["n"] for r in placed.groupBy("_z").agg(F.count("*").alias("n")).collect()}
-    total = sum(counts.values())
-    planned, rows, number = boxes(counts, len(columns), bits, max(1.0, SLACK * total / files)), [], 0
+    most = max(1.0, SLACK * sum(counts.values()) / files)
+    planned, rows, number = boxes(counts, len(columns), bits, most), [], 0
     for first, end, parts in planned:
+        parts = math.ceil(parts / together)
         rows += [(z, number, parts) for z in range(first, end) if z in counts]
         number += parts
-    cells = df.sparkSession.createDataFrame(rows, "_z bigint, _file int, _parts int")
-    # At most 2**CELL_BITS rows. The row hash parts what several files hold.
+    cells = df.sparkSession.createDataFrame(rows, "_z bigint, _first int, _parts int")
+    # At most 2**CELL_BITS rows. The row hash parts what several partitions hold.
     known = placed.join(F.broadcast(cells), "_z")
-    file = (F.col("_file") + F.pmod(F.xxhash64(*df.columns), F.col("_parts"))).cast("int")
-    dealt = known.repartitionById(max(1, number), file)
-    return dealt.sortWithinPartitions("_z", *columns).select(*df.columns)
+    partition = (F.col("_first") + F.pmod(F.xxhash64(*df.columns), F.col("_parts"))).cast("int")
+    dealt = known.repartitionById(max(1, number), partition)
+    return dealt.sortWithinPartitions("_z", *columns).select(*df.columns), int(most)
 
 
 def compact_z_ordered(
@@ -113,8 +125,13 @@ def compact_z_ordered(
 ) -> int:
     """Rewrite of a Parquet directory into files of about ``target_bytes``, each a box of the curve. Returns their number."""
     files = max(1, math.ceil(directory_bytes(spark, source) / target_bytes))
-    z_ordered(spark.read.parquet(source), columns, files, bits).write.mode("errorifexists").parquet(target)
-    return len(spark.read.parquet(target).inputFiles())
+    together = max(1, min(TASK_FILES, TASK_BYTES // target_bytes))
+    dealt, most = _dealt(spark.read.parquet(source), columns, files, bits, together)
+    writer = dealt.write.mode("errorifexists")
+    if together > 1:  # a box that is one file has at most so many rows and is not cut
+        writer = writer.option("maxRecordsPerFile", most)
+    writer.parquet(target)
+    return directory_files(spark, target)
 
 
 def file_ranges(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -108,6 +108,12 @@ def directory_bytes(spark: SparkSession, path: str) -> int:
     return files.getContentSummary(jvm_path).getLength()
 
 
+def directory_files(spark: SparkSession, path: str) -> int:
+    """The number of data files that Spark has written to a directory without partitions. Their names stay in the JVM."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(path, "part-*")
+    return len(pattern.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(pattern))
+
+
 def compact(
     spark: SparkSession,
     source: str,
