@@ -15,13 +15,15 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from tierflow.streaming import jobs
+from tierflow.operators.sinks import target_exists
+from tierflow.streaming import compiled, jobs
 from tierflow.workspace import runs_on_executors
 
 runs_on_executors(__name__)
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PYTHON_OPERATOR = "transformWithStateInPySparkExec"
 DELETED = "D"
 
 
@@ -30,15 +32,23 @@ def _rank(version: Sequence) -> tuple:
     return tuple((v is not None, v) if v is not None else (False,) for v in version)
 
 
+def _state(version: T.StructType) -> T.StructType:
+    return T.StructType([*version.fields, T.StructField("deleted", T.BooleanType())])
+
+
 class NewestChange(StatefulProcessor):
-    """Lets the newest change of a key through, if it is newer than what the key has."""
+    """Lets the newest change of a key through, if it is newer than what the key has.
+
+    Streams run it as a Java class (:mod:`tierflow.streaming.compiled`), but for versions of nested types, rows that only Python
+    can read, and checkpoints that began with this one.
+    """
 
     def __init__(self, version: T.StructType, op: str, timestamp: str, keep_ms: int):
         self.version, self.op, self.timestamp, self.keep_ms = version, op, timestamp, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.newest = handle.getValueState("newest", T.StructType([*self.version.fields, T.StructField("deleted", T.BooleanType())]))
+        self.newest = handle.getValueState("newest", _state(self.version))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # Every call to the state or its timers is a round trip to the JVM, which is most of a key's cost: a new or living key takes two.
@@ -70,20 +80,38 @@ class NewestChange(StatefulProcessor):
 
 
 def newest_changes(
-    changes: DataFrame, keys: Sequence[str], version: Sequence[str], timestamp: str, late_by: str, op: str = "op", keep_ms: int = 0
+    changes: DataFrame,
+    keys: Sequence[str],
+    version: Sequence[str],
+    timestamp: str,
+    late_by: str,
+    op: str = "op",
+    keep_ms: int = 0,
+    in_python: bool = False,
 ) -> DataFrame:
     """The changes of a stream that are newer than all before them of their key; the last deletion as well.
 
     ``version`` orders a key's changes, ``timestamp`` is their event time: an older change may not be later than a deletion by
-    more than ``keep_ms``, which is how much longer a tombstone stays. Null keys are a key.
+    more than ``keep_ms``, which is how much longer a tombstone stays. Null keys are a key. ``in_python`` is for checkpoints that
+    began with the processor in Python, with which Spark wants them to go on (:func:`began_in_python`).
     """
     stream = jobs.with_watermark(changes, timestamp, late_by)
     schema = stream.schema
     held = T.StructType([T.StructField(c, schema[c].dataType) for c in version])
+    if not in_python and compiled.can_run(schema, held):
+        return compiled.newest_changes(stream, keys, held, _state(held), op, timestamp, DELETED, keep_ms)
     processor = NewestChange(held, op, timestamp, keep_ms)
     return stream.groupBy(*keys).transformWithState(processor, schema, "Append", "EventTime")
 
 
+def began_in_python(spark: SparkSession, checkpoint: str) -> bool:
+    """Whether the state at ``checkpoint`` is that of the processor in Python."""
+    if not target_exists(spark, f"{checkpoint}/state/0/_metadata"):
+        return False
+    operators = spark.read.format("state-metadata").load(checkpoint).select("operatorName").collect()
+    return any(r["operatorName"] == PYTHON_OPERATOR for r in operators)
+
+
 @contextmanager
 def _rocksdb(spark: SparkSession):
     """State of this kind needs the RocksDB store; the session's own choice is put back."""
@@ -111,7 +139,8 @@ def run_capture(
     Processes all that is there and stops. Started again with the same ``checkpoint`` it goes on where it
     stopped; a micro-batch that is repeated leads to the same rows, since the table too takes the newest version.
     """
-    newest = newest_changes(changes, keys, version, timestamp, late_by, op)
-    with _rocksdb(changes.sparkSession):
+    spark = changes.sparkSession
+    newest = newest_changes(changes, keys, version, timestamp, late_by, op, in_python=began_in_python(spark, checkpoint))
+    with _rocksdb(spark):
         table = jobs.run_upsert(newest, keys, [f"-{c}" for c in version], path, checkpoint, buckets)
     return table.where(~F.col(op).eqNullSafe(DELETED))
